@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, quality_crf, secret_scan, sharding
+from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality_crf, secret_scan, sharding
 
 QUERIES = {
     "op1_quality": quality_crf.op1_quality,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_language_id": language_id.op5_language_id,
     "op7_sharding": sharding.op7_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_ngram_join": ngram_join.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op9_chat_format": chat_format.SQL,
     "op10_mixing": mixing.SQL,
