@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality_crf, secret_scan, sharding
+from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, ngram_lm, quality_crf, secret_scan, sharding
 
 QUERIES = {
     "op1_quality": quality_crf.op1_quality,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_language_id": language_id.op5_language_id,
+    "op6_ngram_lm": ngram_lm.op6_ngram_lm,
     "op7_sharding": sharding.op7_sharding,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_chat_format": chat_format.op9_chat_format,
