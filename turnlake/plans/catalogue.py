@@ -1,4 +1,424 @@
 """The queries of the engine by name, and the SQL each is checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlake.functions import text as X
+from turnlake.operators import mutations as M
+from turnlake.operators import reads as R
+from turnlake.operators import rules as C
+from turnlake.sources import readers as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+WS = X.WS
+SQL_STRIP = f"regexp_replace(content, '^{WS}|{WS}$', '', 'g')"
+SQL_WORDS = f"list_filter(regexp_split_to_array(content, '{WS}'), lambda x: x <> '')"
+PROFILES = [("lorem", "Lorem Ipsum (offline)"), ("base", "Base model"), ("tuned", "Tuned model")]
+SQL_PROFILES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in PROFILES) + ") p(key, label)"
+#: A profile per message: assistants cycle through two known ones and a stale one, others have none.
+SQL_CV = """(SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, turn, role, text AS content,
+  CASE WHEN role = 'assistant' THEN CASE conv_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'tuned' ELSE 'gone' END END AS model_profile FROM conversations)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _cv(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("conversation_id") % 3
+    return S.messages(spark, d).withColumn("model_profile", F.when(F.col("role") == "assistant", F.when(k == 0, "base").when(k == 1, "tuned").otherwise("gone")))
+
+
+def _profiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PROFILES, "key string, label string")
+
+
+def _ol(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders")
+
+
+# lookups and listings
+
+
+@query("message_lookup", f"SELECT id, conversation_id, role, content FROM {SQL_CV} m WHERE id IN (SELECT min(id) FROM {SQL_CV} n GROUP BY conversation_id)")
+def _(spark, d):
+    m = S.messages(spark, d).drop("turn")
+    return R.lookup(m, m.groupBy("conversation_id").agg(F.min("id").alias("id")))
+
+
+@query("conversation_lookup", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(spark, d):
+    keys = _table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.lookup(_ol(spark, d), keys, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@query("project_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    return R.lookup(_table(spark, d, "customer"), _ol(spark, d).select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("list_messages", f"SELECT conversation_id, id, role, content FROM {SQL_CV} m ORDER BY conversation_id, id")
+def _(spark, d):
+    return S.messages(spark, d).select("conversation_id", "id", "role", "content").orderBy("conversation_id", "id")
+
+
+@query("list_conversations", "SELECT user_id AS conversation_id, max(ts) AS updated_at, min(ts) AS created_at FROM events GROUP BY user_id ORDER BY 2 DESC, 3 DESC, 1")
+def _(spark, d):
+    return R.by_latest(R.heads(S.activity(spark, d))).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("updated_at", "created_at")})
+
+
+@query("sidebar", "SELECT user_id AS conversation_id, 'user ' || user_id || ' - updated ' || strftime(max(ts), '%H:%M') AS tooltip, max(ts) = (SELECT max(ts) FROM events) AS active FROM events GROUP BY user_id")
+def _(spark, d):
+    heads = R.heads(S.activity(spark, d))
+    name = F.concat(F.lit("user "), F.col("conversation_id").cast("string"))
+    top = R.newest(heads).select("conversation_id", F.lit(True).alias("selected"))
+    shown = F.concat(name, F.lit(" - updated "), X.clock(F.col("updated_at")))
+    return heads.join(top, "conversation_id", "left").select("conversation_id", shown.alias("tooltip"), F.coalesce("selected", F.lit(False)).alias("active"))
+
+
+@query("newest_conversation", "SELECT user_id AS conversation_id, max(ts) AS updated_at FROM events GROUP BY user_id ORDER BY 2 DESC, min(ts) DESC, 1 LIMIT 1")
+def _(spark, d):
+    return R.newest(R.heads(S.activity(spark, d))).select("conversation_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query("newest_per_project", "SELECT o_custkey, o_orderdate, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def _(spark, d):
+    return R.newest_of_each(_ol(spark, d).select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+# text, transcript, context
+
+_ONE_LINE = f"trim(regexp_replace(content, '{WS}', ' ', 'g'))"
+
+
+@query("auto_title", f"""
+SELECT conversation_id, CASE WHEN length(k) <= 44 THEN k ELSE rtrim(substring(k, 1, 41)) || '...' END AS title
+FROM (SELECT conversation_id, {_ONE_LINE} AS k FROM {SQL_CV} m WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY id) = 1)""")
+def _(spark, d):
+    return R.titles(S.messages(spark, d))
+
+
+@query("transcript", f"""
+SELECT id, conversation_id, role, content, role = 'user' AS sent,
+       CASE WHEN role = 'user' THEN 'You' ELSE coalesce(label, model_profile, 'Assistant') END AS speaker
+FROM {SQL_CV} m LEFT JOIN {SQL_PROFILES} ON key = model_profile""")
+def _(spark, d):
+    return R.transcript(_cv(spark, d), _profiles(spark))
+
+
+@query("display_time", "SELECT event_id AS id, strftime(ts, '%H:%M') AS shown FROM events")
+def _(spark, d):
+    return S.activity(spark, d).select("id", X.clock(F.col("created_at")).alias("shown"))
+
+
+@query("iso_timestamp", "SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS written, TRUE AS same FROM events")
+def _(spark, d):
+    rows = S.activity(spark, d).select("id", "created_at", X.iso(F.col("created_at")).alias("written"))
+    return rows.select("id", F.replace("written", F.lit("Z"), F.lit("+00:00")).alias("written"), (X.from_iso(F.col("written")) == F.col("created_at")).alias("same"))
+
+
+@query("log_lines", "SELECT event_id AS id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] ' || event_type AS line FROM events")
+def _(spark, d):
+    t = _table(spark, d, "events")
+    return t.select(F.col("event_id").alias("id"), X.log_line(F.col("ts").cast("timestamp"), F.col("event_type")).alias("line"))
+
+
+@query("context_json", f"SELECT conversation_id, CAST(to_json(list({{'role': role, 'content': content}} ORDER BY id)) AS VARCHAR) AS context FROM {SQL_CV} m GROUP BY conversation_id")
+def _(spark, d):
+    return R.contexts(S.messages(spark, d))
+
+
+@query("context_with_system", f"SELECT conversation_id, CAST(to_json(list_prepend({{'role': 'system', 'content': 'SP'}}, list({{'role': role, 'content': content}} ORDER BY id))) AS VARCHAR) AS context FROM {SQL_CV} m WHERE role <> 'system' GROUP BY conversation_id")
+def _(spark, d):
+    return R.contexts(S.messages(spark, d).where("role <> 'system'"), "SP")
+
+
+# streamed replies
+
+_SQL_DELTAS = f"""(SELECT conversation_id, id, i - 1 AS chunk_index, CASE WHEN i = 1 THEN w[1] ELSE ' ' || w[i] END AS delta
+FROM (SELECT conversation_id, id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conversation_id, id, {SQL_WORDS} AS w FROM {SQL_CV} m WHERE role = 'assistant')))"""
+
+
+def _deltas(spark, d):
+    return S.reply_words(S.messages(spark, d).where("role = 'assistant'"))
+
+
+@query("reply_words", f"SELECT conversation_id, id, CAST(chunk_index AS INTEGER) AS chunk_index, delta FROM {_SQL_DELTAS} x")
+def _(spark, d):
+    return _deltas(spark, d)
+
+
+@query("reply_fold", f"SELECT conversation_id, id, string_agg(delta, '' ORDER BY chunk_index) AS content FROM {_SQL_DELTAS} x GROUP BY ALL")
+def _(spark, d):
+    return R.fold(_deltas(spark, d), "conversation_id", "id")
+
+
+@query("reply_stopped_prefix", f"SELECT conversation_id, id, {SQL_STRIP} AS content FROM (SELECT conversation_id, id, string_agg(delta, '' ORDER BY chunk_index) AS content FROM {_SQL_DELTAS} x WHERE chunk_index < 2 + id % 5 GROUP BY ALL) WHERE {SQL_STRIP} <> ''")
+def _(spark, d):
+    return R.stopped(_deltas(spark, d), 2 + F.col("id") % 5, "conversation_id", "id")
+
+
+@query("reply_running_prefix", f"SELECT conversation_id, id, string_agg(content, '') OVER (PARTITION BY conversation_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS painted FROM {SQL_CV} m")
+def _(spark, d):
+    return R.running(S.messages(spark, d))
+
+
+@query("empty_replies", f"SELECT id, {SQL_STRIP} = '' AS empty FROM (SELECT id, CASE WHEN turn % 4 = 3 THEN chr(8195) || chr(10) ELSE content END AS content FROM {SQL_CV} m)")
+def _(spark, d):
+    m = S.messages(spark, d).withColumn("content", F.when(F.col("turn") % 4 == 3, F.lit(" \n")).otherwise(F.col("content")))
+    return m.select("id", X.is_blank(F.col("content")).alias("empty"))
+
+
+@query("offline_reply", "SELECT 'offline' AS conversation_id, CAST(0 AS BIGINT) AS id, 'Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.' AS content")
+def _(spark, d):
+    return R.fold(S.offline_reply(spark), "conversation_id", "id")
+
+
+@query("throttled_paints")
+def _(spark, d):
+    return R.paints(S.activity(spark, d), 6 * 3_600_000_000)
+
+
+@query("first_message", f"SELECT conversation_id, min(id) AS id FROM {SQL_CV} m GROUP BY conversation_id")
+def _(spark, d):
+    return S.messages(spark, d).groupBy("conversation_id").agg(F.min("id").alias("id"))
+
+
+@query("single_flight", "SELECT user_id AS conversation_id, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def _(spark, d):
+    return S.activity(spark, d).groupBy("conversation_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
+
+
+# mutations
+
+_GONE = "o_orderkey % 7 = 3"
+
+
+@query("cascade_delete_conversation", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {_GONE})")
+def _(spark, d):
+    gone = _ol(spark, d).where(_GONE).select(F.col("o_orderkey").alias("l_orderkey"))
+    return M.delete(_table(spark, d, "lineitem"), gone, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("cascade_delete_project", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
+def _(spark, d):
+    customers = _table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = _ol(spark, d)
+    gone = orders.join(customers, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    return M.delete(_table(spark, d, "lineitem"), gone, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _heads(spark, d):
+    """orders as conversations."""
+    at = F.col("o_orderdate").cast("timestamp")
+    return _ol(spark, d).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("model_profile"), at.alias("created_at"), at.alias("updated_at"))
+
+
+def _shown(df):
+    return df.select("id", "title", "model_profile", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+_CHANGED = "o_orderkey % 5 = 0"
+
+
+@query("rename_apply", f"""
+SELECT o_orderkey AS id, CASE WHEN {_CHANGED} AND o_orderkey % 10 <> 0 THEN 'Order ' || o_orderkey ELSE o_orderpriority END AS title, o_orderstatus AS model_profile,
+       CASE WHEN {_CHANGED} AND o_orderkey % 10 <> 0 THEN TIMESTAMP '2030-01-01' ELSE o_orderdate END AS updated_at FROM orders""")
+def _(spark, d):
+    heads = _heads(spark, d)
+    new = F.when(F.col("id") % 10 == 0, F.lit(" \t")).otherwise(F.concat(F.lit("\n Order "), F.col("id").cast("string"), F.lit(" ")))
+    return _shown(M.rename(heads, heads.where("id % 5 = 0").select("id", new.alias("new_title"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))))
+
+
+@query("set_profile_apply", f"""
+SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN {_CHANGED} THEN 'tuned' ELSE o_orderstatus END AS model_profile,
+       CASE WHEN {_CHANGED} THEN TIMESTAMP '2030-01-01' ELSE o_orderdate END AS updated_at FROM orders""")
+def _(spark, d):
+    heads = _heads(spark, d)
+    return _shown(M.set_profile(heads, heads.where("id % 5 = 0").select("id", F.lit("tuned").alias("new_profile"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))))
+
+
+@query("change_applied", "SELECT l_orderkey + 1 AS id, (l_orderkey + 1) IN (SELECT o_orderkey FROM orders) AS applied FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def _(spark, d):
+    asked = _table(spark, d, "lineitem").select((F.col("l_orderkey") + 1).alias("id")).distinct()
+    return M.applied(_heads(spark, d), asked)
+
+
+@query("touch_on_message", "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS model_profile, greatest(o_orderdate, coalesce(m, o_orderdate)) AS updated_at FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS m FROM lineitem WHERE l_linestatus <> '' GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(spark, d):
+    heads = _heads(spark, d)
+    new = _table(spark, d, "lineitem").where("l_linestatus <> ''").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").cast("timestamp").alias("at"))
+    return _shown(heads.join(new, "id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", "updated_at"))))
+
+
+@query("seed_if_absent", "SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 99, 'General' UNION ALL SELECT 1, 'General' WHERE 1 NOT IN (SELECT r_regionkey FROM region)")
+def _(spark, d):
+    rows = _table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return M.seed(rows, spark.createDataFrame([(99, "General"), (1, "General")], "id int, name string"))
+
+
+# integrity
+
+
+@query("fk_orphans", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT CASE WHEN l_linenumber = 1 THEN -l_orderkey - 1 ELSE l_orderkey END AS l_orderkey, l_linenumber, l_partkey FROM lineitem) x WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def _(spark, d):
+    lines = _table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("l_orderkey"), "l_linenumber", "l_partkey")
+    return C.orphans(lines, _ol(spark, d), "l_orderkey", "o_orderkey")
+
+
+@query("fk_orphan_conversations", "SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS o_custkey FROM orders) x WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def _(spark, d):
+    orders = _ol(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    return C.orphans(orders, _table(spark, d, "customer"), "o_custkey", "c_custkey")
+
+
+@query("empty_conversations", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def _(spark, d):
+    return C.childless(_ol(spark, d).select("o_orderkey", "o_custkey"), _table(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
+
+
+@query("role_domain_violations", f"SELECT id, role FROM (SELECT id, CASE WHEN turn = 3 THEN 'tool' ELSE role END AS role FROM {SQL_CV} m) WHERE role NOT IN ('system', 'user', 'assistant')")
+def _(spark, d):
+    return C.bad_roles(S.messages(spark, d).select("id", F.when(F.col("turn") == 3, F.lit("tool")).otherwise(F.col("role")).alias("role")))
+
+
+@query("blank_violations", f"SELECT id FROM (SELECT id, CASE turn WHEN 2 THEN chr(160) || chr(9) WHEN 4 THEN '' ELSE content END AS content FROM {SQL_CV} m) WHERE {SQL_STRIP} = ''")
+def _(spark, d):
+    content = F.when(F.col("turn") == 2, F.lit("\xa0\t")).when(F.col("turn") == 4, F.lit("")).otherwise(F.col("content"))
+    return C.blank(S.messages(spark, d).withColumn("content", content), "content").select("id")
+
+
+@query("missing_values", f"SELECT id FROM (SELECT id, nullif(role, 'system') AS role FROM {SQL_CV} m) WHERE role IS NULL")
+def _(spark, d):
+    return C.missing(S.messages(spark, d).withColumn("role", F.nullif("role", F.lit("system"))), "id", "role", "content").select("id")
+
+
+@query("repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    return C.repeated(_table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("stale_profiles", f"SELECT id, model_profile FROM {SQL_CV} m WHERE model_profile IS NOT NULL AND model_profile NOT IN (SELECT key FROM {SQL_PROFILES})")
+def _(spark, d):
+    return C.stale_profiles(_cv(spark, d).where("model_profile IS NOT NULL").select("id", "model_profile"), _profiles(spark)).select("id", "model_profile")
+
+
+@query("normalised_profiles", f"SELECT id, coalesce(key, 'lorem') AS model_profile FROM {SQL_CV} m LEFT JOIN {SQL_PROFILES} ON key = model_profile")
+def _(spark, d):
+    return C.with_known_profiles(_cv(spark, d).select("id", "model_profile"), _profiles(spark), "lorem")
+
+
+# profiles, settings, streams of lines, cluster values
+
+LISTED = """[{"key": " small ", "label": "Small", "base_url": "http://a/v1//", "model": "s"}, {"key": "large", "label": "Large", "base_url": "https://b/v1", "model": "l", "extra": 1},
+{"key": "", "label": "None", "base_url": "http://c", "model": "m"}, {"key": "odd", "label": "Odd", "base_url": "ftp://c", "model": "m"}, {"key": "bare", "label": "Bare", "model": "m"}, {"key": "small", "label": "Again", "base_url": "http://d/", "model": "m"}]"""
+_SQL_LISTED = f"""(SELECT i - 1 AS position, trim(p ->> 'key') AS key, p ->> 'label' AS label, regexp_replace(p ->> 'base_url', '/+$', '') AS base_url, p ->> 'model' AS model
+FROM (SELECT unnest(range(1, 7)) AS i, json_extract('{LISTED}', '$[' || (i - 1) || ']') AS p))"""
+
+
+def _listed(spark):
+    return S.profiles_from_json(spark.createDataFrame([(LISTED,)], "json string"))
+
+
+@query("profiles_parsed", f"SELECT position::INTEGER AS position, key, label, 'vllm' AS backend, base_url, model FROM {_SQL_LISTED} x UNION ALL SELECT -1, 'lorem', 'Lorem Ipsum (offline)', 'lorem', NULL, NULL")
+def _(spark, d):
+    return S.with_offline(_listed(spark)).drop("error")
+
+
+@query("profile_errors", f"""
+SELECT position::INTEGER AS position, error FROM (SELECT position, CASE WHEN base_url IS NULL THEN 'is missing base_url' WHEN key = '' THEN 'has an empty key'
+  WHEN NOT (starts_with(base_url, 'http://') OR starts_with(base_url, 'https://')) THEN 'base_url must start with http:// or https://' END AS error FROM {_SQL_LISTED} x) WHERE error IS NOT NULL""")
+def _(spark, d):
+    return _listed(spark).where("error IS NOT NULL").select("position", "error")
+
+
+@query("duplicate_profile_keys", f"SELECT key, count(*) AS n FROM {_SQL_LISTED} x GROUP BY key HAVING count(*) > 1")
+def _(spark, d):
+    return S.duplicate_keys(_listed(spark))
+
+
+@query("profile_options", "SELECT 'lorem' AS key, 'Lorem Ipsum (offline)' AS label UNION ALL SELECT 'base', 'Base model' UNION ALL SELECT 'tuned', 'Tuned model'")
+def _(spark, d):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PROFILES)], "position int, key string, label string")
+    return S.profile_options(rows).select(F.explode("options").alias("key", "label"))
+
+
+_NUMBERS = ["12", " 7 ", "+3", "1.5", "0", "-2", "1e2", "abc", "", "2.0", "2.1"]
+
+
+@query("numeric_settings", "SELECT x, CASE WHEN TRY_CAST(trim(x) AS DOUBLE) > 0 THEN TRY_CAST(trim(x) AS DOUBLE) END AS above_zero, CASE WHEN TRY_CAST(trim(x) AS DOUBLE) BETWEEN 0 AND 2 THEN TRY_CAST(trim(x) AS DOUBLE) END AS bounded FROM (VALUES " + ", ".join(f"('{x}')" for x in _NUMBERS) + ") v(x)")
+def _(spark, d):
+    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "x string")
+    return rows.select("x", X.positive(F.col("x"), "double").alias("above_zero"), X.bounded(F.col("x"), 0.0, 2.0).alias("bounded"))
+
+
+@query("defaulted_settings", "SELECT event_id AS id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type END, ''), 'default') AS value FROM events")
+def _(spark, d):
+    t = _table(spark, d, "events")
+    k = F.col("event_id") % 3
+    return t.select(F.col("event_id").alias("id"), X.or_default(F.when(k == 0, F.lit("")).when(k == 1, F.col("event_type")), "default").alias("value"))
+
+
+@query("sse_deltas", f"SELECT conversation_id AS request, id AS line_no, content AS delta FROM {SQL_CV} m WHERE turn % 3 = 1")
+def _(spark, d):
+    m = S.messages(spark, d)
+    k = F.col("turn") % 3
+    delta = F.struct(F.when(k == 1, F.col("content")).when(k == 2, F.lit("")).alias("content"))
+    choices = F.when(F.col("turn") % 6 == 0, F.array().cast("array<struct<index:int,delta:struct<content:string>,finish_reason:string>>")).otherwise(F.array(F.struct(F.lit(0).alias("index"), delta.alias("delta"), F.lit(None).cast("string").alias("finish_reason"))))
+    line = F.when(F.col("turn") == 6, F.lit("data: [DONE]")).otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("c").alias("id"), choices.alias("choices")))))
+    return S.event_stream_deltas(m.select(F.col("conversation_id").alias("request"), F.col("id").alias("line_no"), line.alias("line")))
+
+
+@query("event_props", "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, d):
+    return S.activity(spark, d).select("id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("gpu_min_memory", "SELECT s_nationkey AS node, min(CAST(floor(s_acctbal) AS INTEGER)) AS least, min(CAST(floor(s_acctbal) AS INTEGER)) >= 0 AS enough FROM supplier GROUP BY 1")
+def _(spark, d):
+    rows = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("node"), F.floor("s_acctbal").cast("int").alias("memory_mib"))
+    return rows.groupBy("node").agg(F.min("memory_mib").alias("least")).withColumn("enough", F.col("least") >= 0)
+
+
+@query("slurm_port", "SELECT o_orderkey AS job, 60000 + o_orderkey % 4000 AS port FROM orders")
+def _(spark, d):
+    return _ol(spark, d).select(F.col("o_orderkey").alias("job"), X.job_port(F.col("o_orderkey")).alias("port"))
+
+
+@query("job_id_prefix", "SELECT s_suppkey, split_part(s_suppkey || ';' || s_name, ';', 1) AS job FROM supplier")
+def _(spark, d):
+    return _table(spark, d, "supplier").select("s_suppkey", X.before_semicolon(F.concat(F.col("s_suppkey").cast("string"), F.lit(";"), F.col("s_name"))).alias("job"))
+
+
+@query("port_domain", "SELECT o_orderkey AS id, regexp_matches(o_totalprice::BIGINT::VARCHAR, '^[0-9]+$') AND o_totalprice::BIGINT BETWEEN 1024 AND 65535 AS ok FROM orders")
+def _(spark, d):
+    value = F.round("o_totalprice").cast("long").cast("string")
+    return _ol(spark, d).select(F.col("o_orderkey").alias("id"), (value.rlike("^[0-9]+$") & value.cast("long").between(1024, 65535)).alias("ok"))
+
+
+# The two model presets.
+PRESETS = [("qwen3-0.6b", "Qwen/Qwen3-0.6B", 4096, 0), ("qwen3.5-35b-a3b", "Qwen/Qwen3.5-35B-A3B", 32768, 90000)]
+
+
+@query("preset_lookup", "SELECT p_partkey AS id, preset, max_len, coalesce(min_mib, -1) AS min_mib, max_len IS NULL AS unknown FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'qwen3-0.6b' WHEN 1 THEN 'qwen3.5-35b-a3b' ELSE 'other' END AS preset FROM part) LEFT JOIN (VALUES " + ", ".join(f"('{a}', {c}, {m})" for a, _, c, m in PRESETS) + ") p(preset, max_len, min_mib) USING (preset)")
+def _(spark, d):
+    k = F.col("p_size") % 3
+    asked = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(k == 0, "qwen3-0.6b").when(k == 1, "qwen3.5-35b-a3b").otherwise("other").alias("preset"))
+    known = spark.createDataFrame(PRESETS, "preset string, model_id string, max_len int, min_mib int")
+    return asked.join(known, "preset", "left").select("id", "preset", "max_len", F.coalesce("min_mib", F.lit(-1)).alias("min_mib"), F.col("max_len").isNull().alias("unknown"))
