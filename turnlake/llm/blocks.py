@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 _PRIME = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
