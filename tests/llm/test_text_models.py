@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnlake.llm import blocks, decontaminate, language_id, quality_crf
@@ -82,6 +83,15 @@ def test_language_edge_cases(spark):
         assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= (1 if k < 4 else 3)
 
 
+def test_language_of_a_text_does_not_depend_on_the_rows_beside_it():
+    seen = np.random.default_rng(3).integers(1, 50, (4, language_id.DIM)).astype(float)
+    model = language_id.learned(["a", "b", "c", "d"], seen)
+    texts = ["the cat", "", "x", None, "été, 12 -- ab", "ab", "  der  Tag ", "zz"]
+    together = list(zip(*language_id.predict(model, pa.array(texts))))
+    alone = [next(zip(*language_id.predict(model, pa.array([t], pa.string())))) for t in texts]
+    assert [(x[0], round(x[1], 9), x[2]) for x in together] == [(x[0], round(x[1], 9), x[2]) for x in alone]
+
+
 def test_chain_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     lengths = [1, 4, 2, 6]

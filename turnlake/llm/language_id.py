@@ -79,7 +79,7 @@ def _blocks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def _grams(low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the bucket at each position, and which positions count (not between two spaces)."""
+    """For each order: the bucket at each position, and which positions count (two spaces in a row lie in none)."""
     space = low == 32
     wide = low.astype(np.uint32)
     code = wide.copy()
@@ -90,7 +90,9 @@ def _grams(low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if n in ORDERS:
             m = len(code)
             double = space[:-1] & space[1:]
-            fits = ~double[:m] & ~double[n - 2 : n - 2 + m]
+            fits = ~double[:m]
+            for k in range(1, n - 1):
+                fits &= ~double[k : k + m]
             yield ((code + np.uint32(n * 0x01000193)) * np.uint32(2654435761) >> np.uint32(32 - 14)).astype(np.int64), fits
 
 
