@@ -69,6 +69,14 @@ def test_join_equals_all_pairs(spark, seed, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=str) == _brute(rows)
 
 
+def test_a_family_of_many_short_near_copies_is_split(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base, f"a{i}"])) for i in range(150)] + [(1000 + i, " ".join([f"b{i}", *base[1:], f"a{i}"])) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.jaccard_components(docs, block_tokens=640).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=str) == _brute(rows)
+
+
 def test_empty_table(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

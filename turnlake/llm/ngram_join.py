@@ -40,6 +40,8 @@ from turnlake.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 BLOCK_TOKENS = 64_000
+#: A smaller set counts as this many tokens in a block, so that a block holds 2,000 sets or so at most.
+LEAST_TOKENS = 32
 #: Signatures that a task gathers before it ties what they share.
 FLUSH = 1_000_000
 #: Bits of the map of sets to verify.
@@ -190,19 +192,11 @@ def _verify(percent: int):
         if right is not left:
             degree[right] += linked.T @ copies[left]
         root = np.arange(len(sets))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = int(root[x])
-            return x
-
         for i in np.flatnonzero(linked.any(1)):
-            for j in np.flatnonzero(linked[i]):
-                a, b = top(int(left[i])), top(int(right[j]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        return pd.DataFrame({"a": fp, "b": [fp[top(k)] for k in range(len(sets))], "links": degree})
+            tied = np.unique(np.append(root[right[linked[i]]], root[left[i]]))
+            if len(tied) > 1:
+                root[np.isin(root, tied)] = tied[0]
+        return pd.DataFrame({"a": fp, "b": fp[root], "links": degree})
 
     return verify
 
@@ -290,12 +284,13 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
             )
 
     members = family.join(nodes, "fp").withColumn("band", band(F.col("n")))
-    cells = members.groupBy("family", "band").agg(F.sum("n").alias("cell"))
+    weight = F.sum(F.greatest("n", F.lit(LEAST_TOKENS))).alias("cell")
+    cells = members.groupBy("family", "band").agg(weight)
     total = cells.groupBy("family").agg(F.sum("cell").alias("total"))
     # a family that fits one task is one cell
     joined = members.join(total, "family").withColumn("band", F.when(F.col("total") <= block_tokens, F.lit(0)).otherwise(F.col("band")))
     parts = F.ceil(F.col("cell") / F.lit(block_tokens)).cast("int")
-    counts = joined.groupBy("family", "band").agg(F.sum("n").alias("cell")).select("family", "band", parts.alias("parts"))
+    counts = joined.groupBy("family", "band").agg(weight).select("family", "band", parts.alias("parts"))
     near = lambda d, name: counts.select("family", (F.col("band") + d).alias("band"), F.col("parts").alias(name))
     dealt = joined.join(counts, ["family", "band"]).join(near(-1, "above"), ["family", "band"], "left").join(near(1, "below"), ["family", "band"], "left")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
