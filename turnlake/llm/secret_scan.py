@@ -38,7 +38,7 @@ CLASSES = (
 WINDOW = 24
 ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{7}", r"0123456789|(?i:abcdefghij)")
 
-_SPAN = "array<struct<start:int,stop:int,rank:int,kind:string>>"
+_SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 _PLACED = "array<struct<start:int,word:string,value:string>>"
 
 
@@ -60,7 +60,7 @@ def _placed(text: Column, pattern: str, group: int) -> Column:
 
 
 def _span(start: Column, stop: Column, rank: int, kind: str) -> Column:
-    return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+    return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), stop.cast("int").alias("stop"), F.lit(kind).alias("kind"))
 
 
 def _hot(word: Column, bits: float, window: int) -> Column:
@@ -91,7 +91,7 @@ def _hot(word: Column, bits: float, window: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: Sequence[str] = ALLOWED) -> DataFrame:
-    """doc_id, base and added (arrays of start, stop, rank, kind) for each row of docs (doc_id, text)."""
+    """doc_id, base and added (arrays of start, rank, stop, kind, in that order) for each row of docs (doc_id, text)."""
     text = F.col("text")
     placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id",
