@@ -42,6 +42,8 @@ SHINGLE, PERCENT = 3, 90
 BLOCK_TOKENS = 64_000
 #: A smaller set counts as this many tokens in a block, so that a block holds 2,000 sets or so at most.
 LEAST_TOKENS = 32
+#: Tasks that a band of one family is spread over where its sets meet their plan.
+SALTS = 16
 #: Signatures that a task gathers before it ties what they share.
 FLUSH = 1_000_000
 #: Bits of the map of sets to verify.
@@ -283,16 +285,17 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
                 [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "fp", "tokens"]
             )
 
-    members = family.join(nodes, "fp").withColumn("band", band(F.col("n")))
-    weight = F.sum(F.greatest("n", F.lit(LEAST_TOKENS))).alias("cell")
-    cells = members.groupBy("family", "band").agg(weight)
-    total = cells.groupBy("family").agg(F.sum("cell").alias("total"))
+    members = family.join(nodes, "fp").withColumn("band", band(F.col("n"))).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    cells = members.groupBy("family", "band").agg(F.sum(F.greatest("n", F.lit(LEAST_TOKENS))).alias("cell"))
+    # of each family's bands, a logarithm of the longest text: how many blocks each has, and those beside it
+    bands_of = Window.partitionBy("family")
+    beside = bands_of.orderBy("band")
+    parts = cells.withColumn("small", F.sum("cell").over(bands_of) <= block_tokens).withColumn("parts", F.when(F.col("small"), 1).otherwise(F.ceil(F.col("cell") / F.lit(block_tokens)).cast("int")))
+    next_to = lambda f, d: F.when(~F.col("small") & (f("band").over(beside) == F.col("band") + d), f("parts").over(beside))
     # a family that fits one task is one cell
-    joined = members.join(total, "family").withColumn("band", F.when(F.col("total") <= block_tokens, F.lit(0)).otherwise(F.col("band")))
-    parts = F.ceil(F.col("cell") / F.lit(block_tokens)).cast("int")
-    counts = joined.groupBy("family", "band").agg(weight).select("family", "band", parts.alias("parts"))
-    near = lambda d, name: counts.select("family", (F.col("band") + d).alias("band"), F.col("parts").alias(name))
-    dealt = joined.join(counts, ["family", "band"]).join(near(-1, "above"), ["family", "band"], "left").join(near(1, "below"), ["family", "band"], "left")
+    cell = F.when(F.col("small"), 0).otherwise(F.col("band")).alias("cell")
+    planned = parts.select("family", "band", cell, "parts", next_to(F.lead, 1).alias("above"), next_to(F.lag, -1).alias("below"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = members.join(planned, ["family", "band", "salt"]).drop("band").withColumnRenamed("cell", "band")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # the pairs of blocks a set takes part in: (band, block) of side 0, (band, block) of side 1
     meet = F.expr("""
