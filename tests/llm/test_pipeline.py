@@ -3,8 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from turnlake.llm import decontaminate, stages
+from turnlake.llm import decontaminate, language_id, quality_crf, stages
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,3 +53,32 @@ def test_stages_keep_what_brute_force_keeps(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+CLASHES = ["row", "row_key", "size", "key", "slice", "src", "missing", "taken", "copy", "position", "n_hit", "items", "component_id", "fp", "shard", "slot", "n", "lang_pred", "score"]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    text = "the men of the town went to the old mill and sat by the water until the evening came"
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = [(8, text, "en", "a", 1), (7, text + " again", "en", "a", 1), (7, text + " again", "en", "a", 1), (7, "a text that no other row has at all", "en", None, 1)]
+    odd += [(None, text, None, None, None), (None, None, None, None, None), (900002, "", "en", "b", 0), (-3, text, "en", "a", 1)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).select("*", *(F.lit(1).alias(c) for c in CLASHES))
+    single = stages.near_copies(spark, docs, SF)
+    assert single.columns == docs.columns
+    mine = sorted((r.doc_id or 0, r.text or "") for r in single.collect() if r.doc_id is None or r.doc_id in (7, 8, -3, 900002))
+    mine = [x for x in mine if x[1] in {t or "" for _, t, *_ in odd}]
+    assert mine == [(-3, text), (0, ""), (7, "a text that no other row has at all"), (900002, "")]
+    for _, stage in stages.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs, SF).count() > 0
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert sorted(r.slot for r in stages.sharded(spark, docs, SF).where("doc_id = 7").collect()) and stages.sharded(spark, docs, SF).count() == docs.count()
+
+
+def test_results_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "the day", "x", "y", "z", "w")], "doc_id long, text string, n_words string, lang_pred string, Score string, n_lines string")
+    assert decontaminate.find_contamination(docs, spark.createDataFrame([(1, "the")], "item_id long, text string")).first().n_words == 2
+    model = language_id.learned(["en", "fr"], np.ones((2, language_id.DIM)))
+    assert language_id.identify(docs, model).select("lang_pred", "score").first().lang_pred in ("en", "fr")
+    fitted = quality_crf.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality_crf.score(docs, fitted).select("score", "n_lines").first().n_lines == 1

@@ -12,7 +12,8 @@ them one after another, so memory stays bounded whatever its size.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
 window; equal items all count; a null item_id counts as ''; repeated rows are judged each; empty
-tables give no rows or no hits; other columns pass through decontaminate() untouched.
+tables give no rows or no hits; other columns pass through, but one with the name of a result
+gives way to it.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, mo
     """The columns of docs without the text, and n_words, n_hit, items, spans for each row."""
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(b) for b in _blocks(bench, size, most)]
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c.lower() not in ("text", *FOUND.names)]
 
     name = uuid.uuid4().hex
 

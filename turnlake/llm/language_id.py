@@ -14,8 +14,8 @@ as far apart as a greedy choice gets them.
 
 Defined cases: a text that is null or has no letters is `und` with score 0; without training rows
 every text is; rows with a null lang are predicted but not learned from; repeated rows count each;
-an empty table gives no rows; lang, source and doc_id are never inputs; other columns are left
-alone.
+an empty table gives no rows; lang, source and doc_id are never inputs; other columns pass
+through, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def predict(model: Model, col: pa.Array) -> tuple[list[str], list[float], list[b
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs without the text, and lang_pred, score, ambiguous for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits numbers at most
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score", "ambiguous")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

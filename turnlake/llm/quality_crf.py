@@ -14,7 +14,7 @@ walked for all documents of a block at once.
 Defined cases: a null or empty text is one empty line and is scored like any other; without
 labels the score is 0.5; rows with a null quality are not learned from; repeated rows count each;
 labels, lang, source and doc_id are never inputs of a score; an empty table gives no rows; other
-columns are left alone.
+columns pass through, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs without the text, and score, n_lines, n_good for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen numbers
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c.lower() not in ("text", "score", "n_lines", "n_good")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

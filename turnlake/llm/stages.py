@@ -1,4 +1,9 @@
-"""The corpus pipeline's stages: each works on all rows its predecessor kept and returns the columns of documents."""
+"""The corpus pipeline's stages: each works on all rows its predecessor kept and returns the columns of documents.
+
+Defined cases of every stage: an empty table gives no rows; extra columns, whatever their names,
+come through all stages but the last, which returns its own. What null texts, null ids and
+repeated rows become is told at each stage.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from turnlake.llm.common import held_out, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is recognised; texts without letters and ambiguous ones go."""
+    """Rows whose language is recognised; null texts, texts without letters and ambiguous ones go. Repeated rows are judged each."""
     model = language_id.fit(docs.where(~held_out(4, 2)).select("text", "lang"))
     sent = spark.sparkContext.broadcast(model)
 
@@ -26,27 +31,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of the Jaccard join: the one that names it."""
-    gone = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of the Jaccard join: the one with the least doc_id.
+
+    Rows are told apart by doc_id and text: rows that share an id but not a component are kept
+    for each component, of rows equal in both one stays, and a null doc_id comes after all others.
+    Null and wordless texts link with nothing.
+    """
+    # sorts as doc_id does, nulls last
+    order = F.coalesce(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("null"))
+    key = F.concat_ws(" ", order, F.hex(F.xxhash64("text")))
+    keyed = docs.select(key.alias("row_key"), F.struct(*docs.columns).alias("row"), "text")
+    found = ngram_join.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_key"))
+    return keyed.drop("text").join(gone, "row_key", "left_anti").dropDuplicates(["row_key"]).select("row.*")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that don't hold benchmark text in one word of twenty."""
+    """Rows that don't hold benchmark text in one word of twenty; null texts hold none. Repeated rows are judged each."""
     named = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = decontaminate.find_contamination(named, table(spark, sf_dir, "benchmark"))
     return found.where(f"NOT (n_hit > 0 AND {decontaminate.SHARE} * n_hit >= n_words)").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix begins to read it, in training order."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    """Each row as often as the mix begins to read it, in training order.
+
+    Texts without words are not read; a null source is a source; repeated rows are read each.
+    """
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    drawn = mixing.mix(docs, carry).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    return mixing.in_training_order(drawn).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    drawn = mixing.mix(rows, ("row",)).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return mixing.in_training_order(drawn).select("row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, checksum, shard and slot of every row; repeated rows get slots of their own, a null text has no bytes."""
     return sharding.shard(docs)
 
 
