@@ -27,6 +27,9 @@ def test_dedup_groups_nulls_repeats_and_long_texts(spark):
             assert r.group_size == len(texts)
             assert r.keep_id == max(i for i, t, _ in rows if (t or "") == texts[0] and i is not None)
             assert r.kept == (r.doc_id == r.keep_id)
+    hot = [(i, "same" if i % 3 else f"t{i}", "a") for i in range(60_000)] + [(1, "same", "a")] * 500
+    out = exact_dedup.exact_dedup(docs(spark, hot)).groupBy("group_size", "keep_id").count().where("group_size > 1").collect()
+    assert [tuple(r) for r in out] == [(40_500, 59_999, 40_500)]
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 

@@ -7,6 +7,10 @@ different chunks share a hash. Two texts are equal exactly when their ordered id
 are equal, so only these short lists are grouped and joined; long texts move once, as distinct
 chunks, for the verification.
 
+Groups are counted with map-side sums. Where rows meet their group again, lists are dealt into
+BUCKETS by hash, and a bucket that holds more than its share is split over up to SALTS parts by
+row, its groups repeated in each: a group of a third of all rows is not one task's.
+
 Defined cases: a null text counts as empty; empty texts are one group; a null doc_id ranks below
 any other; rows that repeat doc_id and text are counted each, and all rows that carry the
 keeper's doc_id stay; other columns are not looked at, whatever their names; an empty table
@@ -21,6 +25,9 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import checkpointed, table
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
+BUCKETS, SALTS = 4096, 64
+#: A bucket of more than so many times the mean bucket is split, into parts of about that size.
+FULL = 4
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
@@ -55,8 +62,14 @@ def exact_dedup(docs: DataFrame, hash_mask: int = -1) -> DataFrame:
         listed = listed.join(ordinals, F.col("doc_id").eqNullSafe(F.col("ord_id")) & (F.col("text_sha256") == F.col("ord_sha")), "left").select(
             "doc_id", "text_sha256", "recipe", F.coalesce("ordinals", F.array().cast("array<struct<pos:int,ordinal:int>>")).alias("ordinals")
         )
-    groups = listed.groupBy("recipe", "ordinals").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, ["recipe", "ordinals"]).select(
+    groups = checkpointed(listed.groupBy("recipe", "ordinals").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    bucket = F.pmod(F.xxhash64("recipe"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    filled = groups.groupBy(bucket).agg(F.sum("group_size").alias("filled"))
+    share = F.greatest(F.sum("filled").over(Window.partitionBy()) / BUCKETS, F.lit(1.0)) * FULL
+    parts = F.broadcast(filled.select("bucket", F.least(F.lit(SALTS), F.ceil(F.col("filled") / share)).cast("int").alias("parts")))  # BUCKETS rows at most
+    dealt = listed.withColumn("bucket", bucket).join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("parts")).cast("int"))
+    repeated = groups.withColumn("bucket", bucket).join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.join(repeated.drop("bucket", "parts"), ["recipe", "ordinals", "part"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
     )
 
