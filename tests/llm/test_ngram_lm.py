@@ -78,3 +78,30 @@ def test_no_rows_and_no_training_rows(spark):
     assert sorted((r.n_tokens, r.n_known) for r in out) == [(1, 0), (3, 0)] and all(np.isfinite(r.score) for r in out)
     none = docs.limit(0).selectExpr("*", "true AS train")
     assert ngram_lm.score(none, ngram_lm.vocabulary(none)).count() == 0
+
+
+@pytest.mark.parametrize(("head", "dense", "shard"), [(1 << 17, 512, 10**6), (40, 6, 300), (0, 4, 100)])
+def test_rare_words_have_bigrams_of_their_own_in_the_query(spark, monkeypatch, tmp_path, head, dense, shard):
+    monkeypatch.setattr(ngram_lm, "HEAD", head)
+    monkeypatch.setattr(ngram_lm, "DENSE", dense)
+    monkeypatch.setattr(ngram_lm.score, "__defaults__", (shard,))
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, rng.integers(0, 60)) if k < 3000)) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "unseen words only"), (503, "once upon unseen")] + [(600 + i, "once upon a rare thing") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in ngram_lm.op6_ngram_lm(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    uni, pair = Counter(), Counter()
+    for d, x in rows:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            t = _tokens(x)
+            uni.update(["<s>", *t])
+            pair.update(zip(["<s>", *t], t))
+    n, kinds = sum(uni.values()) - uni["<s>"], len(uni) - 1
+    share = lambda t: (uni[t] + 0.5) / (n + 0.5 * (kinds + 1))
+    for d, x in rows:
+        t = _tokens(x)
+        total = sum(math.log10((pair[a, b] + ngram_lm.MU * share(b)) / (uni[a] + ngram_lm.MU)) for a, b in zip(["<s>", *t], t))
+        assert (out[d].n_tokens, out[d].n_known) == (len(t), sum(uni[w] > 0 for w in t))
+        assert abs(out[d].base_score - sum(math.log10(share(w)) for w in t)) < 1e-6
+        assert total - ngram_lm.STEP * len(t) - 1e-6 <= out[d].score <= total + 1e-6

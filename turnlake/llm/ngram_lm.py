@@ -1,18 +1,23 @@
 """Language-model scoring with Elias-Fano n-gram tries (order 2).
 
 Tokens are the white-space separated words (A-Z lower-cased) and one end for each text. Counts of
-training tokens are summed over the whole corpus. The commonest words (HEAD at most) have ids of
-their own, the others share the class `unknown`, and inside it a word has its unigram share:
+training tokens are summed over the whole corpus, and every word has bigrams of its own:
 
     P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU),  P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-Each text's bigrams are routed to shards by the hash of the bigram, its rare words by that of the
-word, together with whether the text is a training one. A shard counts what it got, builds its
-trie and answers its own queries, so neither counts nor trie are ever gathered in one place and
-nothing is pruned; the number of shards grows with the tokens. Bigrams of the DENSE commonest
-words, which a large part of all texts share, are summed in a table of fixed size instead and
-answered where the text is. Texts travel in blocks: a block sends each shard one request, and gets
-one reply, with a few bytes for each token.
+The commonest words (HEAD at most) are broadcast with their counts, the others are rare; which is
+which decides only where a count is kept. A text's bigrams are routed to shards, together with
+whether the text is a training one: those of two commonest words by the hash of the bigram, the
+others by that of their rare word, of the second if both are. The shard of a rare word thus has
+all that ends in it and its count, P(w) and, for the word after it, c(v). A shard counts what it got, deals
+ids to the words it has, builds its trie and answers its own queries, so neither counts nor trie
+are ever gathered in one place and nothing is pruned; the number of shards grows with the tokens.
+Bigrams of the DENSE commonest words, which a large part of all texts share, are summed in a table
+of fixed size instead and answered where the text is. Texts travel in blocks: a block sends each
+shard one request, and gets one reply, with a few bytes for each token.
+
+vocabulary() can also pool the rare words in one class `unknown` in bigrams, inside which a word
+has its unigram share; op6_ngram_lm does not.
 
 A trie has two levels: for each context the start of its range, a monotone sequence in Elias-Fano
 form, and the words of all ranges, made monotone by the context and in Elias-Fano form too, with
@@ -47,9 +52,10 @@ HEAD, DENSE = 1 << 17, 512
 MU = 300.0
 LEVELS, STEP = 4096, 10 / 4096
 SHARD_TOKENS, FLUSH_TOKENS = 1_200_000, 1_000_000
-_WIDTH = 18  # bits of a class id: HEAD, unknown and begin
+_WIDTH = 18  # bits of a class id: HEAD, unknown and begin; bits of a word in a trie, if not told
 _U = np.uint64
 _END = np.uint64(0x5EEDE4D)
+_UNKNOWN, _BEGIN = np.uint64(0x5EED0B5), np.uint64(0x5EEDBE6)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _NTH = np.array([[([k for k in range(8) if b >> (7 - k) & 1] + [8] * 8)[i] for i in range(8)] for b in range(256)], np.uint8)
 
@@ -78,7 +84,7 @@ class EliasFano:
 
 
 class Trie:
-    """Bigrams (context << _WIDTH | word, sorted, distinct) with values; level files can be memory-mapped."""
+    """Bigrams (context << width | word, sorted, distinct) with values; level files can be memory-mapped."""
 
     def __init__(self, buffer):
         n, *sizes = np.frombuffer(buffer, np.int64, 9)
@@ -88,17 +94,18 @@ class Trie:
             arrays.append(np.frombuffer(buffer, t, size, at))
             at += -(-size * np.dtype(t).itemsize // 8) * 8
         self.n, bits = int(n), int(sizes[7])
-        self.start = EliasFano(arrays[0], arrays[1], bits >> 8)
+        self.width = bits >> 16
+        self.start = EliasFano(arrays[0], arrays[1], bits >> 8 & 255)
         self.word = EliasFano(arrays[2], arrays[3], bits & 255)
         self.value = arrays[4]
 
     @staticmethod
-    def pack(keys: np.ndarray, values: np.ndarray, contexts: int) -> bytes:
-        start = np.searchsorted(keys, np.arange(contexts + 1, dtype=np.int64) << _WIDTH)
-        a, b = EliasFano.parts(start, len(keys) + 1), EliasFano.parts(keys, contexts << _WIDTH)
+    def pack(keys: np.ndarray, values: np.ndarray, contexts: int, width: int = _WIDTH) -> bytes:
+        start = np.searchsorted(keys, np.arange(contexts + 1, dtype=np.int64) << width)
+        a, b = EliasFano.parts(start, len(keys) + 1), EliasFano.parts(keys, contexts << width)
         kind = lambda x: {1: 0, 2: 1, 4: 2, 8: 3}[x.itemsize]
         arrays = [a[0], a[1], b[0], b[1], values.astype(np.uint16)]
-        head = np.array([len(keys), *map(len, arrays), kind(a[0]), kind(b[0]), a[2] << 8 | b[2]], np.int64)
+        head = np.array([len(keys), *map(len, arrays), kind(a[0]), kind(b[0]), width << 16 | a[2] << 8 | b[2]], np.int64)
         return head.tobytes() + b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in arrays)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -106,7 +113,7 @@ class Trie:
         out = np.zeros(len(keys), np.int64)
         if not self.n:
             return out
-        context = keys >> _WIDTH
+        context = keys >> self.width
         lo, hi = self.start[context], self.start[context + 1]
         live = np.flatnonzero(lo < hi)
         while len(live):
@@ -141,6 +148,7 @@ class Vocabulary:
     tokens: int  # N
     kinds: int  # V
     begins: int  # training texts
+    whole: bool = False  # rare words have bigrams of their own, else they share `unknown`
     dense: np.ndarray | None = None  # class -> row of the table, -1 if none
     table: np.ndarray | None = None  # log10 gains
 
@@ -151,6 +159,7 @@ class Vocabulary:
         self.share = np.append(share, [rest, 1.0])  # head, unknown, begin
         total = np.append(self.count, [self.tokens - self.count.sum(), self.begins]).astype(float)
         self.total = total
+        self.name = np.append(self.word, [_UNKNOWN, _BEGIN])  # hash of each class
 
     @property
     def unknown(self) -> int:
@@ -162,9 +171,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
         return np.where(self.word[at] == hashes, at, self.unknown)
 
-    def gain(self, count: np.ndarray, word: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def gain(count: np.ndarray, share: np.ndarray) -> np.ndarray:
         """Quantised log10(1 + c / (MU P(w))), in steps, rounded down."""
-        return np.minimum(np.log10(1 + count / (MU * self.share[word])) / STEP, LEVELS - 1).astype(np.int64)
+        return np.minimum(np.log10(1 + count / (MU * share)) / STEP, LEVELS - 1).astype(np.int64)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +200,11 @@ def _summed(parts: list[np.ndarray], weights: list[np.ndarray] | None = None) ->
     return keys, np.bincount(inverse, np.concatenate(weights) if weights else None, len(keys)).astype(np.int64)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """From docs (text, train): unigram counts, then the dense table, each a pass with map-side sums."""
+def vocabulary(docs: DataFrame, whole: bool = False) -> Vocabulary:
+    """From docs (text, train): unigram counts, then the dense table, each a pass with map-side sums.
+
+    whole: rare words keep bigrams of their own; else they are pooled.
+    """
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -224,11 +237,11 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     word, count = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(word)
     ends = counts.where(F.col("h") == int(_END)).first()
-    v = Vocabulary(word[order], count[order], sum(s[3] for s in steps), sum(s[2] for s in steps), ends.c if ends else 0)
+    v = Vocabulary(word[order], count[order], sum(s[3] for s in steps), sum(s[2] for s in steps), ends.c if ends else 0, whole)
 
     dense = np.full(len(v.word) + 2, -1, np.int64)
     top = np.sort(np.argsort(-v.count, kind="stable")[: DENSE - 2])
-    picked = np.append(top, [v.unknown, v.unknown + 1])
+    picked = np.append(top, [v.unknown + 1] if whole else [v.unknown, v.unknown + 1])
     dense[picked] = np.arange(len(picked))
     sent = docs.sparkSession.sparkContext.broadcast((v, dense))
 
@@ -248,7 +261,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     cells = np.zeros((DENSE, DENSE))
     cells.reshape(-1)[got["pair"].to_numpy()] = got["c"].to_numpy()
     gains = np.zeros((DENSE, DENSE))
-    gains[:, : len(picked)] = v.gain(cells[:, : len(picked)], picked) * STEP
+    gains[:, : len(picked)] = v.gain(cells[:, : len(picked)], v.share[picked]) * STEP
     v.dense, v.table = dense, gains
     return v
 
@@ -263,6 +276,8 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         logs, totals = np.log10(own.share), np.log10(own.total + MU)
+        if own.whole:  # the shards of rare words know theirs
+            logs[own.unknown] = totals[own.unknown] = 0
         for batch in batches:
             data, offsets = texts(batch)
             rows = batch.column(2).to_numpy()
@@ -278,21 +293,27 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 lm += _tally(row[table], own.table[a[table], b[table]], n)
                 # a text's place in the block, and whether it is a training text in the lowest bit
                 place = (row << 1 | train[i:j][row]).astype(np.uint16 if n < 1 << 15 else np.uint32)
-                pair, at = (context << _WIDTH | w)[~table], place[~table]
-                rare, rare_at = h[~known], place[~known]
-                to, rare_to = (mix(pair.view(np.uint64)) % _U(shards)).astype(np.int64), (mix(rare + _U(3)) % _U(shards)).astype(np.int64)
-                one, two = np.argsort(to, kind="stable"), np.argsort(rare_to, kind="stable")
+                old = np.append(_BEGIN, h)[:-1]  # the word before, right where the context is rare or asked for
+                old[context == own.unknown + 1] = _BEGIN
+                after = (known & (context == own.unknown)) if own.whole else np.zeros(len(h), bool)
+                plain = ~table & known & ~after if own.whole else ~table
+                pair, rare, late = (context << _WIDTH | w)[plain], h[~known], old[after]
+                to = [(mix(x) % _U(shards)).astype(np.int64) for x in (pair.view(np.uint64), rare + _U(3), late + _U(3))]
+                order = [np.argsort(x, kind="stable") for x in to]
                 home = int(mix(np.array([rows[i]], np.uint64))[0] % _U(shards))
                 # only the shards that this block has something for, however many there are
-                asked = np.unique(np.concatenate([to, rare_to, [home]]))
-                cut, rare_cut = ([np.searchsorted(x, asked, side) for side in ("left", "right")] for x in (to[one], rare_to[two]))
-                pair, at, rare, rare_at = pair[one], at[one], rare[two], rare_at[two]
+                asked = np.unique(np.concatenate([*to, [home]]))
+                cut = [[np.searchsorted(x[o], asked, side) for side in ("left", "right")] for x, o in zip(to, order)]
+                pair, at = pair[order[0]], place[plain][order[0]]
+                rare, rare_at, before = rare[order[1]], place[~known][order[1]], old[~known if own.whole else after][order[1] if own.whole else order[2]]
+                late, late_at, then = late[order[2]], place[after][order[2]], w[after][order[2]].astype(np.uint32)
                 low, high = (pair & 0xFFFFFFFF).astype(np.uint32), (pair >> 32).astype(np.uint8)
                 out = []
                 for k, s in enumerate(asked.tolist()):
-                    p, q = slice(cut[0][k], cut[1][k]), slice(rare_cut[0][k], rare_cut[1][k])
+                    p, q, r = (slice(c[0][k], c[1][k]) for c in cut)
                     full = (train[i:j], np.bincount(row, minlength=n), np.bincount(row[known], minlength=n), base, lm) if s == home else None
-                    out.append((s, int(rows[i]), n, pickle.dumps((low[p], high[p], at[p], rare[q], rare_at[q], full), 5), full is not None))
+                    body = (low[p], high[p], at[p], rare[q], rare_at[q], before[q], late[r], late_at[r], then[r], full)
+                    out.append((s, int(rows[i]), n, pickle.dumps(body, 5), full is not None))
                 offset = np.cumsum([0, *(n if o[4] else 0 for o in out)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offset), batch.column(0).slice(i, n))
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))] + [ids], names=["shard", "block", "n", "body", "ids"])
@@ -301,34 +322,48 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
         """For each block's request the gains of its bigrams, in steps, and the unigram logs of its rare words."""
         own = sent.value
         bodies = [pickle.loads(x) for x in pdf.pop("body")]
-        pairs, rares = np.cumsum([0, *(len(b[0]) for b in bodies)]), np.cumsum([0, *(len(b[3]) for b in bodies)])
-        key, inverse = np.unique(np.concatenate([b[1].astype(np.int64) << 32 | b[0] for b in bodies]), return_inverse=True)
-        count = _tally(inverse, np.concatenate([b[2] & 1 for b in bodies]), len(key))
+        every = lambda k: np.concatenate([b[k] for b in bodies])
+        rares = np.cumsum([0, *(len(b[3]) for b in bodies)])
+        rare, use = np.unique(every(3), return_inverse=True)
+        rare_count = _tally(use, every(4) & 1, len(rare))
+        log, there = np.log10((rare_count + 0.5) / own.mass), rare_count > 0
+        # beside log10 P(w): what the word is as a context, or, if pooled, its class
+        added = log - np.where(rare == _END, 0, np.log10(rare_count + MU)) if own.whole else log - math.log10(own.share[own.unknown])
+        log, there, added = log[use], there[use], added[use]
+
+        pair, ends = every(1).astype(np.int64) << 32 | every(0), every(3)[: sum(len(b[5]) for b in bodies)]
+        parts = [np.cumsum([0, *(len(b[k]) for b in bodies)]) for k in (0, 5, 6)]
+        parts = [x + y for x, y in zip(parts, (0, len(pair), len(pair) + len(ends)))]
+        context, c = np.unique(np.concatenate([own.name[pair >> _WIDTH], every(5), every(6)]), return_inverse=True)
+        word, w = np.unique(np.concatenate([own.name[pair & ((1 << _WIDTH) - 1)], ends, own.name[every(8)]]), return_inverse=True)
+        share = own.share[own.classes(word)]
+        if own.whole and len(rare):
+            of = np.minimum(np.searchsorted(rare, word), len(rare) - 1)
+            share = np.where(rare[of] == word, (rare_count[of] + 0.5) / own.mass, share)
+        width = len(word).bit_length()
+        key, inverse = np.unique(c << width | w, return_inverse=True)
+        count = _tally(inverse, np.concatenate([every(2), every(4)[: len(ends)], every(7)]) & 1, len(key))
         seen = count > 0
-        trie = Trie(_mapped(Trie.pack(key[seen], own.gain(count[seen], (key & ((1 << _WIDTH) - 1))[seen]), len(own.word) + 2)))
+        trie = Trie(_mapped(Trie.pack(key[seen], own.gain(count[seen], share[key[seen] & ((1 << width) - 1)]), len(context), width)))
         steps = trie.find(key).astype(np.int32)[inverse]
-        rare, inverse = np.unique(np.concatenate([b[3] for b in bodies]), return_inverse=True)
-        count = _tally(inverse, np.concatenate([b[4] & 1 for b in bodies]), len(rare))
-        log, there = np.log10((count + 0.5) / own.mass)[inverse], (count > 0)[inverse]
         replies = []
         for k, b in enumerate(bodies):
-            x, y = slice(pairs[k], pairs[k + 1]), slice(rares[k], rares[k + 1])
-            row, i = np.unique(b[2] >> 1, return_inverse=True)
-            gained = _tally(i, steps[x], len(row)).astype(np.int32)
+            y = slice(rares[k], rares[k + 1])
+            row, i = np.unique(np.concatenate([b[2], b[4][: len(b[5])], b[7]]) >> 1, return_inverse=True)
+            gained = _tally(i, np.concatenate([steps[x[k] : x[k + 1]] for x in parts]), len(row)).astype(np.int32)
             other, i = np.unique(b[4] >> 1, return_inverse=True)
-            replies.append(pickle.dumps((row[gained > 0], gained[gained > 0], other, _tally(i, log[y], len(other)), np.bincount(i, minlength=len(other)).astype(np.uint32), _tally(i, there[y], len(other)).astype(np.uint32), b[5]), 5))
+            replies.append(pickle.dumps((row[gained > 0], gained[gained > 0], other, _tally(i, log[y], len(other)), _tally(i, added[y], len(other)), _tally(i, there[y], len(other)).astype(np.uint32), b[9]), 5))
         return pdf.assign(body=replies)[["shard", "block", "n", "body", "ids"]]
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         """The replies to one block, summed in the order of the shards."""
-        own, n = sent.value, int(pdf["n"].iloc[0])
+        n = int(pdf["n"].iloc[0])
         base, lm, known, train, tokens, doc = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64), []
-        rest = math.log10(own.share[own.unknown])
         for body, ids in pdf.sort_values("shard")[["body", "ids"]].itertuples(index=False):
-            row, gained, other, log, uses, there, full = pickle.loads(body)
+            row, gained, other, log, added, there, full = pickle.loads(body)
             lm[row] += gained * STEP
             base[other] += log
-            lm[other] += log - uses * rest
+            lm[other] += added
             known[other] += there
             if full:
                 train, tokens, doc = full[0] > 0, full[1], list(ids)
@@ -347,6 +382,6 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(5, 1)).alias("train"))
-    v = vocabulary(docs)
+    v = vocabulary(docs, whole=True)
     scored = score(docs, v)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
