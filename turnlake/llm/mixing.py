@@ -9,7 +9,9 @@ Positions: training runs over t in [0, 1]. Source k asks for words at the rate
 target * (1 + slope_k * (2t - 1)), slope_k cycling through SLOPES; its integral, the cumulative
 demand, is target * (t + slope_k * (t * t - t)). A document that starts at the c-th word of its
 source's supply is trained on where the cumulative demand reaches c: the quadratic is inverted
-in closed form, and documents are range-sorted by that position.
+in closed form, and documents are range-sorted by that position. Supply goes on over the passes:
+in pass k (from 0) the document starts k * source_size words later, and each pass of a document
+has a position of its own.
 
 Supply: documents of a source in md5(doc_id) order, whole passes first; the document in which
 the target falls gives only the words up to it, so a source takes exactly its rounded target. The
@@ -23,7 +25,7 @@ table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import table
@@ -53,10 +55,10 @@ def _targets(totals: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position for each row of docs.
+    """doc_id, source, size, source_size, target, taken, position, start, slope for each row of docs.
 
-    position: where in training, from 0 to 1, the first words of the row come; null if none are
-    taken. carry: further columns of docs to return.
+    position: where in training, from 0 to 1, the first words of the row's first pass come; null if
+    none are taken. start: words of the source before the row. carry: further columns of docs to return.
     """
     rows = docs.select(
         *carry,
@@ -79,11 +81,26 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     left = budget - passes * F.col("source_size")
     taken = F.col("size") * passes + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - start))
-    # t + s (t^2 - t) = start / target
-    share, s = F.least(F.lit(1.0), start / F.col("target")), F.col("slope")
+    position = F.when(taken > 0, _position(start, F.col("target"), F.col("slope")))
+    return joined.select(*carry, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), start.alias("start"), "slope")
+
+
+def _position(start: Column, target: Column, s: Column) -> Column:
+    """The t where t + s (t^2 - t) = start / target."""
+    share = F.least(F.lit(1.0), start / target)
     root = (s - 1 + F.sqrt((1 - s) * (1 - s) + 4 * s * share)) / (2 * s)
-    position = F.when(taken > 0, F.when(s == 0, share).otherwise(root))
-    return joined.select(*carry, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), position.alias("position"))
+    return F.when(s == 0, share).otherwise(root)
+
+
+def passes(mixed: DataFrame) -> DataFrame:
+    """From what mix() returns one row for each pass over a document that takes words of it.
+
+    pass counts from 0; taken is what this pass takes, position where it begins.
+    """
+    size, nth = F.col("size"), F.col("pass")
+    drawn = mixed.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / size).cast("int") - 1)))
+    position = _position(nth * F.col("source_size") + F.col("start"), F.col("target"), F.col("slope"))
+    return drawn.withColumns({"position": position, "taken": F.least(size, F.col("taken") - nth * size)})
 
 
 def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:

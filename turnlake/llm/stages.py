@@ -54,13 +54,12 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix begins to read it, in training order.
+    """Each row as often as the mix begins to read it, each pass where its words are due, in training order.
 
     Texts without words are not read; a null source is a source; repeated rows are read each.
     """
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
-    drawn = mixing.mix(rows, ("row",)).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    drawn = mixing.passes(mixing.mix(rows, ("row",)))
     return mixing.in_training_order(drawn).select("row.*")
 
 
