@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnlake.llm import mixing
+from turnlake.llm import mixing, stages
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +40,22 @@ def test_every_pass_has_a_row_and_the_passes_add_up(docs):
         taken, size, position = whole[d]
         assert [k for k, _, _ in x] == list(range(-(-taken // size))) and sum(n for _, n, _ in x) == taken
         assert x[0][2] == position and all(a[2] < b[2] for a, b in zip(x, x[1:]))
+
+
+def test_the_query_gives_rows_in_training_order(spark):
+    at = {r.doc_id: r.position for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    got = [(at[r.doc_id] is None, at[r.doc_id] or 0, r.doc_id) for r in mixing.op10_mixing(spark, SF).collect()]
+    assert len(got) == len(at) and got == sorted(got)
+
+
+def test_slots_follow_the_position_through_the_last_stages(spark, docs):
+    rows = stages.mixed(spark, docs, "")
+    assert rows.columns == [*docs.columns, "position"]
+    want = sorted((r.position, r.doc_id) for r in mixing.passes(mixing.mix(docs)).collect())
+    assert sorted((r.position, r.doc_id) for r in rows.collect()) == want
+    shards = {}
+    for r in stages.sharded(spark, rows, "").collect():
+        shards.setdefault(r.shard, []).append((r.slot, r.position, r.doc_id))
+    assert sorted((t, d) for x in shards.values() for _, t, d in x) == want
+    for x in map(sorted, shards.values()):
+        assert [k for k, _, _ in x] == list(range(len(x))) and [y[1:] for y in x] == sorted(y[1:] for y in x)

@@ -104,13 +104,15 @@ def passes(mixed: DataFrame) -> DataFrame:
 
 
 def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The rows that are taken, range-sorted by position."""
+    """The rows range-sorted by position, those that are not taken last."""
     n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.where("taken > 0").repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return mixed.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """One row for each document, in the order of their first passes; the columns are those of SQL."""
+    return in_training_order(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

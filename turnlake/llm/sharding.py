@@ -6,7 +6,7 @@ shards weigh. A changed weight therefore moves rows only into or out of the chan
 Regions hold REGION shards and racks hold RACK; where the regions are full, one more shard opens
 a region of its own, and so takes rows only into itself (law `key`).
 
-Slots are numbered in (slice, doc_id) order: rows are dealt into SLICES hash slices of each
+Slots are numbered in (slice, doc_id) order, or by a given training position, whose slices are ranges of it: rows are dealt into SLICES hash slices of each
 shard, numbered within them and moved up by the counts of the slices before. No task sees a
 whole shard, and the counts are at most shards x slices rows.
 
@@ -52,22 +52,28 @@ def tree_shard(key: Column, weights: Sequence[float]) -> Column:
     return _draw(key, F.element_at(under(shards), rack), "shard")
 
 
-def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown: Sequence[float] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text)."""
+def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown: Sequence[float] | None = None, position: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text).
+
+    position: a column of numbers from 0 to 1 that slots follow and that is returned too; nulls come last.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    told = [position] if position else []
+    sliced = F.least(F.floor(F.coalesce(F.col(position), F.lit(1.0)) * SLICES), F.lit(SLICES - 1)) if position else F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(SLICES))
     rows = docs.select(
+        *told,
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
         tree_shard(key, weights).alias("shard"),
         tree_shard(key, grown or [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(SLICES)).cast("int").alias("slice"),
+        sliced.cast("int").alias("slice"),
     )
     counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "slice", (F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("before"))
-    within = rows.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")))
+    within = rows.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "slice").orderBy(*(F.col(c).asc_nulls_last() for c in told), "doc_id", "text_crc32", "size")))
     return within.join(before, ["shard", "slice"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard"
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard", *told
     )
 
 

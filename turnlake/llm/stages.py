@@ -1,8 +1,9 @@
 """The corpus pipeline's stages: each works on all rows its predecessor kept and returns the columns of documents.
 
 Defined cases of every stage: an empty table gives no rows; extra columns, whatever their names,
-come through all stages but the last, which returns its own. What null texts, null ids and
-repeated rows become is told at each stage.
+come through all stages but the last, which returns its own; only a column `position` gives way to
+the training position that mixing adds. What null texts, null ids and repeated rows become is told
+at each stage.
 """
 
 from __future__ import annotations
@@ -56,16 +57,22 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix begins to read it, each pass where its words are due, in training order.
 
+    position is where that is, from 0 to 1.
     Texts without words are not read; a null source is a source; repeated rows are read each.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
     drawn = mixing.passes(mixing.mix(rows, ("row",)))
-    return mixing.in_training_order(drawn).select("row.*")
+    kept = [F.col("position") if c.lower() == "position" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    added = [] if "position" in (c.lower() for c in docs.columns) else ["position"]
+    return mixing.in_training_order(drawn).select(*kept, *added)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, checksum, shard and slot of every row; repeated rows get slots of their own, a null text has no bytes."""
-    return sharding.shard(docs)
+    """doc_id, size, checksum, shard and slot of every row; repeated rows get slots of their own, a null text has no bytes.
+
+    Rows with a training position keep it, and the slots of a shard follow it.
+    """
+    return sharding.shard(docs, position="position" if dict(docs.dtypes).get("position") == "double" else None)
 
 
 STAGES = [
