@@ -108,3 +108,12 @@ def test_components_of_paths_stars_and_loops(spark):
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 1 for i in range(1, 61)}, **{k: 100 for k in range(100, 180)}, 199: 199, 200: 199}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_sets_larger_than_a_block_count_once(spark):
+    # sets of more tokens than a block holds leave blocks of their family empty
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.jaccard_components(docs, block_tokens=350).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in out) == [(i, 0, 11) for i in range(12)]

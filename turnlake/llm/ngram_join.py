@@ -162,7 +162,7 @@ def _tied(sig: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _verify(percent: int):
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between the sides 0 and 1 of two blocks, or within one block if there is no side 1."""
+        """Links between the sides 0 and 1 of two blocks, or within one block if both are the same."""
         pdf = pdf.drop_duplicates(["fp", "side"])
         sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
         n, fp, copies = pdf["n"].to_numpy(), pdf["fp"].to_numpy(), pdf["copies"].to_numpy()
@@ -171,7 +171,9 @@ def _verify(percent: int):
         shared = np.bincount(index)[index] > 1
         index, owner = np.unique(index[shared], return_inverse=True)[1], owner[shared]
         side = pdf["side"].to_numpy()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(sets)),) * 2
+        pair = pdf.iloc[0]
+        within = (pair["p"], pair["i"]) == (pair["q"], pair["j"])  # else a side without sets has no links
+        left, right = (np.arange(len(sets)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         common = np.zeros((len(left), len(right)), np.float32)
         place = np.full((2, len(sets)), -1)
         place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
