@@ -104,6 +104,11 @@ def passes(mixed: DataFrame) -> DataFrame:
 
 
 def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The rows that are taken, range-sorted by position."""
+    return _ordered(mixed.where("taken > 0"), partitions)
+
+
+def _ordered(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     """The rows range-sorted by position, those that are not taken last."""
     n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
@@ -112,7 +117,7 @@ def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFr
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document, in the order of their first passes; the columns are those of SQL."""
-    return in_training_order(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return _ordered(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
