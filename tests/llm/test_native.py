@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -19,20 +20,35 @@ def docs(spark, rows):
 def test_dedup_groups_nulls_repeats_and_long_texts(spark):
     long = "The cat sat on the mat near an old hat. " * 500
     rows = [(1, None, "a"), (2, "", "a"), (3, "x", "a"), (3, "x", "b"), (None, "x", None), (5, long, "a"), (9, long, "a"), (7, long + "!", "a")]
-    for mask in (-1, 3):  # with 2-bit hashes nearly all chunks collide
-        out = exact_dedup.exact_dedup(docs(spark, rows), mask).collect()
+    for mask, few in ((-1, 10), (3, 10), (3, 0)):  # with 2-bit hashes nearly all chunks collide
+        out = exact_dedup.exact_dedup(docs(spark, rows), mask, few).collect()
         assert len(out) == len(rows)
         for r in out:
             texts = [t or "" for i, t, _ in rows if hashlib.sha256((t or "").encode()).hexdigest() == r.text_sha256]
             assert r.group_size == len(texts)
             assert r.keep_id == max(i for i, t, _ in rows if (t or "") == texts[0] and i is not None)
-            assert r.kept == (r.doc_id == r.keep_id)
+            assert not r.kept or r.doc_id == r.keep_id
+        assert sorted(Counter(r.text_sha256 for r in out if r.kept).values()) == [1, 1, 1, 1]  # one of each text
     hot = [(i, "same" if i % 3 else f"t{i}", "a") for i in range(60_000)] + [(1, "same", "a")] * 500
     out = exact_dedup.exact_dedup(docs(spark, hot)).groupBy("group_size", "keep_id").count().where("group_size > 1").collect()
     assert [tuple(r) for r in out] == [(40_500, 59_999, 40_500)]
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_colliding_chunks_of_long_texts_move_without_their_text(spark):
+    long = [(i, "".join(f"the men of row {i % 7} ran to item {k}. " for k in range(3000)), "a") for i in range(20)]
+    told = docs(spark, long)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(told, 15).collect()} == {(i, max(k for k in range(20) if k % 7 == i % 7), 3 if i % 7 < 6 else 2) for i in range(20)}
+
+
+def test_texts_in_other_scripts_are_cut_by_content(spark):
+    rng = random.Random(4)
+    made = lambda letters, gap: "".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) + rng.choice(gap) for _ in range(3000))
+    for text in (made("бвгдежзиклмнопрстуя", [" ", " ", " ", ", ", ". "]), made("世界是一个大家庭我们都住在这里", ["，", "。"])):
+        a, b = (set(r.c) for r in docs(spark, [(1, text, "a"), (2, "начало 开始 " + text, "a")]).select(exact_dedup.chunks(exact_dedup.F.col("text")).alias("c")).collect())
+        assert max(map(len, a)) < 500 and len(a & b) > 0.9 * len(a)
+
+
 def test_chunks_join_to_the_text(spark):
     texts = ["", "a", "x" * 9000, "Ünï 😀 " * 900, "the men ran to it. " * 300 + "\n\n"]
     out = docs(spark, [(i, t, "a") for i, t in enumerate(texts)]).select("text", exact_dedup.chunks(exact_dedup.F.col("text")).alias("c")).collect()

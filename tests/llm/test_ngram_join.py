@@ -77,6 +77,44 @@ def test_a_family_of_many_short_near_copies_is_split(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=str) == _brute(rows)
 
 
+def test_long_words_that_differ_are_told_apart(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, f"{a} x y"), (2, f"{b} x y"), (3, f"{a.upper()} X y")], "doc_id long, text string")
+    out = ngram_join.jaccard_components(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in out) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
+
+
+def test_sets_with_the_same_print_are_told_apart(spark):
+    rows = _rows(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for mask in (3, 31):  # two and five bits: nearly all sets share a print
+        out = ngram_join.jaccard_components(docs, block_tokens=9000, print_mask=mask).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=str) == _brute(rows)
+
+
+def test_large_sets_and_a_hot_group(spark):
+    rng = random.Random(11)
+    rows, i = [], 0
+    for size in (600, 1500, 5000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for edits in (0, 0, size // 100, size // 64, size // 62, size // 60, size // 50):
+            copy = list(base)
+            for k in rng.sample(range(size), edits):
+                copy[k] = f"e{rng.randrange(10**6)}"
+            rows.append((i := i + 1, " ".join(copy)))
+    rows += [(10_000 + k, "one text that a third of all rows hold") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = ngram_join.jaccard_components(docs, block_tokens=4000).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=str) == _brute(rows)
+
+
+def test_allocation_is_the_cheapest_at_every_size():
+    # at 10**9 sets the deletion neighbourhoods pay off for large sets too
+    assert ngram_join.allocation(575, 638, 10**9)[1] > 0 and ngram_join.allocation(11_043, 12_269, 10**9)[1] > 0
+
+
 def test_empty_table(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

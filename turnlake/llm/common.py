@@ -1,28 +1,60 @@
-"""What the operators of this subpackage share: table access and checkpoints."""
+"""What the operators of this subpackage share: table access, checkpoints and joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of the table that tells how full each bucket of keys is.
+BUCKETS = 4096
+#: A bucket of more than so many times the mean bucket is split, into parts of about that size.
+FULL = 4
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which driver and executors must both reach.
 
-    Only a session that names none (a test in local mode) gets a folder of its own.
+    Only where the session names none and runs in this one process (tests), it gets one of its own.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnlake-checkpoint-"))
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="turnlake-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id"):
     """True where crc32 of the key as text leaves this remainder; a null key counts as ''."""
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, told: list[Column], how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key, with the number of rows that carry it) where a key may hold most rows.
+
+    Keys are dealt into BUCKETS by hash. A bucket that holds more than its share of the rows is split into
+    parts by the hash of told, and its groups are repeated in each, so no key is one task's. Broadcast are
+    BUCKETS numbers.
+    """
+    named = F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    filled = groups.groupBy(named).agg(F.sum(weight).alias("_filled"))
+    share = F.greatest(F.sum("_filled").over(Window.partitionBy()) / BUCKETS, F.lit(1.0)) * FULL
+    parts = filled.select("_bucket", F.ceil(F.col("_filled") / share).cast("int").alias("_parts"))
+    left = rows.select("*", named).join(F.broadcast(parts), "_bucket", how).withColumn("_part", F.pmod(F.xxhash64(*told), F.coalesce("_parts", F.lit(1))).cast("int"))
+    right = groups.select("*", named).join(F.broadcast(parts), "_bucket").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return left.drop("_bucket", "_parts").join(right.drop("_bucket", "_parts"), [*on, "_part"], how).drop("_part")

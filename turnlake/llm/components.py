@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join over the edges; a reliable checkpoint cuts the lineage
-after each round. The number of rounds grows with the logarithm of the nodes.
+Each step is one aggregation and one join over the edges; the centre of a star, which may have most
+edges, is split over tasks. A reliable checkpoint cuts the lineage after each round. The number of
+rounds grows with the logarithm of the nodes.
 """
 
 from __future__ import annotations
@@ -9,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import checkpointed
+from turnlake.llm.common import checkpointed, spread_join
 
 
-def _star(near: DataFrame, keep) -> DataFrame:
-    """near: u and a neighbour v. Every kept v is tied to the least of u and its neighbours."""
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+def _starred(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """near: u and a neighbour v. The least of u and its neighbours (m) of each u, and of each edge."""
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
+    return least, spread_join(near, least, ["u"], "edges", [F.col("v")])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u")).distinct()
+        large = _starred(both)[1].where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # a node, its smaller neighbours and itself
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least, tied = _starred(down)
+        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edge = checkpointed(small)
         now = edge.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

@@ -29,25 +29,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.blocks import mix, ranges, texts, words
-from turnlake.llm.common import checkpointed, table
+from turnlake.llm.blocks import mix, ranges, sums, texts, words
+from turnlake.llm.common import checkpointed, spread_join, table
 from turnlake.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 BLOCK_TOKENS = 64_000
-#: A smaller set counts as this many tokens in a block, so that a block holds 2,000 sets or so at most.
-LEAST_TOKENS = 32
-#: Tasks that a band of one family is spread over where its sets meet their plan.
-SALTS = 16
+#: A smaller set counts as this many tokens in a block, so that a block holds 1,000 sets or so at most.
+LEAST_TOKENS = 64
+#: Tokens that two blocks are compared on at once.
+WIDE = 2048
 #: Signatures that a task gathers before it ties what they share.
-FLUSH = 1_000_000
-#: Bits of the map of sets to verify.
-BITS = 1 << 23
+FLUSH = 500_000
 _U = np.uint64
 
 
@@ -69,14 +66,12 @@ def allocation(low: int, top: int, sets: int, percent: int = PERCENT) -> tuple[i
     h = bound(top, percent)
     if h == 0:
         return 0, 0
-
-    def cost(u: int) -> float:
-        m = h + 1 - u
-        s = low / m  # tokens in a segment; both sets have none there with probability exp(-2 s)
-        return (m - u) + u * (s + 2) + sets * math.exp(-2 * s) * ((m - u) + u * (1 + 2 * s))
-
-    u = min(range((h + 1) // 2 + 1), key=cost) if h <= 64 else 0
-    return h + 1 - u, u
+    u = np.arange((h + 1) // 2 + 1)
+    m = h + 1 - u
+    s = low / m  # tokens in a segment; both sets have none there with probability exp(-2 s)
+    cost = (m - u) + u * (s + 2) + sets * np.exp(-2 * s) * ((m - u) + u * (1 + 2 * s))
+    best = int(np.argmin(cost))
+    return h + 1 - best, best
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +92,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[n
             has = count[short] > k
             whole[has] = whole[has] * _U(0x9E3779B97F4A7C15) + mix(h[begin[has] + k] + _U(k + 101))
         found, owner = np.concatenate([found, mix(whole + count[short].astype(np.uint64))]), np.concatenate([owner, short])
-    order = np.lexsort((found, owner))
+    order = _by_owner(found, owner)
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
@@ -105,34 +100,40 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[n
     return found, owner, np.bincount(owner, minlength=rows)
 
 
-def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint64)
-    np.add.at(out, at, values)
-    return out
+def _by_owner(found: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order by owner, then found: one fast sort of both in a word, unless two tokens agree in it but not whole."""
+    bits = int(owner.max()).bit_length() if len(owner) else 0
+    key = (found >> _U(bits)) | (owner.astype(np.uint64) << _U(64 - bits)) if bits else found
+    order = np.argsort(key)
+    if (np.diff(key[order]) == 0)[found[order][1:] != found[order][:-1]].any():
+        return np.lexsort((found, owner))
+    return order
 
 
-def prints(found: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit print of each row's set."""
-    return mix(_sums(mix(found + _U(7)), owner, len(size)) + size.astype(np.uint64))
+def prints(found: np.ndarray, size: np.ndarray, mask: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit prints of each row's set; mask shortens the first, so that tests meet collisions."""
+    n = size.astype(np.uint64)
+    first, second = mix(sums(mix(found + _U(7)), size) + n), mix(sums(mix(found ^ _U(0x5851F42D4C957F2D)), size) ^ n)
+    return (first & _U(mask & (2**64 - 1))).view(np.int64), second.view(np.int64)
 
 
 def signatures(found: np.ndarray, owner: np.ndarray, size: np.ndarray, lows: np.ndarray, plan: dict[int, tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Signatures and the row of each: for each row in its own band's plan, and as the larger set in the band below."""
-    begin = np.concatenate([[0], np.cumsum(size)])
     band = np.searchsorted(lows, size, "right") - 1
     for shift in (0, 1):
         for b in np.unique(band[size > 0]) - shift:
             m, u = plan.get(int(b), (0, 0))
             if not m:
                 continue
-            rows = np.flatnonzero((band == b + shift) & (size > 0))
-            token = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in rows])
-            x = found[token]
+            here = (band == b + shift) & (size > 0)
+            rows = np.flatnonzero(here)
+            x = found[here[owner]]
             local = np.repeat(np.arange(len(rows)), size[rows])
             seg = (mix(x + _U(1000 + int(b))) % _U(m)).astype(np.int64)
             slot = local * m + seg
             hashed = mix(x + _U(11))
-            total = _sums(hashed, slot, len(rows) * m)
+            total = np.zeros(len(rows) * m, np.uint64)
+            np.add.at(total, slot, hashed)
             name = mix(np.arange(m, dtype=np.uint64) + _U(int(b) << 32))
             yield mix(total + np.tile(name, len(rows))).view(np.int64), np.repeat(rows, m)
             if u:
@@ -154,73 +155,106 @@ def _tied(sig: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     head[1:] = sig[1:] != sig[:-1]
     pivot = fp[np.flatnonzero(head)[np.cumsum(head) - 1]]
     rest = (fp != pivot) & ~head
-    pairs = np.unique(np.stack([pivot[rest], fp[rest]], 1), axis=0)
-    own = mix(pairs[:, 0].view(np.uint64) + _U(977)).view(np.int64)
-    first = np.unique(pairs[:, 0])
-    return np.concatenate([sig[head], own, mix(first.view(np.uint64) + _U(977)).view(np.int64)]), np.concatenate([fp[head], pairs[:, 1], first])
+    pivot, other = pivot[rest], fp[rest]
+    order = np.lexsort((other, pivot))
+    pivot, other = pivot[order], other[order]
+    new = np.ones(len(pivot), bool)
+    new[1:] = (pivot[1:] != pivot[:-1]) | (other[1:] != other[:-1])
+    pivot, other = pivot[new], other[new]
+    first = np.unique(pivot)
+    own = lambda x: mix(x.view(np.uint64) + _U(977)).view(np.int64)
+    return np.concatenate([sig[head], own(pivot), own(first)]), np.concatenate([fp[head], other, first])
 
 
 def _verify(percent: int):
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    def verify(group: pa.Table) -> pa.Table:
         """Links between the sides 0 and 1 of two blocks, or within one block if both are the same."""
-        pdf = pdf.drop_duplicates(["fp", "side"])
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-        n, fp, copies = pdf["n"].to_numpy(), pdf["fp"].to_numpy(), pdf["copies"].to_numpy()
-        token, index = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), n)
+        group = group.combine_chunks()
+        node, side = group["node"].to_numpy(), group["side"].to_numpy()
+        _, once = np.unique(np.stack([node, side]), axis=1, return_index=True)  # a set comes again where its row does
+        group = group.take(pa.array(once))
+        node, side, n, copies = (group[c].to_numpy() for c in ("node", "side", "n", "copies"))
+        token = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
+        owner = np.repeat(np.arange(len(node)), n)
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        index = np.cumsum(new) - 1
         shared = np.bincount(index)[index] > 1
         index, owner = np.unique(index[shared], return_inverse=True)[1], owner[shared]
-        side = pdf["side"].to_numpy()
-        pair = pdf.iloc[0]
-        within = (pair["p"], pair["i"]) == (pair["q"], pair["j"])  # else a side without sets has no links
-        left, right = (np.arange(len(sets)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        del token, order, new, shared
+        at = {c: group[c][0].as_py() for c in "piqj"}
+        within = (at["p"], at["i"]) == (at["q"], at["j"])  # else a side without sets has no links
+        left, right = (np.arange(len(node)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         common = np.zeros((len(left), len(right)), np.float32)
-        place = np.full((2, len(sets)), -1)
+        place = np.full((2, len(node)), -1)
         place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
-        order = np.argsort(index, kind="stable")
-        index, owner = index[order], owner[order]
-        wide = 4096
-        for at in range(0, int(index[-1]) + 1 if len(index) else 0, wide):
-            lo, hi = np.searchsorted(index, [at, at + wide])
+        for first in range(0, int(index[-1]) + 1 if len(index) else 0, WIDE):
+            lo, hi = np.searchsorted(index, [first, first + WIDE])
             part = []
             for k, side_rows in enumerate((left, right)):
-                x = np.zeros((len(side_rows), wide), np.float32)
+                x = np.zeros((len(side_rows), WIDE), np.float32)
                 to = place[k, owner[lo:hi]]
-                x[to[to >= 0], index[lo:hi][to >= 0] - at] = 1
+                x[to[to >= 0], index[lo:hi][to >= 0] - first] = 1
                 part.append(x)
+                if within:
+                    part.append(x)
+                    break
             common += part[0] @ part[1].T
-        linked = (100 + percent) * common.astype(np.int64) >= percent * (n[left][:, None] + n[right][None, :])
-        linked &= fp[left][:, None] != fp[right][None, :]
-        degree = np.zeros(len(sets), np.int64)
-        degree[left] += linked @ copies[right]
-        if right is not left:
-            degree[right] += linked.T @ copies[left]
-        root = np.arange(len(sets))
-        for i in np.flatnonzero(linked.any(1)):
-            tied = np.unique(np.append(root[right[linked[i]]], root[left[i]]))
-            if len(tied) > 1:
-                root[np.isin(root, tied)] = tied[0]
-        return pd.DataFrame({"a": fp, "b": fp[root], "links": degree})
+        degree, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        # 2 * 10**7 tokens, (100 + percent) times as many, are exact in doubles; whole numbers below 2**24 in floats
+        for i in range(len(left)):
+            linked = (100 + percent) * common[i].astype(np.float64) >= percent * (n[left[i]] + n[right])
+            linked &= node[right] != node[left[i]]
+            ends = right[linked]
+            if len(ends):
+                degree[left[i]] += copies[ends].sum()
+                if not within:
+                    degree[ends] += copies[left[i]]
+                tied = np.unique(np.append(root[ends], root[left[i]]))
+                if len(tied) > 1:
+                    root[np.isin(root, tied)] = tied[0]
+        return pa.table({"a": node, "b": node[root], "links": degree})
 
     return verify
 
 
-def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (rows with another set or the same that it links with)."""
+def _bits(members: int) -> int:
+    """Bits of the map of sets to verify: 16 a set, between 128 KB and 8 MB in all."""
+    return 1 << min(26, max(20, (16 * members).bit_length()))
+
+
+def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, print_mask: int = -1) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (rows with another set or the same that it links with).
+
+    print_mask shortens the first print of a set, so that tests meet collisions.
+    """
     rows = docs.select("doc_id", "text")
     context = docs.sparkSession.sparkContext
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, fp = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for _, _, found, owner, count in _read(batch, n):
+            size, fp, fq = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, found, _, count in _read(batch, n):
+                one, two = prints(found, count, print_mask)
                 size.append(count)
-                fp.append(prints(found, owner, count))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(fp).view(np.int64))], names=["doc_id", "n", "fp"])
+                fp.append(one)
+                fq.append(two)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (size, fp, fq))], names=["doc_id", "n", "fp", "fq"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = checkpointed(rows.mapInArrow(sizes, f"doc_id {kind}, n long, fp long"))
-    nodes = listed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    listed = checkpointed(rows.mapInArrow(sizes, f"doc_id {kind}, n long, fp long, fq long"))
+    some = listed.where("n > 0")
+    told = [F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")]
+    printed = checkpointed(some.groupBy("fp").agg(F.min("fq").alias("fq"), F.max("fq").alias("other"), *told))
+    # sets that are told apart by the second print only: each becomes a node of its own
+    clash = printed.where("fq <> other").select("fp")
+    nodes = printed.where("fq = other").select(F.col("fp").alias("node"), "fp", "fq", "rep", "n", "copies")
+    clashes = not clash.isEmpty()
+    if clashes:
+        apart = some.join(clash, "fp", "left_semi").groupBy("fp", "fq").agg(*told)
+        nodes = nodes.unionByName(apart.select(F.xxhash64("fp", "fq").alias("node"), "fp", "fq", "rep", "n", "copies"))
 
     most = listed.agg(F.max("n")).first()[0] or 0
     lows = bands(most, percent)
@@ -243,11 +277,10 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
         for batch in batches:
             for _, _, found, owner, size in _read(batch, n):
-                fp = prints(found, owner, size).view(np.int64)
+                fp, fq = prints(found, size, print_mask)
                 once = np.zeros(len(fp), bool)  # equal sets of a block sign once
-                once[np.unique(fp, return_index=True)[1]] = True
-                some = once[owner]
-                for sig, row in signatures(found[some], owner[some], np.where(once, size, 0), low_array, plan):
+                once[np.unique(np.stack([fp, fq]), axis=1, return_index=True)[1]] = True
+                for sig, row in signatures(found[once[owner]], owner[once[owner]], np.where(once, size, 0), low_array, plan):
                     sigs.append(sig)
                     owners.append(fp[row])
                     held += len(sig)
@@ -258,37 +291,44 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     chain = Window.partitionBy("sig").orderBy("fp")
     ties = rows.mapInArrow(sign, "sig long, fp long").withColumn("before", F.lag("fp").over(chain)).where("before <> fp").select(F.col("before").alias("a"), F.col("fp").alias("b"))
-    family = checkpointed(components(ties).select(F.col("node").alias("fp"), F.col("root").alias("family")))
-
-    # Which sets to verify: a bit map of fixed size, gathered as its non-zero words.
-    bit = F.col("fp").bitwiseAND(F.lit(BITS - 1))
+    family = components(ties).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    if clashes:
+        family = family.unionByName(clash.join(family, "fp", "left_anti").select("fp", F.col("fp").alias("family")))
+    family = checkpointed(family)
+
+    # Which sets to verify: a bit map of bounded size, gathered as its non-zero words.
+    bits = _bits(family.count())
+    bit = F.col("fp").bitwiseAND(F.lit(bits - 1))
     marks = family.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS // 32, np.uint32)
+    bitmap = np.zeros(bits // 32, np.uint32)
     bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy().astype(np.uint32)
-    sent = context.broadcast(bitmap)  # 1 MB, whatever the input
+    sent = context.broadcast(bitmap)  # 8 MB at most, whatever the input
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = sent.value
+        told: dict[tuple[int, int], tuple] = {}  # the least doc_id that this task sent of a set
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rank = lambda k: (ids[k] is None, ids[k])
             out: list[tuple] = []
-            for i, _, found, owner, size in _read(batch, n):
-                fp = prints(found, owner, size).view(np.int64)
-                at = fp & (BITS - 1)
+            for i, _, found, _, size in _read(batch, n):
+                fp, fq = prints(found, size, print_mask)
+                at = fp & (bits - 1)
                 want = (size > 0) & (marked[at >> 5] >> (at & 31).astype(np.uint32) & 1 > 0)
                 begin = np.concatenate([[0], np.cumsum(size)])
-                least: dict[int, int] = {}  # of equal sets the row with the least doc_id, which may be the node's own
+                least: dict[tuple[int, int], int] = {}  # of equal sets the row with the least doc_id, which may be the node's own
                 for k in np.flatnonzero(want).tolist():
-                    if (f := int(fp[k])) not in least or (ids[i + k] is not None and rank(i + k) < rank(i + least[f])):
-                        least[f] = k
-                out += [(i + k, f, found[begin[k] : begin[k + 1]].tobytes()) for f, k in least.items()]
+                    f, r = (int(fp[k]), int(fq[k])), rank(i + k)
+                    if f not in told or (not r[0] and r < told[f]):
+                        told[f], least[f] = r, k
+                out += [(i + k, *f, found[begin[k] : begin[k + 1]].tobytes()) for f, k in least.items()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "fp", "tokens"]
+                [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)), pa.array([o[3] for o in out], pa.binary())],
+                names=["own_id", "fp", "fq", "tokens"],
             )
 
-    members = family.join(nodes, "fp").withColumn("band", band(F.col("n"))).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    cells = members.groupBy("family", "band").agg(F.sum(F.greatest("n", F.lit(LEAST_TOKENS))).alias("cell"))
+    members = family.join(nodes, "fp").withColumn("band", band(F.col("n")))
+    cells = members.groupBy("family", "band").agg(F.sum(F.greatest("n", F.lit(LEAST_TOKENS))).alias("cell"), F.count(F.lit(1)).alias("members"))
     # of each family's bands, a logarithm of the longest text: how many blocks each has, and those beside it
     bands_of = Window.partitionBy("family")
     beside = bands_of.orderBy("band")
@@ -296,32 +336,34 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     next_to = lambda f, d: F.when(~F.col("small") & (f("band").over(beside) == F.col("band") + d), f("parts").over(beside))
     # a family that fits one task is one cell
     cell = F.when(F.col("small"), 0).otherwise(F.col("band")).alias("cell")
-    planned = parts.select("family", "band", cell, "parts", next_to(F.lead, 1).alias("above"), next_to(F.lag, -1).alias("below"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = members.join(planned, ["family", "band", "salt"]).drop("band").withColumnRenamed("cell", "band")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    planned = parts.select("family", "band", cell, "parts", "members", next_to(F.lead, 1).alias("above"), next_to(F.lag, -1).alias("below"))
+    dealt = spread_join(members, planned, ["family", "band"], "members", [F.col("node")]).drop("band", "members").withColumnRenamed("cell", "band")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # the pairs of blocks a set takes part in: (band, block) of side 0, (band, block) of side 1
     meet = F.expr("""
         concat(
           transform(sequence(0, parts - 1), j -> struct(band AS p, least(own, j) AS i, band AS q, greatest(own, j) AS j, int(own > j) AS side)),
           if(above IS NULL, array(), transform(sequence(0, above - 1), j -> struct(band AS p, own AS i, band + 1 AS q, j AS j, 0 AS side))),
           if(below IS NULL, array(), transform(sequence(0, below - 1), j -> struct(band - 1 AS p, j AS i, band AS q, own AS j, 1 AS side))))""")
-    placed = dealt.select("fp", "rep", "n", "copies", "family", meet.alias("meet"))
-    held = rows.mapInArrow(gather, f"doc_id {kind}, fp long, tokens binary").withColumnRenamed("doc_id", "own_id")
-    sets = held.join(placed, "fp").where(F.col("own_id").eqNullSafe(F.col("rep"))).select("fp", "n", "copies", "family", "tokens", F.explode("meet").alias("at"))
-    keyed = sets.select("family", "at.p", "at.i", "at.q", "at.j", "at.side", "fp", "n", "copies", "tokens")
-    linked = checkpointed(keyed.groupBy("family", "p", "i", "q", "j").applyInPandas(_verify(percent), "a long, b long, links long"))
+    placed = dealt.select("node", "fp", "fq", "rep", "n", "copies", "family", meet.alias("meet"))
+    held = rows.mapInArrow(gather, f"own_id {kind}, fp long, fq long, tokens binary")
+    sets = spread_join(held, placed, ["fp", "fq"], "copies", [F.col("own_id")]).where(F.col("own_id").eqNullSafe(F.col("rep")))
+    keyed = sets.select("family", "node", "n", "copies", "tokens", F.explode("meet").alias("at")).select("family", "at.p", "at.i", "at.q", "at.j", "at.side", "node", "n", "copies", "tokens")
+    linked = checkpointed(keyed.groupBy("family", "p", "i", "q", "j").applyInArrow(_verify(percent), "a long, b long, links long"))
 
     roots = components(linked.where("a <> b").select("a", "b"))
-    links = linked.groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    whole = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component"))
-    named = whole.join(least, "root").join(links, "fp", "left").select("fp", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    some = listed.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
-    return some.unionByName(listed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    links = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = whole.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("members"))
+    near = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    named = spread_join(whole, least, ["root"], "members", [F.col("node")]).join(links, "node", "left").select("fp", "fq", "copies", "component", near.alias("n_links"))
+    ended = spread_join(some, named, ["fp", "fq"], "copies", [F.col("doc_id"), F.spark_partition_id()])
+    ended = ended.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    return ended.unionByName(listed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
@@ -333,7 +375,8 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a),
 r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
-SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id
-FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id, coalesce(any_value(n_links), 0) AS n_links
+FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY w.doc_id
 """

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from turnlake.llm.common import held_out, table
+from turnlake.llm.common import checkpointed, held_out, spread_join, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # sorts as doc_id does, nulls last
     order = F.coalesce(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("null"))
     key = F.concat_ws(" ", order, F.hex(F.xxhash64("text")))
-    keyed = docs.select(key.alias("row_key"), F.struct(*docs.columns).alias("row"), "text")
-    found = ngram_join.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_key"))
-    return keyed.drop("text").join(gone, "row_key", "left_anti").dropDuplicates(["row_key"]).select("row.*")
+    found = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text"))
+    # what is decided of each key; the texts meet it once, and neither sorts nor groups hold them
+    decided = checkpointed(found.groupBy(F.col("doc_id").alias("row_key")).agg(F.first(F.expr("doc_id = component_id")).alias("stays"), F.count(F.lit(1)).alias("copies")))
+    keyed = docs.select(key.alias("row_key"), F.struct(*docs.columns).alias("row"))
+    met = spread_join(keyed, decided.hint("shuffle_hash"), ["row_key"], "copies", [F.spark_partition_id()]).where("stays")
+    if decided.where("copies > 1").isEmpty():
+        return met.select("row.*")
+    single, repeated = met.where("copies = 1"), met.where("copies > 1").dropDuplicates(["row_key"])
+    return single.unionByName(repeated).select("row.*")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
