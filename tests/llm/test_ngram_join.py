@@ -148,6 +148,19 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_large_star_beside_others(spark):
+    # one centre has nearly all edges, far above a task's share
+    edges = [(k, 7) for k in range(8, 4000)] + [(k, k + 1) for k in range(10_000, 10_020)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert components._shape(frame.select(components.F.col("a").alias("u"), components.F.col("b").alias("v")))[2] is False
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = {r.node: r.root for r in components.components(frame.unionByName(spark.createDataFrame([(4000, 3999), (3, 3998)], "a long, b long"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert out == {3: 3, **{k: 3 for k in range(7, 4001)}, **{k: 10_000 for k in range(10_000, 10_021)}}
+
+
 def test_links_of_sets_larger_than_a_block_count_once(spark):
     # sets of more tokens than a block holds leave blocks of their family empty
     words = [f"w{k}" for k in range(400)]

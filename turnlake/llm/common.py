@@ -44,13 +44,20 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, told: list[Column], how: str = "inner") -> DataFrame:
+def uneven(spark: SparkSession, most: int, total: int) -> bool:
+    """Whether a key with most of the total rows has more than FULL times a task's share."""
+    return most * int(spark.conf.get("spark.sql.shuffle.partitions")) > FULL * total
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, told: list[Column], how: str = "inner", hot: bool = True) -> DataFrame:
     """rows joined with groups (one row a key, with the number of rows that carry it) where a key may hold most rows.
 
     Keys are dealt into BUCKETS by hash. A bucket that holds more than its share of the rows is split into
     parts by the hash of told, and its groups are repeated in each, so no key is one task's. Broadcast are
-    BUCKETS numbers.
+    BUCKETS numbers. Where the caller knows that no key is hot, it is a plain join.
     """
+    if not hot:
+        return rows.join(groups, on, how)
     named = F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int").alias("_bucket")
     filled = groups.groupBy(named).agg(F.sum(weight).alias("_filled"))
     share = F.greatest(F.sum("_filled").over(Window.partitionBy()) / BUCKETS, F.lit(1.0)) * FULL

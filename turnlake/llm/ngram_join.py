@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.blocks import mix, ranges, sums, texts, words
-from turnlake.llm.common import checkpointed, spread_join, table
+from turnlake.llm.common import checkpointed, spread_join, table, uneven
 from turnlake.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-BLOCK_TOKENS = 64_000
-#: A smaller set counts as this many tokens in a block, so that a block holds 1,000 sets or so at most.
+BLOCK_TOKENS = 32_000
+#: A smaller set counts as this many tokens in a block, so that a block holds 500 sets or so at most.
 LEAST_TOKENS = 64
 #: Tokens that two blocks are compared on at once.
 WIDE = 2048
@@ -257,6 +257,8 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         nodes = nodes.unionByName(apart.select(F.xxhash64("fp", "fq").alias("node"), "fp", "fq", "rep", "n", "copies"))
 
     most = listed.agg(F.max("n")).first()[0] or 0
+    copies, total = printed.agg(F.max("copies"), F.sum("copies")).first()
+    hot = uneven(docs.sparkSession, copies or 0, total or 0)
     lows = bands(most, percent)
     band = lambda c: F.size(F.filter(F.array(*map(F.lit, lows)), lambda x: x <= c)) - 1
     # as many rows as bands: a logarithm of the longest text
@@ -347,17 +349,18 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
           if(below IS NULL, array(), transform(sequence(0, below - 1), j -> struct(band - 1 AS p, j AS i, band AS q, own AS j, 1 AS side))))""")
     placed = dealt.select("node", "fp", "fq", "rep", "n", "copies", "family", meet.alias("meet"))
     held = rows.mapInArrow(gather, f"own_id {kind}, fp long, fq long, tokens binary")
-    sets = spread_join(held, placed, ["fp", "fq"], "copies", [F.col("own_id")]).where(F.col("own_id").eqNullSafe(F.col("rep")))
+    sets = spread_join(held, placed, ["fp", "fq"], "copies", [F.col("own_id")], hot=hot).where(F.col("own_id").eqNullSafe(F.col("rep")))
     keyed = sets.select("family", "node", "n", "copies", "tokens", F.explode("meet").alias("at")).select("family", "at.p", "at.i", "at.q", "at.j", "at.side", "node", "n", "copies", "tokens")
     linked = checkpointed(keyed.groupBy("family", "p", "i", "q", "j").applyInArrow(_verify(percent), "a long, b long, links long"))
 
     roots = components(linked.where("a <> b").select("a", "b"))
     links = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("members"))
+    linking = checkpointed(nodes.join(roots, "node"))
+    least = linking.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("members"))
+    component = spread_join(linking.select("node", "root"), least, ["root"], "members", [F.col("node")]).select("node", "component")
     near = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
-    named = spread_join(whole, least, ["root"], "members", [F.col("node")]).join(links, "node", "left").select("fp", "fq", "copies", "component", near.alias("n_links"))
-    ended = spread_join(some, named, ["fp", "fq"], "copies", [F.col("doc_id"), F.spark_partition_id()])
+    named = nodes.join(component, "node", "left").join(links, "node", "left").select("fp", "fq", "copies", F.coalesce("component", "rep").alias("component"), near.alias("n_links"))
+    ended = spread_join(some, named, ["fp", "fq"], "copies", [F.col("doc_id"), F.spark_partition_id()], hot=hot)
     ended = ended.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
     return ended.unionByName(listed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
