@@ -42,10 +42,26 @@ def test_every_pass_has_a_row_and_the_passes_add_up(docs):
         assert x[0][2] == position and all(a[2] < b[2] for a, b in zip(x, x[1:]))
 
 
-def test_the_query_gives_rows_in_training_order(spark):
-    at = {r.doc_id: r.position for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
-    got = [(at[r.doc_id] is None, at[r.doc_id] or 0, r.doc_id) for r in mixing.op10_mixing(spark, SF).collect()]
-    assert len(got) == len(at) and got == sorted(got)
+def test_the_query_goes_through_the_curriculum(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    query = mixing.op10_mixing(spark, SF)
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in plan and "RepartitionByExpression" in plan
+    rows = query.collect()
+    assert len(rows) == len(at) and all(r.position == at[r.doc_id] for r in rows)
+    got = [(r.position is None, r.position or 0, r.doc_id) for r in rows]
+    assert got == sorted(got)
+    read = sorted((x.position, x.doc_id, x["pass"]) for x in mixing.passes(mixing.mix(docs)).collect())
+    first = {d: k for k, (_, d, p) in enumerate(read) if p == 0}
+    assert {r.doc_id: r.training_rank for r in rows if r.taken} == first
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "w", "a"), (None, "w w", "b"), (None, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(1).alias(c) for c in ("size", "key", "slice", "src", "target", "taken", "position", "pass")))
+    out = mixing.mix(docs).collect()
+    assert sorted(r.size for r in out) == [0, 1, 2, 300_000] and all(r.taken <= 3 * r.size for r in out)
 
 
 def test_slots_follow_the_position_through_the_last_stages(spark, docs):

@@ -143,3 +143,42 @@ def test_mixing_meets_targets_and_resharing(spark):
     positions = [r.position for r in mixing.in_training_order(mixing.mix(docs(spark, rows)), 3).collect()]
     assert positions == sorted(positions)
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_the_query_goes_through_the_state_machine(spark):
+    rows = chat_format.op9_chat_format(spark, "/root/testdata/sf0.001")
+    assert "user>assistant" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.conv_id: r.valid for r in rows.where("conv_id = -1").collect()} == {-1: True}
+
+
+def test_conversations_of_very_many_turns_and_clashing_columns(spark):
+    many = [(1, i, "assistant" if i % 2 else "user", f"text {i}", 0, 0) for i in range(20_000)]
+    turns = spark.createDataFrame([*many, (2, 0, "user", "x" * 300_000, 0, 0)], "conv_id long, turn long, role string, text string, turns int, segments int")
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(turns)).collect()}
+    assert out[1].valid and out[1].texts == [f"text {i}" for i in range(20_000)] and out[1].learned == "".join(f"text {i}" for i in range(1, 20_000, 2))
+    assert not out[2].valid and out[2].texts == ["x" * 300_000]
+
+
+def test_sharding_draws_are_the_weighted_hashes_recomputed(spark):
+    import xxhash
+
+    def hashed(*parts):  # Spark's: each value hashed with the hash before as its seed
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else int(x).to_bytes(8 if isinstance(x, float) else 4, "little"), seed)
+        return seed
+
+    def draw(key, nodes, level):
+        return min((-math.log(((hashed(key, level, i) >> 11) + 0.5) / 2**53) / w, i) for i, w in nodes)[1]
+
+    def plain(key, weights):
+        node = lambda size: {k: sum(weights[i] for i in range(len(weights)) if i // size == k) for k in {i // size for i in range(len(weights))}}
+        region = draw(key, node(sharding.REGION).items(), "region")
+        rack = draw(key, [(k, w) for k, w in node(sharding.RACK).items() if k * sharding.RACK // sharding.REGION == region], "rack")
+        return draw(key, [(i, w) for i, w in enumerate(weights) if i // sharding.RACK == rack], "shard")
+
+    rows = [(i * 7919, "t", "a") for i in range(400)] + [(None, "t", "a")]
+    weights = [1.0 + i % 3 for i in range(40)]
+    for r in sharding.shard(docs(spark, rows), weights).collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert r.shard == plain(key, weights) and r.grown_shard == plain(key, [*weights, sum(weights) / 40])

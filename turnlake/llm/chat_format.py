@@ -10,7 +10,8 @@ comes back exactly. Roles are URL-encoded in the header.
 Defined cases: a null text or role counts as empty; turns with the same number go by role, then
 text; repeated rows are turns of their own; rows with a null conv_id are one conversation;
 invalid orders are formatted too, and flagged; an empty table gives no rows; other columns are
-not looked at.
+not looked at, whatever their names. A conversation is one row of the result, and its digests run over
+its turns in order, so one of very many turns is one task's; nothing is cut from it.
 """
 
 from __future__ import annotations
@@ -94,6 +95,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.zip_with("roles", "texts", lambda r, x: F.concat(r, F.lit("\n"), x, F.lit("\n"))), "")
     return back.select(
         "conv_id",
+        "valid",
+        "bad_turn",
         F.size("roles").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"),
@@ -109,12 +112,17 @@ WITH c AS (
 e AS (
   SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2', 'g') AS escaped
   FROM c),
+m AS (
+  SELECT conv_id, role, CAST(row_number() OVER w - 1 AS INTEGER) AS nth, row_number() OVER back = 1 AS last,
+         lag(role, 1, '') OVER w || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS fits
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text), back AS (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC)),
+v AS (SELECT conv_id, min(nth) FILTER (NOT fits) AS bad_turn, bool_or(last AND role = 'assistant') AS closed FROM m GROUP BY conv_id),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
          coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learned,
          CAST(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
   FROM e GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
-FROM g
+SELECT g.conv_id, bad_turn IS NULL AND closed AS valid, bad_turn, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
+FROM g JOIN v ON g.conv_id IS NOT DISTINCT FROM v.conv_id
 """

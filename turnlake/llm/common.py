@@ -65,3 +65,16 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
     left = rows.select("*", named).join(F.broadcast(parts), "_bucket", how).withColumn("_part", F.pmod(F.xxhash64(*told), F.coalesce("_parts", F.lit(1))).cast("int"))
     right = groups.select("*", named).join(F.broadcast(parts), "_bucket").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     return left.drop("_bucket", "_parts").join(right.drop("_bucket", "_parts"), [*on, "_part"], how).drop("_part")
+
+
+def numbered(rows: DataFrame, by: list[str], within: str, order: list[Column]) -> DataFrame:
+    """rows with nth, from 0 without gaps in each group of by, in the order of within (a small whole number) and then order.
+
+    Each value of within is numbered by itself and moved up by the counts of the values before: no task sees
+    a whole group, and the counts are at most groups x values.
+    """
+    counts = rows.groupBy(*by, within).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(within))
+    before = counts.select(*by, within, (upto - F.col("_n")).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by, within).orderBy(*order)))
+    return placed.join(before, [*by, within]).withColumn("nth", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_before", "_place")

@@ -13,14 +13,18 @@ in closed form, and documents are range-sorted by that position. Supply goes on
 in pass k (from 0) the document starts k * source_size words later, and each pass of a document
 has a position of its own.
 
-Supply: documents of a source in md5(doc_id) order, whole passes first; the document in which
+Supply: documents of a source in the order of a digest of doc_id and text, whole passes first; the document in which
 the target falls gives only the words up to it, so a source takes exactly its rounded target. The
 running sum is taken within hash slices of a source plus the totals of the slices before, so a
-source that holds most rows is spread over many tasks.
+source that holds most rows, or rows without an id, are spread over many tasks. What the plan needs
+of a text is written once, as its size and digest.
 
-Defined cases: a null text has 0 words and takes none; a null doc_id orders as ''; a null source
+The training order is a range sort: every reading of a document gets its rank from RANGES ranges of
+the position, numbered by themselves and moved up by the counts of those before.
+
+Defined cases: a null text has 0 words and takes none; a null doc_id counts as ''; a text of any length is counted whole; a null source
 is a source of its own; repeated rows each count; a table without words takes nothing; an empty
-table gives no rows; other columns are not looked at.
+table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import table
+from turnlake.llm.common import checkpointed, numbered, table
 
 LIMIT = 3
 WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
-#: Hex digits of md5(doc_id) that name a slice.
+#: Hex digits of the digest that name a slice.
 SLICE_DIGITS = 3
+#: Ranges of the position that are numbered by themselves.
+RANGES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,8 +73,10 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("src"),
         F.col("source").isNull().alias("missing"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("key"),
     ).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    if not carry:  # a few numbers a row: the texts are read once
+        rows = checkpointed(rows)
     by = ["missing", "src", "slice"]
     sums = rows.groupBy(*by).agg(F.sum("size").alias("slice_size"))
     targets = _targets(sums.groupBy("missing", "src").agg(F.sum("slice_size").alias("source_size")))
@@ -95,39 +103,51 @@ def _position(start: Column, target: Column, s: Column) -> Column:
 def passes(mixed: DataFrame) -> DataFrame:
     """From what mix() returns one row for each pass over a document that takes words of it.
 
-    pass counts from 0; taken is what this pass takes, position where it begins.
+    pass counts from 0; taken is what this pass takes, total what all do, position where it begins.
     """
     size, nth = F.col("size"), F.col("pass")
     drawn = mixed.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / size).cast("int") - 1)))
     position = _position(nth * F.col("source_size") + F.col("start"), F.col("target"), F.col("slope"))
-    return drawn.withColumns({"position": position, "taken": F.least(size, F.col("taken") - nth * size)})
+    return drawn.withColumns({"position": position, "total": F.col("taken"), "taken": F.least(size, F.col("taken") - nth * size)})
 
 
-def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The rows that are taken, range-sorted by position."""
-    return _ordered(mixed.where("taken > 0"), partitions)
+def in_training_order(drawn: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The rows that passes() drew, range-sorted by position."""
+    n = partitions or int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("position"), F.col("doc_id")]
+    return drawn.where("taken > 0").repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
-def _ordered(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The rows range-sorted by position, those that are not taken last."""
-    n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
-    return mixed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+def ranked(drawn: DataFrame) -> DataFrame:
+    """The rows that passes() drew with training_rank, from 0, in the order of position."""
+    ranges = F.least(F.floor(F.col("position") * RANGES), F.lit(RANGES - 1)).cast("int")
+    placed = numbered(drawn.withColumns({"all": F.lit(0), "range": ranges}), ["all"], "range", [F.col("position"), F.col("doc_id"), F.col("pass")])
+    return placed.withColumnRenamed("nth", "training_rank").drop("all", "range")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document, in the order of their first passes; the columns are those of SQL."""
-    return _ordered(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    """One row for each document: in the order in which training first reads them, those it never reads last.
+
+    position and training_rank are those of the first reading, among all readings; n_passes counts them.
+    """
+    mixed = mix(table(spark, sf_dir, "documents"))
+    told = ["doc_id", "size", "source_size", "target"]
+    read = ranked(passes(mixed)).where("pass = 0").select(*told, F.col("total").alias("taken"), F.ceil(F.col("total") / F.col("size")).cast("long").alias("n_passes"), "position", "training_rank")
+    unread = mixed.where("taken = 0").select(*told, "taken", F.lit(0).cast("long").alias("n_passes"), F.lit(None).cast("double").alias("position"), F.lit(None).cast("long").alias("training_rank"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("training_rank").asc_nulls_last(), F.col("doc_id")]
+    return read.unionByName(unread).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS missing, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS missing, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
   SELECT missing, src, CAST(sum(size) AS BIGINT) AS source_size,
-         1 + (row_number() OVER (ORDER BY missing, src) - 1) % 3 AS weight
+         1 + (row_number() OVER (ORDER BY missing, src) - 1) % 3 AS weight,
+         CAST([-0.5, 0.0, 0.5][1 + (row_number() OVER (ORDER BY missing, src) - 1) % 3] AS DOUBLE) AS slope
   FROM d GROUP BY missing, src),
 c AS (SELECT *, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
 l AS (
@@ -138,15 +158,26 @@ l AS (
          before AS (ORDER BY cap / weight, missing, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          rest AS (ORDER BY cap / weight, missing, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (
-  SELECT missing, src, source_size,
+  SELECT missing, src, source_size, slope,
          CASE WHEN found IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), found * weight) END AS target
   FROM l, (SELECT arg_min(level, nth) FILTER (level * weight < cap) AS found FROM l)),
 r AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
+  SELECT doc_id, size, source_size, target, slope, CAST(floor(target + 0.5) AS BIGINT) AS budget,
          CAST(sum(size) OVER (PARTITION BY missing, src ORDER BY k, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-  FROM d JOIN t USING (missing, src))
-SELECT doc_id, size, source_size, target,
-       CAST(size * CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
-            + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size - start)) AS BIGINT) AS taken
-FROM r
+  FROM d JOIN t USING (missing, src)),
+m AS (
+  SELECT *, row_number() OVER () AS row,
+         CAST(size * CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
+              + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size - start)) AS BIGINT) AS taken
+  FROM r),
+p AS (
+  SELECT row, doc_id, pass, slope, least(1.0::DOUBLE, CAST(pass * source_size + start AS DOUBLE) / target) AS share
+  FROM (SELECT *, unnest(range((taken + size - 1) // size)) AS pass FROM m WHERE taken > 0)),
+q AS (
+  SELECT *, CASE WHEN slope = 0 THEN share
+            ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope) END AS position
+  FROM p),
+o AS (SELECT row, pass, position, row_number() OVER (ORDER BY position, doc_id, pass) - 1 AS training_rank FROM q)
+SELECT doc_id, size, source_size, target, taken, CAST(CASE WHEN taken > 0 THEN (taken + size - 1) // size ELSE 0 END AS BIGINT) AS n_passes, position, training_rank
+FROM m LEFT JOIN o ON o.row = m.row AND pass = 0
 """

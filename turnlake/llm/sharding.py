@@ -6,23 +6,23 @@ shards weigh. A changed weight therefore moves rows only into or out of the chan
 Regions hold REGION shards and racks hold RACK; where the regions are full, one more shard opens
 a region of its own, and so takes rows only into itself (law `key`).
 
-Slots are numbered in (slice, doc_id) order, or by a given training position, whose slices are ranges of it: rows are dealt into SLICES hash slices of each
-shard, numbered within them and moved up by the counts of the slices before. No task sees a
-whole shard, and the counts are at most shards x slices rows.
+Slots are numbered by slices of each shard: the rows' hash (of key, checksum and size) deals them into
+SLICES, or a given training position does, whose slices are ranges of it. No task sees a whole shard,
+nor all rows that share a key, and the counts are at most shards x slices rows.
 
 Defined cases: a null text has no bytes (size 16, crc 0); a null doc_id is the key ''; repeated
-rows share a shard and get slots of their own; an empty table gives no rows; other columns are
-not looked at.
+rows share a shard and get slots of their own; a text of any length is only measured; an empty table
+gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import table
+from turnlake.llm.common import numbered, table
 
 REGION, RACK, SLICES = 8, 4, 256
 SHARDS = 40
@@ -58,23 +58,21 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown: Se
     position: a column of numbers from 0 to 1 that slots follow and that is returned too; nulls come last.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     told = [position] if position else []
-    sliced = F.least(F.floor(F.coalesce(F.col(position), F.lit(1.0)) * SLICES), F.lit(SLICES - 1)) if position else F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(SLICES))
+    sliced = F.least(F.floor(F.coalesce(F.col(position), F.lit(1.0)) * SLICES), F.lit(SLICES - 1)) if position else F.pmod(F.xxhash64(key, crc, size, F.lit("slice")), F.lit(SLICES))
     rows = docs.select(
         *told,
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
+        size.alias("size"),
+        crc.alias("text_crc32"),
         tree_shard(key, weights).alias("shard"),
         tree_shard(key, grown or [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
         sliced.cast("int").alias("slice"),
     )
-    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "slice", (F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("before"))
-    within = rows.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "slice").orderBy(*(F.col(c).asc_nulls_last() for c in told), "doc_id", "text_crc32", "size")))
-    return within.join(before, ["shard", "slice"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard", *told
-    )
+    placed = numbered(rows, ["shard"], "slice", [*(F.col(c).asc_nulls_last() for c in told), F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("nth").alias("slot"), "grown_shard", *told)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
