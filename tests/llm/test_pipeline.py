@@ -41,9 +41,11 @@ def test_stages_keep_what_brute_force_keeps(spark):
                 root[y] = x
     single = stages.near_copies(spark, known, SF)
     assert sorted(r.doc_id for r in single.collect()) == sorted({top(d) for d in ids})
-    auto = [decontaminate._automaton(b) for b in decontaminate._blocks(spark.read.parquet(f"{SF}/benchmark.parquet"), 13, 10**7)]
+    (block,) = decontaminate.windows(spark.read.parquet(f"{SF}/benchmark.parquet"))
+    auto = decontaminate.automaton(block)
+    scanned = lambda t: decontaminate.judged(t, decontaminate.occurrences(decontaminate._spaced(t)[1], auto))
     clean = stages.uncontaminated(spark, single, SF)
-    want = [r for r in single.collect() if not (lambda n, h: h and 20 * h >= n)(*decontaminate.scan_text(r.text, auto)[:2])]
+    want = [r for r in single.collect() if not (lambda n, h: h and 20 * h >= n)(*scanned(r.text)[:2])]
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in want) and clean.columns == docs.columns
     drawn = Counter(r.doc_id for r in stages.mixed(spark, clean, SF).collect())
     taken = {r.doc_id: -(-r.taken // r.size) for r in stages.mixing.mix(clean).collect() if r.taken}
@@ -78,7 +80,7 @@ def test_stages_with_odd_rows_and_clashing_columns(spark):
 def test_results_replace_columns_of_their_names(spark):
     docs = spark.createDataFrame([(1, "the day", "x", "y", "z", "w")], "doc_id long, text string, n_words string, lang_pred string, Score string, n_lines string")
     assert decontaminate.find_contamination(docs, spark.createDataFrame([(1, "the")], "item_id long, text string")).first().n_words == 2
-    model = language_id.learned(["en", "fr"], np.ones((2, language_id.DIM)))
+    model = language_id.learned(["en", "fr"], language_id.codewords(2), np.ones(2), np.ones((1, 2, language_id.DIM)))
     assert language_id.identify(docs, model).select("lang_pred", "score").first().lang_pred in ("en", "fr")
     fitted = quality_crf.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality_crf.score(docs, fitted).select("score", "n_lines").first().n_lines == 1

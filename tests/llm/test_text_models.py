@@ -1,7 +1,9 @@
 """Decontamination, quality and language identification against brute force and held-out rows."""
 
 import itertools
+import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,14 @@ def _brute(text, items):
     return len(words), len(hit), sorted(found), words, hit
 
 
-@pytest.mark.parametrize("most", [4_000_000, 150])
-def test_decontamination_equals_brute_force_in_one_block_or_many(spark, most):
+@pytest.mark.parametrize(("most", "sweep"), [(4_000_000, 1), (150, 1 << 20), (40, 40)])
+def test_decontamination_equals_brute_force_in_one_block_or_many(spark, most, sweep):
     item = "Alpha beta, Gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron É-é 12"
     items = [(1, item), (10, "Short é One"), (2, None), (3, "!!"), (4, "short é one"), (5, "aa aa aa aa aa aa aa aa aa aa aa aa aa")]
     texts = [None, "", "?!", f"x {item.upper().replace('É', 'É')} y", item, "short É one short é one! shorté one", "aa " * 40, "\x00Short\x7fé one" + " filler" * 200, "é" * 9 + " short é one é"]
     docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)] + [(3, texts[3], "q")], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.find_contamination(docs.select("doc_id", "text"), bench, 13, most).collect()
+    out = decontaminate.find_contamination(docs.select("doc_id", "text"), bench, 13, most, sweep).collect()
     assert len(out) == len(texts) + 1
     for r in out:
         n, h, found, words, hit = _brute(texts[r.doc_id], items)
@@ -46,6 +48,20 @@ def test_decontamination_equals_brute_force_in_one_block_or_many(spark, most):
     assert all(r.n_hit == 0 for r in decontaminate.find_contamination(docs.select("doc_id", "text"), bench.limit(0)).collect())
 
 
+def test_a_long_item_is_cut_and_automata_are_built_once_a_sweep(spark):
+    item = " ".join(f"w{k}" for k in range(400))
+    blocks_of = list(decontaminate.windows(spark.createDataFrame([(1, item), (2, item)], "item_id long, text string"), 13, 9000))
+    assert len(blocks_of) > 3 and all(9000 <= sum(map(len, b)) < 9100 for b in blocks_of[:-1]) and {k for b in blocks_of for v in b.values() for k in v} == {"1", "2"}
+    rows = [(i, f"x {item} y" if i % 50 == 0 else f"plain text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = decontaminate.find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), 13, 9000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in out if r.n_hit} == {i: (400, ["1"]) for i in range(0, 3000, 50)}
+
+
 def test_words_hash_like_words_whatever_the_cut(monkeypatch):
     texts = ["", "The cat the CAT\x0bThé", " lead", "x" * 300, "a b " * 200, ""]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -54,7 +70,6 @@ def test_words_hash_like_words_whatever_the_cut(monkeypatch):
     seen = {}
     for block in (2 << 20, 16):
         monkeypatch.setattr(blocks, "BLOCK", block)
-        blocks._powers.clear()
         h, rows = blocks.words(data, offsets)
         assert list(rows) == [i for _, i in want]
         for x, (w, _) in zip(h.tolist(), want):
@@ -83,9 +98,71 @@ def test_language_edge_cases(spark):
         assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= (1 if k < 4 else 3)
 
 
+def _model(langs, seen):
+    """The model of these counts (languages x DIM)."""
+    code, mass = language_id.codewords(len(langs)), seen.sum(1) + 0.1 * language_id.DIM
+    total = np.array([[sum((seen[k] / mass[k] for k in np.flatnonzero(bit == side)), np.zeros(language_id.DIM)) for side in (-1, 1)] for bit in code.T])
+    return language_id.learned(langs, code, mass, total)
+
+
+def _grams(text):
+    low = [x if 97 <= x <= 122 or x >= 128 else 32 for x in b" " + text.lower().encode() + b" "]
+    for n in language_id.ORDERS:
+        for i in range(len(low) - n + 1):
+            g = low[i : i + n]
+            if not any(a == b == 32 for a, b in zip(g, g[1:])):
+                yield (sum(x << 8 * k for k, x in enumerate(g)) + n * 0x01000193) * 2654435761 % 2**32 >> 18
+
+
+def test_the_query_equals_counts_margins_and_decoding_recomputed(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [r for r in rows if len(r.text or "") < 6000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = {r.doc_id: list(_grams(r.text or "")) for r in rows}
+    learn = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    langs = sorted({r.lang for r in learn})
+    dim, seen = language_id.DIM, {x: {} for x in langs}
+    for r in learn:
+        for g in grams[r.doc_id]:
+            seen[r.lang][g] = seen[r.lang].get(g, 0) + 1
+    share = {x: [0.1 / (sum(seen[x].values()) + 0.1 * dim)] * dim for x in langs}
+    for x in langs:
+        for g, n in seen[x].items():
+            share[x][g] = (n + 0.1) / (sum(seen[x].values()) + 0.1 * dim)
+    bits = [[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for i in range(len(langs))] for b in range(2 ** (len(langs) - 1) - 1)]
+    tables, weights = [], []
+    for bit in bits:
+        pos, neg = ([sum(c) / len(c) for c in zip(*(share[x] for x, b in zip(langs, bit) if b == s))] for s in (1, -1))
+        tables.append([math.log(a / b) for a, b in zip(pos, neg)])
+        weights.append(sum((a - b) * t for a, b, t in zip(pos, neg, tables[-1])))
+    out = {r.doc_id: r for r in language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select("text", "lang"))).collect()}
+    for r in rows:
+        g = grams[r.doc_id]
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == ("und", 0)
+            continue
+        margin = [sum(t[x] for x in g) / len(g) for t in tables]
+        cost = [sum(w / sum(weights) * math.log1p(math.exp(-6 * m * bit[k])) for m, w, bit in zip(margin, weights, bits)) for k in range(len(langs))]
+        p = [math.exp(-6 * (c - min(cost))) for c in cost]
+        assert out[r.doc_id].lang_pred == langs[p.index(max(p))] and abs(out[r.doc_id].score - max(p) / sum(p)) < 1e-4
+        assert out[r.doc_id].ambiguous == (sorted(p)[-2] > 0.5 * max(p))
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = [f"l{k:03d}" for k in range(300)]
+    words = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for x in names}
+    said = lambda x: " ".join(rng.choice(words[x], 60))
+    docs = spark.createDataFrame([(k, said(x), x) for k, x in enumerate(names * 2)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "HELD_LANGS", 20)
+    out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs.where("doc_id < 300").select("text", "lang"))).collect()
+    assert np.mean([r.lang_pred == names[r.doc_id % 300] for r in out]) > 0.95
+
+
 def test_language_of_a_text_does_not_depend_on_the_rows_beside_it():
     seen = np.random.default_rng(3).integers(1, 50, (4, language_id.DIM)).astype(float)
-    model = language_id.learned(["a", "b", "c", "d"], seen)
+    model = _model(["a", "b", "c", "d"], seen)
     texts = ["the cat", "", "x", None, "été, 12 -- ab", "ab", "  der  Tag ", "zz"]
     together = list(zip(*language_id.predict(model, pa.array(texts))))
     alone = [next(zip(*language_id.predict(model, pa.array([t], pa.string())))) for t in texts]
@@ -111,6 +188,58 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(pairs, joint) and abs(total - z) < 1e-9
 
 
+def test_scores_equal_enumerated_labels_and_plain_features(spark):
+    rng = np.random.default_rng(7)
+    texts = ["One line of plain text.", "A B! c |\n\nthe the cat 12 ## Ünï", "", "x\ny z\nX|y\n" + "w" * 90]
+    model = quality_crf.Model(rng.normal(size=quality_crf.FEATURES + 1) * 0.3, rng.normal(size=(2, 2)), rng.normal(size=quality_crf.FEATURES), rng.uniform(0.5, 2, quality_crf.FEATURES), (1.3, -0.2))
+
+    def own(line, seen):
+        kind = lambda f: sum(1 for c in line if f(c))
+        wide, size = sum(len(c.encode()) for c in line if ord(c) > 127), len(line.encode())
+        upper, lower, digit, space = (kind(lambda c, s=s: c in s) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\x0b\x0c"))
+        mark, bang, pipe, stop = (kind(lambda c, s=s: c in s) for s in ("#$%&*@^~_=<>{}[]\\", "!", "|", ".,;:?"))
+        other = size - wide - upper - lower - digit - space - mark - bang - pipe - stop
+        words = line.lower().split()
+        repeat = 0
+        for w in words:
+            repeat += w in seen
+            seen.add(w)
+        n, root = max(len(words), 1), lambda x: math.sqrt(x / max(size, 1))
+        return [upper / max(upper + lower, 1), *map(root, (mark, bang, pipe, digit, other, stop, space)), repeat / n, sum(a == b for a, b in zip(words, words[1:])) / n, math.log1p(size), min(size / (space + 1), 40) / 10, root(wide), float(size == 0), float(stop + bang > 0), float(upper > 0 and lower == 0)]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_crf.score(docs, model).collect():
+        lines, seen = texts[r.doc_id].split("\n"), set()
+        base = [own(x, seen) for x in lines]
+        flat = [0.0] * 10
+        unary = []
+        for i, f in enumerate(base):
+            x = [*f, *(base[i - 1][:10] if i else flat), *(base[i + 1][:10] if i + 1 < len(base) else flat), float(i == 0), float(i + 1 == len(base))]
+            unary.append(sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weight)) + model.weight[-1])
+        good, z = [0.0] * len(lines), 0.0
+        for ys in itertools.product((0, 1), repeat=len(lines)):
+            p = math.exp(sum(u * y for u, y in zip(unary, ys)) + sum(model.step[a, b] for a, b in zip(ys, ys[1:])))
+            z += p
+            good = [g + p * y for g, y in zip(good, ys)]
+        size = [len(x.encode()) + 1 for x in lines]
+        mean = sum(g / z * n for g, n in zip(good, size)) / sum(size)
+        assert abs(r.score - 1 / (1 + math.exp(-(1.3 * math.log(mean / (1 - mean)) - 0.2)))) < 1e-9, texts[r.doc_id]
+        assert (r.n_lines, r.n_good) == (len(lines), sum(g / z >= 0.5 for g in good))
+
+
+def test_learning_takes_long_texts_and_bounds_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda x, size, first, label: seen.append((np.diff(first).tolist(), label.tolist())))
+    docs = spark.createDataFrame([(k, "good line of text\n" * (2000 if k % 5 == 0 else 3)) for k in range(60)] + [(7, "twice")] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    quality_crf.fit(docs, labels, 30)
+    quality_crf.fit(docs, labels, 30, 5000)
+    quality_crf.fit(docs, labels, 100, 10**6)
+    assert len(seen[0][0]) == 30 and 2001 in seen[0][0]
+    assert sum(seen[1][0]) <= 5000 and seen[1][0] == seen[0][0][: len(seen[1][0])] and len(seen[1][0]) < 30
+    assert len(seen[2][0]) == 100  # rows that repeat an id count each, within the bound
+
+
 def test_line_features_count_lines_of_empty_and_ragged_texts():
     texts = ["", "a\n\nb\n", "", "one line", "\n"]
     data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])

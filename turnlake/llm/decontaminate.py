@@ -6,14 +6,17 @@ of fewer words is one window) is a pattern of one automaton; a text is scanned o
 occurrence is found, overlapping ones too. Hit words are mapped back to code points of the
 original text.
 
-The automaton is built from a block of at most BLOCK_CHARS pattern characters and broadcast; a
-larger benchmark streams through the driver in several such blocks, and a task works through
-them one after another, so memory stays bounded whatever its size.
+An automaton holds MOST pattern characters (about 250 MB); items are cut wherever one is full. A
+benchmark with more of them streams through the driver in several, each broadcast; a task then
+gathers SWEEP characters of text and works them through one automaton after another, so memory
+stays bounded and each is built once a sweep. (Words as letters would make patterns a sixth as
+long, but the automaton looks its children up one by one, and the root would have thousands:
+measured on sf0.1 that took twice as long.)
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
-window; equal items all count; a null item_id counts as ''; repeated rows are judged each; empty
-tables give no rows or no hits; other columns pass through, but one with the name of a result
-gives way to it.
+window; equal items all count; a null item_id counts as ''; repeated rows are judged each; a text or
+item of any length is worked on whole; empty tables give no rows or no hits; other columns pass
+through, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import table
 
 WINDOW = 13
-BLOCK_CHARS = 4_000_000
+MOST, SWEEP = 4_000_000, 32 << 20
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -45,26 +48,26 @@ def _pattern(words: list[bytes]) -> str:
     return f" {b' '.join(words).decode('latin-1')} "
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[str]:
-    words = _spaced(text)[1]
-    return [_pattern(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-
-
-def _blocks(bench: DataFrame, size: int, most: int) -> Iterator[dict[str, list[str]]]:
+def windows(bench: DataFrame, size: int = WINDOW, most: int = MOST) -> Iterator[dict[str, list[str]]]:
+    """The windows of all items and the items that hold each, so many characters of them in a block."""
     block: dict[str, list[str]] = {}
     chars = 0
     for r in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").toLocalIterator():
-        for w in dict.fromkeys(windows(r.text, size)):
-            block.setdefault(w, []).append(r.item_id)
-            chars += len(w)
-        if chars >= most:
-            yield block
-            block, chars = {}, 0
+        words = _spaced(r.text)[1]
+        for i in range(max(1, len(words) - size + 1) if words else 0):
+            if chars >= most:
+                yield block
+                block, chars = {}, 0
+            w = _pattern(words[i : i + size])
+            items = block.setdefault(w, [])
+            chars += 0 if items else len(w)
+            if not items or items[-1] != r.item_id:
+                items.append(r.item_id)
     if block:
         yield block
 
 
-def _automaton(block: dict[str, list[str]]):
+def automaton(block: dict[str, list[str]]):
     a = ahocorasick.Automaton()
     for w, items in block.items():
         a.add_word(w, (w.count(" ") - 1, len(w), items))
@@ -72,22 +75,24 @@ def _automaton(block: dict[str, list[str]]):
     return a
 
 
-def scan_text(text: str | None, automata) -> tuple[int, int, list[str], list[dict]]:
-    """Words, hit words, items and spans (start, stop: code points) of a text."""
-    flat, words = _spaced(text)
-    if not words:
-        return 0, 0, [], []
-    plain, found = _pattern(words), []
-    for a in automata:
-        found += a.iter(plain)
+def occurrences(words: list[bytes], a) -> list[tuple[int, int, list[str]]]:
+    """First word, word after the last, items of each occurrence."""
+    plain = _pattern(words)
+    found = list(a.iter(plain))
     if not found:
-        return len(words), 0, [], []
+        return []
     gaps = np.flatnonzero(np.frombuffer(plain.encode("latin-1"), np.uint8) == 32)
+    first = np.searchsorted(gaps, [end - length + 1 for end, (_, length, _) in found]).tolist()
+    return [(i, i + n, items) for i, (_, (n, _, items)) in zip(first, found)]
+
+
+def judged(text: str | None, found: list[tuple[int, int, list[str]]]) -> tuple[int, int, list[str], list[dict]]:
+    """Words, hit words, items and spans (start, stop: code points) of a text with these occurrences."""
+    flat, words = _spaced(text)
     edge, items = np.zeros(len(words) + 1, np.int64), set()
-    for end, (n, length, own) in found:
-        first = int(np.searchsorted(gaps, end - length + 1))
+    for first, stop, own in found:
         edge[first] += 1
-        edge[first + n] -= 1
+        edge[stop] -= 1
         items.update(own)
     hit = np.cumsum(edge[:-1]) > 0
     spans, body, at, point = [], (text or "").encode(), 0, 0
@@ -104,55 +109,56 @@ def scan_text(text: str | None, automata) -> tuple[int, int, list[str], list[dic
 
 FOUND = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 _FOUND_DDL = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
-_built: dict[tuple[str, int], object] = {}  # in a Python worker: the automaton of the block at hand
+_built: dict[tuple[str, int], object] = {}  # in a Python worker: the automaton at hand
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, most: int = BLOCK_CHARS) -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, most: int = MOST, sweep: int = SWEEP) -> DataFrame:
     """The columns of docs without the text, and n_words, n_hit, items, spans for each row."""
     context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(b) for b in _blocks(bench, size, most)]
+    sent = [context.broadcast(b) for b in windows(bench, size, most)]
     keep = [c for c in docs.columns if c.lower() not in ("text", *FOUND.names)]
-
     name = uuid.uuid4().hex
 
     def automata():
         for k, b in enumerate(sent):
             if (name, k) not in _built:
                 _built.clear()
-                _built[name, k] = _automaton(b.value)
+                _built[name, k] = automaton(b.value)
             yield _built[name, k]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column(batch.schema.get_field_index("text"))
-            rows = []
-            if len(sent) == 1:
-                rows = [scan_text(t.as_py(), automata()) for t in col]
-            else:  # block by block, so that each automaton is built once a batch
-                parts = [[scan_text(t.as_py(), [a]) for t in col] for a in automata()] or [[scan_text(t.as_py(), []) for t in col]]
-                rows = [_merged(t.as_py(), list(p)) for t, p in zip(col, zip(*parts))]
+    def worked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [b.column(b.schema.get_field_index("text")) for b in held]
+        count = [np.zeros(len(col), np.int64) for col in cols]
+        found: list[dict[int, list]] = [{} for _ in cols]  # of the rows that have any
+        for k, a in enumerate(automata() if sent else [None]):
+            for col, n, hits in zip(cols, count, found):
+                for i, t in enumerate(col):
+                    words = _spaced(t.as_py())[1]
+                    if not k:
+                        n[i] = len(words)
+                    if a and words and (own := occurrences(words, a)):
+                        hits.setdefault(i, []).extend(own)
+        for batch, col, n, hits in zip(held, cols, count, found):
+            rows = [judged(col[i].as_py(), hits[i]) if i in hits else (int(n[i]), 0, [], []) for i in range(len(col))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array([r[i] for r in rows], FOUND.field(i).type) for i in range(4)], names=[*keep, *FOUND.names]
             )
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        chars = 0
+        for batch in batches:
+            held.append(batch)
+            chars += batch.column(batch.schema.get_field_index("text")).nbytes
+            if len(sent) <= 1 or chars >= sweep:
+                yield from worked(held)
+                held, chars = [], 0
+        yield from worked(held)
+
     ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), _FOUND_DDL])
     return docs.select(*(F.col(f"`{c}`") for c in [*keep, "text"])).mapInArrow(scan, ddl)
 
 
-def _merged(text: str | None, parts: list[tuple]) -> tuple:
-    """The result over several blocks: spans joined, words under them counted again."""
-    if len(parts) == 1 or not any(p[1] for p in parts):
-        return parts[0]
-    spans: list[dict] = []
-    for s in sorted((s for p in parts for s in p[3]), key=lambda s: s["start"]):
-        if spans and s["start"] <= spans[-1]["stop"]:
-            spans[-1]["stop"] = max(spans[-1]["stop"], s["stop"])
-        else:
-            spans.append(dict(s))
-    hit = sum(len(_spaced(text[s["start"] : s["stop"]])[1]) for s in spans)
-    return parts[0][0], hit, sorted({i for p in parts for i in p[2]}), spans
-
-
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -8,13 +8,15 @@ weighted by loss: a bit weighs what its classifier tells apart on the training d
 language costs the weighted logistic losses of its codeword's bits, and the cheapest wins.
 A text is ambiguous where the runner-up costs nearly as little.
 
-Counts are summed inside each task, then by Spark; what reaches the driver is languages x DIM
-numbers (MAX_LANGS at most). Exhaustive codes up to 7 languages, beyond that rows of seeded bits,
-as far apart as a greedy choice gets them.
+Counts are summed inside each task, then by Spark; the two sides of each bit are summed from them
+likewise, as whole numbers of 2**-40 so that the order of sums doesn't matter. What reaches the
+driver is a total a language and bits x DIM numbers, and bits grow with the logarithm of the
+languages, of which there may be any number. Exhaustive codes up to 7 languages, beyond that rows
+of seeded bits, as far apart as a greedy choice gets them.
 
 Defined cases: a text that is null or has no letters is `und` with score 0; without training rows
 every text is; rows with a null lang are predicted but not learned from; repeated rows count each;
-an empty table gives no rows; lang, source and doc_id are never inputs; other columns pass
+a text of any length is worked on whole; an empty table gives no rows; lang, source and doc_id are never inputs; other columns pass
 through, but one with the name of a result gives way to it.
 """
 
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm.blocks import BLOCK
-from turnlake.llm.common import held_out, table
+from turnlake.llm.common import checkpointed, held_out, table
 
 ORDERS = (2, 3, 4)
 DIM = 1 << 14
-MAX_LANGS = 256
+#: Languages that a task counts before it passes their counts on.
+HELD_LANGS = 256
 SHARPNESS = 6.0
+SCALE = float(1 << 40)
 #: A text is ambiguous if the runner-up's probability is above this share of the winner's.
 AMBIGUOUS = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
@@ -57,12 +61,13 @@ def codewords(k: int) -> np.ndarray:
         return np.ones((k, 0), np.int8)
     if k <= 7:
         return np.array([[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for b in range(2 ** (k - 1) - 1)] for i in range(k)], np.int8)
-    bits, rng, rows = int(10 * np.ceil(np.log2(k))), np.random.default_rng(k), []
-    for _ in range(k):
+    bits, rng = int(10 * np.ceil(np.log2(k))), np.random.default_rng(k)
+    rows = np.zeros((k, bits), np.float32)
+    for i in range(k):
         tries = rng.choice(np.array([-1, 1], np.int8), (64, bits))
-        near = np.min([(tries != r).sum(1) for r in rows], axis=0) if rows else np.zeros(64)
-        rows.append(tries[int(np.argmax(near))])
-    code = np.array(rows)
+        alike = (tries.astype(np.float32) @ rows[:i].T).max(1) if i else np.zeros(64)
+        rows[i] = tries[int(np.argmin(alike))]
+    code = rows.astype(np.int8)
     return code[:, (code != code[0]).any(0)]
 
 
@@ -102,37 +107,60 @@ def fit(docs: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, v in sums.items():
+                at = np.flatnonzero(v)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            names = list(dict.fromkeys(langs))
-            index = np.array([names.index(x) for x in langs])
             for i, j, low, starts in _blocks(batch.column(0)):
-                row = np.repeat(index[i:j], np.diff(starts))
+                names = {x: k for k, x in enumerate(dict.fromkeys(langs[i:j]))}
+                row = np.repeat(np.array([names[x] for x in langs[i:j]]), np.diff(starts))
                 for bucket, fits in _grams(low):
-                    got = np.bincount((row[: len(bucket)] * DIM + bucket)[fits], minlength=len(names) * DIM).reshape(-1, DIM)
-                    for k, name in enumerate(names):
-                        sums[name] = sums[name] + got[k] if name in sums else got[k]
-        for name, v in sums.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
-
-    counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in known.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    seen = np.zeros((len(langs), DIM))
-    got = counts.toArrow()
-    place = {x: i for i, x in enumerate(langs)}
-    np.add.at(seen, (np.array([place[x] for x in got["lang"].to_pylist()], np.int64), got["bucket"].to_numpy()), got["n"].to_numpy())
-    return learned(langs, seen)
-
-
-def learned(langs: list[str], seen: np.ndarray) -> Model:
-    share = (seen + 0.1) / (seen.sum(1, keepdims=True) + 0.1 * DIM)
-    code = codewords(len(langs))
+                    key, n = np.unique((row[: len(bucket)] * DIM + bucket)[fits], return_counts=True)
+                    cut = np.searchsorted(key, np.arange(len(names) + 1) * DIM)
+                    for name, k in names.items():
+                        at = slice(cut[k], cut[k + 1])
+                        sums.setdefault(name, np.zeros(DIM, np.int64))[key[at] - k * DIM] += n[at]
+                if len(sums) > HELD_LANGS:
+                    yield from told()
+        yield from told()
+
+    counts = checkpointed(known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one a language
+    langs = sorted(totals)
+    code, mass = codewords(len(langs)), np.array([totals[x] + 0.1 * DIM for x in langs])
+    sent = docs.sparkSession.sparkContext.broadcast((langs, code, mass))
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, code, mass = sent.value
+        place = {x: i for i, x in enumerate(langs)}
+        total = np.zeros((code.shape[1], 2, DIM), np.int64)
+        for batch in batches:
+            of = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            bucket, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for k in np.unique(of):
+                mine = of == k
+                parts = np.rint(n[mine] / mass[k] * SCALE).astype(np.int64)
+                for bit, side in enumerate(code[k] > 0):
+                    total[bit, int(side), bucket[mine]] += parts
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.reshape(-1)[at])], names=["place", "n"])
+
+    got = counts.mapInArrow(sides, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((code.shape[1], 2, DIM))
+    total.reshape(-1)[got["place"].to_numpy()] = got["n"].to_numpy() / SCALE
+    return learned(langs, code, mass, total)
+
+
+def learned(langs: list[str], code: np.ndarray, mass: np.ndarray, total: np.ndarray) -> Model:
+    """From the smoothed number of n-grams of each language, and for each bit the summed n-gram shares of its sides 0 and 1."""
     tables, weights = [], []
-    for bit in code.T:
-        pos, neg = share[bit > 0].mean(0), share[bit < 0].mean(0)
+    for bit, sums in zip(code.T, total):
+        neg, pos = ((sums[k] + (0.1 / mass[bit == s]).sum()) / (bit == s).sum() for k, s in ((0, -1), (1, 1)))
         tables.append(np.log(pos) - np.log(neg))
         weights.append(float(((pos - neg) * tables[-1]).sum()))
     weight = np.array(weights) / max(sum(weights), 1e-12)

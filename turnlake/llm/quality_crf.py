@@ -7,12 +7,13 @@ by gradient steps on forward-backward expectations. A document's quality is the
 lines' forward-backward marginals, weighted by line length, and a logistic curve fitted to the
 document labels turns that into a score.
 
-Learning takes a bounded sample: labelled rows whose hash falls under TRAIN_DOCS over their
-number, texts of TRAIN_LINES lines at most. Scoring takes every line of every text; a chain is
-walked for all documents of a block at once.
+Learning takes a bounded sample of labelled rows: the TRAIN_DOCS label rows and of their texts the
+TRAIN_DOCS rows that a hash puts first, then as many of these, in that order, as have TRAIN_LINES
+lines together. A text's length doesn't bear on whether it is taken. Scoring takes every line of
+every text; a chain is walked for all documents of a block at once.
 
 Defined cases: a null or empty text is one empty line and is scored like any other; without
-labels the score is 0.5; rows with a null quality are not learned from; repeated rows count each;
+labels the score is 0.5; rows with a null quality are not learned from; repeated rows count each, within the sample's bounds;
 labels, lang, source and doc_id are never inputs of a score; an empty table gives no rows; other
 columns pass through, but one with the name of a result gives way to it.
 """
@@ -24,13 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.blocks import ranges, texts, words
-from turnlake.llm.common import held_out, table
+from turnlake.llm.common import checkpointed, held_out, table
 
-TRAIN_DOCS, TRAIN_LINES = 3000, 400
+TRAIN_DOCS, TRAIN_LINES = 3000, 300_000
+#: Bytes of text worked on at once.
+BLOCK = 1 << 20
 THRESHOLD = 0.7
 _KINDS = ("upper", "lower", "digit", "space", "mark", "bang", "pipe", "stop", "other", "wide")
 _KIND = np.full(256, 8, np.uint8)
@@ -144,7 +147,7 @@ def train(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray,
     """Adam on the mean conditional log-likelihood of a line, then the curve."""
     if not len(label):
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(FEATURES), np.ones(FEATURES), (0.0, 0.0))
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3
     x = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], 1)
     n = np.diff(first)
     y = np.repeat(label, n).astype(float)
@@ -177,34 +180,32 @@ def score_lines(model: Model, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return chain(((x - model.mean) / model.scale) @ model.weight[:-1] + model.weight[-1], first, model.step)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, quality), both without the held-out rows."""
-    known = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality")
-    share = most / max(known.count(), 1)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30)))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    sample = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "label").limit(most)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch)
-            label, out = batch.column(1).to_pylist(), []
-            for i, j in ranges(offsets):
+            for i, j in ranges(offsets, BLOCK):
                 x, size, first = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for k in range(j - i):
-                    if first[k + 1] - first[k] <= TRAIN_LINES:
-                        s = slice(first[k], first[k + 1])
-                        out.append((label[i + k], x[s].astype(np.float32).tobytes(), size[s].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["label", "x", "size"])
-
-    # about `most` rows of two numbers: their count is known and bounded
-    joined = docs.join(F.broadcast(sample), "doc_id").select("text", F.col("quality").cast("int").alias("label"))
-    rows = sorted(joined.mapInArrow(prepare, "label int, x binary, size binary").collect(), key=lambda r: (r.label, r.x))
-    x = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
-    return train(
-        np.concatenate(x).astype(float) if x else np.zeros((0, FEATURES)),
-        np.concatenate([np.frombuffer(r["size"], np.int64) for r in rows]) if x else np.zeros(0),
-        np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(int),
-        np.array([r.label for r in rows]),
-    )
+                cut = [slice(first[k], first[k + 1]) for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(i, j - i) for k in (1, 2)), pa.array(np.diff(first).astype(np.int64)), pa.array([x[s].astype(np.float32).tobytes() for s in cut], pa.binary()), pa.array([size[s].astype(np.int64).tobytes() for s in cut], pa.binary())],
+                    names=["label", "nth", "n", "x", "size"],
+                )
+
+    # `most` rows of two numbers at most
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", F.xxhash64("doc_id", "text", F.lit("quality")).alias("nth"))
+    rows = checkpointed(joined.orderBy("nth", "label").limit(most).mapInArrow(prepare, "label int, nth long, n long, x binary, size binary"))
+    # `most` rows at most, and `lines` lines in all or one text
+    upto = Window.orderBy("nth", "label", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = rows.withColumn("upto", F.sum("n").over(upto)).where((F.col("upto") <= lines) | (F.col("upto") == F.col("n")))
+    got = chosen.select("nth", "label", "n", "x", "size").toArrow().sort_by([("nth", "ascending"), ("label", "ascending")])
+    n = got["n"].to_numpy()
+    read = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind)
+    return train(read("x", np.float32).reshape(-1, FEATURES), read("size", np.int64), np.concatenate([[0], np.cumsum(n)]).astype(int), got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -217,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             data, offsets = texts(batch)
             parts: list[tuple] = []
-            for i, j in ranges(offsets):
+            for i, j in ranges(offsets, BLOCK):
                 x, size, first = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 good = score_lines(m, x, first)
                 p = 1 / (1 + np.exp(-np.clip(m.curve[0] * _logit(_pooled(good, size, first)) + m.curve[1], -30, 30)))

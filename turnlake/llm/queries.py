@@ -18,6 +18,7 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_ngram_join": ngram_join.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op8_secret_scan": secret_scan.SQL,
     "op9_chat_format": chat_format.SQL,
     "op10_mixing": mixing.SQL,
 }

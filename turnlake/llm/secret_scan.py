@@ -4,13 +4,17 @@ Base spans come from the patterns of KINDS, leftmost and non-overlapping within
 method adds spans: for each character class of CLASSES, candidate strings are the runs of its
 characters; a window slides over a candidate while the count of every character, and with it the
 sum of c * log2(c), is kept up to date by one step in and one step out, so each window's Shannon
-entropy costs the same whatever its width. The part of a candidate that its high-entropy windows
-cover is a span, unless the candidate lacks the kinds of characters that keys have, matches the
-allow list, or overlaps a base span.
+entropy costs the same whatever its width. Each stretch of a candidate that adjoining high-entropy
+windows cover is a span, unless the stretch lacks the kinds of characters that keys have, matches
+the allow list, or overlaps a base span.
+
+Matches and characters are folded in pieces of PIECE, a candidate's with as much overlap as windows
+need, so that the work grows with the text and not with its square.
 
 Offsets are code points, end exclusive. Defined cases: a null text counts as empty and has no
 spans; a null doc_id stays null; repeated rows are scanned each; an empty table gives no rows;
-other columns are not looked at. The scan is one pass without a shuffle, whatever the length.
+other columns are not looked at, whatever their names. The scan is one pass without a shuffle,
+whatever the length.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ CLASSES = (
     ("entropy_base64", "A-Za-z0-9+/_=-", 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
 )
 WINDOW = 24
+#: Matches, or characters, that are folded at once.
+PIECE = 512
 ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{7}", r"0123456789|(?i:abcdefghij)")
 
 _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
@@ -56,7 +62,16 @@ def _placed(text: Column, pattern: str, group: int) -> Column:
         one = F.struct(start.alias("start"), m["word"].alias("word"), m["value"].alias("value"))
         return F.struct((start + F.coalesce(F.length(m["word"]), F.lit(0))).alias("at"), F.when(m["word"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(found, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(_PLACED))
+    # each piece from its own start, then the pieces one after another
+    pieces = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PIECE).cast("int")), lambda k: F.aggregate(F.slice(all_, k * PIECE + 1, PIECE), empty, step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACED}>").alias("out"))
+
+    def join(acc: Column, piece: Column) -> Column:
+        moved = F.transform(piece["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), m["word"].alias("word"), m["value"].alias("value")))
+        return F.struct((acc["at"] + piece["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    all_ = F.get(F.transform(F.array(found), lambda f: F.aggregate(pieces(f), none, join, lambda acc: F.flatten(acc["out"]))), 0)
+    return F.when(text.rlike(pattern), all_).otherwise(F.array().cast(_PLACED))
 
 
 def _span(start: Column, stop: Column, rank: int, kind: str) -> Column:
@@ -64,30 +79,51 @@ def _span(start: Column, stop: Column, rank: int, kind: str) -> Column:
 
 
 def _hot(word: Column, bits: float, window: int) -> Column:
-    """struct(first, last): the characters that high-entropy windows cover; null first if there is none."""
+    """array of struct(first, last): the stretches of characters that adjoining high-entropy windows cover."""
     clog = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
     event = lambda x, d, at: F.struct(F.ascii(x).alias("code"), F.lit(d).alias("d"), at.cast("int").alias("at"))
+    stretch = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
 
     def events(chars: Column) -> Column:
         into = lambda x, i: event(x, 1, i + 1)
         return F.flatten(F.transform(chars, lambda x, i: F.when(i < window, F.array(into(x, i))).otherwise(F.array(event(F.get(chars, i - window), -1, F.lit(0)), into(x, i)))))
 
     # The counts are the characters of a string of 128, 'A' for none: one is replaced at each step.
-    zero = F.struct(F.lit("A" * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(0).alias("last"))
+    zero = F.struct(F.lit("A" * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(0).alias("last"), none.alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
         c = F.ascii(F.substring(acc["counts"], e["code"] + 1, F.lit(1))) - 65
         total = acc["sum"] + F.get(clog, c + e["d"]) - F.get(clog, c)
         high = (e["at"] >= window) & (math.log2(window) - total / window >= bits)
+        new = acc["first"].isNull() | (e["at"] - window > acc["last"])
         return F.struct(
             F.overlay(acc["counts"], F.char(65 + c + e["d"]), e["code"] + 1, F.lit(1)).alias("counts"),
             total.alias("sum"),
-            F.when(high & acc["first"].isNull(), e["at"] - window).otherwise(acc["first"]).alias("first"),
+            F.when(high & new, e["at"] - window).otherwise(acc["first"]).alias("first"),
             F.when(high, e["at"]).otherwise(acc["last"]).alias("last"),
+            F.when(high & new & acc["first"].isNotNull(), F.concat(acc["out"], F.array(stretch(acc["first"], acc["last"])))).otherwise(acc["out"]).alias("out"),
         )
 
-    fold = lambda ev: F.aggregate(ev, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-    return F.get(F.transform(F.array(F.split(word, "")), lambda chars: fold(events(chars))), 0)
+    closed = lambda acc: F.when(acc["first"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(stretch(acc["first"], acc["last"]))))
+    fold = lambda ev: F.aggregate(ev, zero, step, closed)
+
+    def piece(chars: Column, start: Column) -> Column:
+        """The stretches of the windows that start in the PIECE characters from start on."""
+        part = F.get(F.transform(F.array(F.slice(chars, start + 1, PIECE + window - 1)), lambda x: fold(events(x))), 0)
+        return F.transform(part, lambda x: stretch(x["first"] + start, x["last"] + start))
+
+    def join(acc: Column, x: Column) -> Column:
+        new = acc["first"].isNull() | (x["first"] > acc["last"])
+        grown = F.when(new & acc["first"].isNotNull(), F.concat(acc["out"], F.array(stretch(acc["first"], acc["last"])))).otherwise(acc["out"])
+        return F.struct(F.when(new, x["first"]).otherwise(acc["first"]).alias("first"), x["last"].alias("last"), grown.alias("out"))
+
+    def pieces(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(chars) - window, F.lit(PIECE))
+        begin = F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), none.alias("out"))
+        return F.aggregate(F.flatten(F.transform(starts, lambda s: piece(chars, s))), begin, join, closed)
+
+    return F.get(F.transform(F.array(F.split(word, "")), pieces), 0)
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: Sequence[str] = ALLOWED) -> DataFrame:
@@ -106,17 +142,18 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: Sequence[str] =
     based = placed.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), *(k for k, *_ in CLASSES))
 
     def added(r: int, kind: str, bits: float, needs: Sequence[str]) -> Column:
-        def likely(m: Column) -> Column:
+        def likely(word: Column, *other: str) -> Column:
             ok = F.lit(True)
             for p in needs:
-                ok = ok & m["word"].rlike(p)
-            for p in allowed:
-                ok = ok & ~m["word"].rlike(p)
+                ok = ok & word.rlike(p)
+            for p in other:
+                ok = ok & ~word.rlike(p)
             return ok
 
-        hot = F.transform(F.filter(kind, likely), lambda m: F.struct(m["start"].alias("start"), _hot(m["word"], bits, window).alias("hot")))
-        spans = F.transform(F.filter(hot, lambda m: m["hot"]["first"].isNotNull()), lambda m: _span(m["start"] + m["hot"]["first"], m["start"] + m["hot"]["last"], r, kind))
-        return F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+        hot = F.transform(F.filter(kind, lambda m: likely(m["word"])), lambda m: F.transform(_hot(m["word"], bits, window), lambda x: F.struct(
+            (m["start"] + x["first"]).alias("start"), (m["start"] + x["last"]).alias("stop"), F.substring(m["word"], x["first"] + 1, x["last"] - x["first"]).alias("word"))))
+        kept = F.filter(F.flatten(hot), lambda x: likely(x["word"], *allowed) & ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+        return F.transform(kept, lambda x: _span(x["start"], x["stop"], r, kind))
 
     more = [added(len(KINDS) + i, kind, bits, needs) for i, (kind, _, bits, needs) in enumerate(CLASSES)]
     return based.select("doc_id", "base", F.array_sort(F.concat(*more)).cast(_SPAN).alias("added"))
@@ -132,3 +169,42 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+_DUCK = (*KINDS, *((k, f"[{c}]{{{WINDOW},}}", 0, 0) for k, c, _, _ in CLASSES))
+_quoted = lambda p: "'" + p.replace("'", "''") + "'"
+_hits = " UNION ALL ".join(
+    f"SELECT row, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, {_quoted(p)}, 0) AS words, regexp_extract_all(t, {_quoted(p)}, {g}) AS vals, regexp_split_to_array(t, {_quoted(p)}) AS gaps, {least} AS least FROM d WHERE regexp_matches(t, {_quoted(p)})"
+    for rank, (kind, p, g, least) in enumerate(_DUCK)
+)
+_needs = lambda word: "CASE kind " + " ".join(f"WHEN '{k}' THEN " + " AND ".join(f"regexp_matches({word}, {_quoted(p)})" for p in needs) for k, _, _, needs in CLASSES) + " END"
+#: RE2 has no back-references: a character eight times in a row is found by comparing neighbours.
+_allowed = "regexp_matches(word, {}) OR regexp_matches(word, {}) OR len(list_filter(range(1, length(word) - 6), lambda i: substring(word, i, 8) = repeat(substring(word, i, 1), 8))) > 0".format(_quoted(ALLOWED[0]), _quoted(ALLOWED[2]))
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+h AS (SELECT row, rank, kind, least, unnest(range(1, len(words) + 1)) AS i, words, vals, gaps FROM ({_hits})),
+p AS (
+  SELECT row, rank, kind, least, words[i] AS word, vals[i] AS value,
+         CAST(sum(length(gaps[i]) + CASE WHEN i > 1 THEN length(words[i - 1]) ELSE 0 END) OVER (PARTITION BY row, rank ORDER BY i) AS BIGINT) AS start
+  FROM h),
+b AS (SELECT row, rank, kind, start, start + length(word) AS stop FROM p WHERE rank < {len(KINDS)} AND length(value) >= least),
+w AS (
+  SELECT row, rank, kind, word, start, s, string_split(substring(word, s + 1, {WINDOW}), '') AS cs
+  FROM (SELECT *, unnest(range(length(word) - {WINDOW} + 1)) AS s FROM p WHERE rank >= {len(KINDS)} AND ({_needs("word")}))),
+e AS (
+  SELECT * FROM w
+  WHERE log2({WINDOW}) - list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) * log2(len(list_filter(cs, lambda x: x = c))))) / {WINDOW}
+        >= CASE kind {" ".join(f"WHEN '{k}' THEN {bits}" for k, _, bits, _ in CLASSES)} END - 1e-12),
+g AS (SELECT *, s - lag(s, 1, s - {WINDOW} - 1) OVER (PARTITION BY row, rank, start ORDER BY s) > {WINDOW} AS new FROM e),
+n AS (SELECT *, sum(new::INT) OVER (PARTITION BY row, rank, start ORDER BY s) AS nth FROM g),
+x AS (SELECT row, rank, kind, start + min(s) AS start, start + max(s) + {WINDOW} AS stop, substring(any_value(word), min(s) + 1, max(s) - min(s) + {WINDOW}) AS word FROM n GROUP BY row, rank, kind, n.start, nth),
+a AS (
+  SELECT row, rank, kind, start, stop FROM x
+  WHERE ({_needs("word")}) AND NOT ({_allowed}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.row = x.row AND b.start < x.stop AND x.start < b.stop)),
+l AS (SELECT row, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM a) GROUP BY row),
+k AS (
+  SELECT row, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM b GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in KINDS)}, sha256(coalesce(k.spans, '')) AS base_sha256, coalesce(l.spans, '') AS spans
+FROM d LEFT JOIN k USING (row) LEFT JOIN l USING (row)
+"""
