@@ -10,24 +10,23 @@ which decides only where a count is kept. A text's bigrams are routed to shards,
 whether the text is a training one: those of two commonest words by the hash of the bigram, the
 others by that of their rare word, of the second if both are. The shard of a rare word thus has
 all that ends in it and its count, P(w) and, for the word after it, c(v). A shard counts what it got, deals
-ids to the words it has, builds its trie and answers its own queries, so neither counts nor trie
-are ever gathered in one place and nothing is pruned; the number of shards grows with the tokens.
-Bigrams of the DENSE commonest words, which a large part of all texts share, are summed in a table
-of fixed size instead and answered where the text is. Texts travel in blocks: a block sends each
-shard one request, and gets one reply, with a few bytes for each token.
-
-vocabulary() can also pool the rare words in one class `unknown` in bigrams, inside which a word
-has its unigram share; op6_ngram_lm does not.
+ids to the words it has, builds the trie of its training bigrams and answers its own queries from it, so
+neither counts nor tries are ever gathered in one place and nothing is pruned; the number of shards,
+and of the partitions they are dealt to, grows with the tokens. Bigrams of the DENSE commonest words,
+which a large part of all texts share, are in a trie of bounded size that is broadcast, so they needn't
+travel. Texts travel in blocks: a block sends each shard one request, and gets one reply, with a few
+bytes for each token.
 
 A trie has two levels: for each context the start of its range, a monotone sequence in Elias-Fano
 form, and the words of all ranges, made monotone by the context and in Elias-Fano form too, with
 one quantised value each: log10(1 + c(v, w) / (MU * P(w))), rounded down to one of LEVELS steps, so
-that probabilities never sum to more than 1. The levels lie in a memory-mapped file without a
-name, and a query is a successor search inside its context's range.
+that probabilities never sum to more than 1. The levels lie in one anonymous memory map, without a
+file, and a query is a successor search inside its context's range.
 
 Defined cases: a null or wordless text is one end token; without training texts every base count
 is 0 and V is 0; repeated rows each count and are scored each; a null doc_id counts as '' for the
-hold-out; an empty table gives no rows; other columns are not looked at.
+hold-out; a text of any length is worked on whole; an empty table gives no rows; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +34,6 @@ from __future__ import annotations
 import math
 import mmap
 import pickle
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,10 +50,11 @@ HEAD, DENSE = 1 << 17, 512
 MU = 300.0
 LEVELS, STEP = 4096, 10 / 4096
 SHARD_TOKENS, FLUSH_TOKENS = 1_200_000, 1_000_000
-_WIDTH = 18  # bits of a class id: HEAD, unknown and begin; bits of a word in a trie, if not told
+_WIDTH = 18  # bits of a class id: HEAD, rare and begin; bits of a word in a trie, if not told
+_DENSE_WIDTH = 16  # bits of a word in the trie of the commonest bigrams
 _U = np.uint64
 _END = np.uint64(0x5EEDE4D)
-_UNKNOWN, _BEGIN = np.uint64(0x5EED0B5), np.uint64(0x5EEDBE6)
+_RARE, _BEGIN = np.uint64(0x5EED0B5), np.uint64(0x5EEDBE6)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _NTH = np.array([[([k for k in range(8) if b >> (7 - k) & 1] + [8] * 8)[i] for i in range(8)] for b in range(256)], np.uint8)
 
@@ -133,10 +132,9 @@ def _tally(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
 
 
 def _mapped(packed: bytes) -> mmap.mmap:
-    with tempfile.TemporaryFile() as f:  # has no name and goes with the map
-        f.write(packed)
-        f.flush()
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    held = mmap.mmap(-1, len(packed))
+    held.write(packed)
+    return held
 
 
 @dataclass
@@ -148,28 +146,25 @@ class Vocabulary:
     tokens: int  # N
     kinds: int  # V
     begins: int  # training texts
-    whole: bool = False  # rare words have bigrams of their own, else they share `unknown`
-    dense: np.ndarray | None = None  # class -> row of the table, -1 if none
-    table: np.ndarray | None = None  # log10 gains
+    dense: np.ndarray | None = None  # class -> id in the trie of the commonest bigrams, -1 if none
+    top: bytes = b""  # that trie
 
     def __post_init__(self):
         self.mass = self.tokens + 0.5 * (self.kinds + 1)
         share = (self.count + 0.5) / self.mass
-        rest = max(1 - share.sum(), 0.5 / self.mass)
-        self.share = np.append(share, [rest, 1.0])  # head, unknown, begin
-        total = np.append(self.count, [self.tokens - self.count.sum(), self.begins]).astype(float)
-        self.total = total
-        self.name = np.append(self.word, [_UNKNOWN, _BEGIN])  # hash of each class
+        self.share = np.append(share, [1.0, 1.0])  # head, rare (whose shards know it), begin
+        self.total = np.append(self.count, [0, self.begins]).astype(float)
+        self.name = np.append(self.word, [_RARE, _BEGIN])  # hash of each class
 
     @property
-    def unknown(self) -> int:
+    def rare(self) -> int:
         return len(self.word)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.word):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
-        return np.where(self.word[at] == hashes, at, self.unknown)
+        return np.where(self.word[at] == hashes, at, self.rare)
 
     @staticmethod
     def gain(count: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -191,7 +186,7 @@ def _bigrams(v: Vocabulary, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     context[1:] = word[:-1]
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
-    context[first] = v.unknown + 1
+    context[first] = v.rare + 1
     return context, word
 
 
@@ -200,11 +195,8 @@ def _summed(parts: list[np.ndarray], weights: list[np.ndarray] | None = None) ->
     return keys, np.bincount(inverse, np.concatenate(weights) if weights else None, len(keys)).astype(np.int64)
 
 
-def vocabulary(docs: DataFrame, whole: bool = False) -> Vocabulary:
-    """From docs (text, train): unigram counts, then the dense table, each a pass with map-side sums.
-
-    whole: rare words keep bigrams of their own; else they are pooled.
-    """
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """From docs (text, train): unigram counts, then the trie of the commonest bigrams, each a pass with map-side sums."""
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -237,11 +229,11 @@ def vocabulary(docs: DataFrame, whole: bool = False) -> Vocabulary:
     word, count = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(word)
     ends = counts.where(F.col("h") == int(_END)).first()
-    v = Vocabulary(word[order], count[order], sum(s[3] for s in steps), sum(s[2] for s in steps), ends.c if ends else 0, whole)
+    v = Vocabulary(word[order], count[order], sum(s[3] for s in steps), sum(s[2] for s in steps), ends.c if ends else 0)
 
     dense = np.full(len(v.word) + 2, -1, np.int64)
     top = np.sort(np.argsort(-v.count, kind="stable")[: DENSE - 2])
-    picked = np.append(top, [v.unknown + 1] if whole else [v.unknown, v.unknown + 1])
+    picked = np.append(top, v.rare + 1)
     dense[picked] = np.arange(len(picked))
     sent = docs.sparkSession.sparkContext.broadcast((v, dense))
 
@@ -258,11 +250,10 @@ def vocabulary(docs: DataFrame, whole: bool = False) -> Vocabulary:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "c"])
 
     got = train.mapInArrow(pairs, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    cells = np.zeros((DENSE, DENSE))
-    cells.reshape(-1)[got["pair"].to_numpy()] = got["c"].to_numpy()
-    gains = np.zeros((DENSE, DENSE))
-    gains[:, : len(picked)] = v.gain(cells[:, : len(picked)], v.share[picked]) * STEP
-    v.dense, v.table = dense, gains
+    order = np.argsort(got["pair"].to_numpy())
+    pair, count = got["pair"].to_numpy()[order].astype(np.int64), got["c"].to_numpy()[order]
+    a, b = pair // DENSE, pair % DENSE
+    v.dense, v.top = dense, Trie.pack(a << _DENSE_WIDTH | b, v.gain(count, v.share[picked[b]]), DENSE, _DENSE_WIDTH)
     return v
 
 
@@ -276,8 +267,8 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         logs, totals = np.log10(own.share), np.log10(own.total + MU)
-        if own.whole:  # the shards of rare words know theirs
-            logs[own.unknown] = totals[own.unknown] = 0
+        logs[own.rare] = totals[own.rare] = 0  # the shards of rare words know theirs
+        top = Trie(_mapped(own.top))
         for batch in batches:
             data, offsets = texts(batch)
             rows = batch.column(2).to_numpy()
@@ -285,18 +276,19 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
             for i, j in ranges(offsets, 4 << 20):
                 h, row = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 context, w = _bigrams(own, h, row)
-                n, known = j - i, w < own.unknown
+                n, known = j - i, w < own.rare
                 base = _tally(row, np.where(known, logs[w], 0), n)
                 lm = _tally(row, math.log10(MU) + logs[w] - totals[context], n)
                 a, b = own.dense[context], own.dense[w]
                 table = (a >= 0) & (b >= 0)
-                lm += _tally(row[table], own.table[a[table], b[table]], n)
+                key, which = np.unique(a[table] << _DENSE_WIDTH | b[table], return_inverse=True)
+                lm += _tally(row[table], top.find(key)[which] * STEP, n)
                 # a text's place in the block, and whether it is a training text in the lowest bit
                 place = (row << 1 | train[i:j][row]).astype(np.uint16 if n < 1 << 15 else np.uint32)
                 old = np.append(_BEGIN, h)[:-1]  # the word before, right where the context is rare or asked for
-                old[context == own.unknown + 1] = _BEGIN
-                after = (known & (context == own.unknown)) if own.whole else np.zeros(len(h), bool)
-                plain = ~table & known & ~after if own.whole else ~table
+                old[context == own.rare + 1] = _BEGIN
+                after = known & (context == own.rare)
+                plain = ~table & known & ~after
                 pair, rare, late = (context << _WIDTH | w)[plain], h[~known], old[after]
                 to = [(mix(x) % _U(shards)).astype(np.int64) for x in (pair.view(np.uint64), rare + _U(3), late + _U(3))]
                 order = [np.argsort(x, kind="stable") for x in to]
@@ -305,7 +297,7 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 asked = np.unique(np.concatenate([*to, [home]]))
                 cut = [[np.searchsorted(x[o], asked, side) for side in ("left", "right")] for x, o in zip(to, order)]
                 pair, at = pair[order[0]], place[plain][order[0]]
-                rare, rare_at, before = rare[order[1]], place[~known][order[1]], old[~known if own.whole else after][order[1] if own.whole else order[2]]
+                rare, rare_at, before = rare[order[1]], place[~known][order[1]], old[~known][order[1]]
                 late, late_at, then = late[order[2]], place[after][order[2]], w[after][order[2]].astype(np.uint32)
                 low, high = (pair & 0xFFFFFFFF).astype(np.uint32), (pair >> 32).astype(np.uint8)
                 out = []
@@ -327,8 +319,8 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
         rare, use = np.unique(every(3), return_inverse=True)
         rare_count = _tally(use, every(4) & 1, len(rare))
         log, there = np.log10((rare_count + 0.5) / own.mass), rare_count > 0
-        # beside log10 P(w): what the word is as a context, or, if pooled, its class
-        added = log - np.where(rare == _END, 0, np.log10(rare_count + MU)) if own.whole else log - math.log10(own.share[own.unknown])
+        # beside log10 P(w): what the word is as a context
+        added = log - np.where(rare == _END, 0, np.log10(rare_count + MU))
         log, there, added = log[use], there[use], added[use]
 
         pair, ends = every(1).astype(np.int64) << 32 | every(0), every(3)[: sum(len(b[5]) for b in bodies)]
@@ -337,7 +329,7 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
         context, c = np.unique(np.concatenate([own.name[pair >> _WIDTH], every(5), every(6)]), return_inverse=True)
         word, w = np.unique(np.concatenate([own.name[pair & ((1 << _WIDTH) - 1)], ends, own.name[every(8)]]), return_inverse=True)
         share = own.share[own.classes(word)]
-        if own.whole and len(rare):
+        if len(rare):
             of = np.minimum(np.searchsorted(rare, word), len(rare) - 1)
             share = np.where(rare[of] == word, (rare_count[of] + 0.5) / own.mass, share)
         width = len(word).bit_length()
@@ -376,12 +368,13 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
 
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), "train")
     kinds = f"shard int, block long, n int, body binary, ids array<{kind}>"
-    replies = keyed.mapInArrow(route, kinds).groupBy("shard").applyInPandas(answer, kinds)
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    replies = keyed.mapInArrow(route, kinds).repartition(parts, "shard").groupBy("shard").applyInPandas(answer, kinds)
     return replies.groupBy("block").applyInPandas(combine, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(5, 1)).alias("train"))
-    v = vocabulary(docs, whole=True)
+    v = vocabulary(docs)
     scored = score(docs, v)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
