@@ -1,18 +1,21 @@
 """Behaviour of the chat-history engine."""
 
 import datetime as dt
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
+from turnlake.operators import chats as H
 from turnlake.operators import mutations as M
 from turnlake.operators import reads as R
 from turnlake.operators import rules as C
 from turnlake.plans import catalogue
 from turnlake.sources import readers as S
-from turnlake.sources import schemas
+from turnlake.sources import remote, schemas
 from turnlake.sources.store import Store
 from turnlake.streaming import replies
 
@@ -48,39 +51,175 @@ def test_profiles_and_settings(spark):
             S.settings(spark, bad)
 
 
-def test_store_keeps_history_gates_versions_and_seeds_once(spark, tmp_path):
+CHANGE = "id string, new_title string, at timestamp"
+NEW = "conversation_id string, role string, content string, model_profile string, at timestamp, nth int"
+CONVERSATION = "id string, project_id string, title string, model_profile string, created_at timestamp, updated_at timestamp"
+
+
+def _chat(cid, title="Trip to Oslo", profile="small", minutes=0):
+    return (cid, "default", title, profile, at(minutes), at(minutes))
+
+
+def test_a_store_is_seeded_once_and_gated_by_version(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    assert Store(spark, folder).initialize() == Store(spark, folder).initialize()
+    assert [r.id for r in Store(spark, folder).read("projects").collect()] == [schemas.DEFAULT_PROJECT[0]]
+    (tmp_path / "store" / "manifests" / f"{7:012d}.json").write_text(json.dumps({"schema_version": schemas.SCHEMA_VERSION + 1, "version": 7, "paths": {}, "high_water": 0}))
+    with pytest.raises(RuntimeError):
+        Store(spark, folder).initialize()
+
+
+def test_requests_make_the_same_conversations_however_often_they_are_read(spark):
+    none = spark.createDataFrame([_chat("taken")], CONVERSATION)
+    projects = spark.createDataFrame([("default",)], "id string")
+    asked = [
+        ("a", "default", "  Recipes ", "small", at(3)), ("a", "default", "Later", "small", at(4)), ("b", "default", None, "small", at(1)), ("c", "default", "\u2003", "small", at(1)),
+        ("d", "default", "x", " ", at(1)), ("e", "elsewhere", "x", "small", at(1)), ("taken", "default", "x", "small", at(1)), ("f", "default", "y", " small ", at(1)),
+    ]
+    made = M.made_conversations(none, spark.createDataFrame(asked, "id string, project_id string, title string, model_profile string, at timestamp"), projects)
+    want = {"a": ("Recipes", "small"), "b": (schemas.DEFAULT_TITLE, "small"), "f": ("y", " small ")}
+    for _ in range(2):
+        rows = made.collect()
+        assert {r.id: (r.title, r.model_profile) for r in rows} == want and all(r.created_at == r.updated_at for r in rows)
+
+
+def test_of_several_changes_the_latest_counts_and_of_several_defaults_the_first(spark):
+    chats = spark.createDataFrame([_chat("a"), _chat("b")], CONVERSATION)
+    changes = spark.createDataFrame([("a", " Second ", at(9)), ("a", "First", at(2)), ("a", " ", at(20)), ("x", "nobody", at(1))], CHANGE)
+    assert sorted((r.id, r.title, r.updated_at) for r in M.rename(chats, changes).collect()) == [("a", "Second", at(9)), ("b", "Trip to Oslo", at(0))]
+    told = M.set_profile(chats, spark.createDataFrame([("b", "large", at(5)), ("b", "small", at(4)), ("b", "", at(8))], "id string, new_profile string, at timestamp"))
+    assert sorted((r.id, r.model_profile, r.updated_at) for r in told.collect()) == [("a", "small", at(0)), ("b", "large", at(5))]
+    rows = spark.createDataFrame([(1, "one")], "id int, name string")
+    defaults = spark.createDataFrame([(2, "zwei", 0), (2, "deux", 1), (1, "uno", 0), (3, "drei", 5)], "id int, name string, nth int")
+    assert sorted(tuple(r) for r in M.seed(rows, defaults, order="nth").collect()) == [(1, "one"), (2, "zwei"), (3, "drei")]
+    assert {r.id: r.applied for r in M.applied(chats, spark.createDataFrame([("a",), ("x",)], "id string")).collect()} == {"a": True, "x": False}
+
+
+def test_message_ids_go_on_without_gaps_in_order_of_arrival(spark):
+    chats = spark.createDataFrame([_chat("a"), _chat("b")], CONVERSATION)
+    none = spark.createDataFrame([], schemas.MESSAGES)
+    new = [("a" if n % 3 else "b", "user", f"  note {n} ", None, at(n), n * n) for n in range(300)] + [("a", "narrator", "x", None, at(1), 1), ("b", "user", "\u2003", None, at(1), 2), ("gone", "user", "x", None, at(1), 3)]
+    both, moved = M.add_messages(none, chats, spark.createDataFrame(new, NEW).repartition(7), 40)
+    assert [(r.id, r.content) for r in both.orderBy("id").collect()] == [(41 + n, f"  note {n} ") for n in range(300)]
+    assert {r.id: r.updated_at for r in moved.collect()} == {"a": at(299), "b": at(297)}
+    gone = spark.createDataFrame([("b",)], "conversation_id string")
+    left = M.delete(both, gone, "conversation_id")
+    assert left.count() == 200 and M.delete(left, gone, "conversation_id").count() == 200
+
+
+def test_a_stored_history_is_read_again_by_conversation(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    assert store.initialize() == store.initialize()
-    assert store.read("projects").first().id == "default"
-    requests = spark.createDataFrame([("default", " Older ", "base", at(0)), ("default", None, " ", at(0)), ("nowhere", "x", "base", at(0))], "project_id string, title string, model_profile string, at timestamp")
-    store.commit({"conversations": M.create_conversations(store.read("conversations"), requests, store.read("projects"))})
-    conversation = store.read("conversations").collect()
-    assert [(c.title, c.created_at == c.updated_at) for c in conversation] == [("Older", True)]
-    cid = conversation[0].id
-    new = spark.createDataFrame([(cid, "user", " Hello ", None, at(5), 0), (cid, "assistant", "Hi", "base", at(6), 1), (cid, "tool", "x", None, at(7), 2), (cid, "user", "\t", None, at(8), 3), ("none", "user", "x", None, at(9), 4)], "conversation_id string, role string, content string, model_profile string, at timestamp, nth int")
-    messages, moved = M.add_messages(store.read("messages"), store.read("conversations"), new, store.manifest()["high_water"])
-    store.commit({"messages": messages, "conversations": moved}, 2)
+    store.initialize()
+    chats = spark.createDataFrame([_chat(f"chat {k:02d}") for k in range(20)], schemas.CONVERSATIONS)
+    messages, moved = M.add_messages(store.read("messages"), chats, spark.createDataFrame([(f"chat {k % 20:02d}", "user", f"line {k}", None, at(k), k) for k in range(200)], NEW), store.manifest()["high_water"])
+    store.commit({"messages": messages, "conversations": moved}, 200)
     again = Store(spark, str(tmp_path / "store"))
-    assert [(m.id, m.role, m.content, m.model_profile) for m in again.read("messages").orderBy("id").collect()] == [(1, "user", " Hello ", None), (2, "assistant", "Hi", "base")]
-    assert again.read("conversations").first().updated_at == at(6)
-    changed = M.rename(again.read("conversations"), spark.createDataFrame([(cid, " Planning ", at(10))], "id string, new_title string, at timestamp"))
-    changed = M.set_profile(changed, spark.createDataFrame([(cid, "tuned", at(11))], "id string, new_profile string, at timestamp"))
-    assert [(c.title, c.model_profile, c.updated_at) for c in changed.collect()] == [("Planning", "tuned", at(11))]
-    gone = spark.createDataFrame([(cid,)], "conversation_id string")
-    once = M.delete(again.read("messages"), gone, "conversation_id")
-    assert once.count() == 0 and M.delete(once, gone, "conversation_id").count() == 0
-    asked = spark.createDataFrame([(cid,), ("none",)], "id string")
-    assert {r.id: r.applied for r in M.applied(changed, asked).collect()} == {cid: True, "none": False}
-    version = tmp_path / "store" / "manifests" / f"{99:012d}.json"
-    version.write_text(json.dumps({"schema_version": 2, "version": 99, "paths": {}, "high_water": 0}))
-    with pytest.raises(RuntimeError):
-        Store(spark, str(tmp_path / "store")).initialize()
+    one = R.messages_of(again.read("messages"), "chat 07")
+    assert "EqualTo(conversation_id,chat 07)" in one._jdf.queryExecution().executedPlan().toString()
+    assert [r.content for r in one.collect()] == [f"line {k}" for k in range(7, 200, 20)] and again.manifest()["high_water"] == 200
+    assert [r.id for r in R.conversations_of(again.read("conversations"), "default").collect()] == [f"chat {k:02d}" for k in range(19, -1, -1)]
+    assert R.conversations_of(again.read("conversations"), "other").count() == 0
 
 
-def test_order_follows_latest_activity(spark):
-    rows = spark.createDataFrame([("older", at(0)), ("newer", at(1)), ("older", at(2))], "conversation_id string, created_at timestamp")
+def test_listings_put_the_latest_activity_first(spark):
+    rows = spark.createDataFrame([("tea", at(4)), ("salt", at(6)), ("tea", at(7)), ("rye", at(1))], "conversation_id string, created_at timestamp")
     heads = R.heads(rows)
-    assert [r.conversation_id for r in R.by_latest(heads).collect()] == ["older", "newer"] and R.newest(heads).first().conversation_id == "older"
+    assert [r.conversation_id for r in R.by_latest(heads).collect()] == ["tea", "salt", "rye"] and R.newest(heads).first().conversation_id == "tea"
+
+
+PROFILES = [("small", "Small one", "vllm", "http://h", "m"), ("lorem", "Offline", "lorem", None, None), ("bare", "Bare", "vllm", "http://h", "")]
+PROFILE = "key string, label string, backend string, base_url string, model string"
+
+
+def test_pages_open_heal_and_delete(spark):
+    profiles = spark.createDataFrame(PROFILES, PROFILE)
+    chats = spark.createDataFrame([_chat("a", minutes=5), _chat("b", schemas.DEFAULT_TITLE, "retired", 9), _chat("c", minutes=1)], CONVERSATION)
+    pages = spark.createDataFrame([(1, "b", "n1", at(30), "b"), (2, "zz", "n2", at(31), "zz"), (3, "a", "n3", at(32), "c")], "page int, conversation_id string, new_id string, at timestamp, shown string")
+    assert {(r.page, r.id, r.model_profile) for r in H.opened(chats, profiles, pages, "lorem").collect()} == {(k, "b", "lorem") for k in (1, 2, 3)}
+    assert {(r.page, r.id, r.title) for r in H.opened(chats.limit(0), profiles, pages, "lorem").collect()} == {(k, "n1", schemas.DEFAULT_TITLE) for k in (1, 2, 3)}
+    assert H.opened(chats.limit(0), profiles, pages.limit(0), "lorem").count() == 0
+    assert sorted((r.page, r.id, r.created, r.model_profile) for r in H.healed(chats, profiles, pages, "lorem").collect()) == [(1, "b", False, "lorem"), (2, "n2", True, "lorem"), (3, "a", False, "small")]
+    messages = spark.createDataFrame([(1, "a")], "id long, conversation_id string")
+    assert sorted((r.page, r.id, r.reused) for r in H.new_chats(chats, messages, pages).collect()) == [(1, "b", True), (2, "n2", False), (3, "n3", False)]
+    left, kept, told = H.deleted(chats, messages, spark.createDataFrame([("a",)], "conversation_id string"), pages.where("page <> 2"))
+    assert {r.id for r in left.collect()} == {"a", "c"} and kept.count() == 1
+    assert sorted((r.page, r.deleted, r.shows) for r in told.collect()) == [(1, True, "a"), (3, False, "c")]
+    assert C.may_change_model(chats, spark.createDataFrame([("c",)], "conversation_id string"), profiles, spark.createDataFrame([("a", "small"), ("b", "nowhere"), ("c", "small")], "id string, new_profile string")).select("id").collect() == [("a",)]
+
+
+def test_sends_save_what_was_said_and_received(spark):
+    profiles = spark.createDataFrame(PROFILES, PROFILE)
+    chats = spark.createDataFrame([_chat("a", schemas.DEFAULT_TITLE), _chat("b"), _chat("c", schemas.DEFAULT_TITLE), _chat("d", profile="bare"), _chat("e", profile="retired"), _chat("f"), _chat("g")], CONVERSATION)
+    old = spark.createDataFrame([(3, "c", "user", "earlier", None, at(1))], schemas.MESSAGES)
+    rows = [
+        ("a", "  what is\n rye?  ", at(10), 1, None, None, None, at(11)), ("a", "again", at(12), 2, None, None, None, at(13)), ("b", " ", at(10), 3, None, None, None, at(11)), ("c", "and salt?", at(10), 4, 2, None, None, at(11)),
+        ("d", "hello", at(10), 5, None, None, None, at(11)), ("e", "offline", at(10), 6, None, "connection", None, at(11)), ("f", "fail", at(10), 7, None, "status", 503, at(11)), ("g", "mute", at(10), 8, None, None, None, at(11)),
+    ]
+    sends = spark.createDataFrame(rows, "conversation_id string, text string, at timestamp, nth int, stop_at int, error string, status int, replied_at timestamp")
+    deltas = spark.createDataFrame([(c, i, x) for c, part in (("a", [" a grain", " for bread \n"]), ("c", ["one ", "two ", "three"]), ("d", ["never read"]), ("e", ["part"]), ("g", [" ", "\n"])) for i, x in enumerate(part)], "conversation_id string, chunk_index int, delta string")
+    sent = H.send(chats, old, profiles, sends, deltas, "lorem", "SP", 10)
+    assert {(r.conversation_id, r.nth): r.notice for r in sent.sends.collect()} == {
+        ("a", 1): "ok", ("a", 2): "busy", ("b", 3): "blank", ("c", 4): "stopped, partial reply saved", ("d", 5): "misconfigured Bare", ("e", 6): "unreachable Offline", ("f", 7): "http Small one 503", ("g", 8): "empty Small one",
+    }
+    stored = [(r.id, r.conversation_id, r.role, r.content, r.model_profile) for r in sent.messages.orderBy("id").collect()]
+    assert stored == [
+        (3, "c", "user", "earlier", None), (11, "a", "user", "what is\n rye?", None), (12, "a", "assistant", "a grain for bread", "small"), (13, "c", "user", "and salt?", None), (14, "c", "assistant", "one two", "small"),
+        (15, "d", "user", "hello", None), (16, "e", "user", "offline", None), (17, "e", "assistant", "part", "lorem"), (18, "f", "user", "fail", None), (19, "g", "user", "mute", None),
+    ]
+    assert {r.id: (r.title, r.updated_at) for r in sent.conversations.collect()} == {
+        "a": ("what is rye?", at(11)), "b": ("Trip to Oslo", at(0)), "c": (schemas.DEFAULT_TITLE, at(11)), "d": ("Trip to Oslo", at(10)), "e": ("Trip to Oslo", at(11)), "f": ("Trip to Oslo", at(10)), "g": ("Trip to Oslo", at(10)),
+    }
+    said = {r.conversation_id: [(m["role"], m["content"]) for m in json.loads(r.context)] for r in sent.contexts.collect()}
+    assert said["c"] == [("system", "SP"), ("user", "earlier"), ("user", "and salt?")] and "b" not in said
+
+
+def test_remote_replies_and_their_errors(spark):
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if asked["model"] == "broken":
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            for word in (asked["messages"][-1]["content"], " back", f" {asked['max_tokens']}"):
+                self.wfile.write(("data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": word}}]}) + "\n\n").encode())
+            self.wfile.write(b"data: [DONE]\n\n")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    here = f"http://127.0.0.1:{server.server_port}"
+    profiles = spark.createDataFrame([("s", "S", here, 'm"1'), ("x", "X", here, "broken"), ("off", "Off", "http://127.0.0.1:9", "m")], "key string, label string, base_url string, model string")
+    asked = spark.createDataFrame([(k, p, json.dumps([{"role": "user", "content": f"ping {k}"}])) for k, p in enumerate(("s", "x", "off", "s"))], "request long, model_profile string, context string")
+    try:
+        rows = remote.streamed(remote.requests(asked, profiles, 64, 0.2), "key", 20.0).cache()
+        replies_ = R.fold(S.event_stream_deltas(rows.where("line IS NOT NULL")).withColumnRenamed("line_no", "chunk_index"), "request")
+        assert {r.request: r.content for r in replies_.collect()} == {0: "ping 0 back 64", 3: "ping 3 back 64"}
+        assert {(r.request, r.error, r.status) for r in rows.where("error IS NOT NULL").collect()} == {(1, "status", 503), (2, "connection", None)}
+    finally:
+        server.shutdown()
+
+
+def test_a_null_in_a_profile_list_can_count_as_its_text(spark):
+    raw = spark.createDataFrame([('[{"key": null, "label": "L", "base_url": "http://h", "model": "m"}, {"label": "L", "base_url": null, "model": "m", "key": "k"}]',)], "json string")
+    assert [r.error for r in S.profiles_from_json(raw).orderBy("position").collect()] == ["no key", "no base_url"]
+    assert [(r.key, r.error) for r in S.profiles_from_json(raw, null_text=True).orderBy("position").collect()] == [("None", None), ("k", "base_url is no web address")]
+
+
+def test_a_stream_is_stopped_on_request_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = {"conversation_id": "c", "message_seq": 1, "chunk_index": 0, "delta": "x"}
+    (tmp_path / "in" / "0.json").write_text(json.dumps(line))
+    stop = threading.Event()
+    endless = replies.folded(replies.deltas(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("endless").option("checkpointLocation", str(tmp_path / "cp")).start()
+    stop.set()
+    assert replies.finished(endless, stop) == "stopped" and not endless.isActive
+    broken = replies.deltas(spark, str(tmp_path / "in")).selectExpr("raise_error('broken') AS x").writeStream.format("memory").queryName("broken").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="broken"):
+        replies.finished(broken, threading.Event())
 
 
 def test_rules_find_planted_violations(spark):
@@ -99,9 +238,9 @@ def test_replies_fold_stop_and_read_from_lines(spark):
     assert [(r.id, r.content) for r in cut] == [(1, "one two")]
     assert R.stopped(words, F.lit(0), "conversation_id", "id").count() == 0
     chunk = lambda *c: "data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": x}} for x in c]})
-    lines = ["", chunk("Hello "), chunk(), chunk(None), chunk(""), chunk("world"), "data: [DONE]", "data: {broken"]
+    lines = ["", chunk("Rye is "), chunk(), chunk(None), chunk(""), chunk("a grain"), "data: [DONE]", "data: {broken"]
     frame = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "request int, line_no int, line string")
-    assert [r.delta for r in S.event_stream_deltas(frame).orderBy("line_no").collect()] == ["Hello ", "world"]
+    assert [r.delta for r in S.event_stream_deltas(frame).orderBy("line_no").collect()] == ["Rye is ", "a grain"]
 
 
 def test_paints_wait_for_the_gap_since_the_last_paint(spark):

@@ -70,3 +70,35 @@ def job_port(job: Column) -> Column:
 
 def before_semicolon(x: Column) -> Column:
     return F.substring_index(x, ";", 1)
+
+
+def whole(x: Column) -> Column:
+    """Whether a text is a number without sign."""
+    return F.coalesce(x.rlike("^[0-9]+$"), F.lit(False))
+
+
+def positive_whole(x: Column) -> Column:
+    return F.coalesce(x.rlike("^[1-9][0-9]*$"), F.lit(False))
+
+
+def flag(x: Column) -> Column:
+    return F.coalesce(x.isin("0", "1"), F.lit(False))
+
+
+def port(x: Column) -> Column:
+    """Whether a text is a port that needs no privilege."""
+    return whole(x) & F.coalesce(x.try_cast("long").between(1024, 65535), F.lit(False))
+
+
+def needs_key(host: Column, key: Column) -> Column:
+    """Whether a server that others can reach has no key."""
+    return ~host.isin("127.0.0.1", "localhost") & (F.coalesce(key, F.lit("")) == "")
+
+
+def enough_memory(least: Column, wanted: Column) -> Column:
+    return least >= wanted
+
+
+def present(values: Column, *names: str, default: str | None = None) -> Column:
+    """The first of these names that a map holds (an empty text is held), else the default."""
+    return F.coalesce(*(values[n] for n in names), F.lit(default).cast("string"))

@@ -1,4 +1,4 @@
-"""Mutations as rewrites: each takes tables and returns tables."""
+"""Mutations as rewrites: each takes tables and returns tables. A batch may name a row more than once."""
 
 from __future__ import annotations
 
@@ -6,15 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
+from turnlake.operators.reads import newest_of_each
 from turnlake.sources.schemas import DEFAULT_TITLE, ROLES
 
+#: Slices that a batch of messages is numbered in.
+SLICES = 64
 
-def create_conversations(conversations: DataFrame, requests: DataFrame, projects: DataFrame) -> DataFrame:
-    """requests: project_id, title?, model_profile, at. Titles are stripped, profiles kept as they are."""
+
+def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key by order, then by all columns: one aggregation that combines before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    told = [*order, *(c for c in rest if c not in order)]
+    return rows.groupBy(key).agg(F.min(F.struct(*told)).alias("first")).select(key, *(F.col("first")[c].alias(c) for c in rest)).select(*rows.columns)
+
+
+def made_conversations(conversations: DataFrame, requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """The conversations that requests make: id, project_id, title?, model_profile, at.
+
+    The id is the request's, so that a retried task or a second read makes the same row; of requests with
+    one id the first counts, and none whose id is taken. Titles are stripped, profiles kept as they are.
+    """
     new = requests.withColumn("title", X.strip(F.coalesce("title", F.lit(DEFAULT_TITLE))))
     ok = new.where((F.length("title") > 0) & ~X.is_blank(F.col("model_profile"))).join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
-    made = ok.select(F.expr("uuid()").alias("id"), "project_id", "title", "model_profile", F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
-    return conversations.unionByName(made)
+    once = first_of_each(ok.select("id", "project_id", "title", "model_profile", "at"), "id", "at").join(conversations.select("id"), "id", "left_anti")
+    return once.select("id", "project_id", "title", "model_profile", F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+
+
+def create_conversations(conversations: DataFrame, requests: DataFrame, projects: DataFrame) -> DataFrame:
+    return conversations.unionByName(made_conversations(conversations, requests, projects))
 
 
 def rename(conversations: DataFrame, changes: DataFrame) -> DataFrame:
@@ -29,7 +48,8 @@ def set_profile(conversations: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _touched(conversations: DataFrame, changes: DataFrame, column: str, new: str) -> DataFrame:
-    joined = conversations.join(changes.select("id", new, "at"), "id", "left")
+    """Of several changes of one conversation the latest counts."""
+    joined = conversations.join(newest_of_each(changes.select("id", new, "at"), "id", "at", new), "id", "left")
     return joined.withColumns({column: F.coalesce(new, column), "updated_at": F.coalesce("at", "updated_at")}).select(*conversations.columns)
 
 
@@ -43,19 +63,46 @@ def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
 
+def numbered(rows: DataFrame, by: str, *ties: str, slices: int = SLICES) -> DataFrame:
+    """rows with place, from 1 without gaps, in the order of a number and then of ties.
+
+    The number's approximate quantiles cut the rows into slices, each numbered by itself and moved up by
+    the counts of those before: no task sees them all.
+    """
+    cuts = sorted(set(rows.approxQuantile(by, [k / slices for k in range(1, slices)], 0.2 / slices)))
+    sliced = rows.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(by))) if cuts else F.lit(0))
+    counts = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("before"))  # slices rows
+    placed = sliced.withColumn("nth_here", F.row_number().over(Window.partitionBy("slice").orderBy(by, *ties)))
+    return placed.join(F.broadcast(before), "slice").withColumn("place", F.col("before") + F.col("nth_here")).drop("slice", "before", "nth_here")
+
+
+def acceptable(new: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The messages that may be stored: a known role and conversation, content that isn't blank."""
+    ok = new.where(F.col("role").isin(*ROLES) & ~X.is_blank(F.col("content")))
+    return ok.join(conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+
+
+def touched_by(conversations: DataFrame, added: DataFrame) -> DataFrame:
+    """Conversations moved up to their latest new message (conversation_id, at)."""
+    latest = added.groupBy(F.col("conversation_id").alias("id")).agg(F.max("at").alias("at"))
+    return conversations.join(latest, "id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", "updated_at"))).select(*conversations.columns)
+
+
 def add_messages(messages: DataFrame, conversations: DataFrame, new: DataFrame, high_water: int) -> tuple[DataFrame, DataFrame]:
     """new: conversation_id, role, content, model_profile, at, nth. Returns both tables; content stays as it is.
 
-    Ids go on from the highest ever given, in the order of nth within a batch.
+    Ids go on from the highest ever given, in the order of nth within a batch, ties by the other columns.
     """
-    ok = new.where(F.col("role").isin(*ROLES) & ~X.is_blank(F.col("content"))).join(conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
-    rows = ok.withColumn("id", (F.row_number().over(Window.orderBy("nth")) + high_water).cast("long"))
-    added = rows.select("id", "conversation_id", "role", "content", "model_profile", F.col("at").alias("created_at"))
-    latest = rows.groupBy(F.col("conversation_id").alias("id")).agg(F.max("at").alias("at"))
-    moved = conversations.join(latest, "id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", "updated_at"))).select(*conversations.columns)
-    return messages.unionByName(added), moved
+    rows = acceptable(new, conversations)
+    placed = numbered(rows, "nth", "conversation_id", "at", "role", "content", "model_profile")
+    added = placed.select((F.col("place") + high_water).cast("long").alias("id"), "conversation_id", "role", "content", "model_profile", F.col("at").alias("created_at"))
+    return messages.unionByName(added), touched_by(conversations, rows)
+
+
+def seed(rows: DataFrame, defaults: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Adds the defaults whose key isn't there: the first write wins, also among the defaults (by order, a column of theirs)."""
+    once = first_of_each(defaults, key, *([order] if order else []))
+    return rows.unionByName(once.join(rows.select(key), key, "left_anti").select(*rows.columns))
 
 
-def seed(rows: DataFrame, defaults: DataFrame, key: str = "id") -> DataFrame:
-    """Adds the defaults whose key isn't there: the first write wins."""
-    return rows.unionByName(defaults.join(rows.select(key), key, "left_anti").select(*rows.columns))

@@ -10,7 +10,7 @@ from turnlake.functions import text as X
 
 def lookup(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """The rows of table that keys name, one lookup a key."""
-    return table.join(keys.select(key).distinct(), key, "left_semi")
+    return table.join(keys.select(key), key, "left_semi")
 
 
 def heads(activity: DataFrame, key: str = "conversation_id", at: str = "created_at") -> DataFrame:
@@ -22,6 +22,22 @@ def by_latest(conversations: DataFrame, key: str = "conversation_id") -> DataFra
     return conversations.orderBy(F.desc("updated_at"), F.desc("created_at"), key)
 
 
+def conversations_of(conversations: DataFrame, project: object, group: str = "project_id", key: str = "id") -> DataFrame:
+    """The conversations of one project, latest first; the filter reaches the scan."""
+    return by_latest(conversations.where(F.col(group) == F.lit(project)), key)
+
+
+def messages_of(messages: DataFrame, conversation: object) -> DataFrame:
+    """The messages of one conversation in the order they were stored; the filter reaches the scan."""
+    return messages.where(F.col("conversation_id") == F.lit(conversation)).orderBy("id")
+
+
+def header(conversations: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Title and model label of each conversation; a profile that isn't configured shows its key."""
+    named = conversations.join(profiles.select(F.col("key").alias("model_profile"), "label"), "model_profile", "left")
+    return named.select("id", "title", F.coalesce("label", "model_profile").alias("model"))
+
+
 def newest(conversations: DataFrame, key: str = "conversation_id") -> DataFrame:
     """The one conversation that a page opens with."""
     return by_latest(conversations, key).limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
@@ -45,3 +45,21 @@ def with_known_profiles(conversations: DataFrame, profiles: DataFrame, default:
     """A profile that isn't configured becomes the default."""
     known = profiles.select(F.col("key").alias("model_profile"), F.col("key").alias("found"))
     return conversations.join(known, "model_profile", "left").withColumn("model_profile", F.coalesce("found", F.lit(default))).drop("found").select(*conversations.columns)
+
+
+def configured() -> Column:
+    """Whether a profile (backend, base_url, model) can answer: the offline one always, another with address and model."""
+    told = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    return (F.col("backend") == "lorem") | ((F.col("backend") == "vllm") & told("base_url") & told("model"))
+
+
+def active(sends: DataFrame, at: str) -> DataFrame:
+    """The conversations that are generating at a time: sends with started and ended (null while they run)."""
+    now = F.lit(at).cast("timestamp")
+    return sends.where((F.col("started") <= now) & (F.col("ended").isNull() | (F.col("ended") > now))).select("conversation_id").distinct()
+
+
+def may_change_model(conversations: DataFrame, generating: DataFrame, profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes (id, new_profile, at) that a page lets through: to a configured profile, of a conversation that isn't generating."""
+    known = changes.join(profiles.select(F.col("key").alias("new_profile")), "new_profile", "left_semi")
+    return known.join(generating.select(F.col("conversation_id").alias("id")), "id", "left_anti").join(conversations.select("id"), "id", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
+from turnlake.operators import chats as H
 from turnlake.operators import mutations as M
 from turnlake.operators import reads as R
 from turnlake.operators import rules as C
@@ -190,7 +191,11 @@ def _(spark, d):
     return R.fold(S.offline_reply(spark), "conversation_id", "id")
 
 
-@query("throttled_paints")
+@query("throttled_paints", """
+WITH RECURSIVE t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, epoch_us(ts) AS us FROM events),
+p AS (SELECT user_id, i, us AS painted, 0 AS n FROM t WHERE i = 1
+      UNION ALL SELECT t.user_id, t.i, CASE WHEN us - painted >= 21600000000 THEN us ELSE painted END, n + (us - painted >= 21600000000)::INT FROM p JOIN t ON t.user_id = p.user_id AND t.i = p.i + 1)
+SELECT user_id AS conversation_id, CAST(max(n) AS BIGINT) AS paints FROM p GROUP BY user_id""")
 def _(spark, d):
     return R.paints(S.activity(spark, d), 6 * 3_600_000_000)
 
@@ -261,16 +266,181 @@ def _(spark, d):
 
 
 @query("touch_on_message", "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS model_profile, greatest(o_orderdate, coalesce(m, o_orderdate)) AS updated_at FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS m FROM lineitem WHERE l_linestatus <> '' GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(spark, d):
+    new = _table(spark, d, "lineitem").where("l_linestatus <> ''").select(F.col("l_orderkey").alias("conversation_id"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    return _shown(M.touched_by(_heads(spark, d), new))
+
+
+@query("rename_repeated", """
+SELECT o_orderkey AS id, coalesce(t, o_orderpriority) AS title, o_orderstatus AS model_profile, coalesce(moved, o_orderdate) AS updated_at
+FROM orders LEFT JOIN (SELECT l_orderkey, 'Line ' || max(l_partkey) AS t, l_shipdate AS moved FROM lineitem
+  WHERE l_returnflag <> 'N' GROUP BY l_orderkey, l_shipdate QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC) = 1) ON l_orderkey = o_orderkey""")
+def _(spark, d):
+    # several changes of one conversation: the latest counts
+    part = F.format_string("%012d", "l_partkey")
+    lines = _table(spark, d, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("id"), F.concat(F.lit(" Line "), part).alias("new_title"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    return _shown(M.rename(_heads(spark, d), lines)).withColumn("title", F.regexp_replace("title", r"^Line 0+(?=\d)", "Line "))
+
+
+@query("create_conversation", """
+SELECT 'c' || o_orderkey AS id, o_custkey AS project_id, CASE o_orderkey % 3 WHEN 0 THEN 'New chat' ELSE 'Order ' || o_orderkey END AS title, o_orderstatus AS model_profile, o_orderdate AS created_at, o_orderdate AS updated_at
+FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') AND o_orderkey % 4 <> 0
+UNION ALL SELECT 'c' || o_orderkey, o_custkey, 'there', 'base', o_orderdate, o_orderdate FROM orders WHERE o_orderkey % 4 = 0""")
+def _(spark, d):
+    o = _ol(spark, d)
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("c"), k.cast("string"))
+    at = F.col("o_orderdate").cast("timestamp")
+    old = o.where("o_orderkey % 4 = 0").select(name.alias("id"), F.col("o_custkey").alias("project_id"), F.lit("there").alias("title"), F.lit("base").alias("model_profile"), at.alias("created_at"), at.alias("updated_at"))
+    title = F.when(k % 5 == 0, F.lit("\u2003")).when(k % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("\tOrder "), k.cast("string"), F.lit(" ")))
+    asked = o.select(name.alias("id"), F.col("o_custkey").alias("project_id"), title.alias("title"), F.when(k % 7 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("model_profile"), at.alias("at"))
+    # a request that is repeated later makes no second row
+    twice = asked.unionByName(asked.withColumn("at", F.col("at") + F.expr("INTERVAL 1 DAY")))
+    projects = _table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    return M.create_conversations(old, twice, projects).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
+_SQL_NEW = """(SELECT l_orderkey AS conversation_id, CASE l_returnflag WHEN 'A' THEN 'assistant' WHEN 'R' THEN 'user' ELSE 'tool' END AS role, l_partkey || ' parts ' AS content, l_shipdate AS sent, l_orderkey * 8 + l_linenumber AS nth
+FROM lineitem WHERE l_linestatus <> '' AND l_returnflag <> 'N' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0))"""
+
+
+@query("add_message", f"""
+SELECT 1000 + row_number() OVER (ORDER BY nth, conversation_id, sent, role, content) AS id, conversation_id, role, content, sent AS created_at FROM {_SQL_NEW} x
+UNION ALL SELECT conv_id * 1000 + turn, conv_id, role, text, TIMESTAMP '2020-01-01' FROM conversations""")
+def _(spark, d):
+    old = S.messages(spark, d).select("id", "conversation_id", "role", "content", F.lit(None).cast("string").alias("model_profile"), F.to_timestamp(F.lit("2020-01-01")).alias("created_at"))
+    role = F.when(F.col("l_returnflag") == "A", "assistant").when(F.col("l_returnflag") == "R", "user").otherwise("tool")
+    new = _table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("conversation_id"), role.alias("role"), F.concat(F.col("l_partkey").cast("string"), F.lit(" parts ")).alias("content"), F.lit(None).cast("string").alias("model_profile"),
+        F.col("l_shipdate").cast("timestamp").alias("at"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("nth"),
+    )
+    blank = new.limit(50).withColumns({"role": F.lit("user"), "content": F.lit("\u2003\t")})
+    both, _ = M.add_messages(old, _heads(spark, d).where("id % 3 <> 0"), new.unionByName(blank), 1000)
+    return both.select("id", "conversation_id", "role", "content", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+#: Sends to the conversations: what they say, how their reply ends, and what was there before.
+_SQL_SENT = f"""
+WITH m AS (SELECT * FROM {SQL_CV} m WHERE conversation_id % 4 <> 0),
+c AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id % 2 = 0 THEN 'New chat' ELSE 'Named' END AS title, CASE conv_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'tuned' ELSE 'gone' END AS profile FROM conversations),
+s AS (
+  SELECT id, CASE WHEN id % 11 = 5 THEN '' ELSE 'Question  ' || id || ' about a rather long title that must be cut' END AS text, CASE WHEN id % 5 = 1 THEN 2 WHEN id % 5 = 3 THEN 0 END AS stop_at,
+         CASE id % 7 WHEN 2 THEN 'timeout' WHEN 4 THEN 'status' END AS error, title, CASE WHEN profile = 'gone' THEN 'lorem' ELSE profile END AS profile,
+         CASE WHEN id % 13 = 6 THEN 0 ELSE 5 END AS words
+  FROM c),
+r AS (SELECT *, CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform(range(least(words, coalesce(stop_at, words))), lambda i: 'w' || i), ' ') END AS reply FROM s),
+n AS (
+  SELECT *, CASE profile WHEN 'lorem' THEN 'Lorem Ipsum (offline)' WHEN 'base' THEN 'Base model' ELSE 'Tuned model' END AS label FROM r)
+SELECT id AS conversation_id,
+       CASE WHEN text <> '' AND title = 'New chat' AND id NOT IN (SELECT conversation_id FROM m) THEN substring(regexp_replace(text, ' +', ' ', 'g'), 1, 41) || '...' ELSE title END AS title,
+       CASE WHEN text = '' THEN NULL ELSE profile END AS model_profile, reply,
+       CASE WHEN text = '' THEN 'blank' WHEN stop_at IS NOT NULL THEN CASE WHEN reply = '' THEN 'stopped, nothing saved' ELSE 'stopped, partial reply saved' END
+            WHEN error = 'timeout' THEN 'unreachable ' || label WHEN error = 'status' THEN 'http ' || label || ' 503' WHEN reply = '' THEN 'empty ' || label ELSE 'ok' END AS notice,
+       CAST((SELECT count(*) FROM m WHERE m.conversation_id = n.id) + (text <> '')::INT + (reply <> '')::INT AS BIGINT) AS n_messages,
+       CASE WHEN text <> '' THEN CAST((SELECT count(*) FROM m WHERE m.conversation_id = n.id) + 2 AS INTEGER) END AS n_context
+FROM n"""
+
+
+@query("send_message", _SQL_SENT)
+def _(spark, d):
+    k = F.col("conversation_id")
+    old = S.messages(spark, d).where(k % 4 != 0).select("id", "conversation_id", "role", "content", F.lit(None).cast("string").alias("model_profile"), F.to_timestamp(F.lit("2020-01-01")).alias("created_at"))
+    ids = S.messages(spark, d).select("conversation_id").distinct()
+    at = F.to_timestamp(F.lit("2020-01-01"))
+    conversations = ids.select(
+        k.alias("id"), F.lit("default").alias("project_id"), F.when(k % 2 == 0, "New chat").otherwise("Named").alias("title"), F.when(k % 3 == 0, "base").when(k % 3 == 1, "tuned").otherwise("gone").alias("model_profile"),
+        at.alias("created_at"), at.alias("updated_at"),
+    )
+    profiles = spark.createDataFrame([(a, b, "lorem" if a == "lorem" else "vllm", "http://h", "m") for a, b in PROFILES], "key string, label string, backend string, base_url string, model string")
+    text = F.when(k % 11 == 5, F.lit(" \n")).otherwise(F.concat(F.lit(" Question  "), k.cast("string"), F.lit(" about a rather long title that must be cut\n")))
+    sends = ids.select(
+        "conversation_id", text.alias("text"), F.to_timestamp(F.lit("2021-01-01")).alias("at"), k.alias("nth"), F.when(k % 5 == 1, 2).when(k % 5 == 3, 0).alias("stop_at"),
+        F.when(k % 7 == 2, "timeout").when(k % 7 == 4, "status").alias("error"), F.lit(503).alias("status"), F.to_timestamp(F.lit("2021-01-02")).alias("replied_at"),
+    )
+    deltas = ids.where(k % 13 != 6).select("conversation_id", F.posexplode(F.array(*map(F.lit, ("w0", " w1", " w2", " w3", " w4")))).alias("chunk_index", "delta"))
+    sent = H.send(conversations, old, profiles, sends, deltas, "lorem", "SP", 10**9)
+    count = sent.messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    context = sent.contexts.select("conversation_id", F.size(F.from_json("context", "array<struct<role:string>>")).alias("n_context"))
+    told = sent.sends.drop("nth").join(sent.conversations.select(F.col("id").alias("conversation_id"), "title"), "conversation_id")
+    return told.join(count, "conversation_id", "left").join(context, "conversation_id", "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0).cast("long")))
+
+
+@query("conversations_of_project", "SELECT o_orderkey AS id, o_orderdate AS updated_at FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY 2 DESC, 1")
 def _(spark, d):
     heads = _heads(spark, d)
-    new = _table(spark, d, "lineitem").where("l_linestatus <> ''").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").cast("timestamp").alias("at"))
-    return _shown(heads.join(new, "id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", "updated_at"))))
+    project = heads.agg(F.min("project_id")).first()[0]
+    return R.conversations_of(heads, project).select("id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query("messages_of_conversation", f"SELECT id, role, content FROM {SQL_CV} m WHERE conversation_id = (SELECT max(conv_id) FROM conversations) ORDER BY id")
+def _(spark, d):
+    m = S.messages(spark, d)
+    return R.messages_of(m, m.agg(F.max("conversation_id")).first()[0]).select("id", "role", "content")
+
+
+_SQL_HEADS = "(SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS model_profile, o_orderdate AS updated_at FROM orders)"
+_STATES = [("F", "Finished"), ("O", "Open")]
+
+
+def _states(spark):
+    return spark.createDataFrame(_STATES, "key string, label string")
+
+
+@query("conversation_header", f"SELECT id, title, CASE model_profile WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE model_profile END AS model FROM {_SQL_HEADS} x")
+def _(spark, d):
+    return R.header(_heads(spark, d), _states(spark))
+
+
+@query("page_open", f"SELECT CAST(r_regionkey AS INTEGER) AS page, id, title, CASE WHEN model_profile IN ('F', 'O') THEN model_profile ELSE 'O' END AS model_profile FROM region, (SELECT * FROM {_SQL_HEADS} x ORDER BY updated_at DESC, id LIMIT 1)")
+def _(spark, d):
+    pages = _table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("page"), F.lit(-1).cast("long").alias("new_id"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))
+    return H.opened(_heads(spark, d), _states(spark), pages, "O").select("page", "id", "title", "model_profile")
+
+
+@query("page_self_heal", f"""
+SELECT p_partkey AS page, coalesce(id, -p_partkey) AS id, id IS NULL AS created, CASE WHEN id IS NULL THEN 'New chat' ELSE title END AS title,
+       CASE WHEN model_profile IN ('F', 'O') THEN model_profile ELSE 'O' END AS model_profile
+FROM part LEFT JOIN {_SQL_HEADS} x ON id = p_partkey * 3""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    pages = _table(spark, d, "part").select(k.alias("page"), (k * 3).alias("conversation_id"), (-k).alias("new_id"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))
+    heads = _heads(spark, d).withColumn("project_id", F.col("project_id").cast("string"))
+    return H.healed(heads, _states(spark), pages, "O").select("page", "id", "created", "title", "model_profile")
+
+
+@query("new_chat", "SELECT o_orderkey AS page, CASE WHEN reused THEN o_orderkey ELSE -o_orderkey END AS id, reused FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AS reused FROM orders)")
+def _(spark, d):
+    heads = _heads(spark, d).withColumn("title", F.when(F.col("id") % 2 == 0, "New chat").otherwise("Named"))
+    lines = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"))
+    return H.new_chats(heads, lines, heads.select(F.col("id").alias("page"), F.col("id").alias("conversation_id"), (-F.col("id")).alias("new_id")))
+
+
+@query("delete_with_replacement", """
+SELECT CAST(c_custkey AS BIGINT) AS page, k AS conversation_id, k % 4 <> 1 AS deleted,
+       CASE WHEN k % 4 <> 1 AND k % 2 = 0 THEN (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey * 2 FROM customer WHERE c_custkey * 2 % 4 <> 1) ORDER BY o_orderdate DESC, o_orderkey LIMIT 1)
+            WHEN k % 2 = 0 THEN k ELSE -1 END AS shows
+FROM (SELECT c_custkey, c_custkey * 2 AS k FROM customer)""")
+def _(spark, d):
+    k = F.col("c_custkey") * 2
+    asked = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page"), k.alias("conversation_id"), F.when(k % 2 == 0, k).otherwise(F.lit(-1)).alias("shown"))
+    busy = asked.where("conversation_id % 4 = 1").select("conversation_id")
+    lines = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"))
+    return H.deleted(_heads(spark, d), lines, busy, asked)[2]
+
+
+@query("change_model", f"SELECT id, 'O' AS new_profile FROM {_SQL_HEADS} x WHERE id % 3 = 0 AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-01-01' AND l_shipdate + INTERVAL 90 DAY > TIMESTAMP '1996-01-01')")
+def _(spark, d):
+    heads = _heads(spark, d)
+    at = F.col("l_shipdate").cast("timestamp")
+    flights = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), at.alias("started"), (at + F.expr("INTERVAL 90 DAYS")).alias("ended"))
+    asked = heads.select("id", F.when(F.col("id") % 3 == 0, "O").otherwise("nowhere").alias("new_profile"), "updated_at")
+    return C.may_change_model(heads, C.active(flights, "1996-01-01"), _states(spark), asked).select("id", "new_profile")
 
 
 @query("seed_if_absent", "SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 99, 'General' UNION ALL SELECT 1, 'General' WHERE 1 NOT IN (SELECT r_regionkey FROM region)")
 def _(spark, d):
     rows = _table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    return M.seed(rows, spark.createDataFrame([(99, "General"), (1, "General")], "id int, name string"))
+    return M.seed(rows, spark.createDataFrame([(99, "General", 0), (1, "General", 1), (99, "Again", 2), (99, "A third time", 3)], "id int, name string, nth int"), order="nth")
 
 
 # integrity
@@ -342,8 +512,8 @@ def _(spark, d):
 
 
 @query("profile_errors", f"""
-SELECT position::INTEGER AS position, error FROM (SELECT position, CASE WHEN base_url IS NULL THEN 'is missing base_url' WHEN key = '' THEN 'has an empty key'
-  WHEN NOT (starts_with(base_url, 'http://') OR starts_with(base_url, 'https://')) THEN 'base_url must start with http:// or https://' END AS error FROM {_SQL_LISTED} x) WHERE error IS NOT NULL""")
+SELECT position::INTEGER AS position, error FROM (SELECT position, CASE WHEN base_url IS NULL THEN 'no base_url' WHEN key = '' THEN 'blank key'
+  WHEN NOT (starts_with(base_url, 'http://') OR starts_with(base_url, 'https://')) THEN 'base_url is no web address' END AS error FROM {_SQL_LISTED} x) WHERE error IS NOT NULL""")
 def _(spark, d):
     return _listed(spark).where("error IS NOT NULL").select("position", "error")
 
@@ -422,3 +592,57 @@ def _(spark, d):
     asked = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(k == 0, "qwen3-0.6b").when(k == 1, "qwen3.5-35b-a3b").otherwise("other").alias("preset"))
     known = spark.createDataFrame(PRESETS, "preset string, model_id string, max_len int, min_mib int")
     return asked.join(known, "preset", "left").select("id", "preset", "max_len", F.coalesce("min_mib", F.lit(-1)).alias("min_mib"), F.col("max_len").isNull().alias("unknown"))
+
+
+_ENVS = [
+    {}, {"CHAT_DEFAULT_PROFILE": "default", "VLLM_TIMEOUT_SECONDS": " 30 ", "CHAT_DB_PATH": ""}, {"VLLM_DEFAULT_PROFILE": "default"}, {"CHAT_DEFAULT_PROFILE": "", "VLLM_DEFAULT_PROFILE": "default"}, {"VLLM_MAX_TOKENS": "1.5"},
+    {"VLLM_TEMPERATURE": "2.5"}, {"VLLM_PROFILE_KEY": "lorem"}, {"CHAT_DEFAULT_PROFILE": "nowhere"}, {"VLLM_API_KEY": "", "VLLM_SYSTEM_PROMPT": "  be brief ", "CHAT_DB_PATH": "/data/chat"}, {"VLLM_TIMEOUT_SECONDS": "0"},
+]
+_SQL_ENVS = "(VALUES " + ", ".join("(" + ", ".join([str(i), *("'" + e[k] + "'" if k in e else "NULL" for k in ("CHAT_DEFAULT_PROFILE", "VLLM_DEFAULT_PROFILE", "VLLM_PROFILE_KEY", "VLLM_TIMEOUT_SECONDS", "VLLM_MAX_TOKENS", "VLLM_TEMPERATURE", "VLLM_API_KEY", "VLLM_SYSTEM_PROMPT", "CHAT_DB_PATH"))]) + ")" for i, e in enumerate(_ENVS)) + ") e(nth, chat, vllm, key, timeout, tokens, temperature, api, prompt, path)"
+
+
+@query("settings_columns", f"""
+WITH n AS (
+  SELECT nth, trim(coalesce(chat, vllm, 'lorem')) AS default_profile, coalesce(key, 'default') AS key,
+         CASE WHEN TRY_CAST(trim(coalesce(timeout, '120')) AS DOUBLE) > 0 THEN TRY_CAST(trim(coalesce(timeout, '120')) AS DOUBLE) END AS timeout,
+         CASE WHEN regexp_matches(coalesce(tokens, '1024'), '^[0-9]+$') THEN CAST(coalesce(tokens, '1024') AS INTEGER) END AS max_tokens,
+         CASE WHEN CAST(coalesce(temperature, '0.2') AS DOUBLE) BETWEEN 0 AND 2 THEN CAST(coalesce(temperature, '0.2') AS DOUBLE) END AS temperature,
+         coalesce(api, 'not-needed') AS api_key, length(trim(coalesce(prompt, '{S.DEFAULTS["VLLM_SYSTEM_PROMPT"]}'))) AS prompt_chars, nullif(path, '') AS database
+  FROM {_SQL_ENVS})
+SELECT CAST(nth AS INTEGER) AS nth, default_profile, timeout, max_tokens, temperature, api_key, CAST(prompt_chars AS INTEGER) AS prompt_chars, database,
+       CASE WHEN key = 'lorem' THEN 'a profile key comes twice' WHEN default_profile NOT IN ('lorem', key) THEN 'the default profile is not a configured one'
+            WHEN timeout IS NULL THEN 'timeout is out of range' WHEN max_tokens IS NULL THEN 'max_tokens is out of range' WHEN temperature IS NULL THEN 'temperature is out of range' END AS error
+FROM n""")
+def _(spark, d):
+    found = S.settings_of(spark.createDataFrame(list(enumerate(_ENVS)), "nth int, env map<string,string>"))
+    return found.select("nth", "default_profile", "timeout", "max_tokens", "temperature", "api_key", F.length("system_prompt").alias("prompt_chars"), "database", "error")
+
+
+@query("preset_override", "SELECT p_partkey AS id, coalesce(nullif(CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_size::VARCHAR END, ''), CASE p_size % 2 WHEN 0 THEN '4096' ELSE '32768' END) AS max_len FROM part")
+def _(spark, d):
+    known = spark.createDataFrame([(i, str(n)) for i, (_, _, n, _) in enumerate(PRESETS)], "preset int, max_len string")
+    size = F.col("p_size")
+    asked = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), (size % 2).alias("preset"), F.when(size % 4 == 0, F.lit("")).when(size % 4 == 1, size.cast("string")).alias("env"))
+    return asked.join(F.broadcast(known), "preset").select("id", F.coalesce(F.nullif("env", F.lit("")), "max_len").alias("max_len"))
+
+
+@query("server_domains", """
+SELECT s_suppkey AS id, regexp_matches(v, '^[0-9]+$') AS whole, regexp_matches(v, '^[1-9][0-9]*$') AS positive, v IN ('0', '1') AS flag,
+       regexp_matches(v, '^[0-9]+$') AND CASE WHEN regexp_matches(v, '^[0-9]+$') THEN CAST(v AS BIGINT) BETWEEN 1024 AND 65535 ELSE FALSE END AS port,
+       s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AS needs_key, floor(s_acctbal) >= 4096 AS enough
+FROM (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN '0' WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN '0' || s_suppkey WHEN 3 THEN '-' || s_suppkey ELSE CAST(s_suppkey * 701 AS VARCHAR) END AS v FROM supplier)""")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    v = F.when(k % 5 == 0, "0").when(k % 5 == 1, k.cast("string")).when(k % 5 == 2, F.concat(F.lit("0"), k.cast("string"))).when(k % 5 == 3, F.concat(F.lit("-"), k.cast("string"))).otherwise((k * 701).cast("string"))
+    host = F.when(k % 3 == 0, "0.0.0.0").when(k % 3 == 1, "localhost").otherwise("127.0.0.1")
+    rows = _table(spark, d, "supplier").select(k.alias("id"), v.alias("v"), host.alias("host"), F.when(k % 2 == 0, "").otherwise("secret").alias("key"), F.floor("s_acctbal").alias("memory"))
+    return rows.select("id", X.whole(F.col("v")).alias("whole"), X.positive_whole(F.col("v")).alias("positive"), X.flag(F.col("v")).alias("flag"), X.port(F.col("v")).alias("port"), X.needs_key(F.col("host"), F.col("key")).alias("needs_key"), X.enough_memory(F.col("memory"), F.lit(4096)).alias("enough"))
+
+
+@query("profile_dispatch", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE ELSE FALSE END AS configured FROM part")
+def _(spark, d):
+    size = F.col("p_size") % 4
+    rows = _table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.when(size == 0, "lorem").when(size == 3, "other").otherwise("vllm").alias("backend"), F.when(size > 0, F.lit("http://h")).alias("base_url"), F.when(size == 2, F.lit("")).otherwise(F.lit("m")).alias("model")
+    )
+    return rows.select("id", C.configured().alias("configured"))

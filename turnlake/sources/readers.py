@@ -32,31 +32,48 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("event_id").alias("id"), F.col("user_id").alias("conversation_id"), F.col("ts").cast("timestamp").alias("created_at"), "props")
 
 
-def profiles_from_json(raw: DataFrame) -> DataFrame:
+def listed_profiles(raw: Column, null_text: bool = False) -> Column:
+    """The profiles of a JSON list in order, as structs with position and error; null where it isn't a list of any.
+
+    JSON null counts as missing, or with null_text as the text None.
+    """
+
+    def item(p: Column, i: Column) -> Column:
+        def field(c: str) -> Column:
+            value = F.coalesce(p[c], F.when(F.map_contains_key(p, c), F.lit("None"))) if null_text else p[c]
+            return X.without_slashes(value) if c == "base_url" else X.strip(value)
+
+        made = {c: field(c) for c in ("key", "label", "base_url", "model")}
+        return F.struct(
+            made["key"].alias("key"), made["label"].alias("label"), F.lit("vllm").alias("backend"), made["base_url"].alias("base_url"), made["model"].alias("model"), i.alias("position"), profile_error(made).alias("error")
+        )
+
+    items = F.when(X.strip(raw).startswith("["), F.from_json(raw, "array<map<string,string>>"))
+    return F.when(F.size(items) > 0, F.transform(items, item))
+
+
+def profiles_from_json(raw: DataFrame, null_text: bool = False) -> DataFrame:
     """From raw (json): key, label, backend, base_url, model, position and error for each listed profile.
 
-    A list that can't be read gives one row with an error. JSON null counts as missing.
+    A list that can't be read gives one row with an error.
     """
-    listed = X.strip(F.col("json")).startswith("[")
-    items = raw.select("json", F.when(listed, F.from_json("json", S.PROFILE_ITEMS)).alias("items"))
-    bad = items.where(F.col("items").isNull() | (F.size("items") == 0)).select(
-        *(F.lit(None).cast("string").alias(c) for c in ("key", "label", "backend", "base_url", "model")), F.lit(None).cast("int").alias("position"), F.lit("must be a non-empty JSON list").alias("error")
+    listed = raw.select(listed_profiles(F.col("json"), null_text).alias("items"))
+    bad = listed.where(F.col("items").isNull()).select(
+        *(F.lit(None).cast("string").alias(c) for c in ("key", "label", "backend", "base_url", "model")), F.lit(None).cast("int").alias("position"), F.lit(NO_LIST).alias("error")
     )
-    each = items.where(F.size("items") > 0).select(F.posexplode("items").alias("position", "p"))
-    found = each.select(
-        X.strip(F.col("p.key")).alias("key"), X.strip(F.col("p.label")).alias("label"), F.lit("vllm").alias("backend"),
-        X.without_slashes(F.col("p.base_url")).alias("base_url"), X.strip(F.col("p.model")).alias("model"), "position",
-    )
-    return found.withColumn("error", profile_error()).unionByName(bad)
+    return listed.select(F.explode("items").alias("p")).select("p.*").unionByName(bad)
 
 
-def profile_error() -> Column:
+NO_LIST = "the profile list holds no items"
+
+
+def profile_error(fields: Mapping[str, Column]) -> Column:
     """What is wrong with a profile's fields; null if nothing is."""
-    empty = F.lit(None).cast("string")
+    wrong = F.lit(None).cast("string")
     for c in reversed(("key", "label", "base_url", "model")):
-        empty = F.when(F.col(c).isNull(), F.lit(f"is missing {c}")).when(F.col(c) == "", F.lit(f"has an empty {c}")).otherwise(empty)
-    scheme = F.col("base_url").startswith("http://") | F.col("base_url").startswith("https://")
-    return F.coalesce(empty, F.when(~scheme, F.lit("base_url must start with http:// or https://")))
+        wrong = F.when(fields[c].isNull(), F.lit(f"no {c}")).when(fields[c] == "", F.lit(f"blank {c}")).otherwise(wrong)
+    scheme = fields["base_url"].startswith("http://") | fields["base_url"].startswith("https://")
+    return F.coalesce(wrong, F.when(~scheme, F.lit("base_url is no web address")))
 
 
 def with_offline(profiles: DataFrame) -> DataFrame:
@@ -74,33 +91,50 @@ def profile_options(profiles: DataFrame) -> DataFrame:
     return profiles.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("position", "key", "label"))), lambda p: F.struct(p["key"], p["label"]))).alias("options"))
 
 
+def settings_of(environs: DataFrame) -> DataFrame:
+    """The settings of environments (env: a map of texts) as columns, and error: what is wrong first; null if nothing is.
+
+    A name that is absent has its default, an empty text is a value; a blank profile list means the one
+    profile of the other names.
+    """
+    e = F.col("env")
+    model = X.strip(X.present(e, "VLLM_MODEL", default=DEFAULTS["VLLM_MODEL"]))
+    one = {
+        "key": X.strip(X.present(e, "VLLM_PROFILE_KEY", default=DEFAULTS["VLLM_PROFILE_KEY"])), "label": X.strip(F.coalesce(e["VLLM_PROFILE_LABEL"], model)),
+        "base_url": X.without_slashes(X.present(e, "VLLM_BASE_URL", default=DEFAULTS["VLLM_BASE_URL"])), "model": model,
+    }
+    single = F.array(F.struct(one["key"].alias("key"), one["label"].alias("label"), F.lit("vllm").alias("backend"), one["base_url"].alias("base_url"), one["model"].alias("model"), F.lit(0).alias("position"), profile_error(one).alias("error")))
+    raw = X.present(e, "VLLM_PROFILES_JSON", default="")
+    offline = F.array(F.struct(*(F.lit(v).cast("string").alias(c) for c, v in zip(("key", "label", "backend", "base_url", "model"), OFFLINE)), F.lit(-1).alias("position"), F.lit(None).cast("string").alias("error")))
+    read = environs.select("*", F.when(X.is_blank(raw), single).otherwise(listed_profiles(raw)).alias("listed"))
+    get = lambda k: X.present(e, k, default=DEFAULTS[k])
+    told = read.select(
+        *environs.columns,
+        F.concat(offline, F.coalesce("listed", F.array())).alias("profiles"), F.col("listed").isNull().alias("unread"),
+        X.strip(X.present(e, "CHAT_DEFAULT_PROFILE", "VLLM_DEFAULT_PROFILE", default=OFFLINE[0])).alias("default_profile"),
+        X.positive(get("VLLM_TIMEOUT_SECONDS"), "double").alias("timeout"), X.positive(get("VLLM_MAX_TOKENS"), "int").alias("max_tokens"), X.bounded(get("VLLM_TEMPERATURE"), 0.0, 2.0).alias("temperature"),
+        get("VLLM_API_KEY").alias("api_key"), X.strip(get("VLLM_SYSTEM_PROMPT")).alias("system_prompt"), F.nullif(e["CHAT_DB_PATH"], F.lit("")).alias("database"),
+    )
+    keys = F.transform("profiles", lambda p: p["key"])
+    wrong = F.filter("profiles", lambda p: p["error"].isNotNull())
+    error = (
+        F.when(F.col("unread"), F.lit(NO_LIST))
+        .when(F.size(wrong) > 0, F.concat(F.lit("profile "), F.get(wrong, F.lit(0))["position"].cast("string"), F.lit(": "), F.get(wrong, F.lit(0))["error"]))
+        .when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("a profile key comes twice"))
+        .when(~F.array_contains(keys, F.col("default_profile")), F.lit("the default profile is not a configured one"))
+    )
+    for name in ("timeout", "max_tokens", "temperature"):
+        error = error.when(F.col(name).isNull(), F.lit(f"{name} is out of range"))
+    return told.withColumn("error", error).drop("unread")
+
+
 def settings(spark: SparkSession, environ: Mapping[str, str]) -> dict:
-    """The validated settings of an environment; raises ValueError where a value is out of its domain."""
-    e = dict(environ)
-    raw = e.get("VLLM_PROFILES_JSON", "")
-    frame = spark.createDataFrame([(raw,)], "json string")
-    if frame.where(X.is_blank(F.col("json"))).isEmpty():
-        profiles = profiles_from_json(frame)
-    else:
-        model = e.get("VLLM_MODEL", DEFAULTS["VLLM_MODEL"]).strip()
-        one = (e.get("VLLM_PROFILE_KEY", DEFAULTS["VLLM_PROFILE_KEY"]).strip(), e.get("VLLM_PROFILE_LABEL", model).strip(), "vllm", e.get("VLLM_BASE_URL", DEFAULTS["VLLM_BASE_URL"]).rstrip("/"), model, 0)
-        profiles = spark.createDataFrame([one], "key string, label string, backend string, base_url string, model string, position int").withColumn("error", profile_error())
-    profiles = with_offline(profiles)
-    if bad := profiles.where("error IS NOT NULL").orderBy("position").first():
-        raise ValueError(f"profile {bad.position} {bad.error}")
-    if not duplicate_keys(profiles).isEmpty():
-        raise ValueError("profile keys must be unique")
-    default = e.get("CHAT_DEFAULT_PROFILE", e.get("VLLM_DEFAULT_PROFILE", OFFLINE[0])).strip()
-    if profiles.where(F.col("key") == default).isEmpty():
-        raise ValueError("the default profile is not a configured one")
-    get = lambda k: F.lit(e.get(k, DEFAULTS[k]))
-    numbers = spark.range(1).select(
-        X.positive(get("VLLM_TIMEOUT_SECONDS"), "double").alias("timeout"), X.positive(get("VLLM_MAX_TOKENS"), "int").alias("max_tokens"), X.bounded(get("VLLM_TEMPERATURE"), 0.0, 2.0).alias("temperature")
-    ).first()
-    for name, value in numbers.asDict().items():
-        if value is None:
-            raise ValueError(f"{name} is out of range")
-    return {**numbers.asDict(), "default_profile": default, "profiles": profiles, "api_key": e.get("VLLM_API_KEY", DEFAULTS["VLLM_API_KEY"]), "system_prompt": e.get("VLLM_SYSTEM_PROMPT", DEFAULTS["VLLM_SYSTEM_PROMPT"]).strip(), "database": e.get("CHAT_DB_PATH") or None}
+    """The validated settings of one environment, in one job; raises ValueError where a value is out of its domain."""
+    found = settings_of(spark.createDataFrame([(dict(environ),)], "env map<string,string>")).drop("env").first().asDict()
+    if error := found.pop("error"):
+        raise ValueError(error)
+    rows = [tuple(p) for p in found["profiles"]]
+    return {**found, "profiles": spark.createDataFrame(rows, "key string, label string, backend string, base_url string, model string, position int, error string")}
 
 
 def event_stream_deltas(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnlake.sources import schemas as S
 
+#: What a table's files are sorted by, so that reads of one conversation or project skip files and row groups.
+SORTED = {"conversations": "project_id", "messages": "conversation_id"}
 TABLES = {"projects": S.PROJECTS, "conversations": S.CONVERSATIONS, "messages": S.MESSAGES}
 
 
@@ -49,6 +51,8 @@ class Store:
         paths = dict(now["paths"])
         for name, df in tables.items():
             paths[name] = f"data/{version:012d}/{name}"
+            if by := SORTED.get(name):
+                df = df.repartitionByRange(by).sortWithinPartitions(by, "id")
             df.write.mode("overwrite").parquet(f"{self.root}/{paths[name]}")
         new = {"schema_version": S.SCHEMA_VERSION, "version": version, "paths": paths, "high_water": now["high_water"] if high_water is None else high_water}
         draft, final = self._path(f"manifests/{version:012d}.draft"), self._path(f"manifests/{version:012d}.json")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,3 +29,17 @@ def latest(stream: DataFrame) -> DataFrame:
 def start(frame: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     """Runs what is there into an in-memory table."""
     return frame.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finished(query: StreamingQuery, stop: threading.Event, poll: float = 0.05) -> str:
+    """Waits for a query, or stops it when the flag is set; an error passes only if it was not asked to stop."""
+    try:
+        while not query.awaitTermination(poll):
+            if stop.is_set():
+                query.stop()
+                return "stopped"
+    except Exception:
+        if stop.is_set():
+            return "stopped"
+        raise
+    return "ended"
