@@ -6,16 +6,19 @@ training tokens are summed over the whole corpus, and every word has bigrams of
     P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU),  P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
 The commonest words (HEAD at most) are broadcast with their counts, the others are rare; which is
-which decides only where a count is kept. A text's bigrams are routed to shards, together with
-whether the text is a training one: those of two commonest words by the hash of the bigram, the
-others by that of their rare word, of the second if both are. The shard of a rare word thus has
-all that ends in it and its count, P(w) and, for the word after it, c(v). A shard counts what it got, deals
-ids to the words it has, builds the trie of its training bigrams and answers its own queries from it, so
-neither counts nor tries are ever gathered in one place and nothing is pruned; the number of shards,
-and of the partitions they are dealt to, grows with the tokens. Bigrams of the DENSE commonest words,
-which a large part of all texts share, are in a trie of bounded size that is broadcast, so they needn't
-travel. Texts travel in blocks: a block sends each shard one request, and gets one reply, with a few
-bytes for each token.
+which decides only where a count is kept. Bigrams belong to shards: those of two commonest words by the
+hash of the bigram, the others by that of their rare word, of the second if both are. The shard of a
+rare word thus has all that ends in it and its count, P(w) and, for the word after it, c(v).
+
+Learning counts the bigrams of training texts inside each task, sums them in their shard and writes
+each shard's tries once, to the folder the session names for checkpoints: one of bigrams of commonest
+words, one of those with a rare word, which also keeps the words' hashes and the rare words' counts.
+Neither counts nor tries are ever gathered in one place and nothing is pruned; the number of shards, and
+of the partitions they are dealt to, grows with the tokens. Bigrams of the DENSE commonest words, which
+a large part of all texts share, are in a trie of bounded size that is broadcast, so they needn't travel.
+
+Scoring maps a shard's tries and looks up what texts ask. Texts travel in blocks: a block sends each
+shard one request, and gets one reply, with a few bytes for each token.
 
 A trie has two levels: for each context the start of its range, a monotone sequence in Elias-Fano
 form, and the words of all ranges, made monotone by the context and in Elias-Fano form too, with
@@ -257,12 +260,119 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return v
 
 
+def shards_for(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> int:
+    """Shards of about so many tokens of all texts to score."""
+    share = docs.agg(F.count(F.lit(1)).alias("all"), F.count_if("train").alias("train")).first()
+    return max(1, math.ceil(v.tokens * share["all"] / max(share["train"], 1) / shard_tokens))
+
+
+def _home(x: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(x) % _U(shards)).astype(np.int64)
+
+
+@dataclass
+class _Split:
+    """The bigrams of a block that aren't in the broadcast trie: of two commonest words, ending in a rare word, a commonest word after a rare one."""
+
+    plain: np.ndarray
+    pair: np.ndarray
+    ends: np.ndarray
+    rare: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    late: np.ndarray
+    then: np.ndarray
+
+    @staticmethod
+    def of(v: Vocabulary, h: np.ndarray, context: np.ndarray, w: np.ndarray) -> _Split:
+        known, old = w < v.rare, np.append(_BEGIN, h)[:-1]  # the word before, right where the context is rare or asked for
+        old[context == v.rare + 1] = _BEGIN
+        after = known & (context == v.rare)
+        plain = known & ~after & ((v.dense[context] < 0) | (v.dense[w] < 0))
+        return _Split(plain, (context << _WIDTH | w)[plain], ~known, h[~known], old[~known], after, old[after], w[after].astype(np.uint32))
+
+    def homes(self, shards: int) -> list[np.ndarray]:
+        return [_home(x, shards) for x in (self.pair.view(np.uint64), self.rare + _U(3), self.late + _U(3))]
+
+
+def _place(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked name is among sorted names, and whether it is there."""
+    at = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
+    return at, names[at] == asked if len(names) else np.zeros(len(asked), bool)
+
+
+def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
+    """The tries of the training texts of docs (text, train): shard, plain, mixed, contexts, words, rare, counts (binaries), a row a shard."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        held: list[_Split] = []
+        n = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            every = lambda f: np.concatenate([getattr(x, f) for x in held]) if held else np.zeros(0, np.uint64)
+            pair, c = np.unique(every("pair").astype(np.int64), return_counts=True)
+            a = np.concatenate([every("before"), every("late")])
+            b = np.concatenate([every("rare"), own.name[every("then").astype(np.int64)]])
+            at = np.concatenate([_home(every("rare") + _U(3), shards), _home(every("late") + _U(3), shards)])
+            order = np.lexsort((b, a, at))
+            a, b, at = a[order], b[order], at[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1])
+            first = np.flatnonzero(new)
+            a, b, at, d = a[first], b[first], at[first], np.diff(np.append(first, len(a)))
+            home = _home(pair.view(np.uint64), shards)
+            order = np.argsort(home, kind="stable")
+            pair, c, home = pair[order], c[order], home[order]
+            ids = np.unique(np.concatenate([home, at]))
+            cut = [[np.searchsorted(x, ids, side) for side in ("left", "right")] for x in (home, at)]
+            cols = [[np.asarray(x[i:j], t).tobytes() for i, j in zip(*k)] for x, t, k in ((pair & 0xFFFFFFFF, np.uint32, cut[0]), (pair >> 32, np.uint8, cut[0]), (c, np.uint32, cut[0]), (a, np.uint64, cut[1]), (b, np.uint64, cut[1]), (d, np.uint32, cut[1]))]
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], names=["shard", "low", "high", "c", "a", "b", "d"])
+
+        for batch in batches:
+            data, offsets = texts(batch)
+            for i, j in ranges(offsets):
+                h, row = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.append(_Split.of(own, h, *_bigrams(own, h, row)))
+                n += len(h)
+                if n >= FLUSH_TOKENS:
+                    yield from told()
+                    n = 0
+        yield from told()
+
+    def build(rows: pa.Table) -> pa.Table:
+        own = sent.value
+        read = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
+        pair, c = _summed([read("high", np.uint8).astype(np.int64) << 32 | read("low", np.uint32)], [read("c", np.uint32)])
+        plain = Trie.pack(pair, own.gain(c, own.share[pair & ((1 << _WIDTH) - 1)]), len(own.name), _WIDTH)
+        (contexts, i), (named, j) = (np.unique(read(x, np.uint64), return_inverse=True) for x in ("a", "b"))
+        width = max(len(named).bit_length(), 1)
+        key, c = _summed([i << width | j], [read("d", np.uint32)])
+        kind = own.classes(named)
+        # a word that ends in this shard and isn't a commonest one has all its bigrams here
+        mine = (kind == own.rare) & (_home(named + _U(3), shards) == rows["shard"][0].as_py())
+        uses = np.bincount(key & ((1 << width) - 1), c, len(named))
+        share = np.where(mine, (uses + 0.5) / own.mass, own.share[kind])
+        mixed = Trie.pack(key, own.gain(c, share[key & ((1 << width) - 1)]), max(len(contexts), 1), width)
+        cols = [plain, mixed, contexts.tobytes(), named.tobytes(), named[mine].tobytes(), uses[mine].astype(np.int64).tobytes()]
+        return pa.table([pa.array([rows["shard"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["shard", *_LEVELS])
+
+    counted = docs.where("train").select("text").mapInArrow(count, "shard int, low binary, high binary, c binary, a binary, b binary, d binary")
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return checkpointed(counted.repartition(parts, "shard").groupBy("shard").applyInArrow(build, "shard int, " + ", ".join(f"{x} binary" for x in _LEVELS)))
+
+
+_LEVELS = ("plain", "mixed", "contexts", "words", "rare", "counts")
+
+
 def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score for each row of docs (doc_id, text, train)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shards = shards_for(docs, v, shard_tokens)
+    tries = learn(docs, v, shards)
     sent = docs.sparkSession.sparkContext.broadcast(v)
-    share = docs.agg(F.count(F.lit(1)).alias("all"), F.count_if("train").alias("train")).first()
-    shards = max(1, math.ceil(v.tokens * share["all"] / max(share["train"], 1) / shard_tokens))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -283,22 +393,17 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 table = (a >= 0) & (b >= 0)
                 key, which = np.unique(a[table] << _DENSE_WIDTH | b[table], return_inverse=True)
                 lm += _tally(row[table], top.find(key)[which] * STEP, n)
-                # a text's place in the block, and whether it is a training text in the lowest bit
-                place = (row << 1 | train[i:j][row]).astype(np.uint16 if n < 1 << 15 else np.uint32)
-                old = np.append(_BEGIN, h)[:-1]  # the word before, right where the context is rare or asked for
-                old[context == own.rare + 1] = _BEGIN
-                after = known & (context == own.rare)
-                plain = ~table & known & ~after
-                pair, rare, late = (context << _WIDTH | w)[plain], h[~known], old[after]
-                to = [(mix(x) % _U(shards)).astype(np.int64) for x in (pair.view(np.uint64), rare + _U(3), late + _U(3))]
+                place = row.astype(np.uint16 if n < 1 << 16 else np.uint32)
+                split = _Split.of(own, h, context, w)
+                to = split.homes(shards)
                 order = [np.argsort(x, kind="stable") for x in to]
-                home = int(mix(np.array([rows[i]], np.uint64))[0] % _U(shards))
+                home = int(_home(np.array([rows[i]], np.uint64), shards)[0])
                 # only the shards that this block has something for, however many there are
                 asked = np.unique(np.concatenate([*to, [home]]))
                 cut = [[np.searchsorted(x[o], asked, side) for side in ("left", "right")] for x, o in zip(to, order)]
-                pair, at = pair[order[0]], place[plain][order[0]]
-                rare, rare_at, before = rare[order[1]], place[~known][order[1]], old[~known][order[1]]
-                late, late_at, then = late[order[2]], place[after][order[2]], w[after][order[2]].astype(np.uint32)
+                pair, at = split.pair[order[0]], place[split.plain][order[0]]
+                rare, rare_at, before = split.rare[order[1]], place[split.ends][order[1]], split.before[order[1]]
+                late, late_at, then = split.late[order[2]], place[split.after][order[2]], split.then[order[2]]
                 low, high = (pair & 0xFFFFFFFF).astype(np.uint32), (pair >> 32).astype(np.uint8)
                 out = []
                 for k, s in enumerate(asked.tolist()):
@@ -310,41 +415,41 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 ids = pa.ListArray.from_arrays(pa.array(offset), batch.column(0).slice(i, n))
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))] + [ids], names=["shard", "block", "n", "body", "ids"])
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    def answer(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         """For each block's request the gains of its bigrams, in steps, and the unigram logs of its rare words."""
         own = sent.value
+        if not len(pdf):
+            return pdf
+        if len(levels):
+            plain, mixed = (Trie(_mapped(levels[x].iloc[0])) for x in ("plain", "mixed"))
+            contexts, named, rare_words = (np.frombuffer(levels[x].iloc[0], np.uint64) for x in ("contexts", "words", "rare"))
+            counts = np.frombuffer(levels["counts"].iloc[0], np.int64)
+        else:  # no training text has anything of this shard
+            plain = mixed = None
+            contexts = named = rare_words = np.zeros(0, np.uint64)
+            counts = np.zeros(0, np.int64)
+
+        def gained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            (i, here), (j, there) = _place(contexts, a), _place(named, b)
+            found, both = np.zeros(len(a), np.int32), here & there
+            if mixed:
+                found[both] = mixed.find(i[both] << mixed.width | j[both])
+            return found
+
         bodies = [pickle.loads(x) for x in pdf.pop("body")]
-        every = lambda k: np.concatenate([b[k] for b in bodies])
-        rares = np.cumsum([0, *(len(b[3]) for b in bodies)])
-        rare, use = np.unique(every(3), return_inverse=True)
-        rare_count = _tally(use, every(4) & 1, len(rare))
-        log, there = np.log10((rare_count + 0.5) / own.mass), rare_count > 0
-        # beside log10 P(w): what the word is as a context
-        added = log - np.where(rare == _END, 0, np.log10(rare_count + MU))
-        log, there, added = log[use], there[use], added[use]
-
-        pair, ends = every(1).astype(np.int64) << 32 | every(0), every(3)[: sum(len(b[5]) for b in bodies)]
-        parts = [np.cumsum([0, *(len(b[k]) for b in bodies)]) for k in (0, 5, 6)]
-        parts = [x + y for x, y in zip(parts, (0, len(pair), len(pair) + len(ends)))]
-        context, c = np.unique(np.concatenate([own.name[pair >> _WIDTH], every(5), every(6)]), return_inverse=True)
-        word, w = np.unique(np.concatenate([own.name[pair & ((1 << _WIDTH) - 1)], ends, own.name[every(8)]]), return_inverse=True)
-        share = own.share[own.classes(word)]
-        if len(rare):
-            of = np.minimum(np.searchsorted(rare, word), len(rare) - 1)
-            share = np.where(rare[of] == word, (rare_count[of] + 0.5) / own.mass, share)
-        width = len(word).bit_length()
-        key, inverse = np.unique(c << width | w, return_inverse=True)
-        count = _tally(inverse, np.concatenate([every(2), every(4)[: len(ends)], every(7)]) & 1, len(key))
-        seen = count > 0
-        trie = Trie(_mapped(Trie.pack(key[seen], own.gain(count[seen], share[key[seen] & ((1 << width) - 1)]), len(context), width)))
-        steps = trie.find(key).astype(np.int32)[inverse]
         replies = []
-        for k, b in enumerate(bodies):
-            y = slice(rares[k], rares[k + 1])
-            row, i = np.unique(np.concatenate([b[2], b[4][: len(b[5])], b[7]]) >> 1, return_inverse=True)
-            gained = _tally(i, np.concatenate([steps[x[k] : x[k + 1]] for x in parts]), len(row)).astype(np.int32)
-            other, i = np.unique(b[4] >> 1, return_inverse=True)
-            replies.append(pickle.dumps((row[gained > 0], gained[gained > 0], other, _tally(i, log[y], len(other)), _tally(i, added[y], len(other)), _tally(i, there[y], len(other)).astype(np.uint32), b[9]), 5))
+        for low, high, at, rare, rare_at, before, late, late_at, then, full in bodies:
+            where, there = _place(rare_words, rare)
+            count = np.where(there, counts[where] if len(counts) else 0, 0)
+            log = np.log10((count + 0.5) / own.mass)
+            # beside log10 P(w): what the word is as a context
+            added = log - np.where(rare == _END, 0, np.log10(count + MU))
+            key, which = np.unique(high.astype(np.int64) << 32 | low, return_inverse=True)
+            steps = np.concatenate([plain.find(key).astype(np.int32)[which] if plain else np.zeros(len(low), np.int32), gained(before, rare), gained(late, own.name[then])])
+            row, i = np.unique(np.concatenate([at, rare_at, late_at]), return_inverse=True)
+            sums = _tally(i, steps, len(row)).astype(np.int32)
+            other, i = np.unique(rare_at, return_inverse=True)
+            replies.append(pickle.dumps((row[sums > 0], sums[sums > 0], other, _tally(i, log, len(other)), _tally(i, added, len(other)), _tally(i, there, len(other)).astype(np.uint32), full), 5))
         return pdf.assign(body=replies)[["shard", "block", "n", "body", "ids"]]
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -369,7 +474,8 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), "train")
     kinds = f"shard int, block long, n int, body binary, ids array<{kind}>"
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    replies = keyed.mapInArrow(route, kinds).repartition(parts, "shard").groupBy("shard").applyInPandas(answer, kinds)
+    asked = keyed.mapInArrow(route, kinds).repartition(parts, "shard")
+    replies = asked.groupBy("shard").cogroup(tries.repartition(parts, "shard").groupBy("shard")).applyInPandas(answer, kinds)
     return replies.groupBy("block").applyInPandas(combine, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
