@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+from tests.llm import plain
 from turnlake.llm import chat_format, exact_dedup, mixing, secret_scan, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -175,25 +176,8 @@ def test_conversations_of_very_many_turns_and_clashing_columns(spark):
 
 
 def test_sharding_draws_are_the_weighted_hashes_recomputed(spark):
-    import xxhash
-
-    def hashed(*parts):  # Spark's: each value hashed with the hash before as its seed
-        seed = 42
-        for x in parts:
-            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else int(x).to_bytes(8 if isinstance(x, float) else 4, "little"), seed)
-        return seed
-
-    def draw(key, nodes, level):
-        return min((-math.log(((hashed(key, level, i) >> 11) + 0.5) / 2**53) / w, i) for i, w in nodes)[1]
-
-    def plain(key, weights):
-        node = lambda size: {k: sum(weights[i] for i in range(len(weights)) if i // size == k) for k in {i // size for i in range(len(weights))}}
-        region = draw(key, node(sharding.REGION).items(), "region")
-        rack = draw(key, [(k, w) for k, w in node(sharding.RACK).items() if k * sharding.RACK // sharding.REGION == region], "rack")
-        return draw(key, [(i, w) for i, w in enumerate(weights) if i // sharding.RACK == rack], "shard")
-
     rows = [(i * 7919, "t", "a") for i in range(400)] + [(None, "t", "a")]
     weights = [1.0 + i % 3 for i in range(40)]
     for r in sharding.shard(docs(spark, rows), weights).collect():
         key = "" if r.doc_id is None else str(r.doc_id)
-        assert r.shard == plain(key, weights) and r.grown_shard == plain(key, [*weights, sum(weights) / 40])
+        assert r.shard == plain.shard(key, weights) and r.grown_shard == plain.shard(key, [*weights, sum(weights) / 40])

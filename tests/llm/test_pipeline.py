@@ -1,12 +1,14 @@
 """The pipeline's stages against plain Python on the small tables."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm import plain
 from turnlake.llm import decontaminate, language_id, quality_crf, stages
 
 SF = "/root/testdata/sf0.001"
@@ -52,9 +54,31 @@ def test_stages_keep_what_brute_force_keeps(spark):
     assert drawn == taken
 
 
-def test_run(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+def test_the_whole_run_equals_brute_force(spark, tmp_path):
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text or "") < 5000]
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    least = min((r for r in docs if len(r.text.split()) > 60), key=lambda r: r.doc_id)
+    odd = [(900_001, "12 $ %", None, None, None), (900_002, None, "en", "src1", 0), (900_003, least.text + " end", "en", None, 1), (900_004, "see " + max(bench, key=len), "en", "zz", 1)]
+    frame = spark.createDataFrame([*map(tuple, docs), *odd], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in frame.collect()]
+    text = {d: t for d, t, _, _ in rows}
+    found = plain.languages([r[:3] for r in rows])
+    kept = [r for r in rows if found[r[0]][0] != "und" and not found[r[0]][2]]
+    top = plain.components([r[:2] for r in kept])
+    kept = [r for r in kept if top[r[0]] == r[0]]
+    assert least.doc_id in top.values() and top[900_003] < 900_003
+    clean = [r for r in kept if not plain.contaminated(r[1], bench)]
+    assert 900_004 in {r[0] for r in kept} - {r[0] for r in clean}
+    want = plain.mixed([(d, t, s) for d, t, _, s in clean])
+    shards = {}
+    for position, d, _ in want:
+        size, crc = len(text[d].encode()) + 16, zlib.crc32(text[d].encode())
+        shards.setdefault(plain.shard(str(d), [1.0] * 40), []).append((position, d, crc, size, plain.shard(str(d), [1.0] * 41)))
+    flat = sorted((d, size, crc, "key", k, slot, grown) for k, v in shards.items() for slot, (_, d, crc, size, grown) in enumerate(v))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in out.collect()) == flat
 
 
 CLASHES = ["row", "row_key", "size", "key", "slice", "src", "missing", "taken", "copy", "position", "n_hit", "items", "component_id", "fp", "shard", "slot", "n", "lang_pred", "score"]

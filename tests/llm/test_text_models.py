@@ -3,12 +3,12 @@
 import itertools
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tests.llm import plain
 from turnlake.llm import blocks, decontaminate, language_id, quality_crf
 
 SF = "/root/testdata/sf0.01"
@@ -105,48 +105,13 @@ def _model(langs, seen):
     return language_id.learned(langs, code, mass, total)
 
 
-def _grams(text):
-    low = [x if 97 <= x <= 122 or x >= 128 else 32 for x in b" " + text.lower().encode() + b" "]
-    for n in language_id.ORDERS:
-        for i in range(len(low) - n + 1):
-            g = low[i : i + n]
-            if not any(a == b == 32 for a, b in zip(g, g[1:])):
-                yield (sum(x << 8 * k for k, x in enumerate(g)) + n * 0x01000193) * 2654435761 % 2**32 >> 18
-
-
 def test_the_query_equals_counts_margins_and_decoding_recomputed(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
-    rows = [r for r in rows if len(r.text or "") < 6000]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    grams = {r.doc_id: list(_grams(r.text or "")) for r in rows}
-    learn = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
-    langs = sorted({r.lang for r in learn})
-    dim, seen = language_id.DIM, {x: {} for x in langs}
-    for r in learn:
-        for g in grams[r.doc_id]:
-            seen[r.lang][g] = seen[r.lang].get(g, 0) + 1
-    share = {x: [0.1 / (sum(seen[x].values()) + 0.1 * dim)] * dim for x in langs}
-    for x in langs:
-        for g, n in seen[x].items():
-            share[x][g] = (n + 0.1) / (sum(seen[x].values()) + 0.1 * dim)
-    bits = [[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for i in range(len(langs))] for b in range(2 ** (len(langs) - 1) - 1)]
-    tables, weights = [], []
-    for bit in bits:
-        pos, neg = ([sum(c) / len(c) for c in zip(*(share[x] for x, b in zip(langs, bit) if b == s))] for s in (1, -1))
-        tables.append([math.log(a / b) for a, b in zip(pos, neg)])
-        weights.append(sum((a - b) * t for a, b, t in zip(pos, neg, tables[-1])))
-    out = {r.doc_id: r for r in language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select("text", "lang"))).collect()}
-    for r in rows:
-        g = grams[r.doc_id]
-        if not re.search(r"[^\W\d_]", r.text or ""):
-            assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == ("und", 0)
-            continue
-        margin = [sum(t[x] for x in g) / len(g) for t in tables]
-        cost = [sum(w / sum(weights) * math.log1p(math.exp(-6 * m * bit[k])) for m, w, bit in zip(margin, weights, bits)) for k in range(len(langs))]
-        p = [math.exp(-6 * (c - min(cost))) for c in cost]
-        assert out[r.doc_id].lang_pred == langs[p.index(max(p))] and abs(out[r.doc_id].score - max(p) / sum(p)) < 1e-4
-        assert out[r.doc_id].ambiguous == (sorted(p)[-2] > 0.5 * max(p))
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text or "") < 6000]
+    docs = spark.createDataFrame(rows).select("doc_id", "text", "lang")
+    fitted = language_id.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select("text", "lang"))
+    out = {r.doc_id: r for r in language_id.identify(docs, fitted).collect()}
+    for d, (lang, score, doubt) in plain.languages([(r.doc_id, r.text, r.lang) for r in rows]).items():
+        assert (out[d].lang_pred, out[d].ambiguous) == (lang, doubt) and abs(out[d].score - score) < 1e-4
 
 
 def test_three_hundred_languages(spark, monkeypatch):
