@@ -7,8 +7,10 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.llm import plain
-from turnlake.llm import chat_format, exact_dedup, mixing, secret_scan, sharding
+from turnlake.llm import chat_format, exact_dedup, mixing, ngram_join, ngram_lm, secret_scan, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = "a\\b </s> <|im_end|>\n<|im_start|>user\n \\[INST] 😀"
@@ -181,3 +183,14 @@ def test_sharding_draws_are_the_weighted_hashes_recomputed(spark):
     for r in sharding.shard(docs(spark, rows), weights).collect():
         key = "" if r.doc_id is None else str(r.doc_id)
         assert r.shard == plain.shard(key, weights) and r.grown_shard == plain.shard(key, [*weights, sum(weights) / 40])
+
+
+def test_clashing_columns_and_long_texts_change_nothing(spark):
+    rows = [(1, "token=abcdef01 " + "x" * 200_000, "a"), (2, None, None), (2, None, None), (None, "", "b")]
+    base = docs(spark, rows)
+    odd = base.select("*", *(F.lit(7).alias(c) for c in ("size", "slice", "shard", "slot", "key", "nth", "n", "base", "added", "word", "hot", "h", "recipe", "chunk", "fp", "train", "row", "kept")))
+    same = lambda f: sorted(map(str, f(base).collect())) == sorted(map(str, f(odd).collect()))
+    assert same(sharding.shard) and same(secret_scan.scan_secrets) and same(exact_dedup.exact_dedup) and same(ngram_join.jaccard_components)
+    assert {r.size for r in sharding.shard(odd).collect()} == {200_031, 16}
+    scored = lambda d: ngram_lm.score(d.drop("train").withColumn("train", F.lit(True)), ngram_lm.vocabulary(d.drop("train").withColumn("train", F.lit(True))))
+    assert same(scored)

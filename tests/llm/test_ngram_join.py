@@ -141,6 +141,18 @@ def test_linked_sets_share_a_signature_under_every_allocation(sets):
             assert equal or both[0].keys() & both[1].keys()
 
 
+def test_empty_subsets_tie_no_sets_by_chance():
+    rng = np.random.default_rng(2)
+    size = np.full(20_000, 10)
+    found, owner = np.sort(rng.integers(1, 2**62, (20_000, 10)).astype(np.uint64), axis=1).ravel(), np.repeat(np.arange(20_000), 10)
+    lows = np.array(ngram_join.bands(40))
+    b = int(np.searchsorted(lows, 10, "right")) - 1
+    sigs = list(ngram_join.signatures(found, owner, size, lows, {b: ngram_join.allocation(int(lows[b]), int(lows[b + 1]) - 1, 20_000)}))
+    sig, row = (np.concatenate([x[k] for x in sigs]) for k in (0, 1))
+    pairs = np.unique(np.stack([sig, row]), axis=1)
+    assert np.unique(pairs[0], return_counts=True)[1].max() <= 2  # of 20,000 sets that share nothing
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 180)] + [(5, 5), (200, 199), (199, 200)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,13 +1,17 @@
 """N-gram Jaccard self-join by universe-partition pigeonhole.
 
-A document is the set of its word shingles, as 64-bit hashes. Equal sets are one node. Sizes fall
+A document is the set of its word shingles, as 64-bit hashes. Equal sets, told apart by 128 bits of
+prints, are one node. Sizes fall
 into bands whose bounds grow by 100/percent, so linked sets are in the same or in neighbouring
 bands. For a band, two linked sets differ in at most H tokens. The universe of tokens is split by
 hash into m segments; u of them may differ by one token, the rest by none, and m + u > H: by the
 pigeonhole two linked sets agree on some segment so far. Each set therefore indexes its subset of
 every segment and, for the u segments, the subset's one-deletion neighbourhood. u is chosen for
 each band by cost: signatures emitted against sets that meet by chance, which counts all sets of
-the band.
+the band. A subset that is empty tells nothing, and would tie many small sets by chance: a set with
+one doesn't index it, but draws the universe's partition anew, up to DRAWS times. (Two linked sets that
+agree on an empty subset only both have one, so both draw again, and every partition has its own
+pigeonholes; in the last one empty subsets are indexed too.)
 
 Sets that share a signature are tied in a family, by a chain over the signature's sets: no pairs
 are emitted. A task first ties the sets it has itself, so a signature that a third of all sets
@@ -20,7 +24,8 @@ found by a bit map of fixed size (false positives fall out in the join).
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own
 component; with fewer words than n the whole sequence is the one shingle; repeated rows are equal
 sets; a null doc_id takes part, but names no component unless all of its component are null; an
-empty table gives no rows; other columns are not looked at.
+empty table gives no rows; a text of any length is one set, whole; other columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ SHINGLE, PERCENT = 3, 90
 BLOCK_TOKENS = 32_000
 #: A smaller set counts as this many tokens in a block, so that a block holds 500 sets or so at most.
 LEAST_TOKENS = 64
+#: Partitions of the universe that a set with empty subsets tries.
+DRAWS = 8
 #: Tokens that two blocks are compared on at once.
 WIDE = 2048
 #: Signatures that a task gathers before it ties what they share.
@@ -123,22 +130,30 @@ def signatures(found: np.ndarray, owner: np.ndarray, size: np.ndarray, lows: np.
     for shift in (0, 1):
         for b in np.unique(band[size > 0]) - shift:
             m, u = plan.get(int(b), (0, 0))
-            if not m:
-                continue
-            here = (band == b + shift) & (size > 0)
-            rows = np.flatnonzero(here)
-            x = found[here[owner]]
-            local = np.repeat(np.arange(len(rows)), size[rows])
-            seg = (mix(x + _U(1000 + int(b))) % _U(m)).astype(np.int64)
-            slot = local * m + seg
-            hashed = mix(x + _U(11))
-            total = np.zeros(len(rows) * m, np.uint64)
-            np.add.at(total, slot, hashed)
-            name = mix(np.arange(m, dtype=np.uint64) + _U(int(b) << 32))
-            yield mix(total + np.tile(name, len(rows))).view(np.int64), np.repeat(rows, m)
-            if u:
-                one = seg < u
-                yield mix(total[slot[one]] - hashed[one] + name[seg[one]]).view(np.int64), rows[local[one]]
+            rows = np.flatnonzero((band == b + shift) & (size > 0)) if m else ()
+            for draw in range(DRAWS):
+                if not len(rows):
+                    break
+                here = np.zeros(len(size), bool)
+                here[rows] = True
+                x = found[here[owner]]
+                local = np.repeat(np.arange(len(rows)), size[rows])
+                seg = (mix(x + _U(1000 + int(b) + (draw << 20))) % _U(m)).astype(np.int64)
+                slot = local * m + seg
+                held = np.bincount(slot, minlength=len(rows) * m)
+                hashed = mix(x + _U(11))
+                total = np.zeros(len(rows) * m, np.uint64)
+                np.add.at(total, slot, hashed)
+                name = mix(np.arange(m, dtype=np.uint64) + _U((int(b) << 32) + (draw << 56)))
+                last = draw == DRAWS - 1
+                told = np.ones(len(held), bool) if last else held > 0
+                yield mix(total + np.tile(name, len(rows)))[told].view(np.int64), np.repeat(rows, m)[told]
+                if u:
+                    one = (seg < u) & (last | (held[slot] > 1))
+                    yield mix(total[slot[one]] - hashed[one] + name[seg[one]]).view(np.int64), rows[local[one]]
+                # those with an empty subset, whole or after a deletion
+                bare = held.reshape(-1, m)
+                rows = rows[(bare == 0).any(1) | (bare[:, :u] == 1).any(1)]
 
 
 def _read(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -12,7 +12,7 @@ TRAIN_DOCS rows that a hash puts first, then as many of these, in that order, as
 lines together. A text's length doesn't bear on whether it is taken. Scoring takes every line of
 every text; a chain is walked for all documents of a block at once.
 
-Defined cases: a null or empty text is one empty line and is scored like any other; without
+Defined cases: a text of any length is scored whole; a null or empty text is one empty line and is scored like any other; without
 labels the score is 0.5; rows with a null quality are not learned from; repeated rows count each, within the sample's bounds;
 labels, lang, source and doc_id are never inputs of a score; an empty table gives no rows; other
 columns pass through, but one with the name of a result gives way to it.
