@@ -12,7 +12,8 @@ rare word thus has all that ends in it and its count, P(w) and, for the word aft
 
 Learning counts the bigrams of training texts inside each task, sums them in their shard and writes
 each shard's tries once, to the folder the session names for checkpoints: one of bigrams of commonest
-words, one of those with a rare word, which also keeps the words' hashes and the rare words' counts.
+words, one of those with a rare word, beside which the words' classes or hashes and the rare words' counts
+are kept.
 Neither counts nor tries are ever gathered in one place and nothing is pruned; the number of shards, and
 of the partitions they are dealt to, grows with the tokens. Bigrams of the DENSE commonest words, which
 a large part of all texts share, are in a trie of bounded size that is broadcast, so they needn't travel.
@@ -36,7 +37,6 @@ from __future__ import annotations
 
 import math
 import mmap
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,7 +57,6 @@ _WIDTH = 18  # bits of a class id: HEAD, rare and begin; bits of a word in a tri
 _DENSE_WIDTH = 16  # bits of a word in the trie of the commonest bigrams
 _U = np.uint64
 _END = np.uint64(0x5EEDE4D)
-_RARE, _BEGIN = np.uint64(0x5EED0B5), np.uint64(0x5EEDBE6)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _NTH = np.array([[([k for k in range(8) if b >> (7 - k) & 1] + [8] * 8)[i] for i in range(8)] for b in range(256)], np.uint8)
 
@@ -157,7 +156,6 @@ class Vocabulary:
         share = (self.count + 0.5) / self.mass
         self.share = np.append(share, [1.0, 1.0])  # head, rare (whose shards know it), begin
         self.total = np.append(self.count, [0, self.begins]).astype(float)
-        self.name = np.append(self.word, [_RARE, _BEGIN])  # hash of each class
 
     @property
     def rare(self) -> int:
@@ -270,29 +268,70 @@ def _home(x: np.ndarray, shards: int) -> np.ndarray:
     return (mix(x) % _U(shards)).astype(np.int64)
 
 
-@dataclass
-class _Split:
-    """The bigrams of a block that aren't in the broadcast trie: of two commonest words, ending in a rare word, a commonest word after a rare one."""
+#: The kinds of bigrams that travel: how context and word are told (a class, or the hash of a rare word), and by which the shard is.
+_KINDS = (("pair", None, None), ("headed", np.uint32, np.uint64), ("both", np.uint64, np.uint64), ("after", np.uint64, np.uint32))
 
-    plain: np.ndarray
-    pair: np.ndarray
-    ends: np.ndarray
-    rare: np.ndarray
-    before: np.ndarray
-    after: np.ndarray
-    late: np.ndarray
-    then: np.ndarray
 
-    @staticmethod
-    def of(v: Vocabulary, h: np.ndarray, context: np.ndarray, w: np.ndarray) -> _Split:
-        known, old = w < v.rare, np.append(_BEGIN, h)[:-1]  # the word before, right where the context is rare or asked for
-        old[context == v.rare + 1] = _BEGIN
-        after = known & (context == v.rare)
-        plain = known & ~after & ((v.dense[context] < 0) | (v.dense[w] < 0))
-        return _Split(plain, (context << _WIDTH | w)[plain], ~known, h[~known], old[~known], after, old[after], w[after].astype(np.uint32))
+def _split(v: Vocabulary, h: np.ndarray, context: np.ndarray, w: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The bigrams of a block that aren't in the broadcast trie: for each of _KINDS where they are, context, word and shard. A pair is one number."""
+    known, late = w < v.rare, context == v.rare
+    plain = np.flatnonzero(known & ~late & ((v.dense[context] < 0) | (v.dense[w] < 0)))
+    pair = context[plain] << _WIDTH | w[plain]
+    headed, both, after = np.flatnonzero(~known & ~late), np.flatnonzero(~known & late), np.flatnonzero(known & late)
+    return [
+        (plain, pair, np.zeros(len(pair), np.uint8), _home(pair.view(np.uint64), shards)),
+        (headed, context[headed].astype(np.uint32), h[headed], _home(h[headed] + _U(3), shards)),
+        (both, h[both - 1], h[both], _home(h[both] + _U(3), shards)),
+        (after, h[after - 1], w[after].astype(np.uint32), _home(h[after - 1] + _U(3), shards)),
+    ]
+
+
+def _counted(a: np.ndarray, b: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (a, b) of each shard by shard, those that come more than once first, and how often they come."""
+    order = np.lexsort((b, a))
+    a, b, home = a[order], b[order], home[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    a, b, home, c = a[first], b[first], home[first], np.diff(np.append(first, len(new)))
+    order = np.lexsort((c == 1, home))
+    return a[order], b[order], home[order], c[order]
+
+
+def _stepped(pairs: np.ndarray) -> np.ndarray:
+    """Pairs, mostly rising, as the bytes of their steps, all lowest bytes first: the higher ones are nearly all 0 and compress."""
+    steps = np.diff(pairs, prepend=0) & (2**40 - 1)
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).reshape(-1)
+
+
+def _pairs(steps: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(steps) // 5, 8), np.uint8)
+    wide[:, :5] = steps.reshape(5, -1).T
+    return np.cumsum(wide.reshape(-1).view("<u8").astype(np.int64)) & (2**40 - 1)
+
+
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays one after another behind their lengths."""
+    return np.array([len(x) for x in arrays], np.int32).tobytes() + b"".join(x.tobytes() for x in arrays)
+
+
+def _unpacked(packed: bytes, kinds: list[type]) -> list[np.ndarray]:
+    at, out = 4 * len(kinds), []
+    for n, kind in zip(np.frombuffer(packed, np.int32, len(kinds)).tolist(), kinds):
+        out.append(np.frombuffer(packed, kind, n, at))
+        at += out[-1].nbytes
+    return out
 
-    def homes(self, shards: int) -> list[np.ndarray]:
-        return [_home(x, shards) for x in (self.pair.view(np.uint64), self.rare + _U(3), self.late + _U(3))]
+
+def _set(classes: np.ndarray) -> bytes:
+    """Classes as a bit map: HEAD bits at most, however many there are."""
+    bits = np.zeros(int(classes[-1]) + 1 if len(classes) else 0, np.uint8)
+    bits[classes] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _row_kind(n: int) -> type:
+    return np.uint16 if n < 1 << 16 else np.uint32
 
 
 def _place(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,40 +341,32 @@ def _place(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
-    """The tries of the training texts of docs (text, train): shard, plain, mixed, contexts, words, rare, counts (binaries), a row a shard."""
+    """The tries of the training texts of docs (text, train): a shard and the binaries of _LEVELS a row."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
+    names = [f"{k}_{x}" for k, *_ in _KINDS for x in "abc"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        held: list[_Split] = []
+        held: list[list[tuple]] = []
         n = 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            every = lambda f: np.concatenate([getattr(x, f) for x in held]) if held else np.zeros(0, np.uint64)
-            pair, c = np.unique(every("pair").astype(np.int64), return_counts=True)
-            a = np.concatenate([every("before"), every("late")])
-            b = np.concatenate([every("rare"), own.name[every("then").astype(np.int64)]])
-            at = np.concatenate([_home(every("rare") + _U(3), shards), _home(every("late") + _U(3), shards)])
-            order = np.lexsort((b, a, at))
-            a, b, at = a[order], b[order], at[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1])
-            first = np.flatnonzero(new)
-            a, b, at, d = a[first], b[first], at[first], np.diff(np.append(first, len(a)))
-            home = _home(pair.view(np.uint64), shards)
-            order = np.argsort(home, kind="stable")
-            pair, c, home = pair[order], c[order], home[order]
-            ids = np.unique(np.concatenate([home, at]))
-            cut = [[np.searchsorted(x, ids, side) for side in ("left", "right")] for x in (home, at)]
-            cols = [[np.asarray(x[i:j], t).tobytes() for i, j in zip(*k)] for x, t, k in ((pair & 0xFFFFFFFF, np.uint32, cut[0]), (pair >> 32, np.uint8, cut[0]), (c, np.uint32, cut[0]), (a, np.uint64, cut[1]), (b, np.uint64, cut[1]), (d, np.uint32, cut[1]))]
+            kinds = [_counted(*(np.concatenate([x[k][f] for x in held]) for f in (1, 2, 3))) for k in range(len(_KINDS))] if held else []
+            ids = np.unique(np.concatenate([x[2] for x in kinds])) if held else np.zeros(0, np.int64)
+            cols = []
+            for (name, *_), (a, b, home, c) in zip(_KINDS, kinds):
+                told_a, told_b = (_stepped, lambda x: x[:0]) if name == "pair" else (lambda x: x, lambda x: x)
+                cut = list(zip(np.searchsorted(home, ids), np.searchsorted(home, ids, "right")))
+                often = np.append(0, np.cumsum(c > 1))
+                cols += [[told_a(a[i:j]).tobytes() for i, j in cut], [told_b(b[i:j]).tobytes() for i, j in cut], [c[i : i + often[j] - often[i]].astype(np.uint32).tobytes() for i, j in cut]]
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], names=["shard", "low", "high", "c", "a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in cols or [[]] * len(names))], names=["shard", *names])
 
         for batch in batches:
             data, offsets = texts(batch)
-            for i, j in ranges(offsets):
+            for i, j in ranges(offsets, 1 << 20):
                 h, row = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                held.append(_Split.of(own, h, *_bigrams(own, h, row)))
+                held.append(_split(own, h, *_bigrams(own, h, row), shards))
                 n += len(h)
                 if n >= FLUSH_TOKENS:
                     yield from told()
@@ -344,27 +375,75 @@ def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
 
     def build(rows: pa.Table) -> pa.Table:
         own = sent.value
-        read = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
-        pair, c = _summed([read("high", np.uint8).astype(np.int64) << 32 | read("low", np.uint32)], [read("c", np.uint32)])
-        plain = Trie.pack(pair, own.gain(c, own.share[pair & ((1 << _WIDTH) - 1)]), len(own.name), _WIDTH)
-        (contexts, i), (named, j) = (np.unique(read(x, np.uint64), return_inverse=True) for x in ("a", "b"))
-        width = max(len(named).bit_length(), 1)
-        key, c = _summed([i << width | j], [read("d", np.uint32)])
-        kind = own.classes(named)
-        # a word that ends in this shard and isn't a commonest one has all its bigrams here
-        mine = (kind == own.rare) & (_home(named + _U(3), shards) == rows["shard"][0].as_py())
-        uses = np.bincount(key & ((1 << width) - 1), c, len(named))
-        share = np.where(mine, (uses + 0.5) / own.mass, own.share[kind])
-        mixed = Trie.pack(key, own.gain(c, share[key & ((1 << width) - 1)]), max(len(contexts), 1), width)
-        cols = [plain, mixed, contexts.tobytes(), named.tobytes(), named[mine].tobytes(), uses[mine].astype(np.int64).tobytes()]
+
+        def read(kind: str, a_type: type, b_type: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = (np.frombuffer(b"".join(rows[f"{kind}_{x}"].to_pylist()), t) for x, t in (("a", a_type), ("b", b_type)))
+            c, at = np.ones(len(a), np.int64), 0
+            for one, often in zip(rows[f"{kind}_a"].to_pylist(), rows[f"{kind}_c"].to_pylist()):
+                c[at : at + len(often) // 4] = np.frombuffer(often, np.uint32)
+                at += len(one) // np.dtype(a_type).itemsize
+            return a, b, c
+
+        pair, c = _summed([np.concatenate([_pairs(np.frombuffer(x, np.uint8)) for x in rows["pair_a"].to_pylist()])], [read("pair", np.dtype("V5"), np.uint8)[2]])
+        plain = Trie.pack(pair, own.gain(c, own.share[pair & ((1 << _WIDTH) - 1)]), len(own.word) + 2, _WIDTH)
+        (ha, hb, hc), (ba, bb, bc), (aa, ab, ac) = (read(*k) for k in _KINDS[1:])
+        # contexts and words: the commonest ones by their class, then the rare ones by their hash
+        (heads, i), (rares, j) = np.unique(ha, return_inverse=True), np.unique(np.concatenate([ba, aa]), return_inverse=True)
+        context = np.concatenate([i, j + len(heads)])
+        (common, i), (rare, j) = np.unique(ab, return_inverse=True), np.unique(np.concatenate([hb, bb]), return_inverse=True)
+        word = np.concatenate([j + len(common), i])
+        width = max((len(common) + len(rare)).bit_length(), 1)
+        key, c = _summed([context << width | word], [np.concatenate([hc, bc, ac])])
+        of = key & ((1 << width) - 1)
+        # a rare word that ends in this shard has all its bigrams here
+        uses = np.bincount(of, c, len(common) + len(rare))[len(common) :]
+        share = np.concatenate([own.share[common], (uses + 0.5) / own.mass])
+        mixed = Trie.pack(key, own.gain(c, share[of]), max(len(heads) + len(rares), 1), width)
+        cols = [plain, mixed, _set(heads), rares.tobytes(), _set(common), rare.tobytes(), np.minimum(uses, 2**32 - 1).astype(np.uint32).tobytes()]
         return pa.table([pa.array([rows["shard"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["shard", *_LEVELS])
 
-    counted = docs.where("train").select("text").mapInArrow(count, "shard int, low binary, high binary, c binary, a binary, b binary, d binary")
+    counted = docs.where("train").select("text").mapInArrow(count, "shard int, " + ", ".join(f"{x} binary" for x in names))
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return checkpointed(counted.repartition(parts, "shard").groupBy("shard").applyInArrow(build, "shard int, " + ", ".join(f"{x} binary" for x in _LEVELS)))
 
 
-_LEVELS = ("plain", "mixed", "contexts", "words", "rare", "counts")
+_LEVELS = ("plain", "mixed", "heads", "rares", "common", "rare", "counts")
+
+
+@dataclass
+class _Levels:
+    """A shard's tries, mapped, and the names of their contexts and words."""
+
+    plain: Trie
+    mixed: Trie
+    heads: np.ndarray
+    rares: np.ndarray
+    common: np.ndarray
+    rare: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(row: pd.DataFrame) -> _Levels:
+        if not len(row):  # no training text has anything of this shard
+            none = Trie(_mapped(Trie.pack(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)))
+            return _Levels(none, none, *(np.zeros(0, t) for t in (np.uint32, np.uint64, np.uint32, np.uint64, np.int64)))
+        tries = (Trie(_mapped(row[x].iloc[0])) for x in _LEVELS[:2])
+        classes = lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(row[x].iloc[0], np.uint8))).astype(np.uint32)
+        plain = lambda x, t: np.frombuffer(row[x].iloc[0], t)
+        return _Levels(*tries, classes("heads"), plain("rares", np.uint64), classes("common"), plain("rare", np.uint64), plain("counts", np.uint32))
+
+    def gains(self, kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The steps that each bigram of a kind gains; each distinct one is looked up once."""
+        if kind == "pair":
+            trie, key, found = self.plain, a, np.ones(len(a), bool)
+        else:
+            (i, here), (j, there) = _place(self.heads if kind == "headed" else self.rares, a), _place(self.common if kind == "after" else self.rare, b)
+            trie, found = self.mixed, here & there
+            key = (i + (0 if kind == "headed" else len(self.heads))) << trie.width | (j + (0 if kind == "after" else len(self.common)))
+        out = np.zeros(len(key), np.int32)
+        key, which = np.unique(key[found], return_inverse=True)
+        out[found] = trie.find(key)[which]
+        return out
 
 
 def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -393,86 +472,78 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 table = (a >= 0) & (b >= 0)
                 key, which = np.unique(a[table] << _DENSE_WIDTH | b[table], return_inverse=True)
                 lm += _tally(row[table], top.find(key)[which] * STEP, n)
-                place = row.astype(np.uint16 if n < 1 << 16 else np.uint32)
-                split = _Split.of(own, h, context, w)
-                to = split.homes(shards)
-                order = [np.argsort(x, kind="stable") for x in to]
+                place = row.astype(_row_kind(n))
+                split = _split(own, h, context, w, shards)
+                order = [np.lexsort((x[1], x[3])) for x in split]
                 home = int(_home(np.array([rows[i]], np.uint64), shards)[0])
                 # only the shards that this block has something for, however many there are
-                asked = np.unique(np.concatenate([*to, [home]]))
-                cut = [[np.searchsorted(x[o], asked, side) for side in ("left", "right")] for x, o in zip(to, order)]
-                pair, at = split.pair[order[0]], place[split.plain][order[0]]
-                rare, rare_at, before = split.rare[order[1]], place[split.ends][order[1]], split.before[order[1]]
-                late, late_at, then = split.late[order[2]], place[split.after][order[2]], split.then[order[2]]
-                low, high = (pair & 0xFFFFFFFF).astype(np.uint32), (pair >> 32).astype(np.uint8)
+                asked = np.unique(np.concatenate([*(x[3] for x in split), [home]]))
+                cut = [[np.searchsorted(x[3][o], asked, side) for side in ("left", "right")] for x, o in zip(split, order)]
+                cols = [(a[o], b[o], place[at][o]) for (at, a, b, _), o in zip(split, order)]
                 out = []
                 for k, s in enumerate(asked.tolist()):
-                    p, q, r = (slice(c[0][k], c[1][k]) for c in cut)
-                    full = (train[i:j], np.bincount(row, minlength=n), np.bincount(row[known], minlength=n), base, lm) if s == home else None
-                    body = (low[p], high[p], at[p], rare[q], rare_at[q], before[q], late[r], late_at[r], then[r], full)
-                    out.append((s, int(rows[i]), n, pickle.dumps(body, 5), full is not None))
-                offset = np.cumsum([0, *(n if o[4] else 0 for o in out)]).astype(np.int32)
+                    full = [train[i:j], np.bincount(row, minlength=n), np.bincount(row[known], minlength=n), base, lm] if s == home else None
+                    parts = [x[c[0][k] : c[1][k]] for col, c in zip(cols, cut) for x in col]
+                    body = _packed([_stepped(parts[0]), parts[1][:0], *parts[2:]])
+                    out.append((s, int(rows[i]), n, body, _packed(full) if full else b"", full is not None))
+                offset = np.cumsum([0, *(n if o[5] else 0 for o in out)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offset), batch.column(0).slice(i, n))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))] + [ids], names=["shard", "block", "n", "body", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))] + [ids], names=["shard", "block", "n", "body", "full", "ids"])
 
     def answer(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         """For each block's request the gains of its bigrams, in steps, and the unigram logs of its rare words."""
         own = sent.value
         if not len(pdf):
             return pdf
-        if len(levels):
-            plain, mixed = (Trie(_mapped(levels[x].iloc[0])) for x in ("plain", "mixed"))
-            contexts, named, rare_words = (np.frombuffer(levels[x].iloc[0], np.uint64) for x in ("contexts", "words", "rare"))
-            counts = np.frombuffer(levels["counts"].iloc[0], np.int64)
-        else:  # no training text has anything of this shard
-            plain = mixed = None
-            contexts = named = rare_words = np.zeros(0, np.uint64)
-            counts = np.zeros(0, np.int64)
-
-        def gained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            (i, here), (j, there) = _place(contexts, a), _place(named, b)
-            found, both = np.zeros(len(a), np.int32), here & there
-            if mixed:
-                found[both] = mixed.find(i[both] << mixed.width | j[both])
-            return found
-
-        bodies = [pickle.loads(x) for x in pdf.pop("body")]
-        replies = []
-        for low, high, at, rare, rare_at, before, late, late_at, then, full in bodies:
-            where, there = _place(rare_words, rare)
-            count = np.where(there, counts[where] if len(counts) else 0, 0)
-            log = np.log10((count + 0.5) / own.mass)
-            # beside log10 P(w): what the word is as a context
-            added = log - np.where(rare == _END, 0, np.log10(count + MU))
-            key, which = np.unique(high.astype(np.int64) << 32 | low, return_inverse=True)
-            steps = np.concatenate([plain.find(key).astype(np.int32)[which] if plain else np.zeros(len(low), np.int32), gained(before, rare), gained(late, own.name[then])])
-            row, i = np.unique(np.concatenate([at, rare_at, late_at]), return_inverse=True)
-            sums = _tally(i, steps, len(row)).astype(np.int32)
-            other, i = np.unique(rare_at, return_inverse=True)
-            replies.append(pickle.dumps((row[sums > 0], sums[sums > 0], other, _tally(i, log, len(other)), _tally(i, added, len(other)), _tally(i, there, len(other)).astype(np.uint32), full), 5))
-        return pdf.assign(body=replies)[["shard", "block", "n", "body", "ids"]]
+        held = _Levels.of(levels)
+        kinds = [[np.uint8, np.uint8], *([a, b] for _, a, b in _KINDS[1:])]
+        asked = [_unpacked(x, [t for k in kinds for t in (*k, _row_kind(n))]) for x, n in zip(pdf.pop("body"), pdf["n"])]
+        bodies = [[[_pairs(x[0]), x[1], x[2]], *(x[3 * k : 3 * k + 3] for k in range(1, len(kinds)))] for x in asked]
+        every = lambda k, f: np.concatenate([b[k][f] for b in bodies])
+        steps = [held.gains(name, every(k, 0), every(k, 1)) for k, (name, *_) in enumerate(_KINDS)]
+        cut = [np.cumsum([0, *(len(b[k][0]) for b in bodies)]) for k in range(len(_KINDS))]
+        # of the rare words that are asked for here: the second of the kinds headed and both
+        rare, use = np.unique(np.concatenate([every(1, 1), every(2, 1)]), return_inverse=True)
+        at, there = _place(held.rare, rare)
+        count = np.zeros(len(rare))
+        count[there] = held.counts[at[there]]
+        log = np.log10((count + 0.5) / own.mass)
+        # beside log10 P(w): what the word is as a context
+        added = log - np.where(rare == _END, 0, np.log10(count + MU))
+        log, there, added = log[use], there[use], added[use]
+        shift, replies = int(cut[1][-1]), []
+        for k, body in enumerate(bodies):
+            row, i = np.unique(np.concatenate([x[2] for x in body]), return_inverse=True)
+            gained = _tally(i, np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(steps, cut)]), len(row)).astype(np.int32)
+            y = np.concatenate([np.arange(cut[1][k], cut[1][k + 1]), shift + np.arange(cut[2][k], cut[2][k + 1])])
+            other, i = np.unique(np.concatenate([body[1][2], body[2][2]]), return_inverse=True)
+            told = [_tally(i, x[y], len(other)) for x in (log, added, there)]
+            replies.append(_packed([row[gained > 0], gained[gained > 0], other, told[0], told[1], told[2].astype(np.uint32)]))
+        return pdf.assign(body=replies)[["shard", "block", "n", "body", "full", "ids"]]
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         """The replies to one block, summed in the order of the shards."""
         n = int(pdf["n"].iloc[0])
         base, lm, known, train, tokens, doc = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64), []
-        for body, ids in pdf.sort_values("shard")[["body", "ids"]].itertuples(index=False):
-            row, gained, other, log, added, there, full = pickle.loads(body)
+        at = _row_kind(n)
+        for body, full, ids in pdf.sort_values("shard")[["body", "full", "ids"]].itertuples(index=False):
+            row, gained, other, log, added, there = _unpacked(body, [at, np.int32, at, np.float64, np.float64, np.uint32])
             lm[row] += gained * STEP
             base[other] += log
             lm[other] += added
             known[other] += there
             if full:
-                train, tokens, doc = full[0] > 0, full[1], list(ids)
-                known += full[2]
-                base += full[3]
-                lm += full[4]
+                told = _unpacked(full, [np.int64, np.int64, np.int64, np.float64, np.float64])
+                train, tokens, doc = told[0] > 0, told[1], list(ids)
+                known += told[2]
+                base += told[3]
+                lm += told[4]
         # whole numbers with gaps would turn into floats
         doc = pd.array(doc, "Int64") if kind in ("bigint", "int", "smallint", "tinyint") else doc
         return pd.DataFrame({"doc_id": doc, "train": train, "n_tokens": tokens, "n_known": known, "base_score": base.round(8), "score": lm.round(8)})
 
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), "train")
-    kinds = f"shard int, block long, n int, body binary, ids array<{kind}>"
+    kinds = f"shard int, block long, n int, body binary, full binary, ids array<{kind}>"
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = keyed.mapInArrow(route, kinds).repartition(parts, "shard")
     replies = asked.groupBy("shard").cogroup(tries.repartition(parts, "shard").groupBy("shard")).applyInPandas(answer, kinds)
