@@ -298,16 +298,24 @@ def _counted(a: np.ndarray, b: np.ndarray, home: np.ndarray) -> tuple[np.ndarray
     return a[order], b[order], home[order], c[order]
 
 
-def _stepped(pairs: np.ndarray) -> np.ndarray:
-    """Pairs, mostly rising, as the bytes of their steps, all lowest bytes first: the higher ones are nearly all 0 and compress."""
-    steps = np.diff(pairs, prepend=0) & (2**40 - 1)
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).reshape(-1)
+def _planes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n lowest bytes of whole numbers, all lowest ones first: higher ones that are alike compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).reshape(-1)
 
 
-def _pairs(steps: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(steps) // 5, 8), np.uint8)
-    wide[:, :5] = steps.reshape(5, -1).T
-    return np.cumsum(wide.reshape(-1).view("<u8").astype(np.int64)) & (2**40 - 1)
+def _unplaned(planes: np.ndarray, n: int) -> np.ndarray:
+    wide = np.zeros((len(planes) // n, 8), np.uint8)
+    wide[:, :n] = planes.reshape(n, -1).T
+    return wide.reshape(-1).view("<u8").astype(np.int64)
+
+
+def _stepped(x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers that mostly rise, as the planes of their steps."""
+    return _planes(np.diff(x.astype(np.int64), prepend=0) & ((1 << 8 * n) - 1), n)
+
+
+def _unstepped(planes: np.ndarray, n: int) -> np.ndarray:
+    return np.cumsum(_unplaned(planes, n)) & ((1 << 8 * n) - 1)
 
 
 def _packed(arrays: list[np.ndarray]) -> bytes:
@@ -355,7 +363,7 @@ def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
             ids = np.unique(np.concatenate([x[2] for x in kinds])) if held else np.zeros(0, np.int64)
             cols = []
             for (name, *_), (a, b, home, c) in zip(_KINDS, kinds):
-                told_a, told_b = (_stepped, lambda x: x[:0]) if name == "pair" else (lambda x: x, lambda x: x)
+                told_a, told_b = (lambda x: _stepped(x, 5), lambda x: x[:0]) if name == "pair" else (lambda x: x, lambda x: x)
                 cut = list(zip(np.searchsorted(home, ids), np.searchsorted(home, ids, "right")))
                 often = np.append(0, np.cumsum(c > 1))
                 cols += [[told_a(a[i:j]).tobytes() for i, j in cut], [told_b(b[i:j]).tobytes() for i, j in cut], [c[i : i + often[j] - often[i]].astype(np.uint32).tobytes() for i, j in cut]]
@@ -384,7 +392,7 @@ def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
                 at += len(one) // np.dtype(a_type).itemsize
             return a, b, c
 
-        pair, c = _summed([np.concatenate([_pairs(np.frombuffer(x, np.uint8)) for x in rows["pair_a"].to_pylist()])], [read("pair", np.dtype("V5"), np.uint8)[2]])
+        pair, c = _summed([np.concatenate([_unstepped(np.frombuffer(x, np.uint8), 5) for x in rows["pair_a"].to_pylist()])], [read("pair", np.dtype("V5"), np.uint8)[2]])
         plain = Trie.pack(pair, own.gain(c, own.share[pair & ((1 << _WIDTH) - 1)]), len(own.word) + 2, _WIDTH)
         (ha, hb, hc), (ba, bb, bc), (aa, ab, ac) = (read(*k) for k in _KINDS[1:])
         # contexts and words: the commonest ones by their class, then the rare ones by their hash
@@ -472,9 +480,9 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 table = (a >= 0) & (b >= 0)
                 key, which = np.unique(a[table] << _DENSE_WIDTH | b[table], return_inverse=True)
                 lm += _tally(row[table], top.find(key)[which] * STEP, n)
-                place = row.astype(_row_kind(n))
+                place = row
                 split = _split(own, h, context, w, shards)
-                order = [np.lexsort((x[1], x[3])) for x in split]
+                order = [np.argsort(x[3], kind="stable") for x in split]
                 home = int(_home(np.array([rows[i]], np.uint64), shards)[0])
                 # only the shards that this block has something for, however many there are
                 asked = np.unique(np.concatenate([*(x[3] for x in split), [home]]))
@@ -484,7 +492,7 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
                 for k, s in enumerate(asked.tolist()):
                     full = [train[i:j], np.bincount(row, minlength=n), np.bincount(row[known], minlength=n), base, lm] if s == home else None
                     parts = [x[c[0][k] : c[1][k]] for col, c in zip(cols, cut) for x in col]
-                    body = _packed([_stepped(parts[0]), parts[1][:0], *parts[2:]])
+                    body = _packed([_planes(parts[0], 5), *(_stepped(x, 3) if i % 3 == 2 else x for i, x in enumerate(parts) if i > 1)])
                     out.append((s, int(rows[i]), n, body, _packed(full) if full else b"", full is not None))
                 offset = np.cumsum([0, *(n if o[5] else 0 for o in out)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offset), batch.column(0).slice(i, n))
@@ -496,9 +504,9 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
         if not len(pdf):
             return pdf
         held = _Levels.of(levels)
-        kinds = [[np.uint8, np.uint8], *([a, b] for _, a, b in _KINDS[1:])]
-        asked = [_unpacked(x, [t for k in kinds for t in (*k, _row_kind(n))]) for x, n in zip(pdf.pop("body"), pdf["n"])]
-        bodies = [[[_pairs(x[0]), x[1], x[2]], *(x[3 * k : 3 * k + 3] for k in range(1, len(kinds)))] for x in asked]
+        kinds = [np.uint8, np.uint8, *(t for _, a, b in _KINDS[1:] for t in (a, b, np.uint8))]
+        asked = [_unpacked(x, kinds) for x in pdf.pop("body")]
+        bodies = [[(_unplaned(x[0], 5), x[0], _unstepped(x[1], 3)), *((a, b, _unstepped(c, 3)) for a, b, c in zip(x[2::3], x[3::3], x[4::3]))] for x in asked]
         every = lambda k, f: np.concatenate([b[k][f] for b in bodies])
         steps = [held.gains(name, every(k, 0), every(k, 1)) for k, (name, *_) in enumerate(_KINDS)]
         cut = [np.cumsum([0, *(len(b[k][0]) for b in bodies)]) for k in range(len(_KINDS))]
@@ -518,7 +526,8 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
             y = np.concatenate([np.arange(cut[1][k], cut[1][k + 1]), shift + np.arange(cut[2][k], cut[2][k + 1])])
             other, i = np.unique(np.concatenate([body[1][2], body[2][2]]), return_inverse=True)
             told = [_tally(i, x[y], len(other)) for x in (log, added, there)]
-            replies.append(_packed([row[gained > 0], gained[gained > 0], other, told[0], told[1], told[2].astype(np.uint32)]))
+            at = _row_kind(pdf["n"].iloc[k])
+            replies.append(_packed([row[gained > 0].astype(at), gained[gained > 0], other.astype(at), told[0], told[1], told[2].astype(np.uint32)]))
         return pdf.assign(body=replies)[["shard", "block", "n", "body", "full", "ids"]]
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
