@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder of the checkpoints, read again; the shuffles that it was made from are freed at once."""
+    spark, freed = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(freed, None)
+    spark.conf.set(freed, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(freed)
+        else:
+            spark.conf.set(freed, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id"):
     """True where crc32 of the key as text leaves this remainder; a null key counts as ''."""
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus) == remainder

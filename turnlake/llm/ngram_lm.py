@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm.blocks import mix, ranges, texts, words
-from turnlake.llm.common import checkpointed, held_out, table
+from turnlake.llm.common import held_out, table, written
 
 HEAD, DENSE = 1 << 17, 512
 MU = 300.0
@@ -216,7 +216,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     train = docs.where("train").select("text")
-    counts = checkpointed(train.mapInArrow(unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    counts = written(train.mapInArrow(unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     # the least count that HEAD words at most reach, from a histogram of eighths of powers of 2
     rung = F.floor(F.log2("c") * 8)
     steps = sorted((r.rung, r.least, r.n, r.total) for r in counts.groupBy(rung.alias("rung")).agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("c").alias("total")).collect())
@@ -412,7 +412,7 @@ def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
 
     counted = docs.where("train").select("text").mapInArrow(count, "shard int, " + ", ".join(f"{x} binary" for x in names))
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return checkpointed(counted.repartition(parts, "shard").groupBy("shard").applyInArrow(build, "shard int, " + ", ".join(f"{x} binary" for x in _LEVELS)))
+    return written(counted.repartition(parts, "shard").groupBy("shard").applyInArrow(build, "shard int, " + ", ".join(f"{x} binary" for x in _LEVELS)))
 
 
 _LEVELS = ("plain", "mixed", "heads", "rares", "common", "rare", "counts")
