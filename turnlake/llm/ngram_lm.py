@@ -14,8 +14,8 @@ Learning counts the bigrams of training texts inside each task, sums them in the
 each shard's tries once, to the folder the session names for checkpoints: one of bigrams of commonest
 words, one of those with a rare word, beside which the words' classes or hashes and the rare words' counts
 are kept.
-Neither counts nor tries are ever gathered in one place and nothing is pruned; the number of shards, and
-of the partitions they are dealt to, grows with the tokens. Bigrams of the DENSE commonest words, which
+Neither counts nor tries are ever gathered in one place and nothing is pruned; the number of shards grows
+with the tokens, and each is a partition of its own. Bigrams of the DENSE commonest words, which
 a large part of all texts share, are in a trie of bounded size that is broadcast, so they needn't travel.
 
 Scoring maps a shard's tries and looks up what texts ask. Texts travel in blocks: a block sends each
@@ -412,7 +412,7 @@ def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
 
     counted = docs.where("train").select("text").mapInArrow(count, "shard int, " + ", ".join(f"{x} binary" for x in names))
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return written(counted.repartition(parts, "shard").groupBy("shard").applyInArrow(build, "shard int, " + ", ".join(f"{x} binary" for x in _LEVELS)))
+    return written(counted.repartitionById(parts, F.col("shard")).groupBy("shard").applyInArrow(build, "shard int, " + ", ".join(f"{x} binary" for x in _LEVELS)))
 
 
 _LEVELS = ("plain", "mixed", "heads", "rares", "common", "rare", "counts")
@@ -554,8 +554,8 @@ def score(docs: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> D
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), "train")
     kinds = f"shard int, block long, n int, body binary, full binary, ids array<{kind}>"
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = keyed.mapInArrow(route, kinds).repartition(parts, "shard")
-    replies = asked.groupBy("shard").cogroup(tries.repartition(parts, "shard").groupBy("shard")).applyInPandas(answer, kinds)
+    asked = keyed.mapInArrow(route, kinds).repartitionById(parts, F.col("shard"))
+    replies = asked.groupBy("shard").cogroup(tries.repartitionById(parts, F.col("shard")).groupBy("shard")).applyInPandas(answer, kinds)
     return replies.groupBy("block").applyInPandas(combine, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
