@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, ngram_lm, quality_crf, secret_scan, sharding
+from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, ngram_lm, periodic_runs, quality_crf, secret_scan, sharding
 
 QUERIES = {
     "op1_quality": quality_crf.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_mixing": mixing.op10_mixing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
