@@ -14,8 +14,8 @@ def _set(t, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def _brute(rows, percent=90):
-    sets = [_set(t) for _, t in rows]
+def _brute(rows, percent=90, n=3):
+    sets = [_set(t, n) for _, t in rows]
     root = list(range(len(rows)))
     links = [0] * len(rows)
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -240,13 +241,18 @@ def _bits(members: int) -> int:
     return 1 << min(26, max(20, (16 * members).bit_length()))
 
 
-def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, print_mask: int = -1) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (rows with another set or the same that it links with).
+class Sets(NamedTuple):
+    """The sets of a table's texts, by row and told apart."""
+
+    listed: DataFrame  # doc_id, n, fp, fq of each row
+    some: DataFrame  # those with tokens
+    printed: DataFrame  # fp, and how many rows carry it (copies)
+    nodes: DataFrame  # node, fp, fq, rep (the least doc_id), n, copies of each set
+    clash: DataFrame | None  # first prints that different sets share
 
-    print_mask shortens the first print of a set, so that tests meet collisions.
-    """
-    rows = docs.select("doc_id", "text")
-    context = docs.sparkSession.sparkContext
+
+def distinct_sets(rows: DataFrame, n: int, print_mask: int = -1) -> Sets:
+    """Reads the texts of rows (doc_id, text) once and tells their sets of n-word shingles apart by 128 bits."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +264,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
                 fq.append(two)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (size, fp, fq))], names=["doc_id", "n", "fp", "fq"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     listed = checkpointed(rows.mapInArrow(sizes, f"doc_id {kind}, n long, fp long, fq long"))
     some = listed.where("n > 0")
     told = [F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")]
@@ -266,10 +272,75 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     # sets that are told apart by the second print only: each becomes a node of its own
     clash = printed.where("fq <> other").select("fp")
     nodes = printed.where("fq = other").select(F.col("fp").alias("node"), "fp", "fq", "rep", "n", "copies")
-    clashes = not clash.isEmpty()
-    if clashes:
-        apart = some.join(clash, "fp", "left_semi").groupBy("fp", "fq").agg(*told)
-        nodes = nodes.unionByName(apart.select(F.xxhash64("fp", "fq").alias("node"), "fp", "fq", "rep", "n", "copies"))
+    if clash.isEmpty():
+        return Sets(listed, some, printed, nodes, None)
+    apart = some.join(clash, "fp", "left_semi").groupBy("fp", "fq").agg(*told)
+    return Sets(listed, some, printed, nodes.unionByName(apart.select(F.xxhash64("fp", "fq").alias("node"), "fp", "fq", "rep", "n", "copies")), clash)
+
+
+def families(ties: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """fp and family of the sets that ties (a, b) hold together; sets that share a first print are a family at least."""
+    family = components(ties).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    if clash is not None:
+        family = family.unionByName(clash.join(family, "fp", "left_anti").select("fp", F.col("fp").alias("family")))
+    return checkpointed(family)
+
+
+def token_rows(rows: DataFrame, wanted: DataFrame, n: int, print_mask: int = -1) -> DataFrame:
+    """own_id, fp, fq and tokens of the rows (doc_id, text) whose first print is wanted (fp), and of some others.
+
+    Of a task's equal sets those rows come that may have the least doc_id. Which prints are wanted is told
+    by a bit map of bounded size, gathered as its non-zero words.
+    """
+    bits = _bits(wanted.count())
+    bit = F.col("fp").bitwiseAND(F.lit(bits - 1))
+    marks = wanted.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 32, np.uint32)
+    bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy().astype(np.uint32)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB at most, whatever the input
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = sent.value
+        told: dict[tuple[int, int], tuple] = {}  # the least doc_id that this task sent of a set
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            rank = lambda k: (ids[k] is None, ids[k])
+            out: list[tuple] = []
+            for i, _, found, _, size in _read(batch, n):
+                fp, fq = prints(found, size, print_mask)
+                at = fp & (bits - 1)
+                want = (size > 0) & (marked[at >> 5] >> (at & 31).astype(np.uint32) & 1 > 0)
+                begin = np.concatenate([[0], np.cumsum(size)])
+                least: dict[tuple[int, int], int] = {}  # of equal sets the row with the least doc_id, which may be the node's own
+                for k in np.flatnonzero(want).tolist():
+                    f, r = (int(fp[k]), int(fq[k])), rank(i + k)
+                    if f not in told or (not r[0] and r < told[f]):
+                        told[f], least[f] = r, k
+                out += [(i + k, *f, found[begin[k] : begin[k + 1]].tobytes()) for f, k in least.items()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)), pa.array([o[3] for o in out], pa.binary())],
+                names=["own_id", "fp", "fq", "tokens"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(gather, f"own_id {kind}, fp long, fq long, tokens binary")
+
+
+def least_ids(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """node and component (the least rep that links reach) of the nodes that linked (a, b) names."""
+    linking = checkpointed(nodes.join(components(linked), "node"))
+    least = linking.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("members"))
+    return spread_join(linking.select("node", "root"), least, ["root"], "members", [F.col("node")]).select("node", "component")
+
+
+def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, print_mask: int = -1) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (rows with another set or the same that it links with).
+
+    print_mask shortens the first print of a set, so that tests meet collisions.
+    """
+    rows = docs.select("doc_id", "text")
+    found = distinct_sets(rows, n, print_mask)
+    listed, some, printed, nodes, clash = found.listed, found.some, found.printed, found.nodes, found.clash
 
     most = listed.agg(F.max("n")).first()[0] or 0
     copies, total = printed.agg(F.max("copies"), F.sum("copies")).first()
@@ -308,42 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     chain = Window.partitionBy("sig").orderBy("fp")
     ties = rows.mapInArrow(sign, "sig long, fp long").withColumn("before", F.lag("fp").over(chain)).where("before <> fp").select(F.col("before").alias("a"), F.col("fp").alias("b"))
-    family = components(ties).select(F.col("node").alias("fp"), F.col("root").alias("family"))
-    if clashes:
-        family = family.unionByName(clash.join(family, "fp", "left_anti").select("fp", F.col("fp").alias("family")))
-    family = checkpointed(family)
-
-    # Which sets to verify: a bit map of bounded size, gathered as its non-zero words.
-    bits = _bits(family.count())
-    bit = F.col("fp").bitwiseAND(F.lit(bits - 1))
-    marks = family.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
-    bitmap = np.zeros(bits // 32, np.uint32)
-    bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy().astype(np.uint32)
-    sent = context.broadcast(bitmap)  # 8 MB at most, whatever the input
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = sent.value
-        told: dict[tuple[int, int], tuple] = {}  # the least doc_id that this task sent of a set
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rank = lambda k: (ids[k] is None, ids[k])
-            out: list[tuple] = []
-            for i, _, found, _, size in _read(batch, n):
-                fp, fq = prints(found, size, print_mask)
-                at = fp & (bits - 1)
-                want = (size > 0) & (marked[at >> 5] >> (at & 31).astype(np.uint32) & 1 > 0)
-                begin = np.concatenate([[0], np.cumsum(size)])
-                least: dict[tuple[int, int], int] = {}  # of equal sets the row with the least doc_id, which may be the node's own
-                for k in np.flatnonzero(want).tolist():
-                    f, r = (int(fp[k]), int(fq[k])), rank(i + k)
-                    if f not in told or (not r[0] and r < told[f]):
-                        told[f], least[f] = r, k
-                out += [(i + k, *f, found[begin[k] : begin[k + 1]].tobytes()) for f, k in least.items()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)), pa.array([o[3] for o in out], pa.binary())],
-                names=["own_id", "fp", "fq", "tokens"],
-            )
-
+    family = families(ties, clash)
     members = family.join(nodes, "fp").withColumn("band", band(F.col("n")))
     cells = members.groupBy("family", "band").agg(F.sum(F.greatest("n", F.lit(LEAST_TOKENS))).alias("cell"), F.count(F.lit(1)).alias("members"))
     # of each family's bands, a logarithm of the longest text: how many blocks each has, and those beside it
@@ -363,16 +399,13 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
           if(above IS NULL, array(), transform(sequence(0, above - 1), j -> struct(band AS p, own AS i, band + 1 AS q, j AS j, 0 AS side))),
           if(below IS NULL, array(), transform(sequence(0, below - 1), j -> struct(band - 1 AS p, j AS i, band AS q, own AS j, 1 AS side))))""")
     placed = dealt.select("node", "fp", "fq", "rep", "n", "copies", "family", meet.alias("meet"))
-    held = rows.mapInArrow(gather, f"own_id {kind}, fp long, fq long, tokens binary")
+    held = token_rows(rows, family, n, print_mask)
     sets = spread_join(held, placed, ["fp", "fq"], "copies", [F.col("own_id")], hot=hot).where(F.col("own_id").eqNullSafe(F.col("rep")))
     keyed = sets.select("family", "node", "n", "copies", "tokens", F.explode("meet").alias("at")).select("family", "at.p", "at.i", "at.q", "at.j", "at.side", "node", "n", "copies", "tokens")
     linked = checkpointed(keyed.groupBy("family", "p", "i", "q", "j").applyInArrow(_verify(percent), "a long, b long, links long"))
 
-    roots = components(linked.where("a <> b").select("a", "b"))
+    component = least_ids(nodes, linked.where("a <> b").select("a", "b"))
     links = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    linking = checkpointed(nodes.join(roots, "node"))
-    least = linking.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("members"))
-    component = spread_join(linking.select("node", "root"), least, ["root"], "members", [F.col("node")]).select("node", "component")
     near = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
     named = nodes.join(component, "node", "left").join(links, "node", "left").select("fp", "fq", "copies", F.coalesce("component", "rep").alias("component"), near.alias("n_links"))
     ended = spread_join(some, named, ["fp", "fq"], "copies", [F.col("doc_id"), F.spark_partition_id()], hot=hot)

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, ngram_lm, periodic_runs, quality_crf, secret_scan, sharding, vector_codes
+from turnlake.llm import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, mixing, ngram_join, ngram_lm, periodic_runs, quality_crf, secret_scan, sharding, vector_codes
 
 QUERIES = {
     "op1_quality": quality_crf.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_chat_format": chat_format.SQL,
     "op10_mixing": mixing.SQL,
     "op12_vector_codes": vector_codes.SQL,
+    "op13_minhash_dedup": minhash_dedup.SQL,
 }
