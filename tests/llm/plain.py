@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import xxhash
@@ -43,7 +44,7 @@ def languages(rows):
         weights.append(sum((a - b) * t for a, b, t in zip(pos, neg, tables[-1])))
     out = {}
     for d, t, _ in rows:
-        if not re.search(r"[^\W\d_]", t or ""):
+        if not any(unicodedata.category(x)[0] == "L" for x in t or ""):
             out[d] = ("und", 0.0, False)
             continue
         margin = [sum(x[g] for g in of[d]) / len(of[d]) for x in tables]

@@ -225,3 +225,10 @@ def test_quality_of_held_out_rows_and_edge_cases(spark):
     assert len(scored) == 5 and all(0 <= r.score <= 1 for r in scored) and {r.n_lines for r in scored} == {1, 5001}
     assert {r.score for r in quality_crf.score(docs, quality_crf.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert quality_crf.score(docs.limit(0), quality_crf.fit(docs, labels.limit(0))).count() == 0
+
+
+def test_numbers_that_are_no_digits_are_no_letters(spark):
+    known = spark.createDataFrame([("the cat sat on the mat", "en"), ("der Hund lief durch das Haus", "de")] * 5, "text string, lang string")
+    rows = [(1, "²"), (2, "½ 12"), (3, "Ⅷ"), (4, "٣ _ 7"), (5, "the cat Ⅷ"), (6, "ª"), (7, None)]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), language_id.fit(known)).collect()}
+    assert all(out[k] == ("und", 0.0) for k in (1, 2, 3, 4, 7)) and out[5][0] == "en" and out[6][0] != "und"

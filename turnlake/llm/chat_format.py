@@ -7,7 +7,7 @@ role carries it. Control strings inside texts are broken by a backslash after th
 character and backslashes are doubled, so no text can hold a live control string and the original
 comes back exactly. Roles are URL-encoded in the header.
 
-Defined cases: a null text or role counts as empty; turns with the same number go by role, then
+Defined cases: a null text or role counts as empty; a turn without a number comes before all others; turns with the same number go by role, then
 text; repeated rows are turns of their own; rows with a null conv_id are one conversation;
 invalid orders are formatted too, and flagged; an empty table gives no rows; other columns are
 not looked at, whatever their names. A conversation is one row of the result, and its digests run over
@@ -115,12 +115,12 @@ e AS (
 m AS (
   SELECT conv_id, role, CAST(row_number() OVER w - 1 AS INTEGER) AS nth, row_number() OVER back = 1 AS last,
          lag(role, 1, '') OVER w || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS fits
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text), back AS (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC)),
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), back AS (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC)),
 v AS (SELECT conv_id, min(nth) FILTER (NOT fits) AS bad_turn, bool_or(last AND role = 'assistant') AS closed FROM m GROUP BY conv_id),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-         coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learned,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS learned,
          CAST(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
   FROM e GROUP BY conv_id)
 SELECT g.conv_id, bad_turn IS NULL AND closed AS valid, bad_turn, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars

@@ -14,7 +14,7 @@ driver is a total a language and bits x DIM numbers, and bits grow with the loga
 languages, of which there may be any number. Exhaustive codes up to 7 languages, beyond that rows
 of seeded bits, as far apart as a greedy choice gets them.
 
-Defined cases: a text that is null or has no letters is `und` with score 0; without training rows
+Defined cases: a text that is null or has no letters (Unicode category L; numbers such as ², ½ or Ⅷ are none) is `und` with score 0; without training rows
 every text is; rows with a null lang are predicted but not learned from; repeated rows count each;
 a text of any length is worked on whole; an empty table gives no rows; lang, source and doc_id are never inputs; other columns pass
 through, but one with the name of a result gives way to it.
@@ -22,7 +22,6 @@ through, but one with the name of a result gives way to it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +41,6 @@ SHARPNESS = 6.0
 SCALE = float(1 << 40)
 #: A text is ambiguous if the runner-up's probability is above this share of the winner's.
 AMBIGUOUS = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -180,7 +178,7 @@ def predict(model: Model, col: pa.Array) -> tuple[list[str], list[float], list[b
         margin /= np.maximum(n, 1)[:, None]
         cost = np.stack([(np.log1p(np.exp(-SHARPNESS * np.clip(margin * c, -50, 50))) * model.weight).sum(1) for c in model.code], 1) if len(model.langs) else np.zeros((j - i, 0))
         for r in range(j - i):
-            if not cost.shape[1] or not _LETTER.search(col[i + r].as_py() or ""):
+            if not cost.shape[1] or not any(map(str.isalpha, col[i + r].as_py() or "")):
                 best, score, doubt = "und", 0.0, False
             else:
                 p = np.exp(-SHARPNESS * (cost[r] - cost[r].min()))

@@ -4,7 +4,9 @@ Base spans come from the patterns of KINDS, leftmost and non-overlapping within
 method adds spans: for each character class of CLASSES, candidate strings are the runs of its
 characters; a window slides over a candidate while the count of every character, and with it the
 sum of c * log2(c), is kept up to date by one step in and one step out, so each window's Shannon
-entropy costs the same whatever its width. Each stretch of a candidate that adjoining high-entropy
+entropy costs the same whatever its width. A candidate shorter than WINDOW characters, but of SHORT at
+least, is one window, and the bits it needs shrink with the logarithm of its length, as the most it
+can have do; shorter ones can't be told from words and numbers and are not candidates. Each stretch of a candidate that adjoining high-entropy
 windows cover is a span, unless the stretch lacks the kinds of characters that keys have, matches
 the allow list, or overlaps a base span.
 
@@ -39,7 +41,7 @@ CLASSES = (
     ("entropy_hex", "0-9A-Fa-f", 3.2, ("[0-9]", "[A-Fa-f]")),
     ("entropy_base64", "A-Za-z0-9+/_=-", 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
 )
-WINDOW = 24
+WINDOW, SHORT = 24, 16
 #: Matches, or characters, that are folded at once.
 PIECE = 512
 ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{7}", r"0123456789|(?i:abcdefghij)")
@@ -78,8 +80,15 @@ def _span(start: Column, stop: Column, rank: int, kind: str) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), stop.cast("int").alias("stop"), F.lit(kind).alias("kind"))
 
 
-def _hot(word: Column, bits: float, window: int) -> Column:
+def limit(size: int, bits: float, window: int) -> float:
+    """The most that the sum of c * log2(c) may be in a window of this size; a smaller one needs as large a part of the bits it can have."""
+    return size * math.log2(size) * (1 - bits / math.log2(window)) + 1e-9
+
+
+def _hot(word: Column, bits: float, window: int, short: int) -> Column:
     """array of struct(first, last): the stretches of characters that adjoining high-entropy windows cover."""
+    size = F.least(F.length(word), F.lit(window))
+    most = F.get(F.array(*(F.lit(limit(n, bits, window)) for n in range(short, window + 1))), size - short)
     clog = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
     event = lambda x, d, at: F.struct(F.ascii(x).alias("code"), F.lit(d).alias("d"), at.cast("int").alias("at"))
     stretch = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
@@ -87,7 +96,7 @@ def _hot(word: Column, bits: float, window: int) -> Column:
 
     def events(chars: Column) -> Column:
         into = lambda x, i: event(x, 1, i + 1)
-        return F.flatten(F.transform(chars, lambda x, i: F.when(i < window, F.array(into(x, i))).otherwise(F.array(event(F.get(chars, i - window), -1, F.lit(0)), into(x, i)))))
+        return F.flatten(F.transform(chars, lambda x, i: F.when(i < size, F.array(into(x, i))).otherwise(F.array(event(F.get(chars, i - size), -1, F.lit(0)), into(x, i)))))
 
     # The counts are the characters of a string of 128, 'A' for none: one is replaced at each step.
     zero = F.struct(F.lit("A" * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(0).alias("last"), none.alias("out"))
@@ -95,12 +104,12 @@ def _hot(word: Column, bits: float, window: int) -> Column:
     def step(acc: Column, e: Column) -> Column:
         c = F.ascii(F.substring(acc["counts"], e["code"] + 1, F.lit(1))) - 65
         total = acc["sum"] + F.get(clog, c + e["d"]) - F.get(clog, c)
-        high = (e["at"] >= window) & (math.log2(window) - total / window >= bits)
-        new = acc["first"].isNull() | (e["at"] - window > acc["last"])
+        high = (e["at"] >= size) & (total <= most)
+        new = acc["first"].isNull() | (e["at"] - size > acc["last"])
         return F.struct(
             F.overlay(acc["counts"], F.char(65 + c + e["d"]), e["code"] + 1, F.lit(1)).alias("counts"),
             total.alias("sum"),
-            F.when(high & new, e["at"] - window).otherwise(acc["first"]).alias("first"),
+            F.when(high & new, e["at"] - size).otherwise(acc["first"]).alias("first"),
             F.when(high, e["at"]).otherwise(acc["last"]).alias("last"),
             F.when(high & new & acc["first"].isNotNull(), F.concat(acc["out"], F.array(stretch(acc["first"], acc["last"])))).otherwise(acc["out"]).alias("out"),
         )
@@ -119,20 +128,20 @@ def _hot(word: Column, bits: float, window: int) -> Column:
         return F.struct(F.when(new, x["first"]).otherwise(acc["first"]).alias("first"), x["last"].alias("last"), grown.alias("out"))
 
     def pieces(chars: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(chars) - window, F.lit(PIECE))
+        starts = F.sequence(F.lit(0), F.size(chars) - size, F.lit(PIECE))
         begin = F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), none.alias("out"))
         return F.aggregate(F.flatten(F.transform(starts, lambda s: piece(chars, s))), begin, join, closed)
 
     return F.get(F.transform(F.array(F.split(word, "")), pieces), 0)
 
 
-def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: Sequence[str] = ALLOWED) -> DataFrame:
+def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: Sequence[str] = ALLOWED, short: int = SHORT) -> DataFrame:
     """doc_id, base and added (arrays of start, rank, stop, kind, in that order) for each row of docs (doc_id, text)."""
     text = F.col("text")
     placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id",
         *(_placed(text, p, g).alias(k) for k, p, g, _ in KINDS),
-        *(_placed(text, f"[{chars}]{{{window},}}", 0).alias(k) for k, chars, _, _ in CLASSES),
+        *(_placed(text, f"[{chars}]{{{short},}}", 0).alias(k) for k, chars, _, _ in CLASSES),
     )
 
     def kept(rank: int, kind: str, least: int) -> Column:
@@ -150,7 +159,7 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: Sequence[str] =
                 ok = ok & ~word.rlike(p)
             return ok
 
-        hot = F.transform(F.filter(kind, lambda m: likely(m["word"])), lambda m: F.transform(_hot(m["word"], bits, window), lambda x: F.struct(
+        hot = F.transform(F.filter(kind, lambda m: likely(m["word"])), lambda m: F.transform(_hot(m["word"], bits, window, short), lambda x: F.struct(
             (m["start"] + x["first"]).alias("start"), (m["start"] + x["last"]).alias("stop"), F.substring(m["word"], x["first"] + 1, x["last"] - x["first"]).alias("word"))))
         kept = F.filter(F.flatten(hot), lambda x: likely(x["word"], *allowed) & ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
         return F.transform(kept, lambda x: _span(x["start"], x["stop"], r, kind))
@@ -171,7 +180,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DUCK = (*KINDS, *((k, f"[{c}]{{{WINDOW},}}", 0, 0) for k, c, _, _ in CLASSES))
+_DUCK = (*KINDS, *((k, f"[{c}]{{{SHORT},}}", 0, 0) for k, c, _, _ in CLASSES))
 _quoted = lambda p: "'" + p.replace("'", "''") + "'"
 _hits = " UNION ALL ".join(
     f"SELECT row, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, {_quoted(p)}, 0) AS words, regexp_extract_all(t, {_quoted(p)}, {g}) AS vals, regexp_split_to_array(t, {_quoted(p)}) AS gaps, {least} AS least FROM d WHERE regexp_matches(t, {_quoted(p)})"
@@ -189,15 +198,15 @@ p AS (
   FROM h),
 b AS (SELECT row, rank, kind, start, start + length(word) AS stop FROM p WHERE rank < {len(KINDS)} AND length(value) >= least),
 w AS (
-  SELECT row, rank, kind, word, start, s, string_split(substring(word, s + 1, {WINDOW}), '') AS cs
-  FROM (SELECT *, unnest(range(length(word) - {WINDOW} + 1)) AS s FROM p WHERE rank >= {len(KINDS)} AND ({_needs("word")}))),
+  SELECT row, rank, kind, word, start, s, size, string_split(substring(word, s + 1, size), '') AS cs
+  FROM (SELECT *, unnest(range(length(word) - size + 1)) AS s FROM (SELECT *, least(length(word), {WINDOW}) AS size FROM p WHERE rank >= {len(KINDS)} AND ({_needs("word")})))),
 e AS (
   SELECT * FROM w
-  WHERE log2({WINDOW}) - list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) * log2(len(list_filter(cs, lambda x: x = c))))) / {WINDOW}
-        >= CASE kind {" ".join(f"WHEN '{k}' THEN {bits}" for k, _, bits, _ in CLASSES)} END - 1e-12),
-g AS (SELECT *, s - lag(s, 1, s - {WINDOW} - 1) OVER (PARTITION BY row, rank, start ORDER BY s) > {WINDOW} AS new FROM e),
+  WHERE list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) * log2(len(list_filter(cs, lambda x: x = c)))))
+        <= size * log2(size) * (1 - CASE kind {" ".join(f"WHEN '{k}' THEN {bits}" for k, _, bits, _ in CLASSES)} END / log2({WINDOW})) + 1e-9),
+g AS (SELECT *, s - lag(s, 1, s - size - 1) OVER (PARTITION BY row, rank, start ORDER BY s) > size AS new FROM e),
 n AS (SELECT *, sum(new::INT) OVER (PARTITION BY row, rank, start ORDER BY s) AS nth FROM g),
-x AS (SELECT row, rank, kind, start + min(s) AS start, start + max(s) + {WINDOW} AS stop, substring(any_value(word), min(s) + 1, max(s) - min(s) + {WINDOW}) AS word FROM n GROUP BY row, rank, kind, n.start, nth),
+x AS (SELECT row, rank, kind, start + min(s) AS start, start + max(s) + any_value(size) AS stop, substring(any_value(word), min(s) + 1, max(s) - min(s) + any_value(size)) AS word FROM n GROUP BY row, rank, kind, n.start, nth),
 a AS (
   SELECT row, rank, kind, start, stop FROM x
   WHERE ({_needs("word")}) AND NOT ({_allowed}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.row = x.row AND b.start < x.stop AND x.start < b.stop)),
