@@ -52,6 +52,8 @@ from turnlake.llm.common import held_out, table, written
 HEAD, DENSE = 1 << 17, 512
 MU = 300.0
 LEVELS, STEP = 4096, 10 / 4096
+#: Bytes of unary between two ranks that are kept.
+RANKED = 16
 SHARD_TOKENS, FLUSH_TOKENS = 1_200_000, 1_000_000
 _WIDTH = 18  # bits of a class id: HEAD, rare and begin; bits of a word in a trie, if not told
 _DENSE_WIDTH = 16  # bits of a word in the trie of the commonest bigrams
@@ -66,7 +68,8 @@ class EliasFano:
 
     def __init__(self, low: np.ndarray, unary: np.ndarray, bits: int):
         self.low, self.unary, self.bits = low, unary, bits
-        self.upto = np.cumsum(_POP[unary], dtype=np.int64)
+        # how many marks come before each RANKED bytes: half a bit for each of unary
+        self.before = np.concatenate([[0], np.cumsum(np.add.reduceat(_POP[unary], np.arange(0, len(unary), RANKED), dtype=np.int64))])
 
     @staticmethod
     def parts(values: np.ndarray, universe: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -79,8 +82,15 @@ class EliasFano:
         return low, np.packbits(marks), bits
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        byte = np.searchsorted(self.upto, i, "right")
-        rank = i - np.where(byte > 0, self.upto[byte - 1], 0)
+        block = np.searchsorted(self.before, i, "right") - 1
+        byte, rank = block * RANKED, i - self.before[block]
+        # the block's bytes one after another, for all places that are still behind theirs
+        live = np.arange(len(i))
+        while len(live):
+            here = _POP[self.unary[byte[live]]]
+            live, here = (x[rank[live] >= here] for x in (live, here))
+            rank[live] -= here
+            byte[live] += 1
         return ((byte * 8 + _NTH[self.unary[byte], rank] - i) << self.bits) | self.low[i].astype(np.int64)
 
 
@@ -407,7 +417,7 @@ def learn(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
         uses = np.bincount(of, c, len(common) + len(rare))[len(common) :]
         share = np.concatenate([own.share[common], (uses + 0.5) / own.mass])
         mixed = Trie.pack(key, own.gain(c, share[of]), max(len(heads) + len(rares), 1), width)
-        cols = [plain, mixed, _set(heads), rares.tobytes(), _set(common), rare.tobytes(), np.minimum(uses, 2**32 - 1).astype(np.uint32).tobytes()]
+        cols = [plain, mixed, _set(heads), rares.tobytes(), _set(common), rare.tobytes(), _planes(uses, 8).tobytes()]
         return pa.table([pa.array([rows["shard"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["shard", *_LEVELS])
 
     counted = docs.where("train").select("text").mapInArrow(count, "shard int, " + ", ".join(f"{x} binary" for x in names))
@@ -438,7 +448,7 @@ class _Levels:
         tries = (Trie(_mapped(row[x].iloc[0])) for x in _LEVELS[:2])
         classes = lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(row[x].iloc[0], np.uint8))).astype(np.uint32)
         plain = lambda x, t: np.frombuffer(row[x].iloc[0], t)
-        return _Levels(*tries, classes("heads"), plain("rares", np.uint64), classes("common"), plain("rare", np.uint64), plain("counts", np.uint32))
+        return _Levels(*tries, classes("heads"), plain("rares", np.uint64), classes("common"), plain("rare", np.uint64), _unplaned(plain("counts", np.uint8), 8))
 
     def gains(self, kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The steps that each bigram of a kind gains; each distinct one is looked up once."""
