@@ -3,6 +3,7 @@
 import datetime as dt
 import http.server
 import json
+import random
 import threading
 
 import pytest
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
 from turnlake.operators import chats as H
+from turnlake.operators import flights as V
 from turnlake.operators import mutations as M
 from turnlake.operators import reads as R
 from turnlake.operators import rules as C
 from turnlake.plans import catalogue
 from turnlake.sources import readers as S
 from turnlake.sources import remote, schemas
-from turnlake.sources.store import Store
+from turnlake.sources.store import Conflict, Store
 from turnlake.streaming import replies
 
 SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
@@ -64,7 +66,7 @@ def test_a_store_is_seeded_once_and_gated_by_version(spark, tmp_path):
     folder = str(tmp_path / "store")
     assert Store(spark, folder).initialize() == Store(spark, folder).initialize()
     assert [r.id for r in Store(spark, folder).read("projects").collect()] == [schemas.DEFAULT_PROJECT[0]]
-    (tmp_path / "store" / "manifests" / f"{7:012d}.json").write_text(json.dumps({"schema_version": schemas.SCHEMA_VERSION + 1, "version": 7, "paths": {}, "high_water": 0}))
+    (tmp_path / "store" / "manifests" / f"{7:012d}.json").write_text(json.dumps({"schema_version": schemas.SCHEMA_VERSION + 1, "version": 7, "tables": {}, "high_water": 0}))
     with pytest.raises(RuntimeError):
         Store(spark, folder).initialize()
 
@@ -99,9 +101,9 @@ def test_message_ids_go_on_without_gaps_in_order_of_arrival(spark):
     chats = spark.createDataFrame([_chat("a"), _chat("b")], CONVERSATION)
     none = spark.createDataFrame([], schemas.MESSAGES)
     new = [("a" if n % 3 else "b", "user", f"  note {n} ", None, at(n), n * n) for n in range(300)] + [("a", "narrator", "x", None, at(1), 1), ("b", "user", "\u2003", None, at(1), 2), ("gone", "user", "x", None, at(1), 3)]
-    both, moved = M.add_messages(none, chats, spark.createDataFrame(new, NEW).repartition(7), 40)
+    both, moved, top = M.add_messages(none, chats, spark.createDataFrame(new, NEW).repartition(7), 40)
     assert [(r.id, r.content) for r in both.orderBy("id").collect()] == [(41 + n, f"  note {n} ") for n in range(300)]
-    assert {r.id: r.updated_at for r in moved.collect()} == {"a": at(299), "b": at(297)}
+    assert {r.id: r.updated_at for r in moved.collect()} == {"a": at(299), "b": at(297)} and top == 340
     gone = spark.createDataFrame([("b",)], "conversation_id string")
     left = M.delete(both, gone, "conversation_id")
     assert left.count() == 200 and M.delete(left, gone, "conversation_id").count() == 200
@@ -111,8 +113,8 @@ def test_a_stored_history_is_read_again_by_conversation(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.initialize()
     chats = spark.createDataFrame([_chat(f"chat {k:02d}") for k in range(20)], schemas.CONVERSATIONS)
-    messages, moved = M.add_messages(store.read("messages"), chats, spark.createDataFrame([(f"chat {k % 20:02d}", "user", f"line {k}", None, at(k), k) for k in range(200)], NEW), store.manifest()["high_water"])
-    store.commit({"messages": messages, "conversations": moved}, 200)
+    messages, moved, top = M.add_messages(store.read("messages"), chats, spark.createDataFrame([(f"chat {k % 20:02d}", "user", f"line {k}", None, at(k), k) for k in range(200)], NEW), store.manifest()["high_water"])
+    store.commit({"messages": messages, "conversations": moved}, top)
     again = Store(spark, str(tmp_path / "store"))
     one = R.messages_of(again.read("messages"), "chat 07")
     assert "EqualTo(conversation_id,chat 07)" in one._jdf.queryExecution().executedPlan().toString()
@@ -121,6 +123,76 @@ def test_a_stored_history_is_read_again_by_conversation(spark, tmp_path):
     assert R.conversations_of(again.read("conversations"), "other").count() == 0
 
 
+def test_equal_places_in_a_batch_are_numbered_by_many_tasks(spark):
+    rows = spark.range(20_000).select(F.lit(7).alias("nth"), F.concat(F.lit("c"), (F.col("id") % 3000).cast("string")).alias("conversation_id"), F.lit(at(0)).alias("at"), F.col("id").cast("string").alias("content"))
+    assert M.sliced(rows, "nth", "conversation_id", "content").select("slice").distinct().count() > 1
+    got = M.numbered(rows, "nth", "conversation_id", "content").orderBy("conversation_id", "content").select("place").collect()
+    assert [r.place for r in got] == list(range(1, 20_001))
+
+
+def _stored(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.initialize()
+    store.commit({"conversations": spark.createDataFrame([_chat(c) for c in "abc"], schemas.CONVERSATIONS)})
+    return store
+
+
+def test_a_late_writer_fails_and_the_committed_version_stays(spark, tmp_path, monkeypatch):
+    store, late = _stored(spark, tmp_path), Store(spark, str(tmp_path / "store"))
+    old = late.manifest()
+    store.commit({"conversations": spark.createDataFrame([_chat("kept")], schemas.CONVERSATIONS)})
+    evil = spark.createDataFrame([_chat("evil")], schemas.CONVERSATIONS)
+    for write in (late.commit, late.append):
+        with pytest.raises(Conflict):
+            write({"conversations": evil}, since=old["version"])
+        with monkeypatch.context() as m:  # it looked before the other one committed
+            m.setattr(late, "manifest", lambda *_: old)
+            with pytest.raises(Conflict):
+                write({"conversations": evil})
+    assert [r.id for r in store.read("conversations").collect()] == ["kept"] and store.manifest()["version"] == old["version"] + 1
+    assert [r.id for r in store.read("conversations", store.manifest(old["version"])).orderBy("id").collect()] == ["a", "b", "c"]
+    assert not [p for p in (tmp_path / "store" / "manifests").iterdir() if p.name.endswith(".draft")]
+
+
+def test_runs_are_merged_when_read_and_compacted(spark, tmp_path):
+    store = _stored(spark, tmp_path)
+    patch = lambda rows: spark.createDataFrame(rows, "id string, title string, updated_at timestamp")
+    store.append({"conversations": patch([("a", "first", at(1)), ("a", "second", at(2)), ("b", "b1", at(9)), ("nobody", "x", at(1))])})
+    store.append({"conversations": patch([("b", "b2", at(3))])})
+    new = [(c, "user", f"{c} {k}", None, at(k), k) for k, c in enumerate("abca")] + [("nobody", "user", "x", None, at(1), 9)]
+    first = store.add_messages(spark.createDataFrame(new, NEW))
+    second = store.add_messages(spark.createDataFrame(new[:1], NEW))
+    assert (first["high_water"], second["high_water"]) == (4, 5)
+    store.append({"conversations": spark.createDataFrame([_chat("d", "added", minutes=4)], CONVERSATION)})
+    store.append({"conversations": spark.createDataFrame([("a", True)], "id string, gone boolean")})
+    store.append({"conversations": patch([("a", "too late", at(50)), ("d", "renamed", at(6))])})
+    want = [("b", "b2", at(1)), ("c", "Trip to Oslo", at(2)), ("d", "renamed", at(6))]
+    for _ in range(2):
+        assert sorted((r.id, r.title, r.updated_at) for r in store.read("conversations").collect()) == want
+        assert [(r.id, r.content) for r in store.read("messages").orderBy("id").collect()] == [(2, "b 1"), (3, "c 2")]
+        store.compact()
+    now = store.manifest()
+    assert now["high_water"] == 5 and not any(t["runs"] for t in now["tables"].values())
+    assert store.add_messages(spark.createDataFrame(new[1:2], NEW))["high_water"] == 6
+    store.append({"projects": spark.createDataFrame([("default", True)], "id string, gone boolean")})
+    assert store.read("conversations").count() == store.read("messages").count() == 0
+
+
+def test_a_send_is_admitted_when_the_one_before_has_ended(spark):
+    rng = random.Random(2)
+    rows = [(c, at(t), None if rng.random() < 0.02 else at(t + rng.randrange(0, 40)), n) for n, (c, t) in enumerate((rng.choice(["hot"] * 5 + ["a", "b", None]), rng.randrange(20_000)) for _ in range(3000))]
+    sends = spark.createDataFrame(rows, "conversation_id string, at timestamp, until timestamp, nth int").repartition(5)
+    free, want = {}, {}
+    for c, t, e, n in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[1], r[3])):
+        if want.setdefault(n, c not in free or (free[c] is not None and t >= free[c])):
+            free[c] = e
+    got = V.admitted(sends).collect()
+    assert {r.nth: r.admitted for r in got} == want and len(got) == len(want)
+    periods = V.busy_periods(sends.where("until IS NOT NULL"))
+    assert periods.groupBy("conversation_id").agg(F.countDistinct("period").alias("n")).where("conversation_id = 'hot'").first().n > 20
+    assert V.admitted(sends.limit(0)).count() == 0
+
+
 def test_listings_put_the_latest_activity_first(spark):
     rows = spark.createDataFrame([("tea", at(4)), ("salt", at(6)), ("tea", at(7)), ("rye", at(1))], "conversation_id string, created_at timestamp")
     heads = R.heads(rows)
@@ -134,16 +206,24 @@ PROFILE = "key string, label string, backend string, base_url string, model stri
 def test_pages_open_heal_and_delete(spark):
     profiles = spark.createDataFrame(PROFILES, PROFILE)
     chats = spark.createDataFrame([_chat("a", minutes=5), _chat("b", schemas.DEFAULT_TITLE, "retired", 9), _chat("c", minutes=1)], CONVERSATION)
-    pages = spark.createDataFrame([(1, "b", "n1", at(30), "b"), (2, "zz", "n2", at(31), "zz"), (3, "a", "n3", at(32), "c")], "page int, conversation_id string, new_id string, at timestamp, shown string")
-    assert {(r.page, r.id, r.model_profile) for r in H.opened(chats, profiles, pages, "lorem").collect()} == {(k, "b", "lorem") for k in (1, 2, 3)}
+    pages = spark.createDataFrame([(1, "b", "n1", at(30), "b"), (2, "zz", "n2", at(31), "zz"), (3, "a", "n3", at(32), "c")], "page int, conversation_id string, new_id string, at timestamp, shown string").withColumn("project_id", F.lit("default"))
+    other = spark.createDataFrame([("x", "other", "Elsewhere", "small", at(99), at(99))], CONVERSATION)
+    assert {(r.page, r.id, r.model_profile) for r in H.opened(chats.unionByName(other), profiles, pages, "lorem").collect()} == {(k, "b", "lorem") for k in (1, 2, 3)}
+    assert {(r.page, r.id, r.project_id) for r in H.opened(chats, profiles, pages.withColumn("project_id", F.lit("other")), "lorem").collect()} == {(k, "n1", "other") for k in (1, 2, 3)}
     assert {(r.page, r.id, r.title) for r in H.opened(chats.limit(0), profiles, pages, "lorem").collect()} == {(k, "n1", schemas.DEFAULT_TITLE) for k in (1, 2, 3)}
     assert H.opened(chats.limit(0), profiles, pages.limit(0), "lorem").count() == 0
     assert sorted((r.page, r.id, r.created, r.model_profile) for r in H.healed(chats, profiles, pages, "lorem").collect()) == [(1, "b", False, "lorem"), (2, "n2", True, "lorem"), (3, "a", False, "small")]
     messages = spark.createDataFrame([(1, "a")], "id long, conversation_id string")
     assert sorted((r.page, r.id, r.reused) for r in H.new_chats(chats, messages, pages).collect()) == [(1, "b", True), (2, "n2", False), (3, "n3", False)]
-    left, kept, told = H.deleted(chats, messages, spark.createDataFrame([("a",)], "conversation_id string"), pages.where("page <> 2"))
-    assert {r.id for r in left.collect()} == {"a", "c"} and kept.count() == 1
-    assert sorted((r.page, r.deleted, r.shows) for r in told.collect()) == [(1, True, "a"), (3, False, "c")]
+    asked = pages.drop("project_id")
+    left, kept, told = H.deleted(chats.unionByName(other), messages, spark.createDataFrame([("a",)], "conversation_id string"), asked, "lorem")
+    assert {r.id for r in left.collect()} == {"a", "c", "x"} and kept.count() == 1
+    assert sorted((r.page, r.deleted, r.shows) for r in told.collect()) == [(1, True, "a"), (2, False, "zz"), (3, False, "c")]
+    # the last one of a project makes way for a new chat, one for all pages that showed it
+    last = spark.createDataFrame([(4, "x", "n4", at(40), "x"), (5, "x", "n5", at(41), "x"), (6, "x", "n6", at(39), "c")], asked.schema)
+    left, _, told = H.deleted(chats.unionByName(other), messages, messages.select("conversation_id").limit(0), last, "lorem")
+    assert sorted((r.page, r.deleted, r.shows) for r in told.collect()) == [(4, True, "n4"), (5, True, "n4"), (6, True, "c")]
+    assert [(r.id, r.title, r.model_profile) for r in left.where("project_id = 'other'").collect()] == [("n4", schemas.DEFAULT_TITLE, "lorem")]
     assert C.may_change_model(chats, spark.createDataFrame([("c",)], "conversation_id string"), profiles, spark.createDataFrame([("a", "small"), ("b", "nowhere"), ("c", "small")], "id string, new_profile string")).select("id").collect() == [("a",)]
 
 
@@ -152,25 +232,28 @@ def test_sends_save_what_was_said_and_received(spark):
     chats = spark.createDataFrame([_chat("a", schemas.DEFAULT_TITLE), _chat("b"), _chat("c", schemas.DEFAULT_TITLE), _chat("d", profile="bare"), _chat("e", profile="retired"), _chat("f"), _chat("g")], CONVERSATION)
     old = spark.createDataFrame([(3, "c", "user", "earlier", None, at(1))], schemas.MESSAGES)
     rows = [
-        ("a", "  what is\n rye?  ", at(10), 1, None, None, None, at(11)), ("a", "again", at(12), 2, None, None, None, at(13)), ("b", " ", at(10), 3, None, None, None, at(11)), ("c", "and salt?", at(10), 4, 2, None, None, at(11)),
+        ("a", "  what is\n rye?  ", at(10), 1, None, None, None, at(11)), ("a", "too soon", at(10), 2, None, None, None, at(13)), ("a", "again", at(11), 9, None, None, None, None), ("a", "never", at(90), 10, None, None, None, at(91)), ("b", " ", at(10), 3, None, None, None, at(11)), ("c", "and salt?", at(10), 4, 2, None, None, at(11)),
         ("d", "hello", at(10), 5, None, None, None, at(11)), ("e", "offline", at(10), 6, None, "connection", None, at(11)), ("f", "fail", at(10), 7, None, "status", 503, at(11)), ("g", "mute", at(10), 8, None, None, None, at(11)),
     ]
     sends = spark.createDataFrame(rows, "conversation_id string, text string, at timestamp, nth int, stop_at int, error string, status int, replied_at timestamp")
-    deltas = spark.createDataFrame([(c, i, x) for c, part in (("a", [" a grain", " for bread \n"]), ("c", ["one ", "two ", "three"]), ("d", ["never read"]), ("e", ["part"]), ("g", [" ", "\n"])) for i, x in enumerate(part)], "conversation_id string, chunk_index int, delta string")
+    came = (("a", 1, [" a grain", " for bread \n"]), ("a", 2, ["lost"]), ("a", 9, ["still"]), ("c", 4, ["one ", "two ", "three"]), ("d", 5, ["never read"]), ("e", 6, ["part"]), ("g", 8, [" ", "\n"]))
+    deltas = spark.createDataFrame([(c, n, i, x) for c, n, part in came for i, x in enumerate(part)], "conversation_id string, nth int, chunk_index int, delta string")
     sent = H.send(chats, old, profiles, sends, deltas, "lorem", "SP", 10)
     assert {(r.conversation_id, r.nth): r.notice for r in sent.sends.collect()} == {
-        ("a", 1): "ok", ("a", 2): "busy", ("b", 3): "blank", ("c", 4): "stopped, partial reply saved", ("d", 5): "misconfigured Bare", ("e", 6): "unreachable Offline", ("f", 7): "http Small one 503", ("g", 8): "empty Small one",
+        ("a", 1): "ok", ("a", 2): "busy", ("a", 9): "ok", ("a", 10): "busy", ("b", 3): "blank", ("c", 4): "stopped, partial reply saved", ("d", 5): "misconfigured Bare", ("e", 6): "unreachable Offline", ("f", 7): "http Small one 503", ("g", 8): "empty Small one",
     }
     stored = [(r.id, r.conversation_id, r.role, r.content, r.model_profile) for r in sent.messages.orderBy("id").collect()]
     assert stored == [
         (3, "c", "user", "earlier", None), (11, "a", "user", "what is\n rye?", None), (12, "a", "assistant", "a grain for bread", "small"), (13, "c", "user", "and salt?", None), (14, "c", "assistant", "one two", "small"),
         (15, "d", "user", "hello", None), (16, "e", "user", "offline", None), (17, "e", "assistant", "part", "lorem"), (18, "f", "user", "fail", None), (19, "g", "user", "mute", None),
+        (20, "a", "user", "again", None), (21, "a", "assistant", "still", "small"),
     ]
     assert {r.id: (r.title, r.updated_at) for r in sent.conversations.collect()} == {
         "a": ("what is rye?", at(11)), "b": ("Trip to Oslo", at(0)), "c": (schemas.DEFAULT_TITLE, at(11)), "d": ("Trip to Oslo", at(10)), "e": ("Trip to Oslo", at(11)), "f": ("Trip to Oslo", at(10)), "g": ("Trip to Oslo", at(10)),
     }
-    said = {r.conversation_id: [(m["role"], m["content"]) for m in json.loads(r.context)] for r in sent.contexts.collect()}
-    assert said["c"] == [("system", "SP"), ("user", "earlier"), ("user", "and salt?")] and "b" not in said
+    said = {(r.conversation_id, r.nth): [(m["role"], m["content"]) for m in json.loads(r.context)] for r in sent.contexts.collect()}
+    assert said["c", 4] == [("system", "SP"), ("user", "earlier"), ("user", "and salt?")] and ("b", 3) not in said
+    assert said["a", 1] == [("system", "SP"), ("user", "what is\n rye?")] and said["a", 9] == [*said["a", 1], ("assistant", "a grain for bread"), ("user", "again")]
 
 
 def test_remote_replies_and_their_errors(spark):

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
 from turnlake.operators.reads import newest_of_each
+from turnlake.sources.folders import settled
 from turnlake.sources.schemas import DEFAULT_TITLE, ROLES
 
-#: Slices that a batch of messages is numbered in.
-SLICES = 64
-
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key by order, then by all columns: one aggregation that combines before the shuffle."""
@@ -63,18 +61,23 @@ def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
 
-def numbered(rows: DataFrame, by: str, *ties: str, slices: int = SLICES) -> DataFrame:
-    """rows with place, from 1 without gaps, in the order of a number and then of ties.
+def sliced(rows: DataFrame, *order: str) -> DataFrame:
+    """rows dealt by ranges of these columns, and slice, the range each is in."""
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("slice", F.spark_partition_id())
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with place, from 1 without gaps, in the order of these columns.
 
-    The number's approximate quantiles cut the rows into slices, each numbered by itself and moved up by
-    the counts of those before: no task sees them all.
+    Rows are dealt by ranges of all the columns, so equal values of the first one don't meet in one task;
+    each range is numbered by itself and moved up by the rows of those before. Only rows that are alike in all columns are
+    sure to be together. Which range a row is in is settled once, by a checkpoint, since a sample draws the ranges.
     """
-    cuts = sorted(set(rows.approxQuantile(by, [k / slices for k in range(1, slices)], 0.2 / slices)))
-    sliced = rows.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(by))) if cuts else F.lit(0))
-    counts = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("before"))  # slices rows
-    placed = sliced.withColumn("nth_here", F.row_number().over(Window.partitionBy("slice").orderBy(by, *ties)))
-    return placed.join(F.broadcast(before), "slice").withColumn("place", F.col("before") + F.col("nth_here")).drop("slice", "before", "nth_here")
+    dealt = settled(sliced(rows, *order))
+    counts = dealt.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("before"))  # a row a partition
+    placed = dealt.withColumn("nth_here", F.row_number().over(Window.partitionBy("slice").orderBy(*order)))
+    return placed.join(before, "slice").withColumn("place", F.col("before") + F.col("nth_here")).drop("slice", "before", "nth_here")
 
 
 def acceptable(new: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -89,15 +92,20 @@ def touched_by(conversations: DataFrame, added: DataFrame) -> DataFrame:
     return conversations.join(latest, "id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", "updated_at"))).select(*conversations.columns)
 
 
-def add_messages(messages: DataFrame, conversations: DataFrame, new: DataFrame, high_water: int) -> tuple[DataFrame, DataFrame]:
-    """new: conversation_id, role, content, model_profile, at, nth. Returns both tables; content stays as it is.
+def placed_messages(rows: DataFrame, high_water: int) -> tuple[DataFrame, int]:
+    """Acceptable messages with ids that go on from the highest ever given, and the highest id then.
 
-    Ids go on from the highest ever given, in the order of nth within a batch, ties by the other columns.
+    In the order of nth within a batch, ties by the other columns.
     """
-    rows = acceptable(new, conversations)
-    placed = numbered(rows, "nth", "conversation_id", "at", "role", "content", "model_profile")
-    added = placed.select((F.col("place") + high_water).cast("long").alias("id"), "conversation_id", "role", "content", "model_profile", F.col("at").alias("created_at"))
-    return messages.unionByName(added), touched_by(conversations, rows)
+    placed = numbered(rows.select("nth", "conversation_id", "at", "role", "content", "model_profile"), "nth", "conversation_id", "at", "role", "content", "model_profile")
+    made = placed.select((F.col("place") + high_water).cast("long").alias("id"), "conversation_id", "role", "content", "model_profile", F.col("at").alias("created_at"))
+    return made, high_water + placed.count()
+
+
+def add_messages(messages: DataFrame, conversations: DataFrame, new: DataFrame, high_water: int) -> tuple[DataFrame, DataFrame, int]:
+    """new: conversation_id, role, content, model_profile, at, nth. Returns both tables and the highest id ever given; content stays as it is."""
+    added, top = placed_messages(acceptable(new, conversations), high_water)
+    return messages.unionByName(added), touched_by(conversations, added.withColumnRenamed("created_at", "at")), top
 
 
 def seed(rows: DataFrame, defaults: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:

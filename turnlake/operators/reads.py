@@ -61,13 +61,14 @@ def ordered(*fields: str, group: str = "conversation_id"):
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
 
-def contexts(messages: DataFrame, system: str | None = None) -> DataFrame:
-    """Each conversation's messages in id order as JSON, after the system prompt if there is one."""
-    grouped = messages.groupBy("conversation_id").agg(ordered("id", "role", "content").alias("m"))
+def contexts(messages: DataFrame, system: str | None = None, *key: str) -> DataFrame:
+    """Each conversation's messages (or those of another key) in id order as JSON, after the system prompt if there is one."""
+    key = key or ("conversation_id",)
+    grouped = messages.groupBy(*key).agg(ordered("id", "role", "content").alias("m"))
     plain = F.transform("m", lambda z: F.struct(z["role"].alias("role"), z["content"].alias("content")))
     if system:
         plain = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), plain)
-    return grouped.select("conversation_id", F.to_json(plain).alias("context"))
+    return grouped.select(*key, F.to_json(plain).alias("context"))
 
 
 def titles(messages: DataFrame) -> DataFrame:

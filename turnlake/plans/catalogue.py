@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
 from turnlake.operators import chats as H
+from turnlake.operators import flights as V
 from turnlake.operators import mutations as M
 from turnlake.operators import reads as R
 from turnlake.operators import rules as C
 from turnlake.sources import readers as S
+from turnlake.sources.folders import shared
+from turnlake.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,6 +213,23 @@ def _(spark, d):
     return S.activity(spark, d).groupBy("conversation_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
 
 
+#: A reply to an event takes as many minutes as its value has units; some never end.
+_SQL_SENDS = "(SELECT user_id AS conversation_id, event_id AS id, ts AS began, CASE WHEN event_id % 1300 <> 7 THEN ts + to_microseconds(CAST(floor(abs(value) * 60) AS BIGINT) * 1000000) END AS until FROM events)"
+
+
+@query("single_flight_intervals", f"""
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY began, id) AS i FROM {_SQL_SENDS} x),
+a AS (SELECT conversation_id, i, id, TRUE AS admitted, coalesce(until, TIMESTAMP '9999-12-31') AS free FROM s WHERE i = 1
+      UNION ALL SELECT s.conversation_id, s.i, s.id, s.began >= free, CASE WHEN s.began >= free THEN coalesce(s.until, TIMESTAMP '9999-12-31') ELSE free END FROM a JOIN s ON s.conversation_id = a.conversation_id AND s.i = a.i + 1)
+SELECT id, conversation_id, admitted FROM a""")
+def _(spark, d):
+    t = _table(spark, d, "events")
+    at = F.col("ts").cast("timestamp")
+    until = F.when(F.col("event_id") % 1300 != 7, F.timestamp_micros(F.unix_micros(at) + F.floor(F.abs("value") * 60).cast("long") * 1_000_000))
+    sends = t.select(F.col("user_id").alias("conversation_id"), F.col("event_id").alias("nth"), at.alias("at"), until.alias("until"))
+    return V.admitted(sends).select(F.col("nth").alias("id"), "conversation_id", "admitted")
+
+
 # mutations
 
 _GONE = "o_orderkey % 7 = 3"
@@ -314,8 +334,8 @@ def _(spark, d):
         F.col("l_orderkey").alias("conversation_id"), role.alias("role"), F.concat(F.col("l_partkey").cast("string"), F.lit(" parts ")).alias("content"), F.lit(None).cast("string").alias("model_profile"),
         F.col("l_shipdate").cast("timestamp").alias("at"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("nth"),
     )
-    blank = new.limit(50).withColumns({"role": F.lit("user"), "content": F.lit("\u2003\t")})
-    both, _ = M.add_messages(old, _heads(spark, d).where("id % 3 <> 0"), new.unionByName(blank), 1000)
+    blank = new.where("nth % 97 = 5").withColumns({"role": F.lit("user"), "content": F.lit("\u2003\t")})
+    both, _, _ = M.add_messages(old, _heads(spark, d).where("id % 3 <> 0"), new.unionByName(blank), 1000)
     return both.select("id", "conversation_id", "role", "content", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
@@ -357,7 +377,7 @@ def _(spark, d):
         "conversation_id", text.alias("text"), F.to_timestamp(F.lit("2021-01-01")).alias("at"), k.alias("nth"), F.when(k % 5 == 1, 2).when(k % 5 == 3, 0).alias("stop_at"),
         F.when(k % 7 == 2, "timeout").when(k % 7 == 4, "status").alias("error"), F.lit(503).alias("status"), F.to_timestamp(F.lit("2021-01-02")).alias("replied_at"),
     )
-    deltas = ids.where(k % 13 != 6).select("conversation_id", F.posexplode(F.array(*map(F.lit, ("w0", " w1", " w2", " w3", " w4")))).alias("chunk_index", "delta"))
+    deltas = ids.where(k % 13 != 6).select("conversation_id", k.alias("nth"), F.posexplode(F.array(*map(F.lit, ("w0", " w1", " w2", " w3", " w4")))).alias("chunk_index", "delta"))
     sent = H.send(conversations, old, profiles, sends, deltas, "lorem", "SP", 10**9)
     count = sent.messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
     context = sent.contexts.select("conversation_id", F.size(F.from_json("context", "array<struct<role:string>>")).alias("n_context"))
@@ -365,6 +385,40 @@ def _(spark, d):
     return told.join(count, "conversation_id", "left").join(context, "conversation_id", "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0).cast("long")))
 
 
+_SQL_REPLAYED = """
+WITH r AS (SELECT l_orderkey AS id, arg_max('Line ' || l_partkey, {'n': l_linenumber, 'at': l_shipdate, 'title': 'Line ' || l_partkey}) AS title, max(l_linenumber) AS seq, arg_max(l_shipdate, {'n': l_linenumber, 'at': l_shipdate}) AS moved FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 4 GROUP BY 1),
+m AS (SELECT l_orderkey AS id, count(*) AS n, max(l_linenumber) AS seq, arg_max(l_shipdate, {'n': l_linenumber, 'at': l_shipdate}) AS moved FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <= 4 GROUP BY 1),
+g AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 4 AND l_quantity > 40)
+SELECT o_orderkey AS id, coalesce(r.title, o_orderpriority) AS title, CAST(coalesce(m.n, 0) AS BIGINT) AS n_messages,
+       CASE WHEN m.seq IS NULL AND r.seq IS NULL THEN o_orderdate WHEN coalesce(m.seq, 0) >= coalesce(r.seq, 0) THEN m.moved ELSE r.moved END AS updated_at
+FROM orders LEFT JOIN r ON r.id = o_orderkey LEFT JOIN m ON m.id = o_orderkey WHERE o_orderkey NOT IN (SELECT id FROM g)"""
+
+
+@query("store_replay", _SQL_REPLAYED)
+def _(spark, d):
+    # orders as stored conversations; each line number of lineitem is a commit of renames and one of messages, half way all is compacted, the last commit deletes
+    store = Store(spark, shared(spark, "store"))
+    store.initialize()
+    heads = _heads(spark, d).withColumns({c: F.col(c).cast("string") for c in ("id", "project_id")})
+    at = F.to_timestamp(F.lit("2020-01-01"))
+    projects = heads.select(F.col("project_id").alias("id")).distinct().select("id", F.lit("Customer").alias("name"), at.alias("created_at"), at.alias("updated_at"))
+    store.commit({"projects": projects, "conversations": heads})
+    key, lines = F.col("l_orderkey").cast("string"), _table(spark, d, "lineitem").where("l_linenumber <= 4")
+    moved = F.col("l_shipdate").cast("timestamp")
+    for number in range(1, 5):
+        one = lines.where(F.col("l_linenumber") == number)
+        store.append({"conversations": one.where("l_returnflag = 'R'").select(key.alias("id"), F.concat(F.lit("Line "), F.col("l_partkey").cast("string")).alias("title"), moved.alias("updated_at"))})
+        said = one.where("l_returnflag = 'A'").select(key.alias("conversation_id"), F.lit("user").alias("role"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("content"), F.lit(None).cast("string").alias("model_profile"), moved.alias("at"), F.col("l_orderkey").alias("nth"))
+        store.add_messages(said)
+        if number == 2:
+            store.compact()
+    store.append({"conversations": lines.where("l_linenumber = 4 AND l_quantity > 40").select(key.alias("id"), F.lit(True).alias("gone"))})
+    now = store.manifest()
+    count = store.read("messages", now).groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("n_messages"))
+    told = store.read("conversations", now).join(count, "id", "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0).cast("long")))
+    return told.select(F.col("id").cast("long").alias("id"), "title", "n_messages", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 @query("conversations_of_project", "SELECT o_orderkey AS id, o_orderdate AS updated_at FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY 2 DESC, 1")
 def _(spark, d):
     heads = _heads(spark, d)
@@ -391,9 +445,12 @@ def _(spark, d):
     return R.header(_heads(spark, d), _states(spark))
 
 
-@query("page_open", f"SELECT CAST(r_regionkey AS INTEGER) AS page, id, title, CASE WHEN model_profile IN ('F', 'O') THEN model_profile ELSE 'O' END AS model_profile FROM region, (SELECT * FROM {_SQL_HEADS} x ORDER BY updated_at DESC, id LIMIT 1)")
+@query("page_open", f"""
+SELECT CAST(c_custkey AS BIGINT) AS page, coalesce(id, -c_custkey) AS id, coalesce(title, 'New chat') AS title, CASE WHEN model_profile IN ('F', 'O') THEN model_profile ELSE 'O' END AS model_profile
+FROM customer LEFT JOIN (SELECT o_custkey, x.* FROM {_SQL_HEADS} x JOIN orders ON o_orderkey = id QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY updated_at DESC, id) = 1) ON o_custkey = c_custkey""")
 def _(spark, d):
-    pages = _table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("page"), F.lit(-1).cast("long").alias("new_id"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))
+    k = F.col("c_custkey").cast("long")
+    pages = _table(spark, d, "customer").select(k.alias("page"), F.col("c_custkey").alias("project_id"), (-k).alias("new_id"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))
     return H.opened(_heads(spark, d), _states(spark), pages, "O").select("page", "id", "title", "model_profile")
 
 
@@ -416,16 +473,19 @@ def _(spark, d):
 
 
 @query("delete_with_replacement", """
-SELECT CAST(c_custkey AS BIGINT) AS page, k AS conversation_id, k % 4 <> 1 AS deleted,
-       CASE WHEN k % 4 <> 1 AND k % 2 = 0 THEN (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey * 2 FROM customer WHERE c_custkey * 2 % 4 <> 1) ORDER BY o_orderdate DESC, o_orderkey LIMIT 1)
-            WHEN k % 2 = 0 THEN k ELSE -1 END AS shows
-FROM (SELECT c_custkey, c_custkey * 2 AS k FROM customer)""")
-def _(spark, d):
-    k = F.col("c_custkey") * 2
-    asked = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page"), k.alias("conversation_id"), F.when(k % 2 == 0, k).otherwise(F.lit(-1)).alias("shown"))
-    busy = asked.where("conversation_id % 4 = 1").select("conversation_id")
+WITH r AS (SELECT c_custkey AS page, c_custkey * 2 AS k, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 2 ELSE -1 END AS shown FROM customer),
+o AS (SELECT o_orderkey AS id, o_custkey AS project, o_orderdate AS made FROM orders),
+t AS (SELECT r.*, project, project IS NOT NULL AND k % 3 <> 0 AS deleted FROM r LEFT JOIN o ON id = k),
+l AS (SELECT project, id FROM o WHERE id NOT IN (SELECT k FROM t WHERE deleted) QUALIFY row_number() OVER (PARTITION BY project ORDER BY made DESC, id) = 1),
+n AS (SELECT project, min(-k) AS id FROM t WHERE deleted AND shown = k AND project NOT IN (SELECT project FROM l) GROUP BY project)
+SELECT CAST(page AS BIGINT) AS page, CAST(k AS BIGINT) AS conversation_id, deleted, CAST(CASE WHEN deleted AND shown = k THEN coalesce(l.id, n.id) ELSE shown END AS BIGINT) AS shows
+FROM t LEFT JOIN l ON l.project = t.project LEFT JOIN n ON n.project = t.project""")
+def _(spark, d):
+    k = F.col("c_custkey").cast("long")
+    asked = _table(spark, d, "customer").select(k.alias("page"), (k * 2).alias("conversation_id"), F.when(k % 2 == 0, k * 2).otherwise(F.lit(-1).cast("long")).alias("shown"), (k * -2).alias("new_id"), F.to_timestamp(F.lit("2030-01-01")).alias("at"))
+    busy = asked.where("conversation_id % 3 = 0").select("conversation_id")
     lines = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"))
-    return H.deleted(_heads(spark, d), lines, busy, asked)[2]
+    return H.deleted(_heads(spark, d), lines, busy, asked, "O")[2]
 
 
 @query("change_model", f"SELECT id, 'O' AS new_profile FROM {_SQL_HEADS} x WHERE id % 3 = 0 AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-01-01' AND l_shipdate + INTERVAL 90 DAY > TIMESTAMP '1996-01-01')")
