@@ -3,6 +3,7 @@
 import datetime as dt
 import http.server
 import json
+import os
 import random
 import threading
 
@@ -19,7 +20,7 @@ from turnlake.plans import catalogue
 from turnlake.sources import readers as S
 from turnlake.sources import remote, schemas
 from turnlake.sources.store import Conflict, Store
-from turnlake.streaming import replies
+from turnlake.streaming import activity, replies
 
 SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 T0 = dt.datetime(2024, 1, 1)
@@ -292,6 +293,60 @@ def test_a_null_in_a_profile_list_can_count_as_its_text(spark):
     assert [(r.key, r.error) for r in S.profiles_from_json(raw, null_text=True).orderBy("position").collect()] == [("None", None), ("k", "base_url is no web address")]
 
 
+def test_lists_and_numbers_are_read_as_strictly_as_they_are_written(spark):
+    item = '{"key": "a", "label": "A", "base_url": "http://h", "model": "m", "key": "b"}'
+    raws = [f"[{item}]", f" [{item}] \n", f"[{item}] trailing", f"[{item}]]", f"[{item}]}}", f"[{item}], 1", f"[{item}", item, f"[{item}, 3]", f"[{item}, null]", "[]", "", None, f"[{item}] // x"]
+    got = [r.l for r in spark.createDataFrame([(r,) for r in raws], "json string").select(S.listed_profiles(F.col("json")).alias("l")).collect()]
+    assert [g is not None for g in got] == [True, True] + [False] * 12 and got[0][0].key == "b" and got[0][0].error is None
+
+    def read(kind, x):
+        try:
+            return kind(x)
+        except ValueError:
+            return None
+
+    texts = ["12", " 7 ", "\u20037\n", "+3", "1.5", "0", "-2", "1e2", "1E-2", "abc", "", ".", "1.", ".5", "1_000", "1__0", "_1", "1_", "1_.5", "1._5", "30d", "1f", "0x10", "1e", "1e+", "1e1_0", "3000000000", "--1", "+ 1", "1 2", "inf", "-Infinity", "1e400", "infinit"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", X.number(F.col("x")).alias("n"), X.whole_number(F.col("x")).alias("w")).collect()
+    assert {r.x: (r.n, r.w) for r in rows} == {x: (read(float, x), read(int, x)) for x in texts}
+    assert spark.sql("SELECT ' NaN ' AS x").select(X.positive(X.number(F.col("x"))).alias("p"), X.bounded(X.number(F.col("x")), 0, 2).alias("b")).first().b is None
+
+
+def _fed(spark, folder, batches):
+    """Files of deltas, read one a batch in this order."""
+    (folder / "in").mkdir()
+    for k, rows in enumerate(batches):
+        path = folder / "in" / f"{k}.json"
+        path.write_text("".join(json.dumps(dict(zip(("conversation_id", "message_seq", "chunk_index", "delta", "kind"), r))) + "\n" for r in rows))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("conversation_id string, message_seq long, chunk_index int, delta string, kind string").option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+    query = replies.collected(replies.told(stream), str(folder))
+    query.awaitTermination()
+    got = spark.read.schema("conversation_id string, message_seq long, content string, stopped boolean").parquet(str(folder / "out"))
+    return sorted(map(tuple, got.collect())), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_replies_are_told_once_and_their_state_goes(spark, tmp_path):
+    part = lambda m, i: ("c", m, i, f"{m}.{i} ", "delta")
+    batches = [
+        [part(1, 1), part(2, 0), part(3, 0), part(4, 2), ("c", 5, 0, None, "end")], [part(1, 0), ("c", 1, 2, None, "end"), ("c", 2, 1, None, "stop"), part(4, 0)],
+        [part(2, 1), part(3, 2), ("c", 3, 9, None, "stop"), ("c", 4, 1, None, "stop")], [("c", 2, 3, None, "end"), part(2, 2), ("c", 3, 3, None, "end"), part(3, 1), part(4, 1), ("c", 4, 3, None, "end")],
+    ]
+    got, left = _fed(spark, tmp_path, batches)
+    assert got == [("c", 1, "1.0 1.1 ", False), ("c", 2, "2.0 ", True), ("c", 3, "3.0 3.1 3.2 ", False), ("c", 4, "4.0 ", True), ("c", 5, "", False)]
+    assert left == 0
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.initialize()
+    apply = activity.upsert(store, "feed", "lorem")
+    rows = lambda *x: spark.createDataFrame([(c, at(m)) for c, m in x], "conversation_id string, created_at timestamp")
+    for number, batch in ((0, rows(("a", 5), ("a", 9), ("b", 3))), (1, rows(("a", 2), ("c", 4))), (0, rows(("a", 500))), (1, rows(("a", 501))), (2, rows(("b", 8)))):
+        apply(batch, number)
+    assert sorted((r.id, r.created_at, r.updated_at, r.title) for r in store.read("conversations").collect()) == [("a", at(2), at(9), "New chat"), ("b", at(3), at(8), "New chat"), ("c", at(4), at(4), "New chat")]
+    assert store.manifest()["applied"] == {"feed": 2}
+
+
 def test_a_stream_is_stopped_on_request_only(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = {"conversation_id": "c", "message_seq": 1, "chunk_index": 0, "delta": "x"}
@@ -314,8 +369,9 @@ def test_rules_find_planted_violations(spark):
 
 
 def test_replies_fold_stop_and_read_from_lines(spark):
-    assert R.fold(S.offline_reply(spark), "id").first().content == S.OFFLINE_REPLY
-    assert S.offline_reply(spark).count() == 19
+    asked = spark.createDataFrame([("c", 7)], "conversation_id string, id long")
+    assert R.fold(S.offline_replies(asked), "id").first().content == S.OFFLINE_REPLY
+    assert S.offline_replies(asked).count() == 19
     words = S.reply_words(spark.createDataFrame([("c", 1, "one  two three"), ("c", 2, "  ")], "conversation_id string, id long, content string"))
     cut = R.stopped(words, F.lit(2), "conversation_id", "id").collect()
     assert [(r.id, r.content) for r in cut] == [(1, "one two")]

@@ -53,14 +53,30 @@ def log_line(ts: Column, message: Column) -> Column:
     return F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("] "), message)
 
 
-def positive(x: Column, kind: str) -> Column:
-    """The number in a text if there is one above 0; null otherwise. kind: double or int."""
-    n = x.try_cast(kind)
+_DIGITS = "[0-9](?:_?[0-9])*"
+#: What a text must be to be read as a number, without the white space around it; digits may be grouped by single underscores.
+NUMBER = rf"(?i)^[+-]?(?:inf|infinity|nan|(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)$"
+WHOLE = f"^[+-]?{_DIGITS}$"
+
+
+def number(x: Column) -> Column:
+    """The number that a text is, null if it is none: a grammar decides, as casts read `30d` too, and no `1_000`."""
+    text = strip(x)
+    return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_")).try_cast("double"))
+
+
+def whole_number(x: Column) -> Column:
+    """The whole number that a text is, of up to 38 digits; null if it is none."""
+    text = strip(x)
+    return F.when(text.rlike(WHOLE), F.replace(text, F.lit("_")).try_cast("decimal(38,0)"))
+
+
+def positive(n: Column) -> Column:
+    """A number if it is above 0 (or not a number); null otherwise."""
     return F.when(n > 0, n)
 
 
-def bounded(x: Column, least: float, most: float) -> Column:
-    n = x.try_cast("double")
+def bounded(n: Column, least: float, most: float) -> Column:
     return F.when(n.between(least, most), n)
 
 

@@ -16,6 +16,8 @@ from turnlake.operators import rules as C
 from turnlake.sources import readers as S
 from turnlake.sources.folders import shared
 from turnlake.sources.store import Store
+from turnlake.streaming import activity as A
+from turnlake.streaming import replies as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,9 +191,10 @@ def _(spark, d):
     return m.select("id", X.is_blank(F.col("content")).alias("empty"))
 
 
-@query("offline_reply", "SELECT 'offline' AS conversation_id, CAST(0 AS BIGINT) AS id, 'Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.' AS content")
+@query("offline_reply", f"SELECT conv_id AS conversation_id, count(*) AS id, '{S.OFFLINE_REPLY}' AS content FROM conversations GROUP BY conv_id")
 def _(spark, d):
-    return R.fold(S.offline_reply(spark), "conversation_id", "id")
+    asked = S.messages(spark, d).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("id"))
+    return R.fold(S.offline_replies(asked), "conversation_id", "id")
 
 
 @query("throttled_paints", """
@@ -203,6 +206,38 @@ def _(spark, d):
     return R.paints(S.activity(spark, d), 6 * 3_600_000_000)
 
 
+@query("reply_stream", f"""
+SELECT conversation_id, id, string_agg(delta, '' ORDER BY chunk_index) AS content, id % 2 = 0 AND max(n) > any_value(2 + id % 5) AS stopped
+FROM (SELECT *, count(*) OVER (PARTITION BY conversation_id, id) AS n FROM {_SQL_DELTAS} x) WHERE id % 2 = 1 OR chunk_index < 2 + id % 5 GROUP BY conversation_id, id""")
+def _(spark, d):
+    # the words as files of deltas in no order, with the markers of replies that end and of those that are stopped
+    folder, deltas = shared(spark, "replies"), _deltas(spark, d).withColumnRenamed("id", "message_seq")
+    stops = deltas.where("message_seq % 2 = 0").select("conversation_id", "message_seq").distinct().withColumn("chunk_index", (2 + F.col("message_seq") % 5).cast("int"))
+    marked = P.with_markers(deltas, stops)
+    marked.repartition(6, F.xxhash64("conversation_id", "chunk_index", "kind")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    P.collected(P.told(stream), folder).awaitTermination()
+    return spark.read.schema("conversation_id long, message_seq long, content string, stopped boolean").parquet(f"{folder}/out").withColumnRenamed("message_seq", "id")
+
+
+@query("activity_stream", "SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS updated_at, min(ts) AS created_at FROM events GROUP BY user_id")
+def _(spark, d):
+    # events as ten files, a batch each; the fourth batch comes twice
+    folder, store = shared(spark, "activity"), Store(spark, shared(spark, "store"))
+    store.initialize()
+    S.activity(spark, d).select("conversation_id", "created_at").repartition(10).write.parquet(f"{folder}/in")
+    apply = A.upsert(store, "activity", "lorem")
+    stream = spark.readStream.schema("conversation_id long, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def each(batch: DataFrame, number: int) -> None:
+        apply(batch, number)
+        if number == 3:
+            apply(batch, number)
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read("conversations").select("id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("updated_at", "created_at")))
+
+
 @query("first_message", f"SELECT conversation_id, min(id) AS id FROM {SQL_CV} m GROUP BY conversation_id")
 def _(spark, d):
     return S.messages(spark, d).groupBy("conversation_id").agg(F.min("id").alias("id"))
@@ -556,46 +591,57 @@ def _(spark, d):
 
 # profiles, settings, streams of lines, cluster values
 
-LISTED = """[{"key": " small ", "label": "Small", "base_url": "http://a/v1//", "model": "s"}, {"key": "large", "label": "Large", "base_url": "https://b/v1", "model": "l", "extra": 1},
-{"key": "", "label": "None", "base_url": "http://c", "model": "m"}, {"key": "odd", "label": "Odd", "base_url": "ftp://c", "model": "m"}, {"key": "bare", "label": "Bare", "model": "m"}, {"key": "small", "label": "Again", "base_url": "http://d/", "model": "m"}]"""
-_SQL_LISTED = f"""(SELECT i - 1 AS position, trim(p ->> 'key') AS key, p ->> 'label' AS label, regexp_replace(p ->> 'base_url', '/+$', '') AS base_url, p ->> 'model' AS model
-FROM (SELECT unnest(range(1, 7)) AS i, json_extract('{LISTED}', '$[' || (i - 1) || ']') AS p))"""
+#: Each nation's suppliers as the items of a profile list, in their order: some without an address or with a bad one, keys that come again.
+_SQL_LISTED = """(SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS position, CASE WHEN s_suppkey % 9 = 4 THEN '' ELSE 'k' || s_suppkey % 11 END AS key, s_name AS label,
+  CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://h' ELSE 'http://h/' || s_suppkey END AS base_url, 'm' || s_suppkey % 3 AS model FROM supplier)"""
 
 
-def _listed(spark):
-    return S.profiles_from_json(spark.createDataFrame([(LISTED,)], "json string"))
+def _listed(spark, d):
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    key = F.when(k % 9 == 4, F.lit(" \u2003")).otherwise(F.concat(F.lit(" k"), text(k % 11), F.lit("\n")))
+    url = F.when(k % 5 == 1, F.lit("ftp://h")).when(k % 5 > 1, F.concat(F.lit("http://h/"), text(k), F.lit("//")))
+    item = F.struct(k.alias("nth"), key.alias("key"), F.col("s_name").alias("label"), url.alias("base_url"), F.concat(F.lit("m"), text(k % 3)).alias("model"))
+    lists = _table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return S.profiles_from_json(lists.select("nation", F.to_json("items").alias("json")))
 
 
-@query("profiles_parsed", f"SELECT position::INTEGER AS position, key, label, 'vllm' AS backend, base_url, model FROM {_SQL_LISTED} x UNION ALL SELECT -1, 'lorem', 'Lorem Ipsum (offline)', 'lorem', NULL, NULL")
+@query("profiles_parsed", f"SELECT nation, position::INTEGER AS position, key, label, 'vllm' AS backend, base_url, model FROM {_SQL_LISTED} x UNION ALL SELECT DISTINCT s_nationkey, -1, 'lorem', 'Lorem Ipsum (offline)', 'lorem', NULL, NULL FROM supplier")
 def _(spark, d):
-    return S.with_offline(_listed(spark)).drop("error")
+    return S.with_offline(_listed(spark, d), "nation").drop("error")
 
 
 @query("profile_errors", f"""
-SELECT position::INTEGER AS position, error FROM (SELECT position, CASE WHEN base_url IS NULL THEN 'no base_url' WHEN key = '' THEN 'blank key'
+SELECT nation, position::INTEGER AS position, error FROM (SELECT nation, position, CASE WHEN key = '' THEN 'blank key' WHEN base_url IS NULL THEN 'no base_url'
   WHEN NOT (starts_with(base_url, 'http://') OR starts_with(base_url, 'https://')) THEN 'base_url is no web address' END AS error FROM {_SQL_LISTED} x) WHERE error IS NOT NULL""")
 def _(spark, d):
-    return _listed(spark).where("error IS NOT NULL").select("position", "error")
+    return _listed(spark, d).where("error IS NOT NULL").select("nation", "position", "error")
 
 
-@query("duplicate_profile_keys", f"SELECT key, count(*) AS n FROM {_SQL_LISTED} x GROUP BY key HAVING count(*) > 1")
+@query("duplicate_profile_keys", f"SELECT nation, key, count(*) AS n FROM {_SQL_LISTED} x GROUP BY nation, key HAVING count(*) > 1")
 def _(spark, d):
-    return S.duplicate_keys(_listed(spark))
+    return S.duplicate_keys(_listed(spark, d), "nation")
 
 
-@query("profile_options", "SELECT 'lorem' AS key, 'Lorem Ipsum (offline)' AS label UNION ALL SELECT 'base', 'Base model' UNION ALL SELECT 'tuned', 'Tuned model'")
+@query("profile_options", f"SELECT nation, 'k' || position AS key, label FROM {_SQL_LISTED} x")
 def _(spark, d):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PROFILES)], "position int, key string, label string")
-    return S.profile_options(rows).select(F.explode("options").alias("key", "label"))
+    rows = _listed(spark, d).withColumn("key", F.concat(F.lit("k"), F.col("position").cast("string")))
+    return S.profile_options(rows, "nation").select("nation", F.explode("options").alias("key", "label"))
 
 
-_NUMBERS = ["12", " 7 ", "+3", "1.5", "0", "-2", "1e2", "abc", "", "2.0", "2.1"]
+#: Texts that are numbers or nearly: what comes before an order's customer, and after it.
+_NUMBERS = [("", ""), (" ", "\u2003"), ("+", ""), ("", ".5"), ("0.", ""), ("-", ""), ("", "e-2"), ("x", ""), ("1_", ""), ("1__", ""), ("", "d"), ("", "f"), ("_", ""), (".", "E1"), ("", "."), ("1 ", ""), ("0000000000000000000000", ""), ("30000000", "")]
+_SQL_NUMBERS = f"(SELECT o_orderkey AS id, CASE o_orderkey % {len(_NUMBERS)} " + " ".join(f"WHEN {i} THEN '{a}' || o_custkey || '{b}'" for i, (a, b) in enumerate(_NUMBERS)) + f" END AS x, regexp_replace(x, '^{WS}|{WS}$', '', 'g') AS t FROM orders)"
 
 
-@query("numeric_settings", "SELECT x, CASE WHEN TRY_CAST(trim(x) AS DOUBLE) > 0 THEN TRY_CAST(trim(x) AS DOUBLE) END AS above_zero, CASE WHEN TRY_CAST(trim(x) AS DOUBLE) BETWEEN 0 AND 2 THEN TRY_CAST(trim(x) AS DOUBLE) END AS bounded FROM (VALUES " + ", ".join(f"('{x}')" for x in _NUMBERS) + ") v(x)")
+@query("numeric_settings", f"""
+SELECT id, x, CASE WHEN n > 0 THEN n END AS above_zero, CASE WHEN n BETWEEN 0 AND 2 THEN n END AS bounded, CAST(CASE WHEN regexp_matches(t, '{X.WHOLE}') THEN replace(t, '_', '') END AS BIGINT) AS whole
+FROM (SELECT *, CAST(CASE WHEN regexp_matches(t, '{X.NUMBER}') THEN replace(t, '_', '') END AS DOUBLE) AS n FROM {_SQL_NUMBERS} v)""")
 def _(spark, d):
-    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "x string")
-    return rows.select("x", X.positive(F.col("x"), "double").alias("above_zero"), X.bounded(F.col("x"), 0.0, 2.0).alias("bounded"))
+    made = [F.concat(F.lit(a), F.col("o_custkey").cast("string"), F.lit(b)) for a, b in _NUMBERS]
+    rows = _ol(spark, d).select(F.col("o_orderkey").alias("id"), F.get(F.array(*made), F.col("o_orderkey") % len(made)).alias("x"))
+    n = X.number(F.col("x"))
+    return rows.select("id", "x", X.positive(n).alias("above_zero"), X.bounded(n, 0.0, 2.0).alias("bounded"), X.whole_number(F.col("x")).cast("long").alias("whole"))
 
 
 @query("defaulted_settings", "SELECT event_id AS id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type END, ''), 'default') AS value FROM events")
@@ -665,17 +711,19 @@ _SQL_ENVS = "(VALUES " + ", ".join("(" + ", ".join([str(i), *("'" + e[k] + "'" i
 WITH n AS (
   SELECT nth, trim(coalesce(chat, vllm, 'lorem')) AS default_profile, coalesce(key, 'default') AS key,
          CASE WHEN TRY_CAST(trim(coalesce(timeout, '120')) AS DOUBLE) > 0 THEN TRY_CAST(trim(coalesce(timeout, '120')) AS DOUBLE) END AS timeout,
-         CASE WHEN regexp_matches(coalesce(tokens, '1024'), '^[0-9]+$') THEN CAST(coalesce(tokens, '1024') AS INTEGER) END AS max_tokens,
+         CASE WHEN regexp_matches(coalesce(tokens, '1024'), '^[0-9]+$') THEN CAST(coalesce(tokens, '1024') AS BIGINT) END AS max_tokens,
          CASE WHEN CAST(coalesce(temperature, '0.2') AS DOUBLE) BETWEEN 0 AND 2 THEN CAST(coalesce(temperature, '0.2') AS DOUBLE) END AS temperature,
          coalesce(api, 'not-needed') AS api_key, length(trim(coalesce(prompt, '{S.DEFAULTS["VLLM_SYSTEM_PROMPT"]}'))) AS prompt_chars, nullif(path, '') AS database
   FROM {_SQL_ENVS})
-SELECT CAST(nth AS INTEGER) AS nth, default_profile, timeout, max_tokens, temperature, api_key, CAST(prompt_chars AS INTEGER) AS prompt_chars, database,
+SELECT s_suppkey AS id, default_profile, timeout, max_tokens, temperature, api_key, CAST(prompt_chars AS INTEGER) AS prompt_chars, database,
        CASE WHEN key = 'lorem' THEN 'a profile key comes twice' WHEN default_profile NOT IN ('lorem', key) THEN 'the default profile is not a configured one'
             WHEN timeout IS NULL THEN 'timeout is out of range' WHEN max_tokens IS NULL THEN 'max_tokens is out of range' WHEN temperature IS NULL THEN 'temperature is out of range' END AS error
-FROM n""")
+FROM n JOIN supplier ON nth = s_suppkey % {len(_ENVS)}""")
 def _(spark, d):
-    found = S.settings_of(spark.createDataFrame(list(enumerate(_ENVS)), "nth int, env map<string,string>"))
-    return found.select("nth", "default_profile", "timeout", "max_tokens", "temperature", "api_key", F.length("system_prompt").alias("prompt_chars"), "database", "error")
+    # each supplier's server has one of these environments
+    envs = spark.createDataFrame(list(enumerate(_ENVS)), "nth int, env map<string,string>")
+    servers = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % len(_ENVS)).cast("int").alias("nth")).join(envs, "nth")
+    return S.settings_of(servers).select("id", "default_profile", "timeout", F.col("max_tokens").cast("long").alias("max_tokens"), "temperature", "api_key", F.length("system_prompt").alias("prompt_chars"), "database", "error")
 
 
 @query("preset_override", "SELECT p_partkey AS id, coalesce(nullif(CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_size::VARCHAR END, ''), CASE p_size % 2 WHEN 0 THEN '4096' ELSE '32768' END) AS max_len FROM part")

@@ -32,15 +32,29 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("event_id").alias("id"), F.col("user_id").alias("conversation_id"), F.col("ts").cast("timestamp").alias("created_at"), "props")
 
 
+def json_list(raw: Column) -> Column:
+    """The objects of a JSON list as maps; null where the text is anything else, has more after the list, or has other items.
+
+    Parsers stop at the end of the list, so it is read inside a list and inside an object: what follows it
+    spoils one of these.
+    """
+    text = X.strip(raw)
+    alone = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & F.get_json_object(F.concat(F.lit('{"a":'), text, F.lit("}")), "$.a").isNotNull()
+    items = F.when(text.startswith("[") & alone, F.from_json(text, "array<map<string,string>>"))
+    return F.when(~F.exists(items, lambda m: m.isNull()), items)
+
+
 def listed_profiles(raw: Column, null_text: bool = False) -> Column:
     """The profiles of a JSON list in order, as structs with position and error; null where it isn't a list of any.
 
-    JSON null counts as missing, or with null_text as the text None.
+    Of a key that an item has twice the last counts. JSON null counts as missing, or with null_text as the text None.
     """
 
     def item(p: Column, i: Column) -> Column:
         def field(c: str) -> Column:
-            value = F.coalesce(p[c], F.when(F.map_contains_key(p, c), F.lit("None"))) if null_text else p[c]
+            # the last of the item's entries of this name: (value) or nothing
+            found = F.try_element_at(F.filter(F.map_entries(p), lambda e: e["key"] == c), F.lit(-1))
+            value = F.coalesce(found["value"], F.when(found.isNotNull(), F.lit("None"))) if null_text else found["value"]
             return X.without_slashes(value) if c == "base_url" else X.strip(value)
 
         made = {c: field(c) for c in ("key", "label", "base_url", "model")}
@@ -48,20 +62,21 @@ def listed_profiles(raw: Column, null_text: bool = False) -> Column:
             made["key"].alias("key"), made["label"].alias("label"), F.lit("vllm").alias("backend"), made["base_url"].alias("base_url"), made["model"].alias("model"), i.alias("position"), profile_error(made).alias("error")
         )
 
-    items = F.when(X.strip(raw).startswith("["), F.from_json(raw, "array<map<string,string>>"))
+    items = json_list(raw)
     return F.when(F.size(items) > 0, F.transform(items, item))
 
 
 def profiles_from_json(raw: DataFrame, null_text: bool = False) -> DataFrame:
-    """From raw (json): key, label, backend, base_url, model, position and error for each listed profile.
+    """From raw (json, and columns that are kept): key, label, backend, base_url, model, position and error for each listed profile.
 
     A list that can't be read gives one row with an error.
     """
-    listed = raw.select(listed_profiles(F.col("json"), null_text).alias("items"))
+    kept = [c for c in raw.columns if c != "json"]
+    listed = raw.select(*kept, listed_profiles(F.col("json"), null_text).alias("items"))
     bad = listed.where(F.col("items").isNull()).select(
-        *(F.lit(None).cast("string").alias(c) for c in ("key", "label", "backend", "base_url", "model")), F.lit(None).cast("int").alias("position"), F.lit(NO_LIST).alias("error")
+        *kept, *(F.lit(None).cast("string").alias(c) for c in ("key", "label", "backend", "base_url", "model")), F.lit(None).cast("int").alias("position"), F.lit(NO_LIST).alias("error")
     )
-    return listed.select(F.explode("items").alias("p")).select("p.*").unionByName(bad)
+    return listed.select(*kept, F.explode("items").alias("p")).select(*kept, "p.*").unionByName(bad)
 
 
 NO_LIST = "the profile list holds no items"
@@ -76,19 +91,19 @@ def profile_error(fields: Mapping[str, Column]) -> Column:
     return F.coalesce(wrong, F.when(~scheme, F.lit("base_url is no web address")))
 
 
-def with_offline(profiles: DataFrame) -> DataFrame:
-    """The offline profile first."""
-    spark = profiles.sparkSession
-    first = spark.createDataFrame([(*OFFLINE, -1, None)], "key string, label string, backend string, base_url string, model string, position int, error string")
-    return first.unionByName(profiles)
+def with_offline(profiles: DataFrame, *by: str) -> DataFrame:
+    """The offline profile first, in each list that by tells apart."""
+    offline = [F.lit(v).cast("string").alias(c) for c, v in zip(("key", "label", "backend", "base_url", "model"), OFFLINE)]
+    lists = profiles.select(*by).distinct() if by else profiles.sparkSession.range(1).select()
+    return lists.select(*by, *offline, F.lit(-1).alias("position"), F.lit(None).cast("string").alias("error")).unionByName(profiles)
 
 
-def duplicate_keys(profiles: DataFrame) -> DataFrame:
-    return profiles.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def duplicate_keys(profiles: DataFrame, *by: str) -> DataFrame:
+    return profiles.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def profile_options(profiles: DataFrame) -> DataFrame:
-    return profiles.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("position", "key", "label"))), lambda p: F.struct(p["key"], p["label"]))).alias("options"))
+def profile_options(profiles: DataFrame, *by: str) -> DataFrame:
+    return profiles.groupBy(*by).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("position", "key", "label"))), lambda p: F.struct(p["key"], p["label"]))).alias("options"))
 
 
 def settings_of(environs: DataFrame) -> DataFrame:
@@ -112,7 +127,7 @@ def settings_of(environs: DataFrame) -> DataFrame:
         *environs.columns,
         F.concat(offline, F.coalesce("listed", F.array())).alias("profiles"), F.col("listed").isNull().alias("unread"),
         X.strip(X.present(e, "CHAT_DEFAULT_PROFILE", "VLLM_DEFAULT_PROFILE", default=OFFLINE[0])).alias("default_profile"),
-        X.positive(get("VLLM_TIMEOUT_SECONDS"), "double").alias("timeout"), X.positive(get("VLLM_MAX_TOKENS"), "int").alias("max_tokens"), X.bounded(get("VLLM_TEMPERATURE"), 0.0, 2.0).alias("temperature"),
+        X.positive(X.number(get("VLLM_TIMEOUT_SECONDS"))).alias("timeout"), X.positive(X.whole_number(get("VLLM_MAX_TOKENS"))).alias("max_tokens"), X.bounded(X.number(get("VLLM_TEMPERATURE")), 0.0, 2.0).alias("temperature"),
         get("VLLM_API_KEY").alias("api_key"), X.strip(get("VLLM_SYSTEM_PROMPT")).alias("system_prompt"), F.nullif(e["CHAT_DB_PATH"], F.lit("")).alias("database"),
     )
     keys = F.transform("profiles", lambda p: p["key"])
@@ -150,8 +165,9 @@ def reply_words(replies: DataFrame) -> DataFrame:
     return split.select("conversation_id", "id", "chunk_index", F.when(F.col("chunk_index") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), "word")).alias("delta"))
 
 
-def offline_reply(spark: SparkSession) -> DataFrame:
-    return reply_words(spark.range(1).select(F.lit("offline").alias("conversation_id"), "id", F.lit(OFFLINE_REPLY).alias("content")))
+def offline_replies(asked: DataFrame) -> DataFrame:
+    """The offline profile's reply to each of asked (conversation_id, id), word by word."""
+    return reply_words(asked.select("conversation_id", "id", F.lit(OFFLINE_REPLY).alias("content")))
 
 
 def devices(spark: SparkSession, path: str) -> DataFrame:

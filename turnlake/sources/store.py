@@ -3,7 +3,8 @@
 A commit writes its files to a folder of its own and then makes them current by putting the next
 manifest in place, if none is there: of two writers that started from one version the later one fails, and
 nothing that was committed is touched. The manifest names, for each table, its base and the runs since,
-each with its sequence number, and carries the highest message id ever given.
+each with its sequence number, and carries the highest message id ever given
+and the last batch of each stream that was applied.
 
 A run holds new rows, patches (columns that are null don't change) and tombstones, by key. Reading a
 table joins its base with the runs folded by key, so what is shuffled, or broadcast where the planner finds it small, is what
@@ -80,16 +81,17 @@ class Store:
         except Conflict:
             return self.manifest()
 
-    def _written(self, df: DataFrame, name: str, folder: str) -> str:
+    def _written(self, df: DataFrame, name: str, folder: str, ranged: bool = True) -> str:
+        """Files sorted by what reads ask for; a base's are dealt by ranges too, a run's stay where their rows are."""
         if by := SORTED.get(name):
-            df = df.repartitionByRange(by, "id").sortWithinPartitions(by, "id")
+            df = (df.repartitionByRange(by, "id") if ranged else df).sortWithinPartitions(by, "id")
         df.write.parquet(f"{self.root}/{folder}/{name}")
         return f"{folder}/{name}"
 
-    def _put(self, now: dict, tables: dict, high_water: int | None, folder: str) -> dict:
+    def _put(self, now: dict, tables: dict, high_water: int | None, folder: str, applied: dict | None = None) -> dict:
         """Makes these tables current as the version after now, unless another has."""
         version = now["version"] + 1
-        new = {"schema_version": S.SCHEMA_VERSION, "version": version, "tables": now["tables"] | tables, "high_water": max(now["high_water"], high_water or 0)}
+        new = {"schema_version": S.SCHEMA_VERSION, "version": version, "tables": now["tables"] | tables, "high_water": max(now["high_water"], high_water or 0), "applied": now["applied"] | (applied or {})}
         draft, final = self._path(f"manifests/{uuid.uuid4().hex}.draft"), self._path(f"manifests/{version:012d}.json")
         out = self.fs.create(draft, False)
         out.write(bytearray(json.dumps(new).encode()))
@@ -106,7 +108,7 @@ class Store:
         return new
 
     def _since(self, since: int | None) -> dict:
-        now = self.manifest() or {"version": 0, "tables": {}, "high_water": 0}
+        now = self.manifest() or {"version": 0, "tables": {}, "high_water": 0, "applied": {}}
         if since is not None and since != now["version"]:
             raise Conflict(f"version {now['version']} was written since version {since}")
         return now
@@ -116,18 +118,21 @@ class Store:
         now, folder = self._since(since), f"data/{uuid.uuid4().hex}"
         return self._put(now, {n: {"base": self._written(df, n, folder), "runs": []} for n, df in tables.items()}, high_water, folder)
 
-    def append(self, changes: dict[str, DataFrame], high_water: int | None = None, since: int | None = None) -> dict:
-        """Changes by table: id, some of its columns, and gone (a tombstone) where given. New rows have all columns."""
+    def append(self, changes: dict[str, DataFrame], high_water: int | None = None, since: int | None = None, applied: dict[str, int] | None = None) -> dict:
+        """Changes by table: id, some of its columns, and gone (a tombstone) where given. New rows have all columns.
+
+        applied names the batches of streams that these changes are.
+        """
         now, folder = self._since(since), f"data/{uuid.uuid4().hex}"
         tables = {}
         for name, df in changes.items():
             has = set(df.columns)
             row = [F.col(f.name).cast(f.dataType) if f.name in has else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]]
             gone = F.coalesce("gone", F.lit(False)) if "gone" in has else F.lit(False)
-            run = {"path": self._written(df.select(*row, gone.alias("gone")), name, folder), "seq": now["version"] + 1}
+            run = {"path": self._written(df.select(*row, gone.alias("gone")), name, folder, ranged=False), "seq": now["version"] + 1}
             old = now["tables"][name]
             tables[name] = {"base": old["base"], "runs": [*old["runs"], run]}
-        return self._put(now, tables, high_water, folder)
+        return self._put(now, tables, high_water, folder, applied)
 
     def add_messages(self, new: DataFrame, since: int | None = None) -> dict:
         """Messages (conversation_id, role, content, model_profile, at, nth) with ids that go on from the highest ever given; their conversations move up."""

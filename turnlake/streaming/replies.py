@@ -1,12 +1,20 @@
-"""Structured Streaming twins of the reply fold and of the latest activity."""
+"""Replies that arrive as a stream of deltas: state by reply, which goes when the reply has ended.
+
+A reply's deltas are kept in a list until its marker has come: `stop` with the chunk at which it was
+stopped, or `end` with the number of its chunks. They may come in any order and in any batches; a reply
+is told once, when all that belongs to it is there, and its state is dropped when all its chunks
+were seen. What is kept thus grows with the replies that run at a time, not with those that ever ran.
+"""
 
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from turnlake.operators.reads import fold, heads
 from turnlake.sources.schemas import DELTAS
@@ -17,6 +25,71 @@ def deltas(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(DELTAS).json(path)
 
 
+class Reply(StatefulProcessor):
+    """Deltas of one reply (chunk_index, delta, kind) to its text, told once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getListState("parts", "chunk int, delta string")
+        # how many chunks were seen; at which it was stopped, how many it has (-1: not known yet), whether it was told
+        self.state = handle.getValueState("state", "seen int, stop int, chunks int, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        seen, stop, chunks, told = self.state.get() if self.state.exists() else (0, -1, -1, False)
+        new = []
+        for pdf in rows:
+            for chunk, delta, kind in zip(pdf["chunk_index"].tolist(), pdf["delta"].tolist(), pdf["kind"].tolist()):
+                if kind == "stop":
+                    stop = chunk
+                elif kind == "end":
+                    chunks = chunk
+                else:
+                    new.append((chunk, delta))
+        seen += len(new)
+        if not told and new:
+            self.parts.appendList(new)
+        wanted = stop if 0 <= stop and (chunks < 0 or stop < chunks) else chunks
+        if wanted >= 0 and not told:
+            had = sorted(p for p in self.parts.get() if p[0] < wanted) if self.parts.exists() else []
+            if len(had) == wanted:
+                told = True
+                self.parts.clear()
+                yield pd.DataFrame({"conversation_id": [key[0]], "message_seq": [key[1]], "content": ["".join(d for _, d in had)], "stopped": [wanted != chunks]})
+        if told and seen == chunks:
+            self.state.clear()
+        else:
+            self.state.update((seen, stop, chunks, told))
+
+    def close(self) -> None:
+        pass
+
+
+def told(stream: DataFrame) -> DataFrame:
+    """conversation_id, message_seq, content, stopped of each reply, from deltas (conversation_id, message_seq, chunk_index, delta, kind)."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    return stream.groupBy("conversation_id", "message_seq").transformWithStateInPandas(
+        Reply(), f"conversation_id {kinds['conversation_id']}, message_seq {kinds['message_seq']}, content string, stopped boolean", "Append", "none"
+    )
+
+
+def with_markers(deltas: DataFrame, stop_at: DataFrame | None = None) -> DataFrame:
+    """deltas (conversation_id, message_seq, chunk_index, delta) with the markers of their replies; stop_at: conversation_id, message_seq, chunk_index."""
+    ends = deltas.groupBy("conversation_id", "message_seq").agg((F.max("chunk_index") + 1).alias("chunk_index"))
+    none = F.lit(None).cast("string").alias("delta")
+    both = deltas.withColumn("kind", F.lit("delta")).unionByName(ends.select("*", none, F.lit("end").alias("kind")))
+    return both if stop_at is None else both.unionByName(stop_at.select("conversation_id", "message_seq", "chunk_index", none, F.lit("stop").alias("kind")))
+
+
+def collected(stream: DataFrame, folder: str) -> StreamingQuery:
+    """Runs what is there into Parquet files of a shared folder, each reply once; state lies in RocksDB and its checkpoint in that folder."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def folded(stream: DataFrame) -> DataFrame:
     """The text received so far of each reply; a finished and a partial one look alike."""
     return fold(stream, "conversation_id", "message_seq")
