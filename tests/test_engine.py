@@ -382,6 +382,13 @@ def test_replies_fold_stop_and_read_from_lines(spark):
     assert [r.delta for r in S.event_stream_deltas(frame).orderBy("line_no").collect()] == ["Rye is ", "a grain"]
 
 
+def test_cutting_the_text_at_the_ends_gives_what_is_painted(spark):
+    rows = spark.createDataFrame([("c", 1, "Rye "), ("c", 3, ""), ("c", 2, "😀 is"), ("d", 1, "x")], "conversation_id string, id long, content string")
+    whole = R.fold(rows.withColumnRenamed("content", "delta"), "conversation_id", order="id")
+    cut = R.ends(rows).join(whole, "conversation_id").select("conversation_id", "id", F.col("content").substr(F.lit(1), F.col("end").cast("int")).alias("painted"))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, R.running(rows).collect()))
+
+
 def test_paints_wait_for_the_gap_since_the_last_paint(spark):
     times = [0, 10, 39, 40, 41, 79, 80, 200]
     rows = spark.createDataFrame([("c", T0 + dt.timedelta(milliseconds=t)) for t in times], "conversation_id string, created_at timestamp")

@@ -94,6 +94,12 @@ def running(messages: DataFrame) -> DataFrame:
     return messages.select("conversation_id", "id", F.array_join(F.collect_list("content").over(w), "").alias("painted"))
 
 
+def ends(messages: DataFrame) -> DataFrame:
+    """Where in its conversation's text each part ends: the painted texts without the square, as cutting the text there gives them."""
+    w = Window.partitionBy("conversation_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    return messages.select("conversation_id", "id", F.sum(F.length("content").cast("long")).over(w).alias("end"))
+
+
 def paints(activity: DataFrame, gap_micros: int) -> DataFrame:
     """How often a display repaints that waits for the gap since its last paint."""
     times = activity.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.unix_micros("created_at"))).alias("ts"))

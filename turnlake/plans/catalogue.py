@@ -185,6 +185,11 @@ def _(spark, d):
     return R.running(S.messages(spark, d))
 
 
+@query("reply_running_ends", f"SELECT conversation_id, id, CAST(sum(length(content)) OVER (PARTITION BY conversation_id ORDER BY id) AS BIGINT) AS \"end\" FROM {SQL_CV} m")
+def _(spark, d):
+    return R.ends(S.messages(spark, d))
+
+
 @query("empty_replies", f"SELECT id, {SQL_STRIP} = '' AS empty FROM (SELECT id, CASE WHEN turn % 4 = 3 THEN chr(8195) || chr(10) ELSE content END AS content FROM {SQL_CV} m)")
 def _(spark, d):
     m = S.messages(spark, d).withColumn("content", F.when(F.col("turn") % 4 == 3, F.lit(" \n")).otherwise(F.col("content")))
