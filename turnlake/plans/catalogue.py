@@ -459,6 +459,28 @@ def _(spark, d):
     return told.select(F.col("id").cast("long").alias("id"), "title", "n_messages", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
+@query("store_lookup", f"""
+WITH k AS (SELECT * FROM {SQL_CV} m WHERE conversation_id % 7 <> 3)
+SELECT id, CAST(conversation_id AS VARCHAR) AS conversation_id, role, content FROM k
+WHERE id IN (SELECT max(id) FROM k GROUP BY conversation_id % 20) OR conversation_id = (SELECT min(conversation_id) FROM k)""")
+def _(spark, d):
+    # all messages stored, the conversations in a later run and some of these deleted; then single messages by id and one conversation by its own
+    store, at = Store(spark, shared(spark, "store")), F.to_timestamp(F.lit("2020-01-01"))
+    store.initialize()
+    told = S.messages(spark, d)
+    text = F.col("conversation_id").cast("string")
+    store.commit({"messages": told.select("id", text.alias("conversation_id"), "role", "content", F.lit(None).cast("string").alias("model_profile"), at.alias("created_at"))})
+    ids = told.select("conversation_id").distinct()
+    store.append({"conversations": ids.select(text.alias("id"), F.lit("default").alias("project_id"), F.lit("New chat").alias("title"), F.lit("lorem").alias("model_profile"), at.alias("created_at"), at.alias("updated_at"))})
+    store.index("messages", "conversations")
+    store.append({"conversations": ids.where("conversation_id % 7 = 3").select(text.alias("id"), F.lit(True).alias("gone"))})
+    live = told.where("conversation_id % 7 <> 3")
+    keys = [r.id for r in live.groupBy(F.col("conversation_id") % 20).agg(F.max("id").alias("id")).collect()]  # twenty at most
+    first = live.agg(F.min("conversation_id").cast("string")).first()[0]
+    both = store.find("messages", keys).unionByName(store.find("messages", [first] if first else [], "conversation_id"))
+    return both.select("id", "conversation_id", "role", "content").distinct()
+
+
 @query("conversations_of_project", "SELECT o_orderkey AS id, o_orderdate AS updated_at FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY 2 DESC, 1")
 def _(spark, d):
     heads = _heads(spark, d)

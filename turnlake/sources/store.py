@@ -12,18 +12,23 @@ changed. Of several patches the one with the highest sequence number, then the l
 tombstone holds for good, as ids are never given twice. What hangs on a deleted row goes with it by an anti join, so
 deleting a conversation writes one row, whatever the number of its messages. compact() makes the
 merged table the new base.
+
+index() adds to each folder of files an index of a column's values, once; find() asks it first and opens only the files that
+may hold a key. A folder without one is read whole, so a lookup right after a commit is right too.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.operators import mutations as M
+from turnlake.sources import files
 from turnlake.sources import schemas as S
 
 #: What a table's files are sorted by, so that reads of one conversation or project skip files and row groups.
@@ -141,8 +146,57 @@ class Store:
         moved = rows.groupBy(F.col("conversation_id").alias("id")).agg(F.max("created_at").alias("updated_at"))
         return self.append({"messages": rows, "conversations": moved}, top, since=now["version"])
 
-    def _runs(self, name: str, now: dict) -> DataFrame | None:
-        runs = [self.spark.read.schema(_run_schema(name)).parquet(f"{self.root}/{r['path']}").withColumn("seq", F.lit(r["seq"])) for r in now["tables"][name]["runs"]]
+    def _part(self, name: str, path: str, schema: T.StructType, only: dict) -> DataFrame:
+        """The rows of one folder; of those that only asks for, by its index where it has one."""
+        if name not in only:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
+        column, keys = only[name]
+        found = self.holding(path, column, keys)
+        rows = self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+        wanted = F.col(column).isin(*keys)
+        return rows.where(wanted | F.col("gone") if column != "id" and "gone" in schema.names else wanted)
+
+    def holding(self, path: str, column: str, keys: Sequence) -> list[str]:
+        """What of a folder has to be opened to find rows with these keys: files, or all of it where it isn't indexed."""
+        if not self.fs.exists(self._path(f"{path}-by-{column}")):
+            return [f"{self.root}/{path}"]
+        return [r.file for r in files.holding(self.spark.read.parquet(f"{self.root}/{path}-by-{column}"), keys).collect()]
+
+    def index(self, *names: str) -> None:
+        """Indexes what the current version has and no index yet: ids, and of a base what it is sorted by."""
+        now = self.manifest()
+        for name in names or TABLES:
+            paths = [(now["tables"][name]["base"], True), *((r["path"], False) for r in now["tables"][name]["runs"])]
+            for path, base in paths:
+                # a run's tombstones have ids only, so a run is indexed by these
+                for column in ["id", SORTED[name]] if base and name in SORTED else ["id"]:
+                    if self.fs.exists(self._path(f"{path}-by-{column}")):
+                        continue
+                    draft = f"{path}-by-{column}-{uuid.uuid4().hex}"
+                    files.index_of(self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}"), column).write.parquet(f"{self.root}/{draft}")
+                    if not self.fs.rename(self._path(draft), self._path(f"{path}-by-{column}")):
+                        self.fs.delete(self._path(draft), True)  # another was first
+
+    def find(self, name: str, keys: Sequence, column: str = "id", now: dict | None = None) -> DataFrame:
+        """The rows of a table with these ids (of messages also with these conversation_ids), as read() gives them.
+
+        For as many keys as a caller has at hand: they, and the parents of the rows they name, pass through the driver. For more, join.
+        """
+        if column != "id" and (name, column) != ("messages", SORTED["messages"]):
+            raise ValueError(f"{name} can't be found by {column}")
+        now, keys = now or self.manifest(), list(keys)
+        if not keys:
+            return self.spark.createDataFrame([], TABLES[name])
+        only, below, asked = {name: (column, keys)}, name, column
+        while below in HANGS:
+            foreign, above = HANGS[below]
+            ids = keys if asked == foreign else [r[0] for r in self._merged(below, now, only).select(foreign).distinct().collect()]
+            only[above] = ("id", ids)
+            below, asked = above, "id"
+        return self.read(name, now, only)
+
+    def _runs(self, name: str, now: dict, only: dict = {}) -> DataFrame | None:
+        runs = [self._part(name, r["path"], _run_schema(name), only).withColumn("seq", F.lit(r["seq"])) for r in now["tables"][name]["runs"]]
         if not runs:
             return None
         both = runs[0]
@@ -150,21 +204,21 @@ class Store:
             both = both.unionByName(r)
         return both
 
-    def _gone(self, name: str, now: dict) -> DataFrame | None:
+    def _gone(self, name: str, now: dict, only: dict = {}) -> DataFrame | None:
         """The ids of a table's tombstones, and of what hung on another's."""
-        runs = self._runs(name, now)
+        runs = self._runs(name, now, only)
         own = runs.where("gone").select("id") if runs is not None else None
-        if name in HANGS and (above := self._gone(HANGS[name][1], now)) is not None:
+        if name in HANGS and (above := self._gone(HANGS[name][1], now, only)) is not None:
             column = HANGS[name][0]
-            below = self._merged(name, now).join(above.withColumnRenamed("id", column), column, "left_semi").select("id")
+            below = self._merged(name, now, only).join(above.withColumnRenamed("id", column), column, "left_semi").select("id")
             own = below if own is None else own.unionByName(below)
         return own
 
-    def _merged(self, name: str, now: dict) -> DataFrame:
+    def _merged(self, name: str, now: dict, only: dict = {}) -> DataFrame:
         """Base and runs without the tombstones: what is patched by id, and the rows that runs add."""
         columns = [f.name for f in TABLES[name]]
-        base = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{now['tables'][name]['base']}")
-        runs = self._runs(name, now)
+        base = self._part(name, now["tables"][name]["base"], TABLES[name], only)
+        runs = self._runs(name, now, only)
         if runs is None:
             return base
         live = runs.where("NOT gone")
@@ -180,14 +234,14 @@ class Store:
         added = folded.where(F.col("_created_at").isNotNull()).join(base.select("id"), "id", "left_anti").select("id", *(patch[c].alias(c) for c in rest))
         return patched.unionByName(added).select(*columns)
 
-    def read(self, name: str, now: dict | None = None) -> DataFrame:
-        """A table as of a manifest, or of the current one."""
+    def read(self, name: str, now: dict | None = None, only: dict = {}) -> DataFrame:
+        """A table as of a manifest, or of the current one; only is find()'s: by table the column and the keys that matter."""
         now = now or self.manifest()
-        found = self._merged(name, now)
-        runs = self._runs(name, now)
+        found = self._merged(name, now, only)
+        runs = self._runs(name, now, only)
         if runs is not None:
             found = found.join(runs.where("gone").select("id"), "id", "left_anti")
-        if name in HANGS and (above := self._gone(HANGS[name][1], now)) is not None:
+        if name in HANGS and (above := self._gone(HANGS[name][1], now, only)) is not None:
             column = HANGS[name][0]
             found = found.join(above.withColumnRenamed("id", column), column, "left_anti")
         return found.select(*(f.name for f in TABLES[name]))
