@@ -20,7 +20,7 @@ from turnlake.plans import catalogue
 from turnlake.sources import readers as S
 from turnlake.sources import remote, schemas
 from turnlake.sources.store import Conflict, Store
-from turnlake.streaming import activity, replies
+from turnlake.streaming import activity, repaints, replies
 
 SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 T0 = dt.datetime(2024, 1, 1)
@@ -378,6 +378,33 @@ def test_replies_are_told_once_and_their_state_goes(spark, tmp_path):
     assert left == 0
 
 
+def test_repaints_on_a_stream_wait_for_the_gap(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    random.seed(5)
+    times = {c: sorted(random.sample(range(0, 4_000), 60)) for c in ("a", "b")} | {"c": [1_500, 1_500, 1_539, 1_540]}
+    # four batches of a second each, shuffled within; b is not heard of in the last two, so that a timer has to wake it
+    times["b"] = [t for t in times["b"] if t < 2_000]
+    for k in range(5):
+        rows = [(c, t) for c, ts in times.items() for t in ts if t // 1_000 == k] if k < 4 else [("end", 60_000)]
+        random.shuffle(rows)
+        path = tmp_path / "in" / f"{k}.json"
+        path.write_text("".join(json.dumps({"conversation_id": c, "created_at": (T0 + dt.timedelta(milliseconds=t)).isoformat() + "Z"}) + "\n" for c, t in rows) + '{"conversation_id": "a"}\n')
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("conversation_id string, created_at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = replies.collected(repaints.repaints(stream, 40_000, "1 second"), str(tmp_path))
+    query.awaitTermination()
+    got = spark.read.schema("conversation_id string, nth long, us long").parquet(str(tmp_path / "out"))
+    start, want = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6), []
+    for c, ts in times.items():
+        last, nth = ts[0], 0
+        want.append((c, 0, start + last * 1_000))
+        for t in ts:
+            if t - last >= 40:
+                last, nth = t, nth + 1
+                want.append((c, nth, start + t * 1_000))
+    assert sorted(map(tuple, got.where("conversation_id <> 'end'").collect())) == sorted(want)
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.initialize()

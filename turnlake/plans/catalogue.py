@@ -17,6 +17,7 @@ from turnlake.sources import readers as S
 from turnlake.sources.folders import shared
 from turnlake.sources.store import Store
 from turnlake.streaming import activity as A
+from turnlake.streaming import repaints as T
 from turnlake.streaming import replies as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,15 +203,37 @@ def _(spark, d):
     return R.fold(S.offline_replies(asked), "conversation_id", "id")
 
 
-@query("throttled_paints", """
+_SQL_PAINTS = """
 WITH RECURSIVE t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, epoch_us(ts) AS us FROM events),
 p AS (SELECT user_id, i, us AS painted, 0 AS n FROM t WHERE i = 1
       UNION ALL SELECT t.user_id, t.i, CASE WHEN us - painted >= 21600000000 THEN us ELSE painted END, n + (us - painted >= 21600000000)::INT FROM p JOIN t ON t.user_id = p.user_id AND t.i = p.i + 1)
-SELECT user_id AS conversation_id, CAST(max(n) AS BIGINT) AS paints FROM p GROUP BY user_id""")
+SELECT user_id AS conversation_id, CAST(max(n) AS BIGINT) AS paints FROM p GROUP BY user_id"""
+
+
+@query("throttled_paints", _SQL_PAINTS)
 def _(spark, d):
     return R.paints(S.activity(spark, d), 6 * 3_600_000_000)
 
 
+@query("repaint_stream", _SQL_PAINTS)
+def _(spark, d):
+    # events as files, a quarter of the time after the other and in no order within one; a last row moves the watermark past all
+    folder = shared(spark, "repaints")
+    told = S.activity(spark, d).select("conversation_id", "created_at")
+    bounds = told.agg(F.unix_micros(F.min("created_at")).alias("a"), F.unix_micros(F.max("created_at")).alias("b")).first()
+    if bounds.a is None:
+        return spark.createDataFrame([], "conversation_id long, paints long")
+    span = (bounds.b - bounds.a) // 4 + 1
+    for i in range(4):
+        since = bounds.a + i * span
+        told.where((F.unix_micros("created_at") >= since) & (F.unix_micros("created_at") < since + span)).write.mode("append").parquet(f"{folder}/in")
+    spark.range(1).select(F.lit(-1).cast("long").alias("conversation_id"), F.timestamp_micros(F.lit(bounds.b + 2 * span + 10**6)).alias("created_at")).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("conversation_id long, created_at timestamp").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    P.collected(T.repaints(stream, 6 * 3_600_000_000, f"{span} microseconds"), folder).awaitTermination()
+    painted = spark.read.schema("conversation_id long, nth long, us long").parquet(f"{folder}/out")
+    return T.paints(painted.where(F.col("us") <= bounds.b))
+
+
 @query("reply_stream", f"""
 SELECT conversation_id, id, string_agg(delta, '' ORDER BY chunk_index) AS content, id % 2 = 0 AND max(n) > any_value(2 + id % 5) AS stopped
 FROM (SELECT *, count(*) OVER (PARTITION BY conversation_id, id) AS n FROM {_SQL_DELTAS} x) WHERE id % 2 = 1 OR chunk_index < 2 + id % 5 GROUP BY conversation_id, id""")
