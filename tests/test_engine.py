@@ -451,6 +451,34 @@ def test_replies_fold_stop_and_read_from_lines(spark):
     assert [r.delta for r in S.event_stream_deltas(frame).orderBy("line_no").collect()] == ["Rye is ", "a grain"]
 
 
+def test_a_hot_conversation_is_folded_in_many_tasks(spark):
+    # 30,000 of 30,031 messages are one conversation's
+    rows = spark.range(30_031).select(F.when(F.col("id") < 30_000, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("conversation_id"), (F.col("id") * 7919 % 30_031).alias("id"), F.lit("user").alias("role"), F.concat(F.lit('say "'), F.col("id").cast("string")).alias("content"))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("false", "16")):  # so that small slices are not put together
+        spark.conf.set(n, v)
+    try:
+        got = R.with_turns(rows).withColumn("part", F.spark_partition_id()).where("conversation_id = 'hot'").agg(F.countDistinct("part").alias("parts"), F.countDistinct("turn_no").alias("n"), F.min("turn_no").alias("a"), F.max("turn_no").alias("b")).first()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert got.parts > 4 and (got.n, got.a, got.b) == (30_000, 0, 29_999)
+    slices = M.sliced(rows, "conversation_id", "id").where("conversation_id = 'hot'").groupBy("slice").count().collect()
+    assert max(r["count"] for r in slices) < 15_000
+    pieces = R.context_pieces(rows, 100, "SP")
+    assert pieces.agg(F.max(F.length("context"))).first()[0] < 100 * 60
+    whole = {r.conversation_id: r.context for r in R.contexts(rows, "SP").collect()}
+    assert {r.conversation_id: r.context for r in R.joined(pieces, "conversation_id", text="context", most=10**9).collect()} == whole
+    short = {r.conversation_id: (r.length, r.context) for r in R.joined(pieces, "conversation_id", text="context", most=10_000).collect()}
+    assert short == {k: (len(v), v if k != "hot" else None) for k, v in whole.items()}
+    deltas = rows.select("conversation_id", F.col("id").alias("chunk_index"), F.col("content").alias("delta"))
+    folded = R.joined(R.reply_pieces(deltas, "conversation_id", size=128), "conversation_id", text="content", most=10**9)
+    assert {r.conversation_id: r.content for r in folded.collect()} == {r.conversation_id: r.content for r in R.fold(deltas, "conversation_id").collect()}
+    none = rows.where("id < 0")
+    assert R.context_pieces(none, 100).count() == R.joined(R.reply_pieces(none.select("conversation_id", F.col("id").alias("chunk_index"), F.col("content").alias("delta")), "conversation_id", size=8), "conversation_id", text="content", most=9).count() == 0
+
+
 def test_cutting_the_text_at_the_ends_gives_what_is_painted(spark):
     rows = spark.createDataFrame([("c", 1, "Rye "), ("c", 3, ""), ("c", 2, "😀 is"), ("d", 1, "x")], "conversation_id string, id long, content string")
     whole = R.fold(rows.withColumnRenamed("content", "delta"), "conversation_id", order="id")

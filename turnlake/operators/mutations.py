@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
-from turnlake.operators.reads import newest_of_each
+from turnlake.operators.reads import newest_of_each, sliced
 from turnlake.sources.folders import settled
 from turnlake.sources.schemas import DEFAULT_TITLE, ROLES
 
@@ -61,11 +61,6 @@ def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
 
-def sliced(rows: DataFrame, *order: str) -> DataFrame:
-    """rows dealt by ranges of these columns, and slice, the range each is in."""
-    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("slice", F.spark_partition_id())
-
-
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with place, from 1 without gaps, in the order of these columns.
 

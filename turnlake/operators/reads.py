@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
+from turnlake.sources.folders import settled
+
+
+def sliced(rows: DataFrame, *order: str) -> DataFrame:
+    """rows dealt by ranges of these columns, and slice, the range each is in."""
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("slice", F.spark_partition_id())
 
 
 def lookup(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
@@ -71,6 +77,51 @@ def contexts(messages: DataFrame, system: str | None = None, *key: str) -> DataF
     return grouped.select(*key, F.to_json(plain).alias("context"))
 
 
+def with_turns(messages: DataFrame, key: str = "conversation_id", order: str = "id") -> DataFrame:
+    """messages with turn_no (from 0, in the order of a column) and turns, exact also where one conversation is most of the rows.
+
+    Rows are dealt by ranges of key and order, so a hot conversation lies in many ranges; each is numbered by itself and moved up by
+    what the conversation has in ranges before. The ranges are settled once, by a checkpoint.
+    """
+    # a struct equals itself also where the key is null
+    dealt = settled(sliced(messages, key, order).withColumn("_of", F.struct(key)))
+    here = dealt.groupBy("slice", "_of").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("_of")
+    # a row a range and conversation: of a hot one as many as there are ranges
+    before = here.select("slice", "_of", (F.sum("n").over(w.orderBy("slice")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("turns"))
+    placed = dealt.withColumn("_here", F.row_number().over(Window.partitionBy("slice", "_of").orderBy(order)) - 1)
+    # merged, not broadcast from either side: the messages stay where they were numbered, and so spread
+    return placed.join(before.hint("merge"), ["slice", "_of"]).select(*messages.columns, (F.col("before") + F.col("_here")).alias("turn_no"), "turns")
+
+
+def context_pieces(messages: DataFrame, size: int, system: str | None = None) -> DataFrame:
+    """conversation_id, piece, pieces, context: the JSON of contexts() cut after each size messages.
+
+    The pieces of a conversation, joined in order, are its context; a task holds no more than some pieces, whatever a conversation's length.
+    """
+    told = with_turns(messages.select("conversation_id", "id", "role", "content"))
+    piece = F.floor(F.col("turn_no") / size).cast("long")
+    folded = told.groupBy("conversation_id", piece.alias("piece"), F.ceil(F.col("turns") / size).cast("long").alias("pieces")).agg(ordered("turn_no", "role", "content").alias("m"))
+    body = F.to_json(F.transform("m", lambda z: F.struct(z["role"].alias("role"), z["content"].alias("content"))))
+    inner = F.expr("substring(_j, 2, length(_j) - 2)")
+    first = F.concat(F.lit("["), F.to_json(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), F.lit(",")) if system else F.lit("[")
+    text = F.concat(F.when(F.col("piece") == 0, first).otherwise(F.lit(",")), inner, F.when(F.col("piece") == F.col("pieces") - 1, F.lit("]")).otherwise(F.lit("")))
+    return folded.withColumn("_j", body).select("conversation_id", "piece", "pieces", text.alias("context"))
+
+
+def reply_pieces(deltas: DataFrame, *key: str, size: int) -> DataFrame:
+    """key, piece, content: each reply's text, cut after each size chunks. Chunks are numbered already, so it is one aggregation."""
+    return fold(deltas.withColumn("piece", F.floor(F.col("chunk_index") / size).cast("long")), *key, "piece")
+
+
+def joined(pieces: DataFrame, *key: str, text: str, most: int) -> DataFrame:
+    """The pieces of each key as one text; of those longer than most (characters in all) the text is null, and length tells."""
+    sizes = pieces.groupBy(*key).agg(F.sum(F.length(text).cast("long")).alias("length"))
+    short = pieces.join(sizes.where(F.col("length") <= most).select(*key), [*key], "left_semi")
+    whole = short.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", text))), lambda p: p[text]), "").alias(text))
+    return sizes.join(whole, [*key], "left").select(*key, "length", text)
+
+
 def titles(messages: DataFrame) -> DataFrame:
     """The title each conversation gets from its first user message."""
     first = messages.where("role = 'user'").groupBy("conversation_id").agg(F.min_by("content", "id").alias("content"))

@@ -156,6 +156,24 @@ def _(spark, d):
     return R.contexts(S.messages(spark, d).where("role <> 'system'"), "SP")
 
 
+_SQL_TURNS = f"(SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY conversation_id) AS n FROM {SQL_CV} m)"
+
+
+@query("context_pieces", f"""
+SELECT conversation_id, k // 3 AS piece, CAST(ceil(any_value(n) / 3) AS BIGINT) AS pieces,
+       CASE WHEN k // 3 = 0 THEN '[' ELSE ',' END || string_agg(CAST(to_json({{'role': role, 'content': content}}) AS VARCHAR), ',' ORDER BY id) || CASE WHEN max(k) = any_value(n) - 1 THEN ']' ELSE '' END AS context
+FROM {_SQL_TURNS} x GROUP BY conversation_id, k // 3""")
+def _(spark, d):
+    return R.context_pieces(S.messages(spark, d), 3)
+
+
+@query("context_joined", f"""
+SELECT conversation_id, CAST(length(c) AS BIGINT) AS length, CASE WHEN length(c) <= 2000 THEN c END AS context
+FROM (SELECT conversation_id, CAST(to_json(list({{'role': role, 'content': content}} ORDER BY id)) AS VARCHAR) AS c FROM {SQL_CV} m GROUP BY conversation_id)""")
+def _(spark, d):
+    return R.joined(R.context_pieces(S.messages(spark, d), 3), "conversation_id", text="context", most=2000)
+
+
 # streamed replies
 
 _SQL_DELTAS = f"""(SELECT conversation_id, id, i - 1 AS chunk_index, CASE WHEN i = 1 THEN w[1] ELSE ' ' || w[i] END AS delta
@@ -176,6 +194,11 @@ def _(spark, d):
     return R.fold(_deltas(spark, d), "conversation_id", "id")
 
 
+@query("reply_pieces", f"SELECT conversation_id, id, CAST(chunk_index // 4 AS BIGINT) AS piece, string_agg(delta, '' ORDER BY chunk_index) AS content FROM {_SQL_DELTAS} x GROUP BY ALL")
+def _(spark, d):
+    return R.reply_pieces(_deltas(spark, d), "conversation_id", "id", size=4)
+
+
 @query("reply_stopped_prefix", f"SELECT conversation_id, id, {SQL_STRIP} AS content FROM (SELECT conversation_id, id, string_agg(delta, '' ORDER BY chunk_index) AS content FROM {_SQL_DELTAS} x WHERE chunk_index < 2 + id % 5 GROUP BY ALL) WHERE {SQL_STRIP} <> ''")
 def _(spark, d):
     return R.stopped(_deltas(spark, d), 2 + F.col("id") % 5, "conversation_id", "id")
