@@ -5,6 +5,7 @@ import http.server
 import json
 import os
 import random
+import sqlite3
 import threading
 
 import pytest
@@ -18,7 +19,7 @@ from turnlake.operators import reads as R
 from turnlake.operators import rules as C
 from turnlake.plans import catalogue
 from turnlake.sources import readers as S
-from turnlake.sources import remote, schemas
+from turnlake.sources import remote, schemas, sqlite
 from turnlake.sources.store import Conflict, Store
 from turnlake.streaming import activity, repaints, replies
 
@@ -513,6 +514,54 @@ def test_device_list(spark, tmp_path):
     assert S.devices(spark, str(tmp_path / "gpus.csv")).agg(F.min("memory_mib")).first()[0] == 40960
 
 
+def test_sqlite_files_are_written_and_read_by_ranges(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    rows = spark.range(0, 5_000, 1, 3).select("id", F.when(F.col("id") % 10 > 0, F.concat(F.lit("c\""), (F.col("id") % 10).cast("string"))).alias("conversation id"), (F.col("id") / 3).alias("x"), (F.col("id") % 2 == 0).alias("even"), F.encode(F.col("id").cast("string"), "UTF-8").alias("raw"))
+    sqlite.write(rows, folder, "messages", "id")
+    sqlite.write(rows.where("id < 0").coalesce(1), folder, "messages", "id")
+    (tmp_path / "files" / "left.draft").write_text("of a lost executor")
+    assert len([p for p in (tmp_path / "files").iterdir() if p.suffix == ".sqlite"]) == 4
+    back = sqlite.read(spark, f"file:{folder}", "messages", rows.schema, splitBytes=16_384)
+    assert back.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    for test in ("id >= 4990", "`conversation id` = 'c\"3'", "`conversation id` IS NULL AND id < 50", "id IN (3, 4, 77777)", "even AND id < 9", "x < 1.5", "`conversation id` > 'c\"7' OR id = 0", "`conversation id` <=> NULL AND id > 4900"):
+        assert sorted(r.id for r in back.where(test).collect()) == sorted(r.id for r in rows.where(test).collect())
+    # the filter is SQLite's: what the source itself gives is filtered
+    reader = sqlite.Reader(rows.schema, {"path": folder, "table": "messages"})
+    reader.pushFilters([sqlite.D.EqualTo(("conversation id",), "c\"3"), sqlite.D.LessThan(("id",), 100), sqlite.D.LessThan(("x",), 2.0)])
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 10
+    assert sqlite.read(spark, folder, "messages", "id long").agg(F.sum("id")).first()[0] == sum(range(5_000))
+    (tmp_path / "none").mkdir()
+    assert sqlite.read(spark, str(tmp_path / "none"), "messages", "id long").count() == 0
+    with pytest.raises(Exception, match="opened by path"):
+        sqlite.read(spark, "hdfs://x/y", "messages", "id long").collect()
+    with pytest.raises(Exception, match="no SQLite type"):
+        sqlite.write(spark.sql("SELECT current_date() AS d"), folder, "days")
+
+
+def test_a_sqlite_history_is_opened(spark, tmp_path):
+    file, time = tmp_path / "history.db", "2024-01-01T10:00:00.000005+02:00"
+    with sqlite3.connect(file) as db:
+        db.execute("CREATE TABLE projects (id TEXT PRIMARY KEY, name TEXT, created_at TEXT, updated_at TEXT)")
+        db.execute("CREATE TABLE conversations (id TEXT PRIMARY KEY, project_id TEXT, title TEXT, model_profile TEXT, created_at TEXT, updated_at TEXT)")
+        db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, conversation_id TEXT, role TEXT, content TEXT, model_profile TEXT, created_at TEXT)")
+        db.execute("INSERT INTO projects VALUES ('default', 'General', ?, ?)", (time, time))
+        db.execute("INSERT INTO conversations VALUES ('c', 'default', 'T', 'lorem', ?, ?)", (time, time))
+        db.executemany("INSERT INTO messages VALUES (?, 'c', 'user', ?, NULL, ?)", [(2, "b", time), (1, "a 😀", time)])
+        db.execute(f"PRAGMA user_version = {schemas.SCHEMA_VERSION}")
+    tables = sqlite.history(spark, str(file))
+    assert {n: t.columns for n, t in tables.items()} == {n: s.names for n, s in (("projects", schemas.PROJECTS), ("conversations", schemas.CONVERSATIONS), ("messages", schemas.MESSAGES))}
+    assert [(r.id, r.content, r.created_at) for r in R.messages_of(tables["messages"], "c").collect()] == [(1, "a 😀", dt.datetime(2024, 1, 1, 8, 0, 0, 5)), (2, "b", dt.datetime(2024, 1, 1, 8, 0, 0, 5))]
+    store = Store(spark, str(tmp_path / "store"))
+    store.initialize()
+    store.commit(tables, 2)
+    assert store.read("messages").count() == 2
+    with sqlite3.connect(file) as db:
+        db.execute(f"PRAGMA user_version = {schemas.SCHEMA_VERSION + 1}")
+    with pytest.raises(Exception, match="has version"):
+        sqlite.history(spark, str(file))["messages"].collect()
+
+
 def test_schemas_are_explicit():
     assert [f.name for f in schemas.MESSAGES if f.nullable] == ["model_profile"]
 

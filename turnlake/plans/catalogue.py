@@ -14,6 +14,7 @@ from turnlake.operators import mutations as M
 from turnlake.operators import reads as R
 from turnlake.operators import rules as C
 from turnlake.sources import readers as S
+from turnlake.sources import sqlite as Q
 from turnlake.sources.folders import shared
 from turnlake.sources.store import Store
 from turnlake.streaming import activity as A
@@ -85,6 +86,15 @@ def _(spark, d):
     return S.messages(spark, d).select("conversation_id", "id", "role", "content").orderBy("conversation_id", "id")
 
 
+@query("sqlite_messages", f"SELECT conversation_id, id, role, content FROM {SQL_CV} m WHERE role <> 'system' AND conversation_id >= 10 ORDER BY conversation_id, id")
+def _(spark, d):
+    # the messages as SQLite files, one a partition, read back by ranges of rows
+    folder = shared(spark, "sqlite")
+    Q.write(S.messages(spark, d).select("id", "conversation_id", "role", "content"), folder, "messages", "id")
+    told = Q.read(spark, folder, "messages", "conversation_id long, id long, role string, content string", splitBytes=1 << 20)
+    return told.where("role <> 'system' AND conversation_id >= 10").orderBy("conversation_id", "id")
+
+
 @query("list_conversations", "SELECT user_id AS conversation_id, max(ts) AS updated_at, min(ts) AS created_at FROM events GROUP BY user_id ORDER BY 2 DESC, 3 DESC, 1")
 def _(spark, d):
     return R.by_latest(R.heads(S.activity(spark, d))).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("updated_at", "created_at")})
