@@ -19,7 +19,7 @@ from turnlake.operators import reads as R
 from turnlake.operators import rules as C
 from turnlake.plans import catalogue
 from turnlake.sources import readers as S
-from turnlake.sources import remote, schemas, sqlite
+from turnlake.sources import bucketed, remote, schemas, sqlite
 from turnlake.sources.store import Conflict, Store
 from turnlake.streaming import activity, repaints, replies
 
@@ -562,6 +562,28 @@ def test_a_sqlite_history_is_opened(spark, tmp_path):
         sqlite.history(spark, str(file))["messages"].collect()
 
 
+def test_bucketed_joins_move_nothing(spark):
+    parents = spark.range(1_000).select("id", (F.col("id") * 2).alias("title"))
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 1_100).cast("long")
+    children = spark.range(9_000).select(key.alias("parent"), F.col("id").alias("message"))
+    pair = bucketed.together(parents, children, "id", "parent", 6)
+    for got, want in (
+        (pair.orphans(), C.orphans(children, parents, "parent", "id")),
+        (pair.without_children_of("id % 10 = 7"), M.delete(children, parents.where("id % 10 = 7").select(F.col("id").alias("parent")), "parent")),
+        (pair.joined(), children.join(parents.withColumnRenamed("id", "parent"), "parent")),
+    ):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # the hot parent's 3,000 children are not one bucket's
+    sizes = [r["count"] for r in pair.children.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 9_000 and max(sizes) < 3_000 and pair.parents.where("id = 7").count() > 1
+    none = bucketed.together(parents.where("id < 0"), children.where("message < 0"), "id", "parent", 3)
+    assert none.orphans().count() == none.joined().count() == 0
+    with pytest.raises(ValueError):
+        bucketed.together(parents.withColumn("salt", F.lit(1)), children, "id", "parent", 3)
+
+
 def test_schemas_are_explicit():
     assert [f.name for f in schemas.MESSAGES if f.nullable] == ["model_profile"]
 

@@ -13,6 +13,7 @@ from turnlake.operators import flights as V
 from turnlake.operators import mutations as M
 from turnlake.operators import reads as R
 from turnlake.operators import rules as C
+from turnlake.sources import bucketed as B
 from turnlake.sources import readers as S
 from turnlake.sources import sqlite as Q
 from turnlake.sources.folders import shared
@@ -630,6 +631,23 @@ def _(spark, d):
     return C.orphans(lines, _ol(spark, d), "l_orderkey", "o_orderkey")
 
 
+_SQL_HOT = "(SELECT CASE WHEN l_linenumber = 1 THEN -l_orderkey - 1 WHEN l_partkey % 3 = 0 THEN (SELECT min(o_orderkey) FROM orders) ELSE l_orderkey END AS l_orderkey, l_linenumber, l_partkey FROM lineitem)"
+
+
+@query("bucketed_orphans", f"""
+SELECT 'orphan' AS kind, l_orderkey, l_linenumber, l_partkey FROM {_SQL_HOT} x WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'stays', l_orderkey, l_linenumber, l_partkey FROM {_SQL_HOT} x WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {_GONE})""")
+def _(spark, d):
+    # a third of the lines are one order's; both tables are written once and joined twice
+    orders = _ol(spark, d).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    least = F.lit(orders.agg(F.min("o_orderkey")).first()[0])
+    line = F.when(F.col("l_linenumber") == 1, -F.col("l_orderkey") - 1).when(F.col("l_partkey") % 3 == 0, least).otherwise(F.col("l_orderkey"))
+    lines = _table(spark, d, "lineitem").select(line.alias("l_orderkey"), "l_linenumber", "l_partkey")
+    pair = B.together(orders, lines, "o_orderkey", "l_orderkey", 8)
+    told = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "l_orderkey", "l_linenumber", "l_partkey")
+    return told(pair.orphans(), "orphan").unionByName(told(pair.without_children_of(_GONE), "stays"))
+
+
 @query("fk_orphan_conversations", "SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS o_custkey FROM orders) x WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def _(spark, d):
     orders = _ol(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("o_custkey"))
