@@ -166,6 +166,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["stop"].cast("string"))), ",").alias("spans"),
     )
 
 
@@ -177,15 +178,24 @@ w AS (
   SELECT DISTINCT item_id, least(len(ws), 13) AS k, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS w
   FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
 d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
   FROM documents),
 h AS (
   SELECT doc_id, i, k, item_id
   FROM (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS w
         FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM w) WHERE len(ws) >= k)) JOIN w USING (k, w)),
-n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM h),
+n AS (SELECT doc_id, count(*) AS n_hit FROM p GROUP BY doc_id),
+a AS (
+  SELECT doc_id, p, sum(len(gap) + len(w)) OVER (PARTITION BY doc_id ORDER BY p) AS stop, len(w) AS size
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w, unnest(regexp_split_to_array(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')[1:len(ws)]) AS gap
+        FROM d WHERE doc_id IN (SELECT doc_id FROM p))),
+s AS (
+  SELECT doc_id, string_agg(first || ':' || last, ',' ORDER BY first) AS spans
+  FROM (SELECT doc_id, CAST(min(stop - size) AS BIGINT) AS first, CAST(max(stop) AS BIGINT) AS last
+        FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM p JOIN a USING (doc_id, p)) GROUP BY doc_id, run) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), FALSE) AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), FALSE) AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
 """
