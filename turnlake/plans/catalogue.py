@@ -773,6 +773,24 @@ def _(spark, d):
     return rows.groupBy("node").agg(F.min("memory_mib").alias("least")).withColumn("enough", F.col("least") >= 0)
 
 
+@query("device_lists", "SELECT s_nationkey AS node, min(CAST(floor(s_acctbal) AS INTEGER)) AS least, count(*) AS devices, min(CAST(floor(s_acctbal) AS INTEGER)) >= 0 AS enough FROM supplier GROUP BY 1")
+def _(spark, d):
+    # each node's list as a file of its own, as its driver prints it
+    folder = shared(spark, "devices")
+    rows = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("node"), "s_name", F.floor("s_acctbal").cast("int").alias("memory"))
+    rows.select("node", "s_name", F.concat(F.lit(" "), F.col("memory").cast("string"))).write.partitionBy("node").csv(folder, quoteAll=False, ignoreLeadingWhiteSpace=False)
+    told = S.devices(spark, folder).groupBy(F.col("node").cast("long").alias("node")).agg(F.min("memory_mib").alias("least"), F.count(F.lit(1)).alias("devices"))
+    return told.withColumn("enough", F.col("least") >= 0)
+
+
+@query("log_sink", "SELECT '[' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] ' || event_type AS line, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    folder, rows = shared(spark, "log"), _table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("message"), "event_id")
+    for odd in (0, 1):  # two appends
+        S.append_log(rows.where(F.col("event_id") % 2 == odd), folder)
+    return spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("slurm_port", "SELECT o_orderkey AS job, 60000 + o_orderkey % 4000 AS port FROM orders")
 def _(spark, d):
     return _ol(spark, d).select(F.col("o_orderkey").alias("job"), X.job_port(F.col("o_orderkey")).alias("port"))

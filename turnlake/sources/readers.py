@@ -170,6 +170,11 @@ def offline_replies(asked: DataFrame) -> DataFrame:
     return reply_words(asked.select("conversation_id", "id", F.lit(OFFLINE_REPLY).alias("content")))
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Log lines (at, message) added to a folder of text files, each task's in one of its own, in order of time within it."""
+    rows.sortWithinPartitions("at").select(X.log_line(F.col("at"), F.col("message"))).write.mode("append").text(path)
+
+
 def devices(spark: SparkSession, path: str) -> DataFrame:
-    """A device list: name and memory without header or unit."""
+    """A device list: name and memory without header or unit; of a folder with a list for each node=..., node too."""
     return spark.read.schema("name string, memory_mib int").csv(path, header=False, ignoreLeadingWhiteSpace=True)
