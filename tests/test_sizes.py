@@ -1,6 +1,11 @@
 """What larger tables bring: ids of more digits, more files and rows than one batch, bucket or task should hold."""
 
+import glob
+import time
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -20,3 +25,19 @@ def test_sends_to_conversations_with_longer_ids(spark, tmp_path):
     duckdb.sql("SELECT 9990 + i AS conv_id, j AS turn, CASE j % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS role, 'text' AS text FROM range(30) x(i), range(2) y(j)").write_parquet(str(tmp_path / "conversations.parquet"))
     got, wanted = _rows(spark, tmp_path, "send_message")
     assert len(got) == 30 and got == wanted
+
+
+def test_a_checkpoint_frees_its_shuffles(spark):
+    common = pytest.importorskip("turnlake.llm.common")
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def kept():
+        return {f for d in env.blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before = kept()
+    rows = common.checkpointed(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while kept() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not kept() - before
+    assert rows.count() == 7 and rows.agg(F.sum("count")).first()[0] == 1000
