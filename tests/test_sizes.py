@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from turnlake.sources import bucketed
 
 
 def _rows(spark, folder, name):
@@ -41,3 +42,17 @@ def test_a_checkpoint_frees_its_shuffles(spark):
         time.sleep(0.2)
     assert not kept() - before
     assert rows.count() == 7 and rows.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_buckets_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 500, raising=False)
+    parents = spark.range(1500).select("id", (F.col("id") % 2).alias("kind"))
+    # a third of the children are one parent's, a few have none or a null one
+    parent = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, -1).when(F.col("id") % 50 == 2, None).otherwise(F.col("id") % 1500)
+    children = spark.range(6000).select(parent.alias("parent"), F.col("id").alias("message")).repartition(3)
+    pair = bucketed.together(parents, children, "id", "parent", 2)
+    sizes = [r["n"] for r in pair.children.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 1500
+    assert sorted(r.message for r in pair.orphans().collect()) == [i for i in range(6000) if i % 3 and i % 50 == 1]
+    assert pair.without_children_of("kind = 1").where("parent = 7").count() == 0
+    assert pair.joined().count() == sum(1 for i in range(6000) if i % 3 == 0 or i % 50 not in (1, 2))
