@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnlake.sources import bucketed
+from turnlake.streaming import replies
 
 
 def _rows(spark, folder, name):
@@ -56,3 +57,23 @@ def test_buckets_grow_in_number_not_in_size(spark, monkeypatch):
     assert sorted(r.message for r in pair.orphans().collect()) == [i for i in range(6000) if i % 3 and i % 50 == 1]
     assert pair.without_children_of("kind = 1").where("parent = 7").count() == 0
     assert pair.joined().count() == sum(1 for i in range(6000) if i % 3 == 0 or i % 50 not in (1, 2))
+
+
+def test_replies_share_keys_of_the_state(spark, tmp_path):
+    # none of 1,500 replies has ended, then all do: a null conversation is one, too
+    kind = "conversation_id long, message_seq long, chunk_index int, delta string, kind string"
+    part = F.when(F.col("id") != 5, F.col("id") * 10**15).alias("conversation_id"), F.lit(3).cast("long").alias("message_seq")
+    spark.range(1500).select(*part, F.lit(1).alias("chunk_index"), F.lit("b").alias("delta"), F.lit("delta").alias("kind")).coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def run():
+        query = replies.collected(replies.told(spark.readStream.schema(kind).parquet(f"{tmp_path}/in")), str(tmp_path))
+        query.awaitTermination()
+        return query.recentProgress[0]["stateOperators"][0]["numRowsTotal"]
+
+    assert 0 < run() <= 1024
+    more = [spark.range(1500).select(*part, F.lit(i).alias("chunk_index"), F.lit(d).cast("string").alias("delta"), F.lit(k).alias("kind")) for i, d, k in ((0, "a", "delta"), (2, None, "end"))]
+    more[0].unionByName(more[1]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == 0
+    got = spark.read.schema("conversation_id long, message_seq long, content string, stopped boolean").parquet(f"{tmp_path}/out").collect()
+    assert {r.conversation_id for r in got} == {None if i == 5 else i * 10**15 for i in range(1500)} and len(got) == 1500
+    assert {(r.message_seq, r.content, r.stopped) for r in got} == {(3, "ab", False)}

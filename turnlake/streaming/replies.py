@@ -1,4 +1,4 @@
-"""Replies that arrive as a stream of deltas: state by reply, which goes when the reply has ended.
+"""Replies that arrive as a stream of deltas: state by bucket of replies, of which each goes when the reply has ended.
 
 A reply's deltas are kept in a list until its marker has come: `stop` with the chunk at which it was
 stopped, or `end` with the number of its chunks. They may come in any order and in any batches; a reply
@@ -12,63 +12,85 @@ import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnlake.operators.reads import fold, heads
 from turnlake.sources.schemas import DELTAS
 
+#: Keys of the state, to which replies or conversations are dealt.
+BUCKETS = 1024
+
 
 def deltas(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines deltas that arrive as files."""
     return spark.readStream.schema(DELTAS).json(path)
 
 
-class Reply(StatefulProcessor):
-    """Deltas of one reply (chunk_index, delta, kind) to its text, told once."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getListState("parts", "chunk int, delta string")
-        # how many chunks were seen; at which it was stopped, how many it has (-1: not known yet), whether it was told
-        self.state = handle.getValueState("state", "seen int, stop int, chunks int, told boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen, stop, chunks, told = self.state.get() if self.state.exists() else (0, -1, -1, False)
-        new = []
-        for pdf in rows:
-            for chunk, delta, kind in zip(pdf["chunk_index"].tolist(), pdf["delta"].tolist(), pdf["kind"].tolist()):
-                if kind == "stop":
-                    stop = chunk
-                elif kind == "end":
-                    chunks = chunk
-                else:
-                    new.append((chunk, delta))
-        seen += len(new)
-        if not told and new:
-            self.parts.appendList(new)
+def bucket(*key: str) -> Column:
+    """The bucket of a key, which many share: one key of the state."""
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).alias("bucket")
+
+
+def _replies(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Deltas of a bucket's replies (conversation, message, chunk_index, delta, kind) to their texts, each told once."""
+    # of each reply: how many chunks were seen; at which it was stopped, how many it has (-1: not known yet), whether it was told; what waits
+    running: dict[tuple, list] = {}
+    if state.exists:
+        *each, flat, texts = state.get
+        upto = 0
+        for conversation, message, seen, stop, chunks, told, many in zip(*each):
+            running[conversation, message] = [seen, stop, chunks, told, list(zip(flat[upto : upto + many], texts[upto : upto + many]))]
+            upto += many
+    for pdf in rows:
+        for conversation, message, chunk, delta, kind in zip(*(pdf[c].tolist() for c in ("conversation", "message")), pdf["chunk_index"].astype("int64").tolist(), pdf["delta"].tolist(), pdf["kind"].tolist()):
+            reply = running.setdefault((conversation, message), [0, -1, -1, False, []])
+            if kind == "stop":
+                reply[1] = chunk
+            elif kind == "end":
+                reply[2] = chunk
+            else:
+                reply[0] += 1
+                if not reply[3]:
+                    reply[4].append((chunk, delta))
+    ended = []
+    for key, reply in list(running.items()):
+        seen, stop, chunks, told, parts = reply
         wanted = stop if 0 <= stop and (chunks < 0 or stop < chunks) else chunks
         if wanted >= 0 and not told:
-            had = sorted(p for p in self.parts.get() if p[0] < wanted) if self.parts.exists() else []
+            had = sorted(p for p in parts if p[0] < wanted)
             if len(had) == wanted:
-                told = True
-                self.parts.clear()
-                yield pd.DataFrame({"conversation_id": [key[0]], "message_seq": [key[1]], "content": ["".join(d for _, d in had)], "stopped": [wanted != chunks]})
+                told, reply[3:] = True, [True, []]
+                ended.append((*key, "".join(d for _, d in had), wanted != chunks))
         if told and seen == chunks:
-            self.state.clear()
-        else:
-            self.state.update((seen, stop, chunks, told))
-
-    def close(self) -> None:
-        pass
+            del running[key]
+    if running:
+        left = list(running.values())
+        waiting = [p for r in left for p in r[4]]
+        state.update((*([k[i] for k in running] for i in (0, 1)), *([r[i] for r in left] for i in range(4)), [len(r[4]) for r in left], [c for c, _ in waiting], [d for _, d in waiting]))
+    elif state.exists:
+        state.remove()
+    if ended:
+        yield pd.DataFrame(ended, columns=["conversation", "message", "content", "stopped"])
 
 
 def told(stream: DataFrame) -> DataFrame:
-    """conversation_id, message_seq, content, stopped of each reply, from deltas (conversation_id, message_seq, chunk_index, delta, kind)."""
+    """conversation_id, message_seq, content, stopped of each reply, from deltas (conversation_id, message_seq, chunk_index, delta, kind).
+
+    Replies are dealt to BUCKETS by hash, and a bucket is one key of the state: a call of Python costs milliseconds, so one
+    for each reply and batch would be most of the time. A batch writes the state of the buckets that it meets.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy("conversation_id", "message_seq").transformWithStateInPandas(
-        Reply(), f"conversation_id {kinds['conversation_id']}, message_seq {kinds['message_seq']}, content string, stopped boolean", "Append", "none"
-    )
+    names = {"conversation": "conversation_id", "message": "message_seq"}
+    rows = stream.select(bucket("conversation_id", "message_seq"), *(F.col(c).cast("string").alias(n) for n, c in names.items()), "chunk_index", "delta", "kind")
+    ended = rows.groupBy("bucket").applyInPandasWithState(
+        _replies, "conversation string, message string, content string, stopped boolean",
+        "conversations array<string>, messages array<string>, seen array<int>, stop array<int>, chunks array<int>, told array<boolean>, held array<int>, at array<int>, parts array<string>",
+        "append", GroupStateTimeout.NoTimeout,
+    )
+    return ended.select(*(F.col(n).cast(kinds[c]).alias(c) for n, c in names.items()), "content", "stopped")
 
 
 def with_markers(deltas: DataFrame, stop_at: DataFrame | None = None) -> DataFrame:
