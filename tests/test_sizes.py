@@ -59,6 +59,24 @@ def test_buckets_grow_in_number_not_in_size(spark, monkeypatch):
     assert pair.joined().count() == sum(1 for i in range(6000) if i % 3 == 0 or i % 50 not in (1, 2))
 
 
+def test_batches_of_repaints_do_not_grow_with_files(spark, tmp_path):
+    rows = "SELECT (i * 31 + {k}) % 97 AS user_id, TIMESTAMP '2024-01-01' + to_seconds((i * 10 + {k}) * 977) AS ts, i * 10 + {k} AS event_id, '' AS props FROM range(200) x(i)"
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(10):
+        duckdb.sql(rows.format(k=k)).write_parquet(str(tmp_path / "events.parquet" / f"{k}.parquet"))
+    seen = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/repaints-*"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a file a task
+    try:
+        got = {r.conversation_id: r.paints for r in entry.queries()["repaint_stream"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    sql = entry.oracle_sql()["repaint_stream"].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert len(got) == 97 and got == dict(duckdb.sql(sql).fetchall())
+    (folder,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/repaints-*")) - seen
+    assert len(glob.glob(f"{folder}/checkpoint/offsets/[0-9]*")) <= 5
+
+
 def test_replies_share_keys_of_the_state(spark, tmp_path):
     # none of 1,500 replies has ended, then all do: a null conversation is one, too
     kind = "conversation_id long, message_seq long, chunk_index int, delta string, kind string"
